@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandmix.llm import quality_rules
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmix.llm.url_rules import filter_urls
+
+    return filter_urls(spark, _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandmix.llm.pii import find_pii
 
@@ -39,12 +47,45 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmix.llm.quality_rules import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmix.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strandmix.llm.langid import identify, train
+
+    docs, path = _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    return identify(docs, train(docs, path), path)
+
+
+def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmix.llm.quality_fm import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_rules": op2_url_rules,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_tiff": op5_tiff,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_licenses": op7_licenses,
+    "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
+    "op10_quality_fm": op10_quality_fm,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE}
