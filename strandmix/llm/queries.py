@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmix.llm import quality_rules
+from strandmix.llm import ngram_join, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmix.llm.ngram_join import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandmix.llm.url_rules import filter_urls
 
@@ -76,6 +82,7 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_url_rules": op2_url_rules,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
@@ -88,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
-ORACLE: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE}
+ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
