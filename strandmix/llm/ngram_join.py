@@ -339,6 +339,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("first").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` without those that a linked row of a smaller id stands for, with their columns as they are.
+
+    Of rows that repeat an id, one stays: that with the smallest text. Rows with null ids stay. Only ids are shuffled unless very many
+    rows go, beyond what may be broadcast.
+    """
+    found = jaccard_join(docs, id_col, text_col, percent)
+    per_id = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("rows"), F.min(F.col("component_id")).alias("first"))
+    odd, n = counted(per_id.where((F.col("rows") > 1) | (F.col("first") != F.col(id_col))).select(F.col(id_col).alias("odd_id"), (F.col("first") == F.col(id_col)).alias("stays")))
+    kept = sized_join(docs, odd.select("odd_id"), F.col(id_col).cast("long") == F.col("odd_id"), "left_anti", n)
+    repeated, m = counted(odd.where("stays"))
+    again = sized_join(docs, repeated.select("odd_id"), F.col(id_col).cast("long") == F.col("odd_id"), "left_semi", m)
+    one = again.groupBy(F.col(id_col).alias("odd_id")).agg(F.min_by(F.struct(*(F.col(f"`{x}`") for x in docs.columns)), F.coalesce(F.col(text_col), F.lit(""))).alias("row")).select("row.*")
+    return kept.unionByName(one)
+
+
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, gram FROM (

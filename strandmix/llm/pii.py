@@ -154,13 +154,21 @@ def mask(text: str | None) -> str | None:
     return "".join([*parts, text[last:]])
 
 
-def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, with finds masked in ``text_col``; null and empty texts stay as they are."""
+def mask_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """The same rows and columns, with finds masked in ``text_col``; null and empty texts stay as they are.
+
+    ``chars_col``, where given and present, becomes the new length of a text that changed.
+    """
     at = docs.columns.index(text_col)
+    chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(batches):
         for part in chunks(batches, at):
-            new = pa.array([mask(x) for x in part.column(at).to_pylist()], type=part.schema.field(at).type)
-            yield part.set_column(at, part.schema.field(at), new)
+            old = part.column(at).to_pylist()
+            new = [mask(x) for x in old]
+            if chars is not None:
+                counts = [n if a == b else len(b) for a, b, n in zip(old, new, part.column(chars).to_pylist())]
+                part = part.set_column(chars, part.schema.field(chars), pa.array(counts, type=part.schema.field(chars).type))
+            yield part.set_column(at, part.schema.field(at), pa.array(new, type=part.schema.field(at).type))
 
     return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)

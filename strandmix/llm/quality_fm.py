@@ -143,11 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for part in chunks(batches):
             rows = featurise(part.column(1).to_pylist(), part.column(2).to_pylist())
             index, value = np.split(rows.index, rows.starts[1:-1]), np.split(rows.value, rows.starts[1:-1])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array([x.astype("<i4").tobytes() for x in index]), pa.array([x.astype("<f4").tobytes() for x in value])], names=["id", "label", "index", "value"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array([x.astype("<i4").tobytes() for x in index]), pa.array([x.astype("<f4").tobytes() for x in value])], names=["id", "label", "features", "weights"])
 
-    got = texts.select("id", "text", "chars", "label").mapInArrow(run, "id long, label int, index binary, value binary").collect()
-    got = sorted(got, key=lambda r: (r.id, r.index))
-    index, value = [np.frombuffer(r.index, dtype="<i4") for r in got], [np.frombuffer(r.value, dtype="<f4") for r in got]
+    got = texts.select("id", "text", "chars", "label").mapInArrow(run, "id long, label int, features binary, weights binary").collect()
+    got = sorted(got, key=lambda r: (r.id, r.features))
+    index, value = [np.frombuffer(r.features, dtype="<i4") for r in got], [np.frombuffer(r.weights, dtype="<f4") for r in got]
     if not got:
         return fit(featurise([], []), np.zeros(0))
     target = np.array([float(r.label) for r in got])
