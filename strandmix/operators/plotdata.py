@@ -97,7 +97,7 @@ def common_subjects(a: DataFrame, b: DataFrame) -> DataFrame:
 def metric_by_axis(df: DataFrame, axis: str, metric: str) -> DataFrame:
     """(axis, Method, mean, sd, min, max, n) of a metric."""
     x = F.col(metric)
-    return df.groupBy(axis, "Method").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"))
+    return df.groupBy(axis, "Method").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n_values"))
 
 
 def method_kind(df: DataFrame, method: str = "Method") -> DataFrame:

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from strandmix.plans import models, signal, studies
+from strandmix.plans.registry import ORACLE, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
+#: Importing them registers their queries.
+MODULES = (signal, models, studies)
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+flagship = models.flagship
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    """By name, from the modules above."""
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL by name, for those that SQL can express."""
+    return dict(ORACLE)
