@@ -162,20 +162,20 @@ def loadings(s, d):
 
 
 query("ev_sign_alignment", f"WITH {_LOAD}, s AS (SELECT *, first_value(value) OVER (PARTITION BY k, factor ORDER BY abs(value) DESC, channel) AS top FROM lo) SELECT k, channel, factor, {r('CASE WHEN top < 0 THEN -value ELSE value END', 'value')} FROM s")(lambda s, d: E.align_signs_frame(loadings(s, d)))
-query("ev_bootstrap_ci_summary", f"WITH x AS (SELECT CAST(l_linenumber AS INTEGER) AS k, CAST(l_suppkey % 4 + 1 AS INTEGER) AS channel, CAST(l_partkey % 2 + 1 AS INTEGER) AS factor, l_extendedprice / 1000 AS value FROM lineitem) SELECT k, channel, factor, {r('median(value)', 'median')}, {r('quantile_cont(value, 0.025)', 'lower')}, {r('quantile_cont(value, 0.975)', 'upper')}, {r('stddev_samp(value)', 'sd')}, count(*) AS n_boot FROM x GROUP BY 1, 2, 3")(
-    lambda s, d: E.bootstrap_summary(table(s, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("k"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("channel"), (F.col("l_partkey") % 2 + 1).cast("int").alias("factor"), (F.col("l_extendedprice") / 1000).alias("value")))
+query("ev_bootstrap_ci_summary", f"WITH x AS (SELECT CAST(l_linenumber AS INTEGER) AS k, CAST(l_suppkey % 4 + 1 AS INTEGER) AS channel, CAST(l_partkey % 2 + 1 AS INTEGER) AS factor, l_extendedprice / 997.123457 AS value FROM lineitem) SELECT k, channel, factor, {r('median(value)', 'median')}, {r('quantile_cont(value, 0.025)', 'lower')}, {r('quantile_cont(value, 0.975)', 'upper')}, {r('stddev_samp(value)', 'sd')}, count(*) AS n_boot FROM x GROUP BY 1, 2, 3")(
+    lambda s, d: E.bootstrap_summary(table(s, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("k"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("channel"), (F.col("l_partkey") % 2 + 1).cast("int").alias("factor"), (F.col("l_extendedprice") / 997.123457).alias("value")))
 )
 query("sel_vss_threshold", f"WITH {_LOAD}, c AS (SELECT k, channel, sum(CASE WHEN abs(value) > 0.5 THEN 1 ELSE 0 END) AS strong, count(*) AS r FROM lo GROUP BY 1, 2) SELECT {r('avg(CASE WHEN strong = 1 OR r < 2 THEN 1.0 ELSE 0.0 END)', 'vss')} FROM c")(lambda s, d: Q.vss_frame(loadings(s, d)))
 query("sel_vss_ratio", f"WITH {_LOAD}, c AS (SELECT max(value * value) AS top, sum(value * value) AS total FROM lo GROUP BY k, channel) SELECT {r('avg(top / total)', 'vss')} FROM c WHERE total > 0")(lambda s, d: Q.vss_frame(loadings(s, d), method="ratio"))
-_FOLDS = "sc AS (SELECT CAST(l_linenumber AS INTEGER) AS k, l_suppkey % 5 AS fold, avg(l_extendedprice) / 1000 AS score FROM lineitem GROUP BY 1, 2)"
+_FOLDS = "sc AS (SELECT CAST(l_linenumber AS INTEGER) AS k, l_suppkey % 5 AS fold, avg(l_extendedprice) / 997.123457 AS score FROM lineitem GROUP BY 1, 2)"
 query("sel_one_se_rule", f"WITH {_FOLDS}, t AS (SELECT k, avg(score) AS m, stddev_samp(score) / sqrt(count(*)) AS se, count(*) AS n FROM sc GROUP BY k), b AS (SELECT m, se FROM t ORDER BY m DESC LIMIT 1), c AS (SELECT min(k) AS k FROM t WHERE t.m >= (SELECT m - coalesce(se, 0) FROM b)) SELECT t.k, {r('t.m', 'mean')}, {r('t.se', 'se')}, t.n AS folds, t.k = (SELECT k FROM c) AS selected FROM t")(
-    lambda s, d: Q.one_se_rule(table(s, d, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("k"), (F.col("l_suppkey") % 5).alias("fold")).agg((F.avg("l_extendedprice") / 1000).alias("score")), "k", "score")
+    lambda s, d: Q.one_se_rule(table(s, d, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("k"), (F.col("l_suppkey") % 5).alias("fold")).agg((F.avg("l_extendedprice") / 997.123457).alias("score")), "k", "score")
 )
-_CAND = "cand AS (SELECT CAST(l_linenumber AS INTEGER) AS r, avg(l_extendedprice) / 1000 AS BIC, 1 - avg(l_tax) AS VAF, avg(l_quantity) AS smoothness, avg(l_discount) AS VSS FROM lineitem GROUP BY 1)"
+_CAND = "cand AS (SELECT CAST(l_linenumber AS INTEGER) AS r, avg(l_extendedprice) / 997.123457 AS BIC, 1 - avg(l_tax) * 1.0123457 AS VAF, avg(l_quantity) * 1.0123457 AS smoothness, avg(l_discount) * 1.0123457 AS VSS FROM lineitem GROUP BY 1)"
 
 
 def _candidates(s, d):
-    return table(s, d, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("r")).agg((F.avg("l_extendedprice") / 1000).alias("BIC"), (1 - F.avg("l_tax")).alias("VAF"), F.avg("l_quantity").alias("smoothness"), F.avg("l_discount").alias("VSS"))
+    return table(s, d, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("r")).agg((F.avg("l_extendedprice") / 997.123457).alias("BIC"), (1 - F.avg("l_tax") * 1.0123457).alias("VAF"), (F.avg("l_quantity") * 1.0123457).alias("smoothness"), (F.avg("l_discount") * 1.0123457).alias("VSS"))
 
 
 _mm = lambda c: f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.5 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END"

@@ -77,9 +77,9 @@ for _method, (_stats, _value) in _pooled.items():
 query("pp_mvc_peak", f"WITH {LI}, lo AS ({_long}) SELECT subject_id, channel, {r('max(abs(v))', 'reference')} FROM lo GROUP BY 1, 2")(lambda s, d: P.mvc_reference(A.lines_panel(s, d), "peak"))
 query(
     "pp_mvc_mean_peak",
-    f"WITH {LI}, lo AS ({_long}), k AS (SELECT *, row_number() OVER (PARTITION BY subject_id, channel ORDER BY abs(v) DESC) AS rk, count(*) OVER (PARTITION BY subject_id, channel) AS n FROM lo) "
+    f"WITH {LS}, lo AS ({_long.replace('FROM li', 'FROM ls')}), k AS (SELECT *, row_number() OVER (PARTITION BY subject_id, channel ORDER BY abs(v) DESC) AS rk, count(*) OVER (PARTITION BY subject_id, channel) AS n FROM lo) "
     f"SELECT subject_id, channel, {r('avg(abs(v))', 'reference')} FROM k WHERE rk <= greatest(1, floor(n * 5 / 100)) GROUP BY 1, 2",
-)(lambda s, d: P.mvc_reference(A.lines_panel(s, d), "mean_peak"))
+)(lambda s, d: P.mvc_reference(scaled_lines(s, d), "mean_peak"))
 query(
     "pp_mvc_rms_peak",
     f"WITH {EV}, w AS (SELECT subject_id, count(x) OVER p AS n, sqrt(avg(x * x) OVER p) AS v FROM ev WINDOW p AS (PARTITION BY subject_id ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) "

@@ -34,9 +34,9 @@ for _name in W.GRIDS:
     query(f"agg_param_grid_{_name}", _grid_sql(_name))(lambda s, d, n=_name: W.param_grid(s, n))
 query("agg_table1", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in W.TABLE1) + ") t(Parameter, \"Values\")")(lambda s, d: W.table1(s))
 
-# Results of a study, one row for each order line.
-_CONFIG = "CAST(20 + 10 * (l_suppkey % 3) AS INTEGER) AS N, CAST(2 + l_partkey % 2 AS INTEGER) AS K, 2 AS r, 8 AS M, 100 AS T_each, 0.5 * (1 + l_orderkey % 2) AS cluster_sep_spatial, 1.0::DOUBLE AS cluster_sep_temporal, 1.0::DOUBLE AS cluster_sep_stability"
-_RES = f"res AS (SELECT l_linestatus AS model_type, l_returnflag AS Method, {_CONFIG}, l_discount * 10 AS ARI, l_extendedprice / 1000 AS BIC, CASE WHEN l_linenumber = 7 THEN 'nan'::DOUBLE ELSE 1 - l_tax END AS VAF, l_quantity AS SSE FROM lineitem)"
+# Results of a study, one row for each order line. Factors with many decimals keep means off the halves at which engines round apart.
+_CONFIG = "CAST(20 + 10 * (l_suppkey % 3) AS INTEGER) AS N, CAST(2 + l_partkey % 2 AS INTEGER) AS K, 2 AS r, 8 AS M, 100 AS T_each, 0.5::DOUBLE * (1 + l_orderkey % 2) AS cluster_sep_spatial, 1.0::DOUBLE AS cluster_sep_temporal, 1.0::DOUBLE AS cluster_sep_stability"
+_RES = f"res AS (SELECT l_linestatus AS model_type, l_returnflag AS Method, {_CONFIG}, l_discount * 9.7123457 AS ARI, l_extendedprice / 997.123457 AS BIC, CASE WHEN l_linenumber = 7 THEN 'nan'::DOUBLE ELSE 1 - l_tax * 1.0123457 END AS VAF, l_quantity * 1.0123457 AS SSE FROM lineitem)"
 _KEYS = "model_type, Method, N, K, r, M, T_each, cluster_sep_spatial, cluster_sep_temporal, cluster_sep_stability"
 _METRICS = ("ARI", "BIC", "VAF", "SSE")
 _AGG = f"{_RES}, agg AS (SELECT {_KEYS}, {', '.join(f'avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_sd' for m in _METRICS)}, count(*) AS n_reps FROM res WHERE NOT isnan(VAF) GROUP BY ALL)"
@@ -58,8 +58,8 @@ def _config(li):
 
 def _results(s, d):
     li = table(s, d, "lineitem")
-    vaf = F.when(F.col("l_linenumber") == 7, float("nan")).otherwise(1 - F.col("l_tax"))
-    more = {"model_type": F.col("l_linestatus"), "Method": F.col("l_returnflag"), **_config(li), "ARI": F.col("l_discount") * 10, "BIC": F.col("l_extendedprice") / 1000, "VAF": vaf, "SSE": F.col("l_quantity")}
+    vaf = F.when(F.col("l_linenumber") == 7, float("nan")).otherwise(1 - F.col("l_tax") * 1.0123457)
+    more = {"model_type": F.col("l_linestatus"), "Method": F.col("l_returnflag"), **_config(li), "ARI": F.col("l_discount") * 9.7123457, "BIC": F.col("l_extendedprice") / 997.123457, "VAF": vaf, "SSE": F.col("l_quantity") * 1.0123457}
     return li.select(*(x.alias(n) for n, x in more.items()))
 
 
@@ -81,7 +81,7 @@ query(
     "agg_win_rates",
     f"WITH {_AGG}, {_EXACT}, w AS (SELECT *, max(ARI_mean) OVER ({_PART}) AS top FROM ex), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT model_type, N, K, r, M, T_each, cluster_sep_spatial, cluster_sep_temporal, cluster_sep_stability FROM ex)) SELECT model_type, Method, count(*) AS n_wins, {r('count(*) / any_value(n.n) * 100', 'win_rate')} FROM w, n WHERE ARI_mean = top GROUP BY 1, 2",
 )(lambda s, d: W.win_rates(_aggregated(s, d)))
-_MS = "ms AS (SELECT CAST(20 + 10 * (l_suppkey % 3) AS INTEGER) AS N, CAST(2 + l_partkey % 2 AS INTEGER) AS K_true, 2 AS r_true, l_returnflag AS method, l_linestatus AS selection_strategy, 'modelsel' AS mode, 'select' AS r_mode, l_discount * 10 AS ARI, 1 - l_tax AS VAF, l_extendedprice / 1000 AS BIC, l_discount AS subspace_similarity, l_quantity AS runtime_sec, l_linenumber < 4 AS K_correct, l_linenumber < 5 AS r_correct, l_linenumber < 3 AS Kr_correct, CASE WHEN l_linenumber = 7 THEN 'failed' ELSE '' END AS error_msg FROM lineitem)"
+_MS = "ms AS (SELECT CAST(20 + 10 * (l_suppkey % 3) AS INTEGER) AS N, CAST(2 + l_partkey % 2 AS INTEGER) AS K_true, 2 AS r_true, l_returnflag AS method, l_linestatus AS selection_strategy, 'modelsel' AS mode, 'select' AS r_mode, l_discount * 9.7123457 AS ARI, 1 - l_tax * 1.0123457 AS VAF, l_extendedprice / 997.123457 AS BIC, l_discount * 1.0123457 AS subspace_similarity, l_quantity * 1.0123457 AS runtime_sec, l_linenumber < 4 AS K_correct, l_linenumber < 5 AS r_correct, l_linenumber < 3 AS Kr_correct, CASE WHEN l_linenumber = 7 THEN 'failed' ELSE '' END AS error_msg FROM lineitem)"
 _MSM = {"ARI": "ARI", "VAF": "VAF", "BIC": "BIC", "subspace_similarity": "subspace_similarity", "runtime_sec": "runtime"}
 _MSA = f"{_MS}, msa AS (SELECT N, K_true, r_true, method, selection_strategy, mode, r_mode, {', '.join(f'avg({m}) AS {o}_mean, stddev_samp({m}) AS {o}_sd' for m, o in _MSM.items())}, {', '.join(f'avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END) AS {c}_rate' for c in ('K_correct', 'r_correct', 'Kr_correct'))}, count(*) AS n_reps, CAST(sum(CASE WHEN error_msg <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_errors FROM ms GROUP BY ALL)"
 
@@ -91,7 +91,7 @@ def _modelsel(s, d):
     n = F.col("l_linenumber")
     columns = {
         "N": (20 + 10 * (F.col("l_suppkey") % 3)).cast("int"), "K_true": (2 + F.col("l_partkey") % 2).cast("int"), "r_true": F.lit(2), "method": F.col("l_returnflag"), "selection_strategy": F.col("l_linestatus"), "mode": F.lit("modelsel"), "r_mode": F.lit("select"),
-        "ARI": F.col("l_discount") * 10, "VAF": 1 - F.col("l_tax"), "BIC": F.col("l_extendedprice") / 1000, "subspace_similarity": F.col("l_discount"), "runtime_sec": F.col("l_quantity"), "K_correct": n < 4, "r_correct": n < 5, "Kr_correct": n < 3, "error_msg": F.when(n == 7, "failed").otherwise(""),
+        "ARI": F.col("l_discount") * 9.7123457, "VAF": 1 - F.col("l_tax") * 1.0123457, "BIC": F.col("l_extendedprice") / 997.123457, "subspace_similarity": F.col("l_discount") * 1.0123457, "runtime_sec": F.col("l_quantity") * 1.0123457, "K_correct": n < 4, "r_correct": n < 5, "Kr_correct": n < 3, "error_msg": F.when(n == 7, "failed").otherwise(""),
     }
     return li.select(*(x.alias(k) for k, x in columns.items()))
 
@@ -105,11 +105,11 @@ query(
 )(lambda s, d: W.modelsel_win_rates((lambda a: a.withColumns({c: F.round(c, 12) for c, _ in W.MODELSEL_METRICS.values()}))(W.aggregate_modelsel(_modelsel(s, d)))))
 query(
     "agg_table2",
-    f"WITH t AS (SELECT CAST(l_linenumber AS INTEGER) AS K_true, CAST(l_suppkey % 2 AS INTEGER) AS r_true, CAST(l_partkey % 3 AS INTEGER) AS N, 8 AS M, CASE WHEN l_returnflag = 'A' THEN 0.5 ELSE 1.0 END AS sep, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 2.0 END AS noise, l_discount AS a, l_tax AS b, l_quantity AS c, l_extendedprice / 1000 AS e FROM lineitem) "
+    f"WITH t AS (SELECT CAST(l_linenumber AS INTEGER) AS K_true, CAST(l_suppkey % 2 AS INTEGER) AS r_true, CAST(l_partkey % 3 AS INTEGER) AS N, 8 AS M, CASE WHEN l_returnflag = 'A' THEN 0.5 ELSE 1.0 END AS sep, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 2.0 END AS noise, l_discount * 1.0123457 AS a, l_tax * 1.0123457 AS b, l_quantity * 1.0123457 AS c, l_extendedprice / 997.123457 AS e FROM lineitem) "
     f"SELECT K_true, r_true, N, M, {r('avg(a)', 'ARI_MFA_mean')}, {r('stddev_samp(a)', 'ARI_MFA_sd')}, {r('avg(c)', 'BIC_MFA_mean')}, {r('avg(b)', 'ARI_PCA_mean')}, {r('stddev_samp(b)', 'ARI_PCA_sd')}, {r('avg(e)', 'BIC_PCA_mean')} FROM t WHERE abs(sep - 1) < 1e-9 AND abs(noise - 1) < 1e-9 GROUP BY 1, 2, 3, 4",
 )(
     lambda s, d: W.table2(
-        table(s, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("K_true"), (F.col("l_suppkey") % 2).cast("int").alias("r_true"), (F.col("l_partkey") % 3).cast("int").alias("N"), F.lit(8).alias("M"), F.when(F.col("l_returnflag") == "A", 0.5).otherwise(1.0).alias("sep"), F.when(F.col("l_linestatus") == "F", 1.0).otherwise(2.0).alias("noise"), F.col("l_discount").alias("ARI_MFA"), F.col("l_tax").alias("ARI_PCA"), F.col("l_quantity").alias("BIC_MFA"), (F.col("l_extendedprice") / 1000).alias("BIC_PCA"))
+        table(s, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("K_true"), (F.col("l_suppkey") % 2).cast("int").alias("r_true"), (F.col("l_partkey") % 3).cast("int").alias("N"), F.lit(8).alias("M"), F.when(F.col("l_returnflag") == "A", 0.5).otherwise(1.0).alias("sep"), F.when(F.col("l_linestatus") == "F", 1.0).otherwise(2.0).alias("noise"), (F.col("l_discount") * 1.0123457).alias("ARI_MFA"), (F.col("l_tax") * 1.0123457).alias("ARI_PCA"), (F.col("l_quantity") * 1.0123457).alias("BIC_MFA"), (F.col("l_extendedprice") / 997.123457).alias("BIC_PCA"))
     )
 )
 query("agg_ari_vaf_table", f"WITH v AS (SELECT o_custkey % 50 AS file, avg(o_totalprice) / 1000 AS vaf FROM orders WHERE o_custkey % 50 < 40 GROUP BY 1) SELECT o_orderkey, v.file IS NOT NULL AS found, {r('vaf', 'vaf')} FROM orders LEFT JOIN v ON o_custkey % 50 = v.file")(
