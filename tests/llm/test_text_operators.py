@@ -1,0 +1,302 @@
+"""Personal data, encoding, packing, images and licenses against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from strandmix.llm import bpe, licenses, packing, pii, tiff
+from strandmix.llm.license_rules import RULES, Rule
+
+PII_TEXT = st.text(alphabet="ab1290.@+-_%( )Z", max_size=60)
+
+
+def plain_pii(text):
+    found = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(x) for x in m[0] if x.isdigit()]
+        total = sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d)))
+        if 14 <= len(d) <= 19 and total % 10 == 0:
+            found.append((*m.span(), "card"))
+    found += [(*m.span(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= sum(x.isdigit() for x in m[0]) <= 15]
+    return sorted(found, key=lambda x: (x[0], ["email", "ip", "card", "phone"].index(x[2])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(PII_TEXT)
+def test_base_spans_like_the_plain_patterns(text):
+    assert pii.base_spans(text) == plain_pii(text)
+
+
+def test_pii_checks_and_context():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
+    kinds = lambda t: [x.kind for x in pii.spans(t)]
+    assert kinds("my IBAN GB82 WEST 1234 5698 7654 32 here") == ["iban"]
+    assert kinds("the ssn is 123-45-6789.") == ["national_id"] and kinds("part 123-45-6789.") == []
+    assert kinds("call (212) 555-0199 now") == ["phone"] and kinds("see 212-555-0199") == []
+    assert pii.mask("a@b.co and 10.0.0.1, +1 (212) 555-0199") == "[EMAIL] and [IP], [PHONE]"
+    assert pii.mask(None) is None and pii.mask("") == ""
+
+
+def test_pii_time_is_linear():
+    for text in ("1" * 200_000, "a" * 200_000, "@" * 100_000, "1." * 100_000, "+1" + "(" * 100_000, "a@" * 100_000):
+        pii.spans(text)
+
+
+def test_pii_rows(spark):
+    texts = ["write to x.y@mail.example.com", None, "", "no", "4111 1111 1111 1111 and 4111 1111 1111 1111"]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        spans = plain_pii(text or "")
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{c}:{a}:{b}" for a, b, c in spans).encode()).hexdigest()
+        assert got[k].n_card == sum(x[2] == "card" for x in spans) and got[k].n_email == sum(x[2] == "email" for x in spans)
+
+
+ODD = ["a<|endoftext|>b<|startoftext|>", "", "  x\n\n\n y\t", "İΣς ΑΣ ﬁ 你好👍🏽 é é  ́x", "\x00\x7f\x85\x1c\u2028z", "   ", "I'll we'VE 'S 123456½Ⅷ", " " * 500, "aaaa" * 500, "x" * 3000, "&&&. ,,; a.,b"]
+
+
+@pytest.fixture(scope="module")
+def forced():
+    return bpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, (("<|endoftext|>", 50256),))
+
+
+@pytest.fixture(scope="module")
+def library():
+    return {n: Tokenizer.from_file(P.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+
+
+def test_bpe_like_the_library_on_odd_texts(forced, library):
+    for text in ODD:
+        check_bpe(forced, library, text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=80))
+def test_bpe_like_the_library(forced, library, text):
+    check_bpe(forced, library, text)
+
+
+def check_bpe(forced, library, text):
+    ids = library["byte_bpe_50k.json"].encode(text, add_special_tokens=False).ids
+    assert forced.encode(text) == ids
+    decoded = library["byte_bpe_50k.json"].decode(ids, skip_special_tokens=False)
+    assert forced.decode(ids) == decoded
+    assert forced.digest(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_cuts_lie_between_bytes_of_no_token(forced):
+    rng = random.Random(4)
+    for _ in range(300):
+        word = bytes(rng.randrange(256) for _ in range(rng.randrange(1, 12)))
+        parts = forced.cuts(word)
+        assert b"".join(parts) == word and all(parts)
+        for a, b in zip(parts, parts[1:]):
+            assert not any(a[-1:] + b[:1] in token for token in rng.sample(sorted(forced.ranks), 500))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60))
+def test_words_like_the_library(library, text):
+    got = packing.words(P.path("word_bpe_49k.json")).encode([text])[0]
+    assert got.tolist() == library["word_bpe_49k.json"].encode(text, add_special_tokens=False).ids
+
+
+def test_words_like_the_library_on_odd_texts(library):
+    got = packing.words(P.path("word_bpe_49k.json")).encode([*ODD, None])
+    for text, ids in zip([*ODD, ""], got):
+        assert ids.tolist() == library["word_bpe_49k.json"].encode(text, add_special_tokens=False).ids
+
+
+def test_words_after_the_memory_was_cleared(library, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 3)
+    own = packing.Words(P.path("word_bpe_49k.json"))
+    for text in ("a b c d e, f. g!", "a, b. zz yy xx", "a b"):
+        assert own.encode([text])[0].tolist() == library["word_bpe_49k.json"].encode(text, add_special_tokens=False).ids
+
+
+def check_pieces(rows, library, texts):
+    of = {k: [*library["word_bpe_49k.json"].encode(t or "", add_special_tokens=False).ids, 1] for k, t in texts.items()}
+    at, fill = {k: [] for k in texts}, {}
+    for r in rows:
+        ids = of[r.doc_id][r.start : r.start + r.length]
+        assert len(ids) == r.length > 0 and r.doc_tokens == len(of[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        at[r.doc_id].append((r.start, r.length))
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for k, pieces in at.items():
+        assert [s for s, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:i]) for i in range(len(pieces))]
+        assert sum(n for _, n in pieces) == len(of[k])
+    for parts in fill.values():
+        total = 0
+        for offset, n in sorted(parts):
+            assert offset == total
+            total += n
+        assert total <= 2048 and total & (total - 1) == 0
+
+
+def test_packing_fills_sequences(spark, library):
+    rng = random.Random(2)
+    texts = {k: " ".join(rng.choice(["alpha", "beta,", "Gamma!", "x9", "zz"]) for _ in range(rng.choice([0, 3, 40, 700, 5000]))) for k in range(120)} | {500: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    check_pieces(packing.pack_documents(docs, P.path("word_bpe_49k.json")).collect(), library, texts)
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(64, 4, 64), packing.Limits(64, 100, 20), packing.Limits(64, 1, 64)])
+def test_packing_keeps_all_limits(limits):
+    rng = random.Random(1)
+    packer, pieces, total = packing.Packer(limits, cut=True, pool=16), [], 0
+    for k in range(200):
+        n = rng.randrange(1, 150)
+        total += n
+        pieces += packer.add(k, 0, range(n))
+    pieces += packer.finish()
+    fill = {}
+    for _, _, ids, sequence, offset in pieces:
+        fill.setdefault(sequence, []).append((offset, len(ids)))
+    assert sum(len(x[2]) for x in pieces) == total
+    for parts in fill.values():
+        assert sum(n for _, n in parts) <= min(limits.tokens, limits.loss_tokens) and len(parts) <= limits.segments
+        assert sum(n for _, n in parts) in {64} | {1 << k for k in range(7)}
+
+
+def test_whole_examples_under_three_limits(spark):
+    rng = random.Random(3)
+    rows = [(f"c{k}", n := rng.randrange(0, 900), rng.randrange(0, n + 1)) for k in range(300)] + [("big", 5000, 10), ("none", None, None)]
+    limits = packing.Limits(2048, 5, 700)
+    got = packing.pack_examples(spark.createDataFrame(rows, "conv string, n int, loss int"), "conv", "n", "loss", limits).collect()
+    assert sorted(r.conv for r in got) == sorted(r[0] for r in rows)
+    loss, fill = {r[0]: r[2] or 0 for r in rows}, {}
+    for r in got:
+        if r.sequence_id is not None:
+            fill.setdefault(r.sequence_id, []).append((r.n_tokens, loss[r.conv], r.conv))
+    for parts in fill.values():
+        assert len(parts) == 1 or sum(x[0] for x in parts) <= 2048 and sum(x[1] for x in parts) <= 700 and len(parts) <= 5
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.binary(max_size=700) | st.lists(st.sampled_from([b"a", b"b" * 200, bytes(range(256))]), max_size=12).map(b"".join))
+def test_codecs_give_back_their_data(data):
+    assert tiff.unpack_bits(tiff.pack_bits(data)) == data
+    assert tiff.lzw_unpack(tiff.lzw_pack(data)) == data
+
+
+def test_codecs_beyond_the_widest_code():
+    data = np.random.default_rng(0).integers(0, 256, 40_000).astype(np.uint8).tobytes()
+    assert tiff.lzw_unpack(tiff.lzw_pack(data)) == data
+
+
+def test_lzw_of_the_format():
+    # The example of the format's description: 7 7 7 8 8 7 7 6 6.
+    codes, bits = [256, 7, 258, 8, 8, 258, 6, 6, 257], ""
+    bits = "".join(f"{c:09b}" for c in codes)
+    packed = int(bits.ljust(88, "0"), 2).to_bytes(11, "big")
+    assert tiff.lzw_pack(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == packed
+    assert tiff.lzw_unpack(packed) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+@pytest.mark.parametrize("predictor", [False, True])
+@pytest.mark.parametrize("tiled", [False, True])
+def test_pages_give_back_their_samples(compression, predictor, tiled):
+    rng = np.random.default_rng(1)
+    pages = [rng.integers(0, 40, (n, 5, c)).astype(np.uint8) for n, c in ((1, 3), (300, 3), (513, 1))]
+    got = list(tiff.read_tiff(tiff.write_tiff([(p, compression, predictor, tiled) for p in pages])))
+    assert len(got) == 3 and all((a.samples == b).all() for a, b in zip(got, pages))
+    assert [x.blocks for x in got] == [1, 2, 3]
+
+
+def test_big_endian_and_broken_files(spark):
+    import struct
+
+    raw = b"MM\0*" + struct.pack(">I", 12) + bytes([1, 2, 3, 4])
+    tags = [(256, 4, 1, 2), (257, 4, 1, 2), (258, 3, 1, 8 << 16), (259, 3, 1, 1 << 16), (273, 4, 1, 8), (277, 3, 1, 1 << 16), (278, 4, 1, 2), (279, 4, 1, 4)]
+    raw += struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHII", *t) for t in tags) + b"\0\0\0\0"
+    assert next(tiff.read_tiff(raw)).samples.ravel().tolist() == [1, 2, 3, 4]
+    loop = bytearray(tiff.write_tiff([(np.zeros((1, 1, 1), np.uint8), tiff.NONE, False, False)]))
+    at = struct.unpack_from("<I", loop, 4)[0]
+    struct.pack_into("<I", loop, at + 2 + 12 * struct.unpack_from("<H", loop, at)[0], at)
+    files = [(1, raw), (2, b"nothing"), (3, None), (4, bytes(loop)), (5, raw[:20])]
+    got = tiff.read_pages(spark.createDataFrame([(k, None if x is None else bytearray(x)) for k, x in files], "f long, data binary"), "f", "data").collect()
+    assert {(r.f, r.page, r.error is None) for r in got} == {(1, 0, True), (2, 0, False), (3, 0, False), (4, 0, True), (4, 1, False), (5, 0, False)}
+
+
+def test_media_of_texts(spark):
+    texts = ["", None, "x", "ä" * 96, "y" * 193, "z" * 700, "wörter " * 9000, "q" * (tiff.ROW * (tiff.PAGE_ROWS + 3))]
+    got = {r.doc_id: r for r in tiff.media_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        r = got[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        media = tiff.store(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    assert got[0].feature == got[1].feature and got[7].pages == 2
+
+
+LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_license(text):
+    words = LICENSE_WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    found = []
+    for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+        p = phrase.split()
+        found += [(k, label) for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
+    return len(words), len(found), min((k for k, _ in found), default=None), max((k for k, _ in found), default=None), ",".join(sorted({x for _, x in found}))
+
+
+def test_license_base_like_the_plain_version(spark):
+    rng = random.Random(5)
+    words = ["CC", "by", "General", "PUBLIC", "license", "all", "rights", "Reserved", "x", "éall", "9cc", "reserved9"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "\n", "-", ". ", "", "\x00", "(c) "]) for _ in range(rng.randrange(0, 25))) for _ in range(400)]
+    texts += [None, "", "CC BY", "x" * 50_000 + " cc by " * 2000]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        r = got[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_license(text), text
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+
+def plain_detections(text, rules):
+    found = []
+    for rule in rules:
+        if rule.keyword in text.lower():
+            found += [(m.start(), -(m.end() - m.start()), rule.priority, rule.label, m.end()) for m in re.finditer("(?i)" + rule.pattern, text)]
+    kept, end = [], -1
+    for x in sorted(found):
+        if x[4] > end:
+            kept.append(f"{x[3]}:{x[0]}:{x[4]}")
+            end = x[4]
+    return ",".join(kept)
+
+
+def test_license_rules_like_the_plain_version(spark):
+    texts = [
+        "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License. MIT license.",
+        "Licensed under CC BY-NC 4.0.", "GNU Lesser General Public License v2.1 or later; GPL-2.0", "SPDX-License-Identifier: MPL-2.0", "Copyright 2020 x. All rights reserved. © 1999",
+        "creative commons attribution-sharealike license and CC BY-SA 4.0 https://creativecommons.org/licenses/by/3.0/", "the new BSD license, zlib license", "nothing", "",
+        "gnu general public license version 2, or (at your option) any later version",
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        assert got[k].detections == plain_detections(text, RULES), text
+    assert got[0].labels == "apache-2.0" and got[1].labels == "gpl,gpl-3.0" and got[2].labels == "mit" and got[3].labels == "cc-by,cc-by-nc-4.0"
+
+
+def test_license_priority_decides_equal_spans(spark):
+    rules = [Rule("strong", "lic", "licence x", 0, 1.0), Rule("weak", "lic", "licence x", 1, 0.2), Rule("inner", "lic", "x", 2, 0.9), Rule("out", "zzz", "licence", 3, 0.1)]
+    got = licenses.scan(spark.createDataFrame([(1, "a licence x b x")], "doc_id long, text string"), rules=rules).first()
+    assert got.detections == "strong:2:11,inner:14:15" and got.score == 1.0
+
+
+def test_hundreds_of_rules():
+    assert len(RULES) > 300 and len({r.priority for r in RULES}) == len(RULES)
