@@ -84,19 +84,50 @@ def response(sections: np.ndarray, freqs: np.ndarray, fs: float) -> np.ndarray:
     return out
 
 
+#: Rows that are filtered by one matrix product.
+BLOCK = 128
+
+
+def _state_space(sections: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """All sections as one system: state' = A state + B x, y = C state + D x."""
+    a, b, c, d = np.zeros((0, 0)), np.zeros(0), np.zeros(0), 1.0
+    for b0, b1, b2, a1, a2 in sections:
+        own_a, own_b, own_c = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0]), np.array([1.0, 0.0])
+        n = len(b)
+        wide = np.zeros((n + 2, n + 2))
+        wide[:n, :n], wide[n:, n:], wide[n:, :n] = a, own_a, np.outer(own_b, c)
+        a, b, c, d = wide, np.concatenate([b, own_b * d]), np.concatenate([b0 * c, own_c]), b0 * d
+    return a, b, c, d
+
+
 def sosfilt(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One run from rest. Missing values count as 0 and stay missing."""
+    """One run from rest. Missing values count as 0 and stay missing.
+
+    Rows go through in blocks: what a block's own rows add is one matrix product for all blocks, and only the state between blocks is
+    carried on step by step.
+    """
     gone = np.isnan(x)
-    y = np.where(gone, 0.0, x)
-    for b0, b1, b2, a1, a2 in sections:
-        s1 = s2 = 0.0
-        out = []
-        for v in y.tolist():
-            w = b0 * v + s1
-            s1 = b1 * v - a1 * w + s2
-            s2 = b2 * v - a2 * w
-            out.append(w)
-        y = np.array(out)
+    n = len(x)
+    if not n:
+        return np.array(x, dtype=float)
+    a, b, c, d = _state_space(sections)
+    size = min(BLOCK, n)
+    steps, out_of_state, power = [b], [], np.eye(len(b))
+    for _ in range(size):
+        out_of_state.append(c @ power)
+        power = a @ power
+        steps.append(a @ steps[-1])
+    impulse = np.array([d, *(c @ v for v in steps[: size - 1])])
+    shift = np.arange(size)[:, None] - np.arange(size)
+    own = np.where(shift >= 0, impulse[np.maximum(shift, 0)], 0.0)
+    into_state = np.stack(steps[:size][::-1], axis=1)
+    rows = np.zeros((-(-n // size), size))
+    rows.ravel()[:n] = np.where(gone, 0.0, x)
+    given, states, state = rows @ into_state.T, np.zeros((len(rows), len(b))), np.zeros(len(b))
+    for k, v in enumerate(given):
+        states[k] = state
+        state = power @ state + v
+    y = (rows @ own.T + states @ np.array(out_of_state).T).ravel()[:n]
     return np.where(gone, np.nan, y)
 
 

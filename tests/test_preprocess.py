@@ -119,6 +119,20 @@ def test_filter_runs_like_its_response():
     assert np.isnan(iir.sosfilt(sos, np.array([1.0, np.nan, 2.0]))).tolist() == [False, True, False]
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 128, 129, 1000])
+def test_blocks_like_one_row_after_another(n):
+    x = np.random.default_rng(n).normal(size=n)
+    for sos in (iir.design("butterworth", 4, "band", (20, 450), 1000), iir.design("chebyshev1", 3, "low", (6,), 1000)):
+        y = x.copy()
+        for b0, b1, b2, a1, a2 in sos:
+            s1 = s2 = 0.0
+            for k, v in enumerate(y):
+                w = b0 * v + s1
+                s1, s2 = b1 * v - a1 * w + s2, b2 * v - a2 * w
+                y[k] = w
+        assert np.allclose(iir.sosfilt(sos, x), y, atol=1e-9)
+
+
 def test_filters_check_their_cutoffs(spark, series):
     for low, high in ((0, 10), (20, 600), (30, 20)):
         with pytest.raises(ValueError):
