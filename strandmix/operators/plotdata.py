@@ -116,3 +116,11 @@ def bic_line(table: DataFrame) -> DataFrame:
     """(K, r, BIC, best): the smallest BIC marked."""
     best = table.agg(F.min("BIC").alias("low"))
     return table.join(F.broadcast(best)).select("K", "r", "BIC", (F.col("BIC") == F.col("low")).alias("best"))
+
+
+def noise_profile(panel: Panel, rebuilt: DataFrame) -> DataFrame:
+    """(z, t, channel, sd, n): spread of what a reconstruction (subject_id, t, z, channels) leaves, over a cluster's subjects at each time."""
+    back = rebuilt.select("subject_id", "t", "z", *(F.col(c).alias(f"{c}__r") for c in panel.channels))
+    both = panel.df.join(back, ["subject_id", "t"])
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), (F.col(c) - F.col(f"{c}__r")).alias("e")) for c in panel.channels))).alias("x")
+    return both.select("z", "t", cells).groupBy("z", "t", "x.channel").agg(F.stddev_samp("x.e").alias("sd"), F.count("x.e").alias("n"))

@@ -192,3 +192,39 @@ def _sessions(s, d):
     from strandmix.streaming.panels import sessions
 
     return sessions(table(s, d, "events"), "user_id", "ts", "value")
+
+
+# Scores and reconstructions under the fixed parameters, as plots take them.
+def _scores(s, d):
+    from strandmix.operators import project as P
+
+    p = scaled_lines(s, d)
+    return p, P.scores(p, fixed("mfa"), parity(s, d)), P.reconstruct(p, fixed("mfa"), parity(s, d))
+
+
+def _fixed_rows(what: str) -> str:
+    """SQL: the rows of a query over fixed parameters, before they are rounded."""
+    from strandmix.plans.registry import ORACLE
+
+    return ORACLE[what].replace("round(", "(").replace(", 6) + 0.0", ")")
+
+
+query(
+    "pl_factor_scores_mean",
+    f"SELECT z, t, 'f_1' AS channel, {r('avg(f_1)', 'value')} FROM ({_fixed_rows('pj_scores_mfa')}) GROUP BY 1, 2 UNION ALL SELECT z, t, 'f_2', {r('avg(f_2)', 'value')} FROM ({_fixed_rows('pj_scores_mfa')}) GROUP BY 1, 2",
+)(lambda s, d: D.mean_waveform(A.Panel(_scores(s, d)[1].drop("z"), ("f_1", "f_2")), parity(s, d)))
+query("pl_factor_scores_long", f"SELECT subject_id, t, z, 'f_1' AS Factor, {r('f_1', 'Loading')} FROM ({_fixed_rows('pj_scores_mfa')}) UNION ALL SELECT subject_id, t, z, 'f_2', {r('f_2', 'Loading')} FROM ({_fixed_rows('pj_scores_mfa')})")(
+    lambda s, d: D.loadings_long(_scores(s, d)[1], ["subject_id", "t", "z"], ["f_1", "f_2"])
+)
+query(
+    "pl_waveform_comparison",
+    f"WITH {LS} SELECT t, 'original' AS kind, {r('qty', 'value')} FROM ls WHERE subject_id = 3 UNION ALL SELECT t, 'reconstructed', {r('qty', 'value')} FROM ({_fixed_rows('pj_reconstruct_mfa')}) WHERE subject_id = 3",
+)(lambda s, d: (lambda p, _, back: D.compare_waveforms(p, back, 3, "qty"))(*_scores(s, d)))
+query(
+    "pl_noise_profiles",
+    f"WITH {LS}, b AS ({_fixed_rows('pj_reconstruct_mfa')}), e AS ("
+    + " UNION ALL ".join(f"SELECT b.z, b.t, '{c}' AS channel, ls.{c} - b.{c} AS e FROM ls JOIN b ON ls.subject_id = b.subject_id AND ls.t = b.t" for c in CHANNELS)
+    + f") SELECT z, t, channel, {r('stddev_samp(e)', 'sd')}, count(e) AS n FROM e GROUP BY 1, 2, 3",
+)(lambda s, d: (lambda p, _, back: D.noise_profile(p, back))(*_scores(s, d)))
+_LAGGED = "({c} - 2 * lag({c}, 1) OVER w + lag({c}, 2) OVER w)"
+query("ss_second_differences", f"WITH {LS} SELECT subject_id, t, {', '.join(r(_LAGGED.format(c=c), c) for c in CHANNELS)} FROM ls WINDOW w AS (PARTITION BY subject_id ORDER BY t)")(lambda s, d: S.second_differences(scaled_lines(s, d)))
