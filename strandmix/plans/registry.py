@@ -45,8 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The panels as SQL.
-EV = "ev AS (SELECT user_id AS subject_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS t, value AS x FROM events)"
+#: The panels as SQL. The factor keeps figures off the halves at which engines round apart.
+EV = "ev AS (SELECT user_id AS subject_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS t, value * 1.0123457 AS x FROM events)"
 _ORDER = "l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_extendedprice"
 LI = f"li AS (SELECT l_suppkey AS subject_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY {_ORDER}) AS INTEGER) AS t, l_quantity AS qty, l_extendedprice AS price, l_discount AS disc, l_tax AS tax FROM lineitem)"
 LS = f"ls AS (SELECT l_suppkey AS subject_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY {_ORDER}) AS INTEGER) AS t, l_quantity / 50 AS qty, l_extendedprice / 99991 AS price, l_discount * 10 AS disc, l_tax * 10 AS tax FROM lineitem)"

@@ -17,8 +17,14 @@ def scaled_lines(spark, sf_dir, ordered=True) -> A.Panel:
     return p.with_df(p.df.withColumns(size))
 
 
+def events(spark, sf_dir) -> A.Panel:
+    """The event panel, times the factor of its SQL."""
+    p = A.events_panel(spark, sf_dir)
+    return p.with_df(p.df.withColumn("x", F.col("x") * 1.0123457))
+
+
 def _ev(name: str, expression: str, make, extra: str = ""):
-    query(name, f"WITH {EV}{extra} SELECT ev.subject_id, t, {r(expression, 'x')} FROM ev")(lambda s, d: make(A.events_panel(s, d)).df.select("subject_id", "t", "x"))
+    query(name, f"WITH {EV}{extra} SELECT ev.subject_id, t, {r(expression, 'x')} FROM ev")(lambda s, d: make(events(s, d)).df.select("subject_id", "t", "x"))
 
 
 _OVER = "OVER (PARTITION BY subject_id)"
@@ -48,7 +54,7 @@ query(
     "pp_norm_mvc",
     f"WITH {EV}, ref AS (SELECT subject_id, max(abs(x)) AS m FROM ev WHERE subject_id % 2 = 0 GROUP BY 1) "
     f"SELECT ev.subject_id, t, {r(f'CASE WHEN coalesce(m, 0) <> 0 THEN 100 * x / m ELSE x / nullif(max(abs(x)) OVER (PARTITION BY ev.subject_id), 0) END', 'x')} FROM ev LEFT JOIN ref ON ev.subject_id = ref.subject_id",
-)(lambda s, d: P.normalize(A.events_panel(s, d), "mvc", P.mvc_reference(_halved(A.events_panel(s, d)))).df.select("subject_id", "t", "x"))
+)(lambda s, d: P.normalize(events(s, d), "mvc", P.mvc_reference(_halved(events(s, d)))).df.select("subject_id", "t", "x"))
 
 _poly2 = (
     f"WITH {EV}, u AS (SELECT subject_id, t, x, CASE WHEN n > 1 THEN (2.0 * t - n - 1) / (n - 1) ELSE 0 END AS u FROM (SELECT *, count(*) {_OVER} AS n FROM ev)), "
@@ -58,7 +64,7 @@ _poly2 = (
     "(s0*(s2*y2-y1*s3) - s1*(s1*y2-y1*s2) + y0*(s1*s3-s2*s2)) / det AS a2 FROM k) "
     f"SELECT u.subject_id, t, {r('x - (a0 + a1*u + a2*u*u)', 'x')} FROM u JOIN c ON u.subject_id = c.subject_id"
 )
-query("pp_dc_poly2", _poly2)(lambda s, d: P.remove_offset(A.events_panel(s, d), "polynomial", 2).df.select("subject_id", "t", "x"))
+query("pp_dc_poly2", _poly2)(lambda s, d: P.remove_offset(events(s, d), "polynomial", 2).df.select("subject_id", "t", "x"))
 
 _long = " UNION ALL ".join(f"SELECT subject_id, t, '{c}' AS channel, {c} AS v FROM li" for c in CHANNELS)
 _pooled = {
@@ -84,18 +90,18 @@ query(
     "pp_mvc_rms_peak",
     f"WITH {EV}, w AS (SELECT subject_id, count(x) OVER p AS n, sqrt(avg(x * x) OVER p) AS v FROM ev WINDOW p AS (PARTITION BY subject_id ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) "
     f"SELECT subject_id, 'x' AS channel, {r('max(CASE WHEN n = 10 THEN v END)', 'reference')} FROM w GROUP BY 1",
-)(lambda s, d: P.mvc_reference(A.events_panel(s, d), "rms_peak", 100, 100))
+)(lambda s, d: P.mvc_reference(events(s, d), "rms_peak", 100, 100))
 query(
     "pp_channel_summary",
     f"WITH {LI}, lo AS ({_long}) SELECT channel, {r('avg(v)', 'mean')}, {r('stddev_samp(v)', 'sd')}, {r('min(v)', 'min')}, {r('max(v)', 'max')} FROM lo GROUP BY 1",
 )(lambda s, d: P.channel_summary(A.lines_panel(s, d, False)))
-query("pp_bandpass")(lambda s, d: P.bandpass(A.events_panel(s, d), 1000).df)
-query("pp_bandpass_chebyshev1")(lambda s, d: P.bandpass(A.events_panel(s, d), 1000, kind="chebyshev1").df)
-query("pp_bandpass_chebyshev2")(lambda s, d: P.bandpass(A.events_panel(s, d), 1000, kind="chebyshev2").df)
-query("pp_notch")(lambda s, d: P.notch(A.events_panel(s, d), 1000, 50, harmonics=3).df)
-query("pp_envelope_lowpass")(lambda s, d: P.envelope_lowpass(A.events_panel(s, d), 1000).df)
-query("pp_pipeline_default")(lambda s, d: P.preprocess(A.events_panel(s, d), 1000, P.preset("default")).panel.df)
-query("pp_pipeline_gait")(lambda s, d: P.preprocess(A.events_panel(s, d), 1000, P.preset("gait"), P.mvc_reference(A.events_panel(s, d))).panel.df)
+query("pp_bandpass")(lambda s, d: P.bandpass(events(s, d), 1000).df)
+query("pp_bandpass_chebyshev1")(lambda s, d: P.bandpass(events(s, d), 1000, kind="chebyshev1").df)
+query("pp_bandpass_chebyshev2")(lambda s, d: P.bandpass(events(s, d), 1000, kind="chebyshev2").df)
+query("pp_notch")(lambda s, d: P.notch(events(s, d), 1000, 50, harmonics=3).df)
+query("pp_envelope_lowpass")(lambda s, d: P.envelope_lowpass(events(s, d), 1000).df)
+query("pp_pipeline_default")(lambda s, d: P.preprocess(events(s, d), 1000, P.preset("default")).panel.df)
+query("pp_pipeline_gait")(lambda s, d: P.preprocess(events(s, d), 1000, P.preset("gait"), P.mvc_reference(events(s, d))).panel.df)
 
 _pairs = [(a, b) for k, a in enumerate(CHANNELS) for b in CHANNELS[k:]]
 query(
@@ -127,4 +133,4 @@ query(
     "ss_smoothness",
     f"WITH {LS}, dd AS (SELECT subject_id, {', '.join(_second.format(c=c) for c in CHANNELS)} FROM ls WINDOW w AS (PARTITION BY subject_id ORDER BY t)) SELECT subject_id, {r(_cells('coalesce(sum({c} * {c}), 0)'), 'penalty')} FROM dd GROUP BY 1",
 )(lambda s, d: S.smoothness(scaled_lines(s, d)))
-query("ss_panel_check", "SELECT user_id AS subject_id, count(*) AS n, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing FROM events GROUP BY 1")(lambda s, d: A.check_panel(A.events_panel(s, d)))
+query("ss_panel_check", "SELECT user_id AS subject_id, count(*) AS n, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing FROM events GROUP BY 1")(lambda s, d: A.check_panel(events(s, d)))

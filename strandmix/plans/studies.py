@@ -9,7 +9,7 @@ from strandmix.operators import sweeps as W
 from strandmix.operators import suffstats as S
 from strandmix.plans.models import _LOAD, fixed, loadings
 from strandmix.plans.registry import CHANNELS, EV, LS, query, r, table
-from strandmix.plans.signal import parity, scaled_lines
+from strandmix.plans.signal import events, parity, scaled_lines
 from strandmix.sources import panel as A
 from strandmix.sources import results as R
 from strandmix.sources import simulate as G
@@ -155,7 +155,7 @@ query("pl_synergy_correlation_kendall", f"WITH {_RANKED} SELECT p.fa AS factor_a
 query("pl_sse_heatmap", f"WITH e AS (SELECT l_suppkey AS subject_id, sum(l_discount) AS a, sum(l_tax) AS b FROM lineitem GROUP BY 1) SELECT subject_id, 'a' AS method, {r('a', 'sse')}, {r('log10(a + 1e-10)', 'log_sse')} FROM e UNION ALL SELECT subject_id, 'b', {r('b', 'sse')}, {r('log10(b + 1e-10)', 'log_sse')} FROM e")(
     lambda s, d: D.sse_heatmap(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject_id")).agg(F.sum("l_discount").alias("a"), F.sum("l_tax").alias("b")), ["a", "b"])
 )
-query("pl_minmax_activations", f"WITH {EV} SELECT subject_id, t, {r('coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0)', 'x')} FROM ev WINDOW w AS (PARTITION BY subject_id)")(lambda s, d: D.minmax(A.events_panel(s, d)))
+query("pl_minmax_activations", f"WITH {EV} SELECT subject_id, t, {r('coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0)', 'x')} FROM ev WINDOW w AS (PARTITION BY subject_id)")(lambda s, d: D.minmax(events(s, d)))
 query("pl_cluster_embedding")(lambda s, d: D.embedding(S.mean_variance_features(scaled_lines(s, d, False)), [f"{f}_{c}" for f in ("mean", "var") for c in CHANNELS]))
 query("pl_mean_basis", f"WITH {_LOAD}, m AS (SELECT CAST(channel % 2 + 1 AS INTEGER) AS k, CAST(k AS BIGINT) AS ch, factor, avg(value) AS v FROM lo GROUP BY ALL) SELECT k, ch AS channel, factor, {r('v', 'value')} FROM m")(
     lambda s, d: (lambda b: D.mean_basis(b, b.select("subject_id").distinct().withColumn("z", (F.col("subject_id") % 2 + 1).cast("int"))))(loadings(s, d).select(F.col("channel").alias("subject_id"), F.col("k").cast("long").alias("channel"), "factor", "value"))
