@@ -11,7 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes that a worker turns into Python objects at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of a batch between the JVM and a worker. Documents differ in length by orders of magnitude, so rows don't bound a batch.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, in a session that bounds Arrow batches by BATCH_BYTES, unless it has a tighter bound."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name, None)).rstrip("b")
+    if not now.lstrip("-").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -41,4 +52,4 @@ def map_text(df: DataFrame, id_col: str, text_col: str, rows: Callable[[list, li
             columns = [ids, *(found[name] for name in names[1:])]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in columns], names=names)
 
-    return kept.mapInArrow(run, full)
+    return bounded(kept).mapInArrow(run, full)

@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmix.llm.batches import chunks
+from strandmix.llm.batches import bounded, chunks
 from strandmix.llm.sampling import crc_mod, hashed_share
 
 #: Hash buckets of words; buckets of each statistic; labelled rows of each class that a fit takes.
 WORDS, BINS, PER_LABEL = 1 << 16, 16, 4000
 STATISTICS = ("letters", "upper", "digits", "signs", "bars", "marks", "blanks", "wide", "distinct", "doubled", "top_word", "word_length", "words", "lines", "chars")
 FEATURES = WORDS + len(STATISTICS) * BINS
-CACHE = 400_000
+CACHE = 60_000
 
 _SETS = {"upper": range(65, 91), "digits": range(48, 58), "signs": map(ord, "#*$%&<>"), "bars": map(ord, "|"), "marks": map(ord, "!?.,;:"), "blanks": (9, 10, 13, 32), "wide": range(128, 256)}
 _SETS = {k: np.isin(np.arange(256), list(v)).astype(np.int64) for k, v in _SETS.items()}
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _kept(docs: DataFrame, id_col: str, text_col: str, chars_col: str) -> DataFrame:
     chars = F.col(chars_col).cast("long") if chars_col in docs.columns else F.lit(None).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), chars.alias("chars"))
+    return bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), chars.alias("chars"))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", threshold: float = 0.3) -> DataFrame:
@@ -189,4 +189,4 @@ def keep_good(docs: DataFrame, model: FactorisationMachine, text_col: str = "tex
             n_chars = part.column(chars).to_pylist() if chars is not None else [None] * part.num_rows
             yield part.filter(pa.array(sent.value.score(featurise(part.column(at).to_pylist(), n_chars)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
