@@ -19,16 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmix.llm.batches import chunks
+from strandmix.llm.batches import bounded, chunks
 from strandmix.llm.components import components
 from strandmix.llm.sized import counted, sized_join
 from strandmix.llm.storage import release, written
 
 #: Words of an n-gram; bits of its hash that are kept; least number of fragments; text bytes of a fragment; n-grams of a block.
-WORDS, BITS, FRAGMENTS, FRAGMENT_BYTES, BLOCK = 5, 53, 64, 24 << 20, 1 << 20
+WORDS, BITS, FRAGMENTS, FRAGMENT_BYTES, BLOCK = 5, 53, 64, 16 << 20, 1 << 19
 #: Parts of a set that are verified separately; sets from which on an n-gram counts as most frequent; n-grams that wait in a task.
-PARTS, FREQUENT, PENDING = 8, 255, 6_000_000
-CACHE = 400_000
+PARTS, FREQUENT, PENDING = 8, 255, 3_000_000
+CACHE = 60_000
 #: Stands for a null id inside.
 NO_ID = -(1 << 63)
 
@@ -79,7 +79,7 @@ def _from_six(data: bytes) -> np.ndarray:
 
 _BLOCKS = "fragment int, nodes binary, sizes binary, counts binary, grams binary"
 _SEGMENTS = "kind int, node long, n int, doc long, grams binary, ranks binary"
-_SETS = "kind int, node long, n int, doc long, part int, grams array<long>"
+_SETS = "kind int, node long, n int, doc long, part int, shared int, typical int, grams array<long>"
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
@@ -130,16 +130,18 @@ def _cut_into_fragments(fragments: int):
 
 
 class _Fragment:
-    """The n-grams of one fragment as they come: what is frequent already leaves at once, so what waits is bounded by distinct n-grams."""
+    """The n-grams of one fragment as they come: what is frequent already leaves at once, so what waits is bounded by distinct n-grams.
+
+    Owners are kept once per set, not once per n-gram, until n-grams that nobody shares are gone.
+    """
 
     def __init__(self):
-        self.grams, self.nodes, self.sizes, self.waiting = [], [], [], 0
+        self.grams, self.nodes, self.sizes, self.counts, self.waiting = [], [], [], [], 0
         self.frequent = np.zeros(0, dtype=np.uint64)
 
-    def add(self, grams, nodes, sizes) -> Iterator[tuple]:
-        self.grams.append(grams)
-        self.nodes.append(nodes)
-        self.sizes.append(sizes)
+    def add(self, grams, nodes, sizes, counts) -> Iterator[tuple]:
+        for held, x in ((self.grams, grams), (self.nodes, nodes), (self.sizes, sizes), (self.counts, counts)):
+            held.append(x)
         self.waiting += len(grams)
         if self.waiting >= PENDING:
             yield from self.settle(last=False)
@@ -148,20 +150,33 @@ class _Fragment:
         """Segments of n-grams that more than one set has; without ``last`` only of those that are most frequent already."""
         if not self.waiting:
             return
-        grams, nodes, sizes = (np.concatenate(x) for x in (self.grams, self.nodes, self.sizes))
-        unique, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
+        grams = np.concatenate(self.grams)
+        nodes, sizes, ends = np.concatenate(self.nodes), np.concatenate(self.sizes), np.cumsum(np.concatenate(self.counts))
+        self.grams, self.nodes, self.sizes, self.counts, self.waiting = [], [], [], [], 0
+        order = np.argsort(grams, kind="stable")
+        ranked = grams[order]
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        counts = np.diff(np.append(starts, len(ranked)))
         ranks = np.minimum(counts, FREQUENT).astype(np.uint8)
         if len(self.frequent):
-            ranks[np.isin(unique, self.frequent)] = FREQUENT
-        rank = ranks[inverse]
-        out = rank >= (2 if last else FREQUENT)
+            ranks[np.isin(ranked[starts], self.frequent)] = FREQUENT
         if not last:
-            self.frequent = np.union1d(self.frequent, unique[ranks == FREQUENT])
-            keep = ~out
-            self.grams, self.nodes, self.sizes, self.waiting = [grams[keep]], [nodes[keep]], [sizes[keep]], int(keep.sum())
-        grams, nodes, sizes, rank = grams[out], nodes[out], sizes[out], rank[out]
+            self.frequent = np.union1d(self.frequent, ranked[starts[ranks == FREQUENT]])
+        ranks = np.repeat(ranks, counts)
+        out = ranks >= (2 if last else FREQUENT)
+        if not last:
+            keep = np.sort(order[~out])
+            owners = np.searchsorted(ends, keep, side="right")
+            own, uses = np.unique(owners, return_counts=True)
+            self.grams, self.nodes, self.sizes, self.counts, self.waiting = [grams[keep]], [nodes[own]], [sizes[own]], [uses], len(keep)
+        order, grams, rank = order[out], ranked[out], ranks[out]
+        del ranked, ranks, out
+        owners = np.searchsorted(ends, order, side="right")
+        nodes, sizes = nodes[owners], sizes[owners]
+        del order, owners, ends
         order = np.lexsort((grams, sizes, nodes))
         grams, nodes, sizes, rank = grams[order], nodes[order], sizes[order], rank[order]
+        del order
         new = np.ones(len(grams), dtype=bool)
         same = (nodes[1:] == nodes[:-1]) & (sizes[1:] == sizes[:-1])
         new[1:] = ~(same & (grams[1:] == grams[:-1]))
@@ -189,13 +204,13 @@ def _count_in_fragments(fragments: int):
                     yield from fragment.settle()
                     at, fragment = f, _Fragment()
                 counts = np.frombuffer(counts, dtype="<i4")
-                yield from fragment.add(_from_six(grams) | np.uint64(f) << shift, np.repeat(nodes, counts), np.repeat(sizes, counts))
+                yield from fragment.add(_from_six(grams) | np.uint64(f) << shift, nodes, sizes, counts)
         yield from fragment.settle()
 
     return _batched(found, _SEGMENTS)
 
 
-def _batched(found, schema: str, size: int = 20_000):
+def _batched(found, schema: str, size: int = 8_000):
     def run(batches):
         out = []
         for row in found(batches):
@@ -220,25 +235,26 @@ def _gather_sets(percent: int):
         if 100 * len(grams) < percent * n:
             return
         order = np.lexsort((grams, ranks))
-        grams = grams[order]
+        grams, ranks = grams[order], ranks[order]
         if len(np.unique(grams)) < len(grams):
-            grams = grams[np.sort(np.unique(grams, return_index=True)[1])]
+            first = np.sort(np.unique(grams, return_index=True)[1])
+            grams, ranks = grams[first], ranks[first]
         if 100 * len(grams) < percent * n:
             return
         prefix = n - -(-percent * n // 100) + 1 - (n - len(grams))
-        yield 1, node, n, None, None, grams[:prefix].astype(np.int64)
+        yield 1, node, n, None, None, len(grams), int(1000 * ranks.sum(dtype=np.int64) / n), grams[:prefix].astype(np.int64)
         part = (grams >> np.uint64(BITS - 3)).astype(np.int64)
         for k in range(PARTS):
             own = grams[part == k]
             if len(own):
-                yield 2, node, n, None, k, np.sort(own).astype(np.int64)
+                yield 2, node, n, None, k, None, None, np.sort(own).astype(np.int64)
 
     def found(batches) -> Iterator[tuple]:
         at, parts = None, []
         for batch in batches:
             for kind, node, n, doc, grams, ranks in zip(*(x.to_pylist() for x in batch.columns)):
                 if kind == 0:
-                    yield 0, node, n, doc, None, None
+                    yield 0, node, n, doc, None, None, None, None
                     continue
                 if (node, n) != at:
                     if parts:
@@ -263,27 +279,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _leaders(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each node with the leader that most of its prefix n-grams name, where the two are similar. An n-gram's leader is its smallest node."""
-    uses = prefixes.select("node", F.explode("grams").alias("gram"))
-    lead = uses.groupBy("gram").agg(F.min("node").alias("leader"), F.count("*").alias("uses")).where("uses > 1").drop("uses")
-    named = uses.join(lead.hint("merge"), "gram").where("node != leader").groupBy("node", "leader").count()
+    """(a, b): each node with the leader that most of its prefix n-grams name, where the two are similar.
+
+    An n-gram's leader is its most typical node, with the most frequent n-grams: of a text and its edited copies, the text.
+    """
+    uses = prefixes.select("node", "typical", F.explode("grams").alias("gram"))
+    lead = uses.groupBy("gram").agg(F.max(F.struct("typical", "node")).alias("leader"), F.count("*").alias("uses")).where("uses > 1").select("gram", F.col("leader.node").alias("leader"))
+    named = uses.select("node", "gram").join(lead.hint("merge"), "gram").where("node != leader").groupBy("node", "leader").count()
     best = named.groupBy("node").agg(F.max(F.struct(F.col("count"), F.col("leader"))).alias("best"))
     return written(_verified(best.select(F.col("node").alias("a"), F.col("best.leader").alias("b")), sets, percent))
 
 
 def _links_between(prefixes: DataFrame, group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Similar pairs of nodes in different groups; ``group`` has (node, root) for nodes that aren't their own root."""
-    groups, n = counted(group)
-    uses = sized_join(prefixes.select("node", "n", "grams"), groups, "node", "left", n)
-    uses = uses.select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("grams").alias("gram"))
+    """Similar pairs of nodes in different groups; ``group`` has (node, root) for nodes that aren't their own root.
+
+    Of a pair, b is the larger set (the larger node of equals). Sets of n and m n-grams need an overlap of p (n + m) / (100 + p). At their
+    first shared n-gram, it and what follows it in each set's order, of n-grams that any set shares, must suffice for that: this bounds
+    the sizes of partners by place. a enters for all size classes in its bounds, b for its own. Pairs of groups are found before pairs
+    of nodes, so a group's nodes are never paired with each other.
+    """
+    groups, n_groups = counted(group)
+    uses = sized_join(prefixes, groups, "node", "left", n_groups).withColumn("root", F.coalesce("root", "node"))
+    uses = uses.select("node", "root", "n", "shared", F.posexplode("grams").alias("at", "gram"))
     mixed = uses.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram")
     some = written(uses.join(mixed.hint("merge"), "gram"))
-    roots = some.select("gram", "root").distinct()
-    pairs = roots.select("gram", F.col("root").alias("r")).join(roots.select("gram", F.col("root").alias("s")).hint("merge"), "gram").where("r < s")
-    left = some.select("gram", F.col("root").alias("r"), F.col("node").alias("a"), F.col("n").alias("n_a"))
-    right = some.select("gram", F.col("root").alias("s"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-    near = (100 * F.least("n_a", "n_b")) >= (percent * F.greatest("n_a", "n_b"))
-    found = pairs.join(left.hint("merge"), ["gram", "r"]).join(right.hint("merge"), ["gram", "s"]).where(near)
+    # The largest partner with which this can be the first shared n-gram: only what follows it in the order can be shared too.
+    some = some.withColumn("most", F.floor((100 + percent) * (F.col("shared") - F.col("at")) / percent - F.col("n")).cast("long"))
+    size_class = lambda x: F.floor(F.ln(x.cast("double")) / F.lit(float(np.log(1.1)))).cast("int")
+    biggest = F.least(F.floor(100 * F.col("n") / percent), F.col("most"))
+    indexed = some.where(F.col("most") >= F.col("n"))
+    left = indexed.select("gram", F.col("root").alias("r"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.explode(F.sequence(size_class(F.col("n")), size_class(biggest))).alias("class"))
+    right = some.where(100 * F.col("most") >= percent * F.col("n")).select("gram", size_class(F.col("n")).alias("class"), F.col("root").alias("s"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"))
+    by_root = left.groupBy("gram", "class", "r").agg(F.min("n_a").alias("least_a"), F.max("most_a").alias("top_a"))
+    to_root = right.groupBy("gram", "class", "s").agg(F.min("n_b").alias("least_b"), F.max("most_b").alias("top_b"))
+    pairs = by_root.join(to_root.hint("merge"), ["gram", "class"]).where("r != s AND least_b <= top_a AND least_a <= top_b").select("gram", "class", "r", "s", "least_b", "top_b")
+    near = pairs.join(left.hint("merge"), ["gram", "class", "r"]).where("n_a <= top_b AND least_b <= most_a").drop("least_b", "top_b")
+    fits = ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
+    found = near.join(right.hint("merge"), ["gram", "class", "s"]).where(fits)
     return written(_verified(found.select("a", "b"), sets, percent))
 
 
@@ -297,7 +329,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n-grams are compared by 53 bits of a hash, sets by 64 bits of a digest and their size.
     """
     spark = docs.sparkSession
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(FRAGMENTS, 1 << max(0, (size // FRAGMENT_BYTES).bit_length()))
     blocks = kept.mapInArrow(_cut_into_fragments(fragments), _BLOCKS)
@@ -308,7 +340,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     del blocks, segments, by_node
     release(spark)
 
-    prefixes, sets = table.where("kind = 1").select("node", "n", "grams"), table.where("kind = 2").select("node", "n", "part", "grams")
+    prefixes, sets = table.where("kind = 1").select("node", "n", "shared", "typical", "grams"), table.where("kind = 2").select("node", "n", "part", "grams")
     leaders = _leaders(prefixes, sets, percent)
     release(spark)
     parent = leaders.select(F.col("a").alias("node"), F.col("b").alias("up"))
@@ -334,8 +366,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows_of = sized_join(rows_of, every, "node", "left", rows).select("doc", "n", F.coalesce("component", "node").alias("component"))
     empty = rows_of.where("n = 0").select("doc", "n", F.col("doc").alias("first"))
     full = rows_of.where("n > 0")
-    first = full.groupBy("component").agg(F.min("doc").alias("first"))
-    out = full.join(first.hint("merge"), "component").select("doc", "n", "first").unionByName(empty)
+    several, n_several = counted(full.groupBy("component").agg(F.min("doc").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("component", "first"))
+    out = sized_join(full, several, "component", "left", n_several).select("doc", "n", F.coalesce("first", "doc").alias("first")).unionByName(empty)
     return out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("first").alias("component_id"))
 
 
@@ -348,10 +380,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     found = jaccard_join(docs, id_col, text_col, percent)
     per_id = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("rows"), F.min(F.col("component_id")).alias("first"))
     odd, n = counted(per_id.where((F.col("rows") > 1) | (F.col("first") != F.col(id_col))).select(F.col(id_col).alias("odd_id"), (F.col("first") == F.col(id_col)).alias("stays")))
-    kept = sized_join(docs, odd.select("odd_id"), F.col(id_col).cast("long") == F.col("odd_id"), "left_anti", n)
-    repeated, m = counted(odd.where("stays"))
-    again = sized_join(docs, repeated.select("odd_id"), F.col(id_col).cast("long") == F.col("odd_id"), "left_semi", m)
-    one = again.groupBy(F.col(id_col).alias("odd_id")).agg(F.min_by(F.struct(*(F.col(f"`{x}`") for x in docs.columns)), F.coalesce(F.col(text_col), F.lit(""))).alias("row")).select("row.*")
+    # Rows travel as one column, so that their names can't clash with the ids.
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("odd_id"))
+    kept = sized_join(whole, odd.select("odd_id"), "odd_id", "left_anti", n).select("row.*")
+    repeated, m = counted(odd.where("stays").select("odd_id"))
+    again = sized_join(whole, repeated, "odd_id", "left_semi", m)
+    one = again.groupBy("odd_id").agg(F.min_by("row", F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).alias("row")).select("row.*")
     return kept.unionByName(one)
 
 
