@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmix.llm import ngram_join, quality_rules
+from strandmix.llm import ngram_join, quality_rules, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
-ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
+ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op2_url_rules": url_rules.ORACLE, "op6_quality_rules": quality_rules.ORACLE}

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from strandmix.llm.sized import counted, sized_join
 
-#: The label's token, support of an item set among labelled pages, confidence of a rule, tokens of a rule.
+#: The label's token; least share and least number of labelled pages behind a rule, its confidence, its tokens.
 BLOCK = "=block"
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.001, 0.6, 3
+MIN_SUPPORT, MIN_PAGES, MIN_CONFIDENCE, MAX_TOKENS = 0.001, 20, 0.6, 3
 
 #: Fixed values of the contract: (host, path, verdict).
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -113,10 +113,44 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
 
 def filter_urls(spark: SparkSession, pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id") -> DataFrame:
-    """Mine rules from the labelled pages and judge all pages. Without labelled pages no rule is mined and only listed rules block."""
+    """Mine rules from the labelled pages and judge all pages.
+
+    A rule needs MIN_PAGES labelled pages and a share of MIN_SUPPORT behind it. Without labelled pages no rule is mined and only listed
+    rules block.
+    """
     baskets = baskets_of(pages, labels, id_col, url_col, label_id).persist()
-    if baskets.isEmpty():
+    n = baskets.count()
+    if not n:
         rules = spark.createDataFrame([], "rule_id string, tokens array<string>, first string, support double, confidence double, lift double")
     else:
-        rules = mine(baskets)
+        rules = mine(baskets, min(1.0, max(MIN_SUPPORT, MIN_PAGES / n)))
     return judge(pages, rules, id_col, url_col)
+
+
+def _listed_sql(rule: bool) -> str:
+    ranked = sorted(LISTED, key=lambda x: -len(x[0] + x[1]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{h + p if rule else v}'" for h, p, v in ranked) + " END"
+
+
+ORACLE = rf"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+h AS (SELECT page_id, url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1) AS q FROM u),
+t AS (SELECT DISTINCT page_id, tok FROM (
+  SELECT page_id, 'h:' || x AS tok FROM (SELECT page_id, unnest(string_split(host, '.')) AS x FROM h) WHERE x <> ''
+  UNION ALL SELECT page_id, 'w:' || x FROM (SELECT page_id, unnest(string_split_regex(host, '[.\-_]')) AS x FROM h) WHERE x <> ''
+  UNION ALL SELECT page_id, 'p:' || lower(x) FROM (SELECT page_id, unnest(string_split_regex(path, '[/.\-_0-9]+')) AS x FROM h) WHERE x <> ''
+  UNION ALL SELECT page_id, 'q:' || lower(string_split(x, '=')[1]) FROM (SELECT page_id, unnest(string_split(q, '&')) AS x FROM h) WHERE x <> '')),
+l AS (SELECT doc_id AS page_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY 1),
+b AS (SELECT page_id, bad FROM l JOIN pages USING (page_id)),
+n AS (SELECT ceil(least(1.0, greatest({MIN_SUPPORT}, {MIN_PAGES}::DOUBLE / count(*))) * count(*)) AS least_n FROM b),
+k AS (SELECT b.page_id, bad, tok FROM b JOIN t ON t.page_id = b.page_id),
+sets AS (SELECT [tok] AS s, bad FROM k
+  UNION ALL SELECT [x.tok, y.tok], x.bad FROM k x JOIN k y ON x.page_id = y.page_id AND x.tok < y.tok
+  UNION ALL SELECT [x.tok, y.tok, z.tok], x.bad FROM k x JOIN k y ON x.page_id = y.page_id AND x.tok < y.tok JOIN k z ON x.page_id = z.page_id AND y.tok < z.tok),
+c AS (SELECT s, sum(bad)::DOUBLE / count(*) AS conf FROM sets GROUP BY s HAVING sum(bad) >= (SELECT least_n FROM n) AND sum(bad)::DOUBLE / count(*) >= {MIN_CONFIDENCE}),
+r AS (SELECT s FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE len(d.s) < len(c.s) AND list_has_all(c.s, d.s) AND d.conf >= c.conf)),
+f AS (SELECT page_id, count(*) AS n_rules FROM (SELECT page_id, list(tok) AS toks FROM t GROUP BY 1), r WHERE list_has_all(toks, s) GROUP BY 1)
+SELECT h.page_id, host, path, {_listed_sql(True)} AS rule, coalesce({_listed_sql(False)}, CASE WHEN n_rules > 0 THEN 'block' ELSE 'allow' END) AS verdict, coalesce(n_rules, 0) AS n_rules
+FROM h LEFT JOIN f ON h.page_id = f.page_id
+"""

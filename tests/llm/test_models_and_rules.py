@@ -112,6 +112,28 @@ def test_mined_rules_block_what_they_match(spark):
         assert r.n_rules == sum(set(x.tokens) <= tokens[r.page_id] for x in rules.values())
 
 
+def test_urls_like_their_sql(spark, tmp_path):
+    import duckdb
+
+    rng, pages, labels = random.Random(9), [(900 + k, u) for k, u in enumerate(URLS)], []
+    for k in range(500):
+        bad = rng.random() < 0.3
+        host = f"{rng.choice(['www', 'm', 'x'])}.{rng.choice(['spam', 'win'] if bad and rng.random() < 0.9 else ['blog', 'shop'])}-{rng.choice(['red', 'blue'])}.{rng.choice(['com', 'org', 'io'])}"
+        pages.append((k, f"https://{host}/{rng.choice(['en', 'fr', 'a/b'])}/{k}{rng.choice(['', '?ref=1&utm=2', '#top'])}"))
+        if rng.random() < 0.7:
+            labels.append((k, 1, int(bad)) if rng.random() < 0.5 else (k, int(not bad), None))
+    p, lb = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = url_rules.filter_urls(spark, p, lb)
+    con = duckdb.connect()
+    for name, df in (("pages", p), ("labels", lb)):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    want = con.execute(url_rules.ORACLE)
+    assert [x[0] for x in want.description] == got.columns
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want.fetchall()) and any(r[5] for r in rows) and len({r[5] for r in rows}) > 2
+
+
 def test_rules_of_several_tokens(spark):
     rows = [(["a", "b"], True)] * 30 + [(["a"], False)] * 40 + [(["b"], False)] * 40
     baskets = spark.createDataFrame([(t + [url_rules.BLOCK] * bad,) for t, bad in rows], "items array<string>")
