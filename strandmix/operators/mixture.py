@@ -204,7 +204,7 @@ def fit_distributed(panel: Panel, kind: str, n_clusters: int, n_factors: int, z_
         total = sum(r["subjects"] for r in pooled.values())
         pi = np.array([pooled[k + 1]["subjects"] / total if k + 1 in pooled else 0.0 for k in range(n_clusters)])
         components = [c if c is not None else next(x for x in components if x is not None) for c in components]
-        current = table.join(assign_frame(table, components, pi, centre), "subject_id")
+        current = assigned(table, components, pi, centre)
     resp = np.zeros((0, n_clusters))
     return Fit(kind, np.zeros(0, np.int64), np.zeros(0, int), resp, pi, tuple(components), loglik, rounds, panel.channels), assign_frame(table, components, pi, centre)
 
@@ -233,9 +233,14 @@ def log_joint_columns(components, pi: np.ndarray, centre: np.ndarray, jitter: fl
     return out
 
 
-def assign_frame(table: DataFrame, components, pi: np.ndarray, centre: np.ndarray) -> DataFrame:
-    """(subject_id, z, loglik): the best cluster of each subject, the first of equals, and its joint log likelihood."""
+def assigned(table: DataFrame, components, pi: np.ndarray, centre: np.ndarray) -> DataFrame:
+    """Moments with z, the best cluster of each subject, the first of equals, and loglik, its joint log likelihood; nothing is shuffled."""
     joint = log_joint_columns(components, pi, centre, L.JITTER)
     best = F.greatest(*joint) if len(joint) > 1 else joint[0]
     z = F.coalesce(*(F.when(x == F.col("loglik"), F.lit(k + 1)) for k, x in enumerate(joint)))
-    return table.withColumn("loglik", best).select("subject_id", z.cast("int").alias("z"), "loglik")
+    return table.withColumn("loglik", best).withColumn("z", z.cast("int"))
+
+
+def assign_frame(table: DataFrame, components, pi: np.ndarray, centre: np.ndarray) -> DataFrame:
+    """(subject_id, z, loglik) of each subject."""
+    return assigned(table, components, pi, centre).select("subject_id", "z", "loglik")
