@@ -318,11 +318,15 @@ def cross_validate_r(stats: Stats, rs, model: str = "FA", folds: int = 5, metric
 def parallel_analysis(panel: Panel, rs, n_perm: int = 100, quantile: float = 0.95, seed: int = 0, max_rows: int = 200_000) -> dict:
     """Eigenvalues of the covariance against those of panels with each channel shuffled by itself; leading ones above the quantile count.
 
-    Permutations are tasks. Each shuffles the pooled rows, or, of more than ``max_rows``, as many chosen by a hash.
+    The eigenvalues are those of all rows. Permutations are tasks; each shuffles the pooled rows, or, of more than ``max_rows``, as many
+    chosen by a hash, which only widens the limits.
     """
     spark, channels = panel.df.sparkSession, list(panel.channels)
     rows = panel.df.dropna(subset=channels)
-    n = rows.count()
+    m = len(channels)
+    one = rows.agg(F.count("*"), *(F.covar_pop(channels[i], channels[j]) for i in range(m) for j in range(i, m))).first()
+    n, cov = one[0], np.zeros((m, m))
+    cov[np.triu_indices(m)] = one[1:]
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("subject_id", "t"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
     data = np.array(rows.select(*channels).toPandas(), dtype=float)
@@ -338,7 +342,7 @@ def parallel_analysis(panel: Panel, rs, n_perm: int = 100, quantile: float = 0.9
 
     got = spark.range(n_perm).select(F.col("id").alias("p")).groupBy("p").applyInPandas(run, "p long, component int, eigenvalue double")
     limits = {row[0]: row[1] for row in got.groupBy("component").agg(F.percentile("eigenvalue", quantile)).collect()}
-    observed = np.linalg.eigvalsh(np.cov(data.T, bias=True).reshape(len(channels), -1))[::-1]
+    observed = np.linalg.eigvalsh(cov + np.triu(cov, 1).T)[::-1]
     above = 0
     while above < len(observed) and observed[above] > limits[above + 1]:
         above += 1

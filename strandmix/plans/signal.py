@@ -45,16 +45,17 @@ _ev("pp_norm_zscore", f"(x - avg(x) {_OVER}) / nullif(stddev_samp(x) {_OVER}, 0)
 _ev("pp_norm_range", f"CASE WHEN max(x) {_OVER} = min(x) {_OVER} THEN 0 ELSE (x - min(x) {_OVER}) / (max(x) {_OVER} - min(x) {_OVER}) END", lambda p: P.normalize(p, "range"))
 
 
-def _halved(p: A.Panel) -> A.Panel:
-    """The first half of the subjects, as a reference for all."""
-    return p.with_df(p.df.where(F.pmod("subject_id", F.lit(2)) == 0))
+def _purchases(s, d):
+    """The largest value of each user's purchases, as a reference; users without any have none."""
+    bought = table(s, d, "events").where("event_type = 'purchase'")
+    return bought.groupBy(F.col("user_id").alias("subject_id")).agg(F.max(F.abs(F.col("value") * 1.0123457)).alias("reference")).withColumn("channel", F.lit("x"))
 
 
 query(
     "pp_norm_mvc",
-    f"WITH {EV}, ref AS (SELECT subject_id, max(abs(x)) AS m FROM ev WHERE subject_id % 2 = 0 GROUP BY 1) "
+    f"WITH {EV}, ref AS (SELECT user_id AS subject_id, max(abs(value * 1.0123457)) AS m FROM events WHERE event_type = 'purchase' GROUP BY 1) "
     f"SELECT ev.subject_id, t, {r(f'CASE WHEN coalesce(m, 0) <> 0 THEN 100 * x / m ELSE x / nullif(max(abs(x)) OVER (PARTITION BY ev.subject_id), 0) END', 'x')} FROM ev LEFT JOIN ref ON ev.subject_id = ref.subject_id",
-)(lambda s, d: P.normalize(events(s, d), "mvc", P.mvc_reference(_halved(events(s, d)))).df.select("subject_id", "t", "x"))
+)(lambda s, d: P.normalize(events(s, d), "mvc", _purchases(s, d)).df.select("subject_id", "t", "x"))
 
 _poly2 = (
     f"WITH {EV}, u AS (SELECT subject_id, t, x, CASE WHEN n > 1 THEN (2.0 * t - n - 1) / (n - 1) ELSE 0 END AS u FROM (SELECT *, count(*) {_OVER} AS n FROM ev)), "

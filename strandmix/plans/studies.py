@@ -112,8 +112,8 @@ query(
         table(s, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("K_true"), (F.col("l_suppkey") % 2).cast("int").alias("r_true"), (F.col("l_partkey") % 3).cast("int").alias("N"), F.lit(8).alias("M"), F.when(F.col("l_returnflag") == "A", 0.5).otherwise(1.0).alias("sep"), F.when(F.col("l_linestatus") == "F", 1.0).otherwise(2.0).alias("noise"), (F.col("l_discount") * 1.0123457).alias("ARI_MFA"), (F.col("l_tax") * 1.0123457).alias("ARI_PCA"), (F.col("l_quantity") * 1.0123457).alias("BIC_MFA"), (F.col("l_extendedprice") / 997.123457).alias("BIC_PCA"))
     )
 )
-query("agg_ari_vaf_table", f"WITH v AS (SELECT o_custkey % 50 AS file, avg(o_totalprice) / 1000 AS vaf FROM orders WHERE o_custkey % 50 < 40 GROUP BY 1) SELECT o_orderkey, v.file IS NOT NULL AS found, {r('vaf', 'vaf')} FROM orders LEFT JOIN v ON o_custkey % 50 = v.file")(
-    lambda s, d: W.join_vaf(table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("file")), table(s, d, "orders").where("o_custkey % 50 < 40").groupBy((F.col("o_custkey") % 50).alias("file")).agg((F.avg("o_totalprice") / 1000).alias("vaf"))).select("o_orderkey", F.col("vaf").isNotNull().alias("found"), "vaf")
+query("agg_ari_vaf_table", f"WITH v AS (SELECT s_nationkey AS file, avg(s_acctbal) / 997.123457 AS vaf FROM supplier GROUP BY 1) SELECT c_custkey, v.file IS NOT NULL AS found, {r('vaf', 'vaf')} FROM customer LEFT JOIN v ON c_nationkey = v.file")(
+    lambda s, d: W.join_vaf(table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("file")), table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("file")).agg((F.avg("s_acctbal") / 997.123457).alias("vaf"))).select("c_custkey", F.col("vaf").isNotNull().alias("found"), "vaf")
 )
 query("agg_k_selection_accuracy", f"WITH {_MS} SELECT method, count(*) AS n, {r('100 * avg(CASE WHEN K_correct THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM ms GROUP BY 1")(lambda s, d: W.accuracy(_modelsel(s, d)))
 query("agg_completed_tasks", f"SELECT count(DISTINCT o_custkey) AS n_completed, CAST(2000 AS BIGINT) AS n_total, {r('round(100 * count(DISTINCT o_custkey) / 2000.0, 1)', 'pct')} FROM orders")(lambda s, d: R.completed_tasks(table(s, d, "orders"), 2000, "o_custkey"))
@@ -122,7 +122,7 @@ query("agg_partial_dispatch", f"WITH {_MSA} SELECT N, K_true, r_true, method, se
 # Experiments and simulations: random, so without SQL.
 query("sw_baselines")(lambda s, d: W.sweep(s, "baselines", "test").drop("error_msg"))
 query("sw_modelsel")(lambda s, d: W.sweep(s, "modelsel", "modelsel_test").drop("runtime_sec"))
-query("sw_kselect")(lambda s, d: W.run_grid(W.param_grid(s, "k_selection").where("run_id <= 8"), W.kselect_run, W.KSELECT_SCHEMA).drop("runtime_sec"))
+query("sw_kselect")(lambda s, d: W.sweep(s, "kselect", "k_selection").drop("runtime_sec"))
 query("src_simulate")(lambda s, d: G.generate(s, seed=7, n_subjects=12, length=60)[0].df)
 
 # Tables behind plots.
@@ -140,18 +140,17 @@ query("pl_mean_waveform", f"{_ZLS} " + " UNION ALL ".join(f"SELECT z, t, '{c}' A
 query("pl_first_n_per_cluster", "WITH s AS (SELECT DISTINCT l_suppkey AS subject_id, CAST(l_suppkey % 2 + 1 AS INTEGER) AS z FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY z ORDER BY subject_id) AS rk FROM s) SELECT subject_id, z FROM k WHERE rk <= 5")(lambda s, d: D.first_per_cluster(parity(s, d), 5))
 
 
-def _ranked(s, d):
-    """Loadings of two labels over common channels: the vectors' numbers within their label."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("k", "factor").orderBy("channel")
-    return loadings(s, d).where("k IN (0, 1) AND factor <= 2").withColumn("channel", F.row_number().over(w)).where("channel <= 30")
+def _mean_loadings(s, d):
+    """Loadings of two groups of order lines: mean prices by part class (channel) and supplier class (factor)."""
+    li = table(s, d, "lineitem")
+    keys = {"k": F.when(F.col("l_returnflag") == "A", 0).otherwise(1), "channel": F.col("l_partkey") % 24, "factor": (F.col("l_suppkey") % 2 + 1).cast("int")}
+    return li.groupBy(*(x.alias(n) for n, x in keys.items())).agg((F.avg("l_extendedprice") / 997.123457).alias("value"))
 
 
-_RANKED = f"{_LOAD}, x AS (SELECT k, factor, value, row_number() OVER (PARTITION BY k, factor ORDER BY channel) AS c FROM lo WHERE k IN (0, 1) AND factor <= 2), a AS (SELECT factor AS fa, c, value AS x FROM x WHERE k = 0 AND c <= 30), b AS (SELECT factor AS fb, c, value AS y FROM x WHERE k = 1 AND c <= 30), ab AS (SELECT fa, fb, a.c, x, y FROM a JOIN b ON a.c = b.c)"
-query("pl_synergy_correlation_pearson", f"WITH {_RANKED} SELECT fa AS factor_a, fb AS factor_b, {r('corr(x, y)', 'corr')} FROM ab GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_ranked(s, d), 0, 1))
-query("pl_synergy_correlation_spearman", f"WITH {_RANKED}, rk AS (SELECT fa, fb, rank() OVER (PARTITION BY fa, fb ORDER BY x) + (count(*) OVER (PARTITION BY fa, fb, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY fa, fb ORDER BY y) + (count(*) OVER (PARTITION BY fa, fb, y) - 1) / 2.0 AS ry FROM ab) SELECT fa AS factor_a, fb AS factor_b, {r('corr(rx, ry)', 'corr')} FROM rk GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_ranked(s, d), 0, 1, "spearman"))
-query("pl_synergy_correlation_kendall", f"WITH {_RANKED} SELECT p.fa AS factor_a, p.fb AS factor_b, {r('sum(sign(q.x - p.x) * sign(q.y - p.y)) / sqrt(sum(sign(q.x - p.x) ** 2) * sum(sign(q.y - p.y) ** 2))', 'corr')} FROM ab p JOIN ab q ON p.fa = q.fa AND p.fb = q.fb AND p.c < q.c GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_ranked(s, d), 0, 1, "kendall"))
+_RANKED = "lo AS (SELECT CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS k, l_partkey % 24 AS c, CAST(l_suppkey % 2 + 1 AS INTEGER) AS factor, avg(l_extendedprice) / 997.123457 AS value FROM lineitem GROUP BY 1, 2, 3), ab AS (SELECT x.factor AS fa, y.factor AS fb, x.c, x.value AS x, y.value AS y FROM lo x JOIN lo y ON x.c = y.c WHERE x.k = 0 AND y.k = 1)"
+query("pl_synergy_correlation_pearson", f"WITH {_RANKED} SELECT fa AS factor_a, fb AS factor_b, {r('corr(x, y)', 'corr')} FROM ab GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_mean_loadings(s, d), 0, 1))
+query("pl_synergy_correlation_spearman", f"WITH {_RANKED}, rk AS (SELECT fa, fb, rank() OVER (PARTITION BY fa, fb ORDER BY x) + (count(*) OVER (PARTITION BY fa, fb, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY fa, fb ORDER BY y) + (count(*) OVER (PARTITION BY fa, fb, y) - 1) / 2.0 AS ry FROM ab) SELECT fa AS factor_a, fb AS factor_b, {r('corr(rx, ry)', 'corr')} FROM rk GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_mean_loadings(s, d), 0, 1, "spearman"))
+query("pl_synergy_correlation_kendall", f"WITH {_RANKED} SELECT p.fa AS factor_a, p.fb AS factor_b, {r('sum(sign(q.x - p.x) * sign(q.y - p.y)) / sqrt(sum(sign(q.x - p.x) ** 2) * sum(sign(q.y - p.y) ** 2))', 'corr')} FROM ab p JOIN ab q ON p.fa = q.fa AND p.fb = q.fb AND p.c < q.c GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_mean_loadings(s, d), 0, 1, "kendall"))
 query("pl_sse_heatmap", f"WITH e AS (SELECT l_suppkey AS subject_id, sum(l_discount) AS a, sum(l_tax) AS b FROM lineitem GROUP BY 1) SELECT subject_id, 'a' AS method, {r('a', 'sse')}, {r('log10(a + 1e-10)', 'log_sse')} FROM e UNION ALL SELECT subject_id, 'b', {r('b', 'sse')}, {r('log10(b + 1e-10)', 'log_sse')} FROM e")(
     lambda s, d: D.sse_heatmap(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject_id")).agg(F.sum("l_discount").alias("a"), F.sum("l_tax").alias("b")), ["a", "b"])
 )
