@@ -124,9 +124,14 @@ def bandpass(panel: Panel, fs: float, low: float = 20, high: float = 450, order:
     return _filtered(panel, iir.design(kind, order, "band", (low, high), fs), zero_phase)
 
 
-def notch(panel: Panel, fs: float, freq: float = 50, q: float = 30, harmonics: int = 1, zero_phase: bool = True) -> Panel:
-    """Remove a frequency and its multiples below 0.95 of half the sampling rate."""
-    sections = [iir.design("butterworth", 2, "stop", (f - f / q / 2, f + f / q / 2), fs) for k in range(1, harmonics + 1) if (f := freq * k) < 0.95 * fs / 2]
+def notch(panel: Panel, fs: float, freq: float = 50, q: float = 30, harmonics: bool = True, zero_phase: bool = True) -> Panel:
+    """Remove a frequency and, with ``harmonics``, its multiples below 0.95 of half the sampling rate; stop bands that don't fit are left out."""
+    half = fs / 2
+    if not 0 < freq < half:
+        raise ValueError(f"the frequency must lie between 0 and {half}")
+    freqs = [freq * k for k in range(1, int(half // freq) + 1) if freq * k < 0.95 * half] if harmonics else [freq]
+    bands = [(f - f / q / 2, f + f / q / 2) for f in freqs]
+    sections = [iir.design("butterworth", 2, "stop", band, fs) for band in bands if band[0] > 0 and band[1] < half]
     return _filtered(panel, np.concatenate(sections), zero_phase) if sections else panel
 
 
@@ -162,14 +167,22 @@ def normalize(panel: Panel, method: str = "max", reference: DataFrame | None = N
     raise ValueError(f"unknown method {method!r}")
 
 
-def normalize_pooled(panel: Panel, method: str = "max") -> Panel:
-    """The same scales from a subject's values of all channels together."""
+def normalize_pooled(panel: Panel, method: str = "max", reference: DataFrame | None = None) -> Panel:
+    """The same scales from a subject's values of all channels together.
+
+    ``reference``, for ``mvc``, has (subject_id, reference); where it is missing or 0 the maximum of all channels takes its place.
+    """
     long = panel.df.select("subject_id", F.explode(F.array(*panel.channels)).alias("v"))
     size = F.abs("v")
-    figures = {"max": [F.max(size)], "mean": [F.avg(size)], "median": [F.median(size)], "zscore": [F.avg("v"), F.stddev_samp("v")], "range": [F.min("v"), F.max("v")]}
+    figures = {"max": [F.max(size)], "mean": [F.avg(size)], "median": [F.median(size)], "zscore": [F.avg("v"), F.stddev_samp("v")], "range": [F.min("v"), F.max("v")], "mvc": [F.max(size)]}
     if method not in figures:
         raise ValueError(f"unknown method {method!r}")
+    if method == "mvc" and reference is None:
+        raise ValueError("method mvc needs a reference")
     stats = long.groupBy("subject_id").agg(*(x.alias(f"s{k}__") for k, x in enumerate(figures[method])))
+    if method == "mvc":
+        stats = stats.join(reference.select("subject_id", F.col("reference").alias("r__")), "subject_id", "left")
+        stats = stats.withColumn("s0__", F.when(F.coalesce("r__", F.lit(0.0)) != 0, F.col("r__") / 100).otherwise(F.col("s0__")))
     df = panel.df.join(stats, "subject_id")
     a, b = F.col("s0__"), F.col("s1__")
     value = {
@@ -204,10 +217,38 @@ def channel_summary(panel: Panel) -> DataFrame:
 
 # The steps' parameters of each preset.
 PRESETS = {
-    "default": {"dc_offset": {"method": "mean"}, "bandpass": {"low": 20, "high": 450, "order": 4}, "rectify": {"method": "full_wave"}, "envelope": {"method": "lowpass", "cutoff": 6}, "normalize": {"method": "max"}},
-    "gait": {"dc_offset": {"method": "mean"}, "bandpass": {"low": 20, "high": 450, "order": 4}, "notch": {"freq": 50}, "rectify": {"method": "full_wave"}, "envelope": {"method": "lowpass", "cutoff": 6}, "normalize": {"method": "mvc"}},
-    "isometric": {"dc_offset": {"method": "mean"}, "bandpass": {"low": 10, "high": 500, "order": 4}, "rectify": {"method": "full_wave"}, "envelope": {"method": "rms", "window_ms": 100}, "normalize": {"method": "mvc"}},
-    "fine_motor": {"dc_offset": {"method": "mean"}, "bandpass": {"low": 10, "high": 500, "order": 4}, "notch": {"freq": 50}, "rectify": {"method": "full_wave"}, "envelope": {"method": "moving_average", "window_ms": 25}, "normalize": {"method": "zscore"}},
+    "default": {
+        "dc_removal": {"method": "mean"},
+        "bandpass": {"low": 20, "high": 450, "order": 4},
+        "notch": {"freq": 50, "harmonics": True},
+        "rectify": {"method": "full_wave"},
+        "envelope": {"method": "lowpass", "cutoff": 6},
+        "normalize": {"method": "max"},
+    },
+    "gait": {
+        "dc_removal": {"method": "linear"},
+        "bandpass": {"low": 20, "high": 450, "order": 4},
+        "notch": {"freq": 50, "harmonics": True},
+        "rectify": {"method": "full_wave"},
+        "envelope": {"method": "lowpass", "cutoff": 4},
+        "normalize": {"method": "mvc"},
+    },
+    "isometric": {
+        "dc_removal": {"method": "mean"},
+        "bandpass": {"low": 20, "high": 450, "order": 4},
+        "notch": {"freq": 50, "harmonics": True},
+        "rectify": {"method": "full_wave"},
+        "envelope": {"method": "rms", "window_ms": 100},
+        "normalize": {"method": "mvc"},
+    },
+    "fine_motor": {
+        "dc_removal": {"method": "mean"},
+        "bandpass": {"low": 10, "high": 500, "order": 4},
+        "notch": {"freq": 50, "harmonics": True},
+        "rectify": {"method": "full_wave"},
+        "envelope": {"method": "lowpass", "cutoff": 10},
+        "normalize": {"method": "max"},
+    },
 }
 
 
@@ -240,7 +281,7 @@ def preprocess(panel: Panel, fs: float, steps: dict, reference: DataFrame | None
     if (steps.get("normalize") or {}).get("method") == "mvc" and reference is None:
         raise ValueError("method mvc needs a reference")
     stages = {
-        "dc_offset": lambda p, **a: remove_offset(p, **a),
+        "dc_removal": lambda p, **a: remove_offset(p, **a),
         "bandpass": lambda p, **a: bandpass(p, fs, **a),
         "notch": lambda p, **a: notch(p, fs, **a),
         "rectify": lambda p, **a: rectify(p, **a),

@@ -74,7 +74,7 @@ def _spread(spark: SparkSession, stats: Stats, jobs: list[tuple]) -> list:
 
 
 def two_stage(stats: Stats, kind: str, ks=range(1, 6), rs=range(1, 6), r_fixed: int = 2, criterion: str = "ICL", temperature: float = 1.0, seed: int = 0, **options) -> Selection:
-    """First K at a fixed r, by ICL (of a fit from three random starts) or BIC; then r at that K by BIC."""
+    """First K at a fixed r, by ICL (of a short fit from three random starts) or BIC; then r at that K by BIC."""
     if criterion not in ("ICL", "BIC"):
         raise ValueError(f"unknown criterion {criterion!r}")
     summary, models, r0 = [], {}, min(r_fixed, stats.width)
@@ -85,9 +85,8 @@ def two_stage(stats: Stats, kind: str, ks=range(1, 6), rs=range(1, 6), r_fixed:
         row = _row(stats, got, stage="K")
         if criterion == "ICL":
             extra = M.fit(stats, kind, k, r0, n_init=3, use_kmeans=False, seed=seed + 1, max_iter=10, tol=1e-10)
-            better = got if got.loglik >= extra.loglik else extra
-            resp = C.tempered(better.resp, temperature) if temperature != 1 else better.resp
-            bic = C.bic(kind, better.loglik, k, r0, stats.width, float(stats.n.sum()))
+            resp = C.tempered(extra.resp, temperature) if temperature != 1 else extra.resp
+            bic = C.bic(kind, extra.loglik, k, r0, stats.width, float(stats.n.sum()))
             row |= {"entropy": C.entropy(resp), "ICL": C.icl(bic, resp)}
         summary.append(row)
     best_k = min(summary, key=lambda row: (row[criterion], row["K"]))["K"]
@@ -238,7 +237,7 @@ def _scaled(col: str) -> Column:
 
 def multicriteria(table: DataFrame, weights: dict[str, float] | None = None, threshold: float = 0.9) -> DataFrame:
     """Candidates (r, BIC, VAF, smoothness, VSS) with their composite score and whether they are chosen: the least score among those with enough VAF, else the most VAF."""
-    w = weights or {"BIC": 0.25, "VAF": 0.25, "smoothness": 0.25, "VSS": 0.25}
+    w = weights or {"BIC": 1.0, "VAF": 1.0, "smoothness": 1.0, "VSS": 1.0}
     score = w["BIC"] * _scaled("BIC") + w["VAF"] * (1 - _scaled("VAF")) + w["smoothness"] * _scaled("smoothness") + w["VSS"] * (1 - _scaled("VSS"))
     scored = table.withColumn("score", score)
     order = W.orderBy(F.desc(F.col("VAF") >= threshold), F.when(F.col("VAF") >= threshold, F.col("score")).otherwise(-F.col("VAF")), "r")
@@ -418,7 +417,7 @@ def select_r(panel: Panel, stats: Stats, kind: str, k: int, rs=range(1, 6), meth
         r = by_smoothness(rows, threshold)
     elif method == "multicriteria":
         scaled = lambda c: (lambda x: np.full(len(x), 0.5) if x.max() == x.min() else (x - x.min()) / (x.max() - x.min()))(np.array([x[c] if x[c] is not None else 0.0 for x in rows], dtype=float))
-        score = 0.25 * (scaled("BIC") + 1 - scaled("VAF") + scaled("smoothness") + 1 - scaled("VSS"))
+        score = scaled("BIC") + 1 - scaled("VAF") + scaled("smoothness") + 1 - scaled("VSS")
         good = [j for j, x in enumerate(rows) if x["VAF"] >= threshold]
         r = rows[min(good, key=lambda j: (score[j], rows[j]["r"])) if good else int(np.argmax([x["VAF"] for x in rows]))]["r"]
     else:

@@ -182,7 +182,7 @@ _mm = lambda c: f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.5 ELSE ({
 query("sel_vaf_threshold_rule", f"WITH {_CAND} SELECT coalesce(min(CASE WHEN VAF >= 0.96 THEN r END), max(r)) AS r_vaf, arg_min(r, BIC) AS r_bic FROM cand")(lambda s, d: Q.vaf_rule(_candidates(s, d), 0.96))
 query(
     "sel_multicriteria_score",
-    f"WITH {_CAND}, sc AS (SELECT *, 0.25 * ({_mm('BIC')}) + 0.25 * (1 - ({_mm('VAF')})) + 0.25 * ({_mm('smoothness')}) + 0.25 * (1 - ({_mm('VSS')})) AS s FROM cand), k AS (SELECT *, row_number() OVER (ORDER BY (VAF >= 0.9) DESC, CASE WHEN VAF >= 0.9 THEN s ELSE -VAF END, r) AS rk FROM sc) "
+    f"WITH {_CAND}, sc AS (SELECT *, ({_mm('BIC')}) + (1 - ({_mm('VAF')})) + ({_mm('smoothness')}) + (1 - ({_mm('VSS')})) AS s FROM cand), k AS (SELECT *, row_number() OVER (ORDER BY (VAF >= 0.9) DESC, CASE WHEN VAF >= 0.9 THEN s ELSE -VAF END, r) AS rk FROM sc) "
     f"SELECT r, {r('BIC', 'BIC')}, {r('VAF', 'VAF')}, {r('smoothness', 'smoothness')}, {r('VSS', 'VSS')}, {r('s', 'score')}, rk = 1 AS selected FROM k",
 )(lambda s, d: Q.multicriteria(_candidates(s, d)))
 query(

@@ -81,6 +81,12 @@ for _method, (_stats, _value) in _pooled.items():
         f"WITH {LI}, lo AS ({_long}), st AS (SELECT subject_id, {_stats} FROM lo GROUP BY 1) SELECT li.subject_id, t, {', '.join(r(_value.format(c=c), c) for c in CHANNELS)} FROM li JOIN st ON li.subject_id = st.subject_id",
     )(lambda s, d, m=_method: P.normalize_pooled(A.lines_panel(s, d), m).df.select("subject_id", "t", *CHANNELS))
 
+query(
+    "pp_norm_mvc_pooled",
+    f"WITH {LS}, lo AS ({_long.replace('FROM li', 'FROM ls')}), st AS (SELECT subject_id, max(abs(v)) AS m FROM lo GROUP BY 1), ref AS (SELECT s_suppkey AS subject_id, s_acctbal / 997.123457 AS ref FROM supplier WHERE s_acctbal > 0) "
+    f"SELECT ls.subject_id, t, {', '.join(r(f'CASE WHEN coalesce(ref, 0) <> 0 THEN 100 * {c} / ref ELSE {c} / nullif(m, 0) END', c) for c in CHANNELS)} FROM ls JOIN st ON ls.subject_id = st.subject_id LEFT JOIN ref ON ls.subject_id = ref.subject_id",
+)(lambda s, d: P.normalize_pooled(scaled_lines(s, d), "mvc", table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("subject_id"), (F.col("s_acctbal") / 997.123457).alias("reference"))).df.select("subject_id", "t", *CHANNELS))
+
 query("pp_mvc_peak", f"WITH {LI}, lo AS ({_long}) SELECT subject_id, channel, {r('max(abs(v))', 'reference')} FROM lo GROUP BY 1, 2")(lambda s, d: P.mvc_reference(A.lines_panel(s, d), "peak"))
 query(
     "pp_mvc_mean_peak",
@@ -99,7 +105,7 @@ query(
 query("pp_bandpass")(lambda s, d: P.bandpass(events(s, d), 1000).df)
 query("pp_bandpass_chebyshev1")(lambda s, d: P.bandpass(events(s, d), 1000, kind="chebyshev1").df)
 query("pp_bandpass_chebyshev2")(lambda s, d: P.bandpass(events(s, d), 1000, kind="chebyshev2").df)
-query("pp_notch")(lambda s, d: P.notch(events(s, d), 1000, 50, harmonics=3).df)
+query("pp_notch")(lambda s, d: P.notch(events(s, d), 1000, 50).df)
 query("pp_envelope_lowpass")(lambda s, d: P.envelope_lowpass(events(s, d), 1000).df)
 query("pp_pipeline_default")(lambda s, d: P.preprocess(events(s, d), 1000, P.preset("default")).panel.df)
 query("pp_pipeline_gait")(lambda s, d: P.preprocess(events(s, d), 1000, P.preset("gait"), P.mvc_reference(events(s, d))).panel.df)

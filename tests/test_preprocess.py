@@ -74,8 +74,21 @@ def test_normalisations(spark):
     reference = spark.createDataFrame([(1, "c0", 2.0), (1, "c1", 0.0)], "subject_id long, channel string, reference double")
     mvc = back(P.normalize(panel(spark, x), "mvc", reference))
     assert np.allclose(mvc[1][:, 0], [50, 100, 150]) and np.allclose(mvc[1][:, 1], [-1, 0, 0.5])
+    for scale in (P.normalize, P.normalize_pooled):
+        with pytest.raises(ValueError):
+            scale(panel(spark, x), "mvc")
+    pooled = back(P.normalize_pooled(panel(spark, x), "mvc", spark.createDataFrame([(1, 2.0)], "subject_id long, reference double")))
+    assert np.allclose(pooled[1], np.array(x[1]) * 50) and np.allclose(pooled[2], np.array(x[2]))
+
+
+def test_notches(spark):
+    t = np.arange(2000) / 1000
+    x = sum(np.sin(2 * np.pi * f * t) for f in (50, 100, 110))
+    one, all_ = (back(P.notch(panel(spark, {1: x}), 1000, 50, harmonics=h))[1][500:-500, 0] for h in (False, True))
+    power = lambda y, f: np.abs(np.exp(-2j * np.pi * f * t[500:-500]) @ y) / len(y)
+    assert power(one, 50) < 0.05 < 0.4 < power(one, 100) and power(all_, 100) < 0.05 and power(all_, 110) > 0.4
     with pytest.raises(ValueError):
-        P.normalize(panel(spark, x), "mvc")
+        P.notch(panel(spark, {1: x}), 1000, 600)
 
 
 def test_references(spark):
@@ -143,11 +156,11 @@ def test_pipeline_steps(spark):
     rng = np.random.default_rng(0)
     p = panel(spark, {1: rng.normal(size=(200, 2)) + 3, 2: rng.normal(size=(150, 2))})
     got = P.preprocess(p, 1000, P.preset("default"))
-    assert got.steps == ("dc_offset", "bandpass", "rectify", "envelope", "normalize")
+    assert got.steps == ("dc_removal", "bandpass", "notch", "rectify", "envelope", "normalize")
     assert {k: x.shape for k, x in back(got.panel).items()} == {1: (200, 2), 2: (150, 2)}
     assert np.isclose(max(np.abs(x).max() for x in back(got.panel).values()), 1)
-    skip = P.preprocess(p, 1000, {"rectify": False, "dc_offset": {"method": "median"}})
-    assert skip.steps == ("dc_offset",)
+    skip = P.preprocess(p, 1000, {"rectify": False, "dc_removal": {"method": "median"}})
+    assert skip.steps == ("dc_removal",)
     with pytest.raises(ValueError):
         P.preprocess(p, 1000, P.preset("gait"))
     assert P.preset("unknown") is None and set(P.PRESETS) == {"default", "gait", "isometric", "fine_motor"}
