@@ -204,8 +204,10 @@ def mvc_reference(panel: Panel, method: str = "peak", window_ms: float = 500, fs
         return ranked.join(sizes, ["subject_id", "channel"]).where("rank <= top").groupBy("subject_id", "channel").agg(F.avg("value").alias("reference"))
     if method == "rms_peak":
         w = window_width(window_ms, fs)
-        last = panel.by_time().rowsBetween(-(w - 1), 0)
-        rms = panel.with_df(panel.df.select("subject_id", "t", *(F.when(F.count(c).over(last) == w, F.sqrt(F.avg(F.col(c) * F.col(c)).over(last))).alias(c) for c in panel.channels)))
+        last, whole = panel.by_time().rowsBetween(-(w - 1), 0), W.partitionBy("subject_id")
+        # A series shorter than the window is one window.
+        size = lambda c: F.least(F.lit(w), F.count(c).over(whole))
+        rms = panel.with_df(panel.df.select("subject_id", "t", *(F.when(F.count(c).over(last) == size(c), F.sqrt(F.avg(F.col(c) * F.col(c)).over(last))).alias(c) for c in panel.channels)))
         return rms.long().groupBy("subject_id", "channel").agg(F.max("value").alias("reference"))
     raise ValueError(f"unknown method {method!r}")
 

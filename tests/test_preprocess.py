@@ -98,6 +98,11 @@ def test_references(spark):
     assert np.isclose(ref("rms_peak", window_ms=100, fs=100), max(np.sqrt((x[i : i + 10] ** 2).mean()) for i in range(91)))
 
 
+def test_reference_of_a_series_shorter_than_its_window(spark):
+    got = P.mvc_reference(panel(spark, {1: [3.0, 4.0]}), "rms_peak", window_ms=500, fs=100).first().reference
+    assert np.isclose(got, np.sqrt(12.5))
+
+
 def test_rectification_and_nulls(spark):
     x = {1: [1.0, -2.0, np.nan]}
     assert np.allclose(back(P.rectify(panel(spark, x)))[1][:2, 0], [1, 2])
