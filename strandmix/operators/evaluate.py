@@ -163,7 +163,7 @@ def clusterwise_similarity(true_bases: list[np.ndarray], bases: list[np.ndarray]
 def align_bootstrap(reference: np.ndarray, loadings: np.ndarray, exact: bool = True) -> np.ndarray:
     """Clusters of a resampled fit (K, M, r) ordered like the reference's, their columns rotated towards it and signed by correlation."""
     unit = lambda x: x / np.maximum(np.sqrt((x**2).sum(axis=-2, keepdims=True)), 1e-12)
-    close = np.array([[np.abs(unit(a).T @ unit(b)).sum() for b in loadings] for a in reference])
+    close = np.array([[np.abs(unit(a) * unit(b)).sum() for b in loadings] for a in reference])
     if exact:
         match = L.assign(close.max() - close)
     else:
