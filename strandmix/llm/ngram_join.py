@@ -334,10 +334,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fragments = max(FRAGMENTS, 1 << max(0, (size // FRAGMENT_BYTES).bit_length()))
     blocks = kept.mapInArrow(_cut_into_fragments(fragments), _BLOCKS)
     tasks = max(fragments, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    segments = blocks.repartition(tasks, "fragment").sortWithinPartitions("fragment").mapInArrow(_count_in_fragments(fragments), _SEGMENTS)
+    # The first shuffle, of all n-grams, is by far the largest; written segments let it go before the next one.
+    segments = written(blocks.repartition(tasks, "fragment").sortWithinPartitions("fragment").mapInArrow(_count_in_fragments(fragments), _SEGMENTS))
+    del blocks
+    release(spark)
     by_node = segments.repartition(tasks, "node", "doc").sortWithinPartitions("kind", "node", "n")
     table = written(by_node.mapInArrow(_gather_sets(percent), _SETS))
-    del blocks, segments, by_node
+    del segments, by_node
     release(spark)
 
     prefixes, sets = table.where("kind = 1").select("node", "n", "shared", "typical", "grams"), table.where("kind = 2").select("node", "n", "part", "grams")
