@@ -148,9 +148,9 @@ def _mean_loadings(s, d):
 
 
 _RANKED = "lo AS (SELECT CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS k, l_partkey % 24 AS c, CAST(l_suppkey % 2 + 1 AS INTEGER) AS factor, avg(l_extendedprice) / 997.123457 AS value FROM lineitem GROUP BY 1, 2, 3), ab AS (SELECT x.factor AS fa, y.factor AS fb, x.c, x.value AS x, y.value AS y FROM lo x JOIN lo y ON x.c = y.c WHERE x.k = 0 AND y.k = 1)"
-query("pl_synergy_correlation_pearson", f"WITH {_RANKED} SELECT fa AS factor_a, fb AS factor_b, {r('corr(x, y)', 'corr')} FROM ab GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_mean_loadings(s, d), 0, 1))
-query("pl_synergy_correlation_spearman", f"WITH {_RANKED}, rk AS (SELECT fa, fb, rank() OVER (PARTITION BY fa, fb ORDER BY x) + (count(*) OVER (PARTITION BY fa, fb, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY fa, fb ORDER BY y) + (count(*) OVER (PARTITION BY fa, fb, y) - 1) / 2.0 AS ry FROM ab) SELECT fa AS factor_a, fb AS factor_b, {r('corr(rx, ry)', 'corr')} FROM rk GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_mean_loadings(s, d), 0, 1, "spearman"))
-query("pl_synergy_correlation_kendall", f"WITH {_RANKED} SELECT p.fa AS factor_a, p.fb AS factor_b, {r('sum(sign(q.x - p.x) * sign(q.y - p.y)) / sqrt(sum(sign(q.x - p.x) ** 2) * sum(sign(q.y - p.y) ** 2))', 'corr')} FROM ab p JOIN ab q ON p.fa = q.fa AND p.fb = q.fb AND p.c < q.c GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_mean_loadings(s, d), 0, 1, "kendall"))
+query("pl_loading_correlation_pearson", f"WITH {_RANKED} SELECT fa AS factor_a, fb AS factor_b, {r('corr(x, y)', 'corr')} FROM ab GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_mean_loadings(s, d), 0, 1))
+query("pl_loading_correlation_spearman", f"WITH {_RANKED}, rk AS (SELECT fa, fb, rank() OVER (PARTITION BY fa, fb ORDER BY x) + (count(*) OVER (PARTITION BY fa, fb, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY fa, fb ORDER BY y) + (count(*) OVER (PARTITION BY fa, fb, y) - 1) / 2.0 AS ry FROM ab) SELECT fa AS factor_a, fb AS factor_b, {r('corr(rx, ry)', 'corr')} FROM rk GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_mean_loadings(s, d), 0, 1, "spearman"))
+query("pl_loading_correlation_kendall", f"WITH {_RANKED} SELECT p.fa AS factor_a, p.fb AS factor_b, {r('sum(sign(q.x - p.x) * sign(q.y - p.y)) / sqrt(sum(sign(q.x - p.x) ** 2) * sum(sign(q.y - p.y) ** 2))', 'corr')} FROM ab p JOIN ab q ON p.fa = q.fa AND p.fb = q.fb AND p.c < q.c GROUP BY 1, 2")(lambda s, d: D.loading_correlation(_mean_loadings(s, d), 0, 1, "kendall"))
 query("pl_sse_heatmap", f"WITH e AS (SELECT l_suppkey AS subject_id, sum(l_discount) AS a, sum(l_tax) AS b FROM lineitem GROUP BY 1) SELECT subject_id, 'a' AS method, {r('a', 'sse')}, {r('log10(a + 1e-10)', 'log_sse')} FROM e UNION ALL SELECT subject_id, 'b', {r('b', 'sse')}, {r('log10(b + 1e-10)', 'log_sse')} FROM e")(
     lambda s, d: D.sse_heatmap(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject_id")).agg(F.sum("l_discount").alias("a"), F.sum("l_tax").alias("b")), ["a", "b"])
 )
