@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from strandmix.llm.sized import counted, sized_join
 
-#: Documents of a host that may share a line; words of a line beyond which it is prose, not boilerplate; share of words that must stay.
-MAX_DOCUMENTS, MAX_LINE_WORDS, MIN_KEPT = 50, 20, 0.2
+#: Documents of a host that may share a line; share of words that must stay.
+MAX_DOCUMENTS, MIN_KEPT = 50, 0.2
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 _WORDS = f"array_remove(split(text, '{_SPACE}'), '')"
@@ -71,18 +71,17 @@ def frequent_lines(lines: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Data
     return lines.select("host", "line", "key").distinct().groupBy("host", "line").count().where(F.col("count") > max_documents).select("host", "line")
 
 
-def lines_of(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
-    """(host, key, pos, line, words): the hashed normal form of each line of at most ``max_line_words`` words. A null host is a host, the empty one."""
+def lines_of(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(host, key, pos, line, words): the hashed normal form of each line, of any length. A null host is a host, the empty one."""
     norm = r"transform(split(text, '\\n'), x -> trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0'), '[\\x20\\x09-\\x0D]+', ' ')))"
     kept = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = kept.select("host", "key", F.posexplode(F.expr(norm)).alias("pos", "norm")).where("norm != ''")
-    lines = lines.select("host", "key", "pos", F.xxhash64("norm").alias("line"), (F.length("norm") - F.length(F.regexp_replace("norm", " ", "")) + 1).cast("long").alias("words"))
-    return lines.where(F.col("words") <= max_line_words)
+    return lines.select("host", "key", "pos", F.xxhash64("norm").alias("line"), (F.length("norm") - F.length(F.regexp_replace("norm", " ", "")) + 1).cast("long").alias("words"))
 
 
-def removed_words(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
+def removed_words(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(host, key, removed): words in frequent lines, for each distinct text of a host that has such lines."""
-    lines = lines_of(docs, text_col, host_col, max_line_words)
+    lines = lines_of(docs, text_col, host_col)
     frequent, n = counted(frequent_lines(lines, max_documents))
     hit = sized_join(lines, frequent, ["host", "line"], "inner", n)
     return hit.groupBy("host", "key", "pos").agg(F.max("words").alias("words")).groupBy("host", "key").agg(F.sum("words").alias("removed"))
@@ -92,7 +91,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """One row per input row: the rules' figures, base_failed, removed_words, kept.
 
     ``kept`` is false where base_failed, or where less than ``min_kept`` of the words stay when frequent lines go. Null texts have no
-    words and fail. Null or repeated ids are judged row by row, as nothing is joined by id. Lines longer than MAX_LINE_WORDS words stay.
+    words and fail. Null or repeated ids are judged row by row, as nothing is joined by id.
     """
     own = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     own = base_columns(own).select(id_col, "host", "key", "rule_stats.*")

@@ -51,6 +51,15 @@ def test_lines_that_many_documents_of_a_host_share(spark):
     assert kept == {k for k, r in got.items() if r.kept}
 
 
+def test_long_lines_count_like_short_ones(spark):
+    notice = " ".join(f"notice{j}x" for j in range(60))
+    rows = [(k, f"{notice}\nown words {'x' * (k + 1)}", "a") for k in range(quality_rules.MAX_DOCUMENTS + 1)] + [(900, notice, "a"), (901, notice, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert all(got[r[0]].removed_words == 60 and not got[r[0]].kept and not got[r[0]].base_failed for r in rows[:-1])
+    assert got[901].removed_words == 0 and [r.doc_id for r in quality_rules.keep_good(docs).collect()] == [901]
+
+
 def test_depleted_documents_go(spark):
     shared = ["alpha beta gamma delta epsilon zeta eta theta", "iota kappa lambda mu nu xi omicron pi rho"]
     rows = [(k, "\n".join([*shared, f"own{k} tail"]), "a") for k in range(10)] + [(50, "\n".join([*shared, *(f"line{j} has{j} words{j} of{j} its{j} own{j}" for j in range(15))]), "a")]
