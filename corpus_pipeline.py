@@ -20,8 +20,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: rejects documents that fail a rule by themselves, or keep too little beside lines frequent on their host."""
-    return quality_rules.keep_good(docs)
+    """Quality rules: rejects documents that fail a rule by themselves, or keep too little beside lines frequent on their host; of others these lines go."""
+    return quality_rules.clean(docs, chars_col="n_chars")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

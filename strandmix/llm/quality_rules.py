@@ -80,11 +80,11 @@ def lines_of(docs: DataFrame, text_col: str = "text", host_col: str = "source")
 
 
 def removed_words(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """(host, key, removed): words in frequent lines, for each distinct text of a host that has such lines."""
+    """(host, key, removed, places): words in frequent lines and where these stand, for each distinct text of a host that has such lines."""
     lines = lines_of(docs, text_col, host_col)
     frequent, n = counted(frequent_lines(lines, max_documents))
     hit = sized_join(lines, frequent, ["host", "line"], "inner", n)
-    return hit.groupBy("host", "key", "pos").agg(F.max("words").alias("words")).groupBy("host", "key").agg(F.sum("words").alias("removed"))
+    return hit.groupBy("host", "key", "pos").agg(F.max("words").alias("words")).groupBy("host", "key").agg(F.sum("words").alias("removed"), F.sort_array(F.collect_list("pos")).alias("places"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT) -> DataFrame:
@@ -95,21 +95,49 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     own = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     own = base_columns(own).select(id_col, "host", "key", "rule_stats.*")
-    removed, n = counted(removed_words(docs, text_col, host_col, max_documents))
+    removed, n = counted(removed_words(docs, text_col, host_col, max_documents).drop("places"))
     joined = sized_join(own, removed, ["host", "key"], "left", n)
     gone = F.coalesce("removed", F.lit(0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return joined.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ((F.col("n_words") - gone) >= min_kept * F.col("n_words"))).alias("kept"), gone.alias("removed_words"))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their columns as they are."""
+def _good(docs: DataFrame, text_col: str, host_col: str, max_documents: int, min_kept: float) -> DataFrame:
+    """(row, places): the rows that ``judge`` keeps, and the sorted places of their frequent lines, null where there are none."""
     # Rows travel as one column, so that their names can't clash with the figures.
     whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     good = base_columns(whole).where(~base_failed(F.col("rule_stats"))).select("row", "host", "key", F.col("rule_stats.n_words").alias("n_words"))
     removed, n = counted(removed_words(docs, text_col, host_col, max_documents))
     left = (F.col("n_words") - F.coalesce("removed", F.lit(0))) >= min_kept * F.col("n_words")
-    return sized_join(good, removed, ["host", "key"], "left", n).where(left).select("row.*")
+    # Places have no fixed size: each counts as a row of what may be broadcast.
+    n += n and removed.agg(F.sum(F.size("places"))).first()[0]
+    return sized_join(good, removed, ["host", "key"], "left", n).where(left).select("row", "places")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns as they are."""
+    return _good(docs, text_col, host_col, max_documents, min_kept).select("row.*")
+
+
+def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", chars_col: str | None = None, max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, their texts without frequent lines; other lines stay as they are, in their order.
+
+    ``chars_col``, where given and present, becomes the new length of a text that changed.
+    """
+    good = _good(docs, text_col, host_col, max_documents, min_kept)
+    # What lies between two places that go stays: linear in the lines of a text.
+    stays = let(
+        r"split(text, '\\n')",
+        "l",
+        let("concat(array(-1), places, array(size(l)))", "p", "array_join(flatten(transform(sequence(1, size(p) - 1), i -> slice(l, p[i - 1] + 2, p[i] - p[i - 1] - 1))), '\n')"),
+    )
+    old = f"CAST(row.`{text_col}` AS STRING)"
+    new = good.withColumn("new", F.expr(f"if(places IS NULL, {old}, {let(old, 'text', stays)})"))
+    kinds = dict(docs.dtypes)
+    changed = {text_col: F.col("new").cast(kinds[text_col])}
+    if chars_col in docs.columns:
+        changed[chars_col] = F.when(F.col("places").isNull(), F.col(f"row.`{chars_col}`")).otherwise(F.length("new").cast(kinds[chars_col]))
+    return new.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

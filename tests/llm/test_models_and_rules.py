@@ -60,6 +60,27 @@ def test_long_lines_count_like_short_ones(spark):
     assert got[901].removed_words == 0 and [r.doc_id for r in quality_rules.keep_good(docs).collect()] == [901]
 
 
+def test_kept_texts_lose_their_frequent_lines(spark):
+    own = lambda k: " ".join(f"{'abcdefgh'[k]}{c}" for c in "abcdefghijklmno")
+    texts = {k: f"Share  this {k}\n\n{own(k)}\r\nshare this 9\n  end{'abcdefgh'[k]} \n" for k in range(8)}
+    texts |= {8: "no frequent line stands in this text of more than ten words\nshare", 9: "share this 1\nshare this 2", 10: None}
+    docs = spark.createDataFrame([(k, t, "a", -1) for k, t in texts.items()], "doc_id long, text string, source string, n_chars int")
+    got = {r.doc_id: r for r in quality_rules.clean(docs, chars_col="n_chars", max_documents=5).collect()}
+    assert {k: r.text for k, r in got.items()} == {k: f"\n{own(k)}\r\n  end{'abcdefgh'[k]} \n" for k in range(8)} | {8: texts[8]}
+    assert all(r.n_chars == (-1 if k == 8 else len(r.text)) for k, r in got.items())
+    assert {k for k, r in got.items()} == {r.doc_id for r in quality_rules.keep_good(docs, max_documents=5).collect()}
+
+
+def test_stage_two_gives_texts_without_frequent_lines(spark):
+    import corpus_pipeline
+
+    own = " ".join(f"word{c}" for c in "abcdefghijklmno")
+    rows = [(k, f"subscribe to our letter\n{own} {'x' * (k + 1)}", "a", 9) for k in range(quality_rules.MAX_DOCUMENTS + 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = {r.doc_id: r for r in corpus_pipeline.apply_rules(spark, docs, "").collect()}
+    assert len(got) == len(rows) and all(r.text == f"{own} {'x' * (k + 1)}" and r.n_chars == len(r.text) for k, r in got.items())
+
+
 def test_depleted_documents_go(spark):
     shared = ["alpha beta gamma delta epsilon zeta eta theta", "iota kappa lambda mu nu xi omicron pi rho"]
     rows = [(k, "\n".join([*shared, f"own{k} tail"]), "a") for k in range(10)] + [(50, "\n".join([*shared, *(f"line{j} has{j} words{j} of{j} its{j} own{j}" for j in range(15))]), "a")]
