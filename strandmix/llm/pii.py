@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from strandmix.llm.batches import bounded, chunks, map_text
 
 #: Order of the kinds where spans start together; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
+KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "secret")
 RANK = {kind: k for k, kind in enumerate(KINDS)}
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -25,9 +28,12 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+# A whole run of the characters that keys are written in; and keys that name their issuer by how they begin.
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=])")
+_ISSUED = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abps]-|sk_live_|rk_live_|AIza|eyJ)")
 
 #: Score that a confirmed candidate starts with, before its context.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "national_id": 0.4, "local_phone": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "national_id": 0.4, "local_phone": 0.4, "secret": 0.4, "issued": 0.8}
 #: Words that raise a kind's score when they stand within WINDOW code points.
 CONTEXT = {
     "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write)\b"),
@@ -37,10 +43,15 @@ CONTEXT = {
     "local_phone": re.compile(r"(?i)\b(?:phone|tel|telephone|call|mobile|fax|whatsapp)\b"),
     "iban": re.compile(r"(?i)\b(?:iban|bank|account|transfer)\b"),
     "national_id": re.compile(r"(?i)\b(?:ssn|social security|insurance|tax id)\b"),
+    "secret": re.compile(r"(?i)(?:\b|_)(?:token|secret|passw(?:or)?d|passwort|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|authorization|bearer|credentials?|key)\b"),
 }
+CONTEXT["issued"] = CONTEXT["secret"]
 WINDOW = 40
 #: What context adds, and the score from which a candidate of the method's own kinds counts.
 BONUS, ENOUGH = 0.2, 0.5
+#: Bits a character that a key needs: half of what 16 or 64 equally frequent ones would have, and more.
+HEX_BITS, KEY_BITS = 3.0, 3.5
+_HEX = re.compile(r"[0-9a-fA-F]+")
 
 
 class Span(NamedTuple):
@@ -64,6 +75,24 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(x, 36)) for x in moved)) % 97 == 1
 
 
+def entropy(code: str) -> float:
+    """Bits a character, from how often each occurs."""
+    n = len(code)
+    return -sum(k / n * math.log2(k / n) for k in Counter(code).values())
+
+
+def random_looking(code: str) -> bool:
+    """Whether a run of key characters looks drawn at random: it has digits and letters, changes often between them, and has enough bits a character.
+
+    Words, numbers, paths and identifiers made of words change seldom; hexadecimal keys have at most four bits a character.
+    """
+    core = code.rstrip("=")
+    digits = [x.isdigit() for x in core]
+    if not any(digits) or all(digits) or not any(x.isalpha() for x in core) or sum(a != b for a, b in zip(digits, digits[1:])) < len(core) / 8:
+        return False
+    return entropy(core) >= (HEX_BITS if _HEX.fullmatch(core) else KEY_BITS)
+
+
 def _emails(text: str):
     """Leftmost matches of a local part, an at sign and a dotted domain, in one pass over the at signs."""
     last, at = 0, text.find("@")
@@ -87,7 +116,7 @@ def _digits(text: str) -> str:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """The four base kinds, each with its own leftmost non-overlapping matches; matches that fail their check are dropped."""
     found = [(a, b, "email") for a, b in _emails(text)] if "@" in text else []
-    found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+    found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(y := x.lstrip("0")) <= 3 and int(y or 0) <= 255 for x in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             found.append((*m.span(), "card"))
@@ -101,17 +130,49 @@ def _scored(text: str, start: int, end: int, kind: str) -> float:
     return round(min(1.0, PRIOR[kind] + BONUS * near), 2)
 
 
+class _Taken:
+    """Intervals that are taken, merged and in order."""
+
+    def __init__(self, found):
+        self.starts, self.ends = [], []
+        for a, b in sorted(found):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def take(self, a: int, b: int) -> bool:
+        """Take an interval, unless it touches one that is taken."""
+        at = bisect_left(self.ends, a + 1)
+        if at < len(self.starts) and self.starts[at] < b:
+            return False
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+        return True
+
+
 def spans(text: str | None, base: list[tuple[int, int, str]] | None = None) -> list[Span]:
-    """All finds, by start and then kind. Base finds stay whatever their score; the method's own need ENOUGH, and touch no other find."""
+    """All finds, by start and then kind. Base finds stay whatever their score; the method's own need ENOUGH.
+
+    Own finds touch no other find, but for secrets, which may hold base finds: a key's digits can pass for a card.
+    """
     text = text or ""
-    found = [Span(a, b, kind, _scored(text, a, b, kind)) for a, b, kind in (base_spans(text) if base is None else base)]
+    base = base_spans(text) if base is None else base
+    found = [Span(a, b, kind, _scored(text, a, b, kind)) for a, b, kind in base]
     more = [(*m.span(), "iban", "iban") for m in _IBAN.finditer(text) if 15 <= len(c := m[0].replace(" ", "")) <= 34 and mod97(c)]
     more += [(*m.span(), "national_id", "national_id") for m in _NATIONAL.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     more += [(*m.span(), "phone", "local_phone") for m in _LOCAL_PHONE.finditer(text)]
+    taken, own = _Taken(x[:2] for x in base), _Taken(())
     for a, b, kind, rule in more:
         score = _scored(text, a, b, rule)
-        if score >= ENOUGH and all(b <= x.start or x.end <= a for x in found):
+        if score >= ENOUGH and taken.take(a, b):
+            own.take(a, b)
             found.append(Span(a, b, kind, score))
+    for m in _SECRET.finditer(text):
+        score = _scored(text, *m.span(), "issued" if _ISSUED.match(m[0]) else "secret")
+        if score >= ENOUGH and random_looking(m[0]) and own.take(*m.span()):
+            found.append(Span(*m.span(), "secret", score))
     return sorted(found, key=lambda x: (x.start, RANK[x.kind], x.end))
 
 
@@ -143,14 +204,19 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def mask(text: str | None) -> str | None:
-    """The text with each find replaced by its kind in brackets; overlapping finds become one, named by the first."""
+    """The text with each find replaced by its kind in brackets; overlapping finds become one, named by the longer."""
     if not text:
         return text
-    parts, last = [], 0
-    for x in spans(text):
-        if x.start >= last:
-            parts += [text[last : x.start], f"[{x.kind.upper()}]"]
-        last = max(last, x.end)
+    parts, last, group = [], 0, None
+    for x in [*spans(text), None]:
+        if group and x and x.start < group.end:
+            longer = max(group, x, key=lambda y: y.end - y.start)
+            group = Span(group.start, max(group.end, x.end), longer.kind, longer.score)
+            continue
+        if group:
+            parts += [text[last : group.start], f"[{group.kind.upper()}]"]
+            last = group.end
+        group = x
     return "".join([*parts, text[last:]])
 
 
