@@ -1,7 +1,7 @@
 """TIFF files: a writer, and a reader that walks image directories and gives one row per page.
 
 The reader takes little- and big-endian classic files, strips and tiles, 8-bit chunky samples, compression by PackBits, LZW or
-deflate or none, and the horizontal predictor.
+deflate or none, and the horizontal predictor. Sizes are checked against the file and PAGE_BYTES before anything is decoded.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 3
 FIELD = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
+#: Bytes of samples that the reader decodes for one page; a page that claims more is an error.
+PAGE_BYTES = 1 << 28
 #: Pixels and samples of a row of the payload's pages, and rows of a page, strip and tile.
 PIXELS, CHANNELS, PAGE_ROWS, BLOCK_ROWS = 64, 3, 1 << 14, 256
 ROW = PIXELS * CHANNELS
@@ -57,8 +59,8 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_bits(data: bytes) -> bytes:
-    """The inverse of pack_bits; stops where the data stop."""
+def unpack_bits(data: bytes, limit: int | None = None) -> bytes:
+    """The inverse of pack_bits; stops where the data stop. One byte of data makes 64 at most, so ``limit`` only cuts the result."""
     parts, k, n = [], 0, len(data)
     while k < n:
         head = data[k]
@@ -69,76 +71,102 @@ def unpack_bits(data: bytes) -> bytes:
             if head > 128:
                 parts.append(data[k + 1 : k + 2] * (257 - head))
             k += 2 if head > 128 else 1
-    return b"".join(parts)
+    return b"".join(parts)[:limit]
 
 
-def lzw_pack(data: bytes) -> bytes:
-    """LZW as the format has it: codes from the high bit, 9 to 12 bits wide, one code early."""
-    bits, width, value = 0, 9, 0
-    out = bytearray()
-
-    def put(code):
-        nonlocal bits, value
-        value, bits = value << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(value >> bits & 255)
-        value &= (1 << bits) - 1
-
-    table: dict[bytes, int] = {bytes([k]): k for k in range(256)}
-    put(256)
-    size, word = 258, b""
-    for k in range(len(data)):
-        longer = word + data[k : k + 1]
-        if longer in table:
-            word = longer
-            continue
-        put(table[word])
-        table[longer], size = size, size + 1
-        if size == 4094:
-            put(256)
-            table, size, width = {bytes([k]): k for k in range(256)}, 258, 9
-        elif size + 1 > 1 << width:
-            width += 1
-        word = data[k : k + 1]
-    if word:
-        put(table[word])
-        size += 1
-        if size + 1 > 1 << width and width < 12:
-            width += 1
-    put(257)
-    if bits:
-        out.append(value << 8 - bits & 255)
-    return bytes(out)
+#: Entries of a fresh LZW table, and those at which a writer clears it. Fixed values of the format, as are codes 256 (clear) and 257 (end).
+FRESH, FULL = 258, 4094
+#: Bits of the k-th code after a clear one: as many as the table's size needs then, 12 at most.
+_BITS = np.array([min(12, (FRESH + k).bit_length()) for k in range(1 << 13)], dtype=np.int64)
 
 
-def lzw_unpack(data: bytes) -> bytes:
-    """The inverse of lzw_pack."""
-    start = [bytes([k]) for k in range(256)] + [b"", b""]
-    table, width, value, bits, last, parts = list(start), 9, 0, 0, b"", []
-    for byte in data:
-        value, bits = value << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, value = value >> bits, value & (1 << bits) - 1
-        if code == 256:
-            table, width, last = list(start), 9, b""
-            continue
-        if code == 257:
+def lzw_pack(data: bytes) -> bytes:
+    """LZW as the format has it: codes from the high bit, 9 to 12 bits wide, one code early."""
+    codes, widths, run = [], [], []
+
+    def close(code: int):
+        nonlocal run
+        codes.append(np.array([*run, code], dtype=np.uint16))
+        widths.append(_BITS[: len(run) + 1])
+        run = []
+
+    close(256)
+    if data:
+        # Entries by the code of what stands before the last byte, and that byte.
+        table: dict[int, int] = {}
+        get, size, code = table.get, FRESH, data[0]
+        for byte in data[1:]:
+            key = code << 8 | byte
+            longer = get(key)
+            if longer is not None:
+                code = longer
+                continue
+            run.append(code)
+            table[key] = size
+            size += 1
+            if size == FULL:
+                close(256)
+                table.clear()
+                size = FRESH
+            code = byte
+        run.append(code)
+    close(257)
+    bits = np.unpackbits(np.concatenate(codes).astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
+    return np.packbits(bits[np.arange(16) >= 16 - np.concatenate(widths)[:, None]]).tobytes()
+
+
+_SINGLE = [bytes([k]) for k in range(256)] + [b"", b""]
+
+
+def lzw_unpack(data: bytes, limit: int | None = None) -> bytes:
+    """The inverse of lzw_pack; stops where the data or its code say so, or once ``limit`` bytes are there. ValueError for a code of no entry."""
+    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.int64)
+    total, at, k, parts, left = 8 * len(data), 0, 0, [], float("inf") if limit is None else limit
+    table, last = list(_SINGLE), b""
+    while left > 0:
+        # Widths depend on the number of codes since a clear one, so many codes are cut out at once, up to the next such code.
+        widths = _BITS[np.minimum(np.arange(k, k + FULL), len(_BITS) - 1)]
+        ends = at + np.cumsum(widths)
+        n = int(np.searchsorted(ends, total, side="right"))
+        widths, ends = widths[:n], ends[:n]
+        where = ends - widths
+        byte = where >> 3
+        codes = (raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (where & 7) - widths) & (1 << widths) - 1
+        stops = np.flatnonzero((codes == 256) | (codes == 257))
+        stop = int(stops[0]) if len(stops) else n
+        for code in codes[:stop].tolist():
+            if code < len(table):
+                word = table[code]
+            elif code == len(table) and last:
+                word = last + last[:1]
+            else:
+                raise ValueError("a code that stands for nothing yet")
+            if last:
+                table.append(last + word[:1])
+            parts.append(word)
+            last = word
+            left -= len(word)
+            if left <= 0:
+                break
+        if not n or stop < n and codes[stop] == 257:
             break
-        word = table[code] if code < len(table) else last + last[:1]
-        if last:
-            table.append(last + word[:1])
-            if len(table) + 1 >= 1 << width and width < 12:
-                width += 1
-        parts.append(word)
-        last = word
-    return b"".join(parts)
+        if stop < n:
+            at, k, table, last = int(ends[stop]), 0, list(_SINGLE), b""
+        else:
+            at, k = int(ends[-1]), k + n
+    return b"".join(parts)[:limit]
 
 
 PACK = {NONE: bytes, LZW: lzw_pack, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}
-UNPACK = {NONE: bytes, LZW: lzw_unpack, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+
+
+def _inflate(data: bytes, limit: int) -> bytes:
+    """At most ``limit`` bytes of deflated data."""
+    return zlib.decompressobj().decompress(data, limit)
+
+
+#: Each gives at least as many bytes as a block needs, and not without bound.
+UNPACK = {NONE: lambda x, n: x[:n], LZW: lzw_unpack, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: unpack_bits}
 
 
 def _fields(entries: dict[int, tuple[int, list[int]]], at: int) -> bytes:
@@ -155,26 +183,28 @@ def _fields(entries: dict[int, tuple[int, list[int]]], at: int) -> bytes:
     return body + b"\0\0\0\0" + extra
 
 
-def write_tiff(pages: list[tuple[np.ndarray, int, bool, bool]]) -> bytes:
-    """A file of (samples by rows, columns and channels; compression; predictor; tiles) pages."""
+def write_tiff(pages: list[tuple[np.ndarray, int, bool, int]]) -> bytes:
+    """A file of (samples by rows, columns and channels; compression; predictor; width of tiles, 0 for strips) pages."""
     out, pointer = bytearray(b"II*\0\0\0\0\0"), 4
-    for samples, compression, predictor, tiled in pages:
+    for samples, compression, predictor, across in pages:
         length, width, channels = samples.shape
+        down = min(BLOCK_ROWS, -(-length // 16) * 16) if across else BLOCK_ROWS
         blocks = []
-        for a in range(0, length, BLOCK_ROWS):
-            block = samples[a : a + BLOCK_ROWS]
-            if tiled and len(block) < BLOCK_ROWS:
-                block = np.concatenate([block, np.zeros((BLOCK_ROWS - len(block), width, channels), dtype=np.uint8)])
-            if predictor:
-                block = np.concatenate([block[:, :1], np.diff(block, axis=1)], axis=1)
-            blocks.append(PACK[compression](block.tobytes()))
+        for top in range(0, length, down):
+            for left in range(0, width, across or width):
+                block = samples[top : top + down, left : left + (across or width)]
+                if across and block.shape[:2] != (down, across):
+                    block = np.pad(block, ((0, down - block.shape[0]), (0, across - block.shape[1]), (0, 0)))
+                if predictor:
+                    block = np.concatenate([block[:, :1], np.diff(block, axis=1)], axis=1)
+                blocks.append(PACK[compression](block.tobytes()))
         offsets = []
         for block in blocks:
             offsets.append(len(out))
             out += block + b"\0" * (len(block) % 2)
         entries = {WIDTH: (4, [width]), LENGTH: (4, [length]), BITS: (3, [8] * channels), COMPRESSION: (3, [compression]), PHOTOMETRIC: (3, [2 if channels == 3 else 1]), SAMPLES: (3, [channels]), PREDICTOR: (3, [2 if predictor else 1])}
         counts = [len(x) for x in blocks]
-        entries |= {TILE_WIDTH: (4, [width]), TILE_LENGTH: (4, [BLOCK_ROWS]), TILE_OFFSETS: (4, offsets), TILE_COUNTS: (4, counts)} if tiled else {ROWS_PER_STRIP: (4, [BLOCK_ROWS]), STRIP_OFFSETS: (4, offsets), STRIP_COUNTS: (4, counts)}
+        entries |= {TILE_WIDTH: (4, [across]), TILE_LENGTH: (4, [down]), TILE_OFFSETS: (4, offsets), TILE_COUNTS: (4, counts)} if across else {ROWS_PER_STRIP: (4, [down]), STRIP_OFFSETS: (4, offsets), STRIP_COUNTS: (4, counts)}
         at = len(out)
         out[pointer : pointer + 4] = struct.pack("<I", at)
         out += _fields(entries, at)
@@ -198,6 +228,8 @@ def read_tiff(data: bytes) -> Iterator[Page]:
             if kind in FIELD:
                 code, size = FIELD[kind]
                 where = at + 10 + 12 * k
+                if count * size > len(data):
+                    raise ValueError("a field that is longer than the file")
                 if count * size > 4:
                     (where,) = struct.unpack_from(f"{order}I", data, where)
                 tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, where)
@@ -214,12 +246,23 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]]) -> Page:
     tiled = TILE_OFFSETS in tags
     across, down = (one(TILE_WIDTH, width), one(TILE_LENGTH, length)) if tiled else (width, min(one(ROWS_PER_STRIP, length), length))
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ()))
+    if min(width, length, channels, across, down) < 1:
+        raise ValueError("a width, length, number of samples or block size of zero")
+    if width * length * channels > PAGE_BYTES or across * down * channels > PAGE_BYTES:
+        raise ValueError(f"a page of {width} x {length} x {channels} samples")
+    columns = -(-width // across)
+    if len(offsets) != len(counts) or len(offsets) < columns * -(-length // down):
+        raise ValueError("fewer blocks than the page needs")
     samples = np.zeros((length, width, channels), dtype=np.uint8)
-    columns = -(-width // across) if across else 0
     for k, (a, size) in enumerate(zip(offsets, counts)):
         top, left = k // columns * down, k % columns * across
+        if top >= length:
+            break
         rows = down if tiled else min(down, length - top)
-        block = np.frombuffer(UNPACK[compression](data[a : a + size]), dtype=np.uint8)[: rows * across * channels].reshape(rows, across, channels)
+        raw = UNPACK[compression](data[a : a + size], rows * across * channels)
+        if len(raw) < rows * across * channels:
+            raise ValueError("a block that ends early")
+        block = np.frombuffer(raw, dtype=np.uint8).reshape(rows, across, channels)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=np.uint8)
         part = samples[top : top + rows, left : left + across]
@@ -233,15 +276,18 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(ROW, -(-len(raw) // ROW) * ROW), b" ")
 
 
+#: What a page may be written with: compression, predictor, tiles and their width in pixels.
+FORMS = [(c, predictor, tile) for c in (LZW, DEFLATE, PACKBITS) for predictor in (False, True) for tile in (0, 16, 48)]
+
+
 def store(payload: bytes) -> bytes:
-    """A payload as a file, by its size: LZW for a few rows, PackBits for some more, deflate with the predictor in strips, and in tiles from a block on.
+    """A payload as a file. Each page's codec, predictor and layout come from a hash of the payload and the page's number.
 
-    A page has PAGE_ROWS rows at most; larger payloads have several.
+    So all decoders meet payloads of all sizes, and equal payloads give equal files. A page has PAGE_ROWS rows at most.
     """
     samples = np.frombuffer(payload, dtype=np.uint8).reshape(-1, PIXELS, CHANNELS)
-    rows = len(samples)
-    compression = LZW if rows <= 2 else PACKBITS if rows <= 4 else DEFLATE
-    return write_tiff([(samples[a : a + PAGE_ROWS], compression, compression == DEFLATE, rows >= BLOCK_ROWS) for a in range(0, rows, PAGE_ROWS)])
+    first = zlib.crc32(payload)
+    return write_tiff([(samples[a : a + PAGE_ROWS], *FORMS[(first + k) % len(FORMS)]) for k, a in enumerate(range(0, len(samples), PAGE_ROWS))])
 
 
 def features(samples: np.ndarray) -> str:
@@ -291,7 +337,7 @@ def read_pages(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
                 try:
                     for k, x in enumerate(read_tiff(data or b"")):
                         out.append((key, k, *x[:6], features(x.samples), x.samples.tobytes(), None))
-                except (ValueError, struct.error, zlib.error, IndexError, KeyError) as e:
+                except (ValueError, struct.error, zlib.error, IndexError, KeyError, OverflowError) as e:
                     out.append((key, k + 1, *[None] * 8, f"{type(e).__name__}: {e}"))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out), types)], names=names)

@@ -260,13 +260,77 @@ def test_lzw_of_the_format():
 
 @pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("predictor", [False, True])
-@pytest.mark.parametrize("tiled", [False, True])
-def test_pages_give_back_their_samples(compression, predictor, tiled):
+@pytest.mark.parametrize("across", [0, 5, 2, 16])
+def test_pages_give_back_their_samples(compression, predictor, across):
     rng = np.random.default_rng(1)
     pages = [rng.integers(0, 40, (n, 5, c)).astype(np.uint8) for n, c in ((1, 3), (300, 3), (513, 1))]
-    got = list(tiff.read_tiff(tiff.write_tiff([(p, compression, predictor, tiled) for p in pages])))
+    got = list(tiff.read_tiff(tiff.write_tiff([(p, compression, predictor, across) for p in pages])))
     assert len(got) == 3 and all((a.samples == b).all() for a, b in zip(got, pages))
-    assert [x.blocks for x in got] == [1, 2, 3]
+    columns = 3 if across == 2 else 1
+    assert [x.blocks for x in got] == [columns, 2 * columns, 3 * columns]
+
+
+def changed(raw, tag, value):
+    """A file of one page with another value in a field."""
+    import struct
+
+    out = bytearray(raw)
+    at = struct.unpack_from("<I", out, 4)[0]
+    for k in range(struct.unpack_from("<H", out, at)[0]):
+        if struct.unpack_from("<H", out, at + 2 + 12 * k)[0] == tag:
+            struct.pack_into("<I", out, at + 10 + 12 * k, value)
+    return bytes(out)
+
+
+def test_sizes_are_checked_before_anything_is_decoded(spark):
+    import tracemalloc
+
+    strips, tiles = (tiff.write_tiff([(np.zeros((4, 4, 3), np.uint8), tiff.DEFLATE, False, t)]) for t in (0, 16))
+    bomb = tiff.write_tiff([(np.zeros((256, 64, 3), np.uint8), tiff.DEFLATE, False, 0)])
+    bad = [changed(strips, tiff.WIDTH, 0), changed(strips, tiff.LENGTH, 0), changed(changed(strips, tiff.WIDTH, 1 << 31), tiff.LENGTH, 1 << 20), changed(tiles, tiff.TILE_WIDTH, 0)]
+    bad += [changed(tiles, tiff.TILE_LENGTH, 1 << 31), changed(strips, tiff.ROWS_PER_STRIP, 0), changed(strips, tiff.LENGTH, 5), changed(strips, tiff.STRIP_COUNTS, 3), changed(strips, tiff.STRIP_OFFSETS, 1 << 30)]
+    tracemalloc.start()
+    for raw in bad:
+        with pytest.raises((ValueError, zlib.error)):
+            list(tiff.read_tiff(raw))
+    small = changed(bomb, tiff.LENGTH, 1)  # a strip that holds more than its page
+    assert next(tiff.read_tiff(small)).samples.shape == (1, 64, 3)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 24
+    tracemalloc.stop()
+    got = tiff.read_pages(spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(bad)], "f long, data binary"), "f", "data").collect()
+    assert len(got) == len(bad) and all(r.error and r.samples is None for r in got)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 400), st.integers(0, 255), st.sampled_from([tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS]))
+def test_any_changed_byte_is_read_or_an_error(at, value, compression):
+    import struct
+
+    raw = bytearray(tiff.write_tiff([(np.arange(48, dtype=np.uint8).reshape(4, 4, 3), compression, True, 0)]))
+    raw[at % len(raw)] = value
+    try:
+        assert all(x.samples.nbytes <= tiff.PAGE_BYTES for x in tiff.read_tiff(bytes(raw)))
+    except (ValueError, struct.error, zlib.error, IndexError, KeyError, OverflowError):
+        pass
+
+
+def test_payloads_of_every_size_meet_every_codec():
+    rng, seen = random.Random(8), {}
+    for size in (1, 3, 40, 700):
+        for k in range(150):
+            payload = bytes(rng.choice(b"abc defg") for _ in range(12)) * (16 * size)
+            page = next(tiff.read_tiff(tiff.store(payload)))
+            assert page.samples.tobytes() == payload
+            seen.setdefault(size, set()).add((page.compression, page.predictor, page.blocks > 1 and size < 256))
+    assert all({x[0] for x in v} == {tiff.LZW, tiff.DEFLATE, tiff.PACKBITS} and {x[1] for x in v} == {1, 2} for v in seen.values())
+
+
+def plain_feature(payload):
+    pixels = [payload[k : k + 3] for k in range(0, len(payload), 3)]
+    mean = [sum(p[c] for p in pixels) / len(pixels) for c in range(3)]
+    spread = [max(0.0, sum(p[c] ** 2 for p in pixels) / len(pixels) - mean[c] ** 2) ** 0.5 for c in range(3)]
+    steps = [abs(pixels[k][c] - pixels[k + 1][c]) for k in range(len(pixels) - 1) if (k + 1) % tiff.PIXELS for c in range(3)]
+    return ":".join(str(int(round(1000 * x))) for x in [*mean, *spread, sum(steps) / len(steps)])
 
 
 def test_big_endian_and_broken_files(spark):
@@ -276,7 +340,7 @@ def test_big_endian_and_broken_files(spark):
     tags = [(256, 4, 1, 2), (257, 4, 1, 2), (258, 3, 1, 8 << 16), (259, 3, 1, 1 << 16), (273, 4, 1, 8), (277, 3, 1, 1 << 16), (278, 4, 1, 2), (279, 4, 1, 4)]
     raw += struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHII", *t) for t in tags) + b"\0\0\0\0"
     assert next(tiff.read_tiff(raw)).samples.ravel().tolist() == [1, 2, 3, 4]
-    loop = bytearray(tiff.write_tiff([(np.zeros((1, 1, 1), np.uint8), tiff.NONE, False, False)]))
+    loop = bytearray(tiff.write_tiff([(np.zeros((1, 1, 1), np.uint8), tiff.NONE, False, 0)]))
     at = struct.unpack_from("<I", loop, 4)[0]
     struct.pack_into("<I", loop, at + 2 + 12 * struct.unpack_from("<H", loop, at)[0], at)
     files = [(1, raw), (2, b"nothing"), (3, None), (4, bytes(loop)), (5, raw[:20])]
@@ -294,6 +358,7 @@ def test_media_of_texts(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         media = tiff.store(payload)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert got[k].feature == plain_feature(payload) or len(payload) > 1 << 20
     assert got[0].feature == got[1].feature and got[7].pages == 2
 
 
