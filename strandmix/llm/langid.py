@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from strandmix.llm.batches import map_text
 from strandmix.llm.sampling import crc_mod, hashed_share
 
-#: Labelled documents of each language that a fit takes; longest piece in characters; words that a worker remembers; rounds of the fit.
-PER_LANGUAGE, LONGEST, CACHE, ROUNDS = 600, 8, 500_000, 2
+#: Labelled documents of each language that a fit takes; words that a worker remembers; rounds of the fit.
+PER_LANGUAGE, CACHE, ROUNDS = 600, 500_000, 2
 #: Words longer than this are summed in logarithms.
 LINEAR = 24
 #: Probability of a character that is no piece, and the weight that each piece starts with.
@@ -32,7 +32,9 @@ class Vocabulary:
     """Pieces by a rolling hash of their characters."""
 
     def __init__(self, pieces: list[str]):
-        pieces = sorted({x for x in pieces if 0 < len(x) <= LONGEST})
+        pieces = sorted({x for x in pieces if x})
+        #: The longest piece bounds every segment of a word.
+        self.longest = max(map(len, pieces), default=1)
         hashes = np.array([self._hash(x) for x in pieces], dtype=np.uint64)
         order = np.argsort(hashes)
         self.size, self.hashes, self.ids = len(pieces), hashes[order], order.astype(np.int64)
@@ -49,9 +51,12 @@ class Vocabulary:
         n = len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), n).astype(np.uint64) + np.uint64(1)
         out, h = [], codes
-        for s in range(1, min(n, LONGEST) + 1):
+        for s in range(1, min(n, self.longest) + 1):
             if s > 1:
                 h = h[:, :-1] * _BASE + codes[:, s - 1 :]
+            if not len(self.hashes):
+                out.append(np.zeros(h.shape, dtype=np.int64))
+                continue
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             out.append(np.where(self.hashes[at] == h, self.ids[at], self.size))
         return out
@@ -83,41 +88,80 @@ def _span_probabilities(spans: list[np.ndarray], table: np.ndarray) -> list[np.n
     return found
 
 
+def _steps(spans: list[np.ndarray], size: int) -> list[list[tuple[int, np.ndarray | None]]]:
+    """By place: the lengths of pieces that end there in any of the words, and which words (None: all). Long pieces are rare."""
+    n = spans[0].shape[1]
+    ends: list[list[tuple[int, np.ndarray | None]]] = [[] for _ in range(n + 1)]
+    for s, at in enumerate(spans, 1):
+        if s == 1:
+            for j in range(1, n + 1):
+                ends[j].append((1, None))
+            continue
+        hit = at != size
+        for j in np.flatnonzero(hit.any(axis=0)).tolist():
+            ends[j + s].append((s, None if 4 * np.count_nonzero(hit[:, j]) > len(hit) else np.flatnonzero(hit[:, j])))
+    return ends
+
+
+def _alphas(p: list[np.ndarray], steps, linear: bool) -> list[np.ndarray]:
+    """Probability of each beginning of the words, or its logarithm; ``p`` has the spans' alike."""
+    shape, n = p[0][:, 0].shape, p[0].shape[1]
+    alpha = [np.ones(shape) if linear else np.zeros(shape)]
+    for j in range(1, n + 1):
+        total = alpha[j - 1] * p[0][:, j - 1] if linear else alpha[j - 1] + p[0][:, j - 1]
+        for s, rows in steps[j][1:]:
+            if rows is None:
+                total = total + alpha[j - s] * p[s - 1][:, j - s] if linear else np.logaddexp(total, alpha[j - s] + p[s - 1][:, j - s])
+            elif linear:
+                total[rows] += alpha[j - s][rows] * p[s - 1][rows, j - s]
+            else:
+                total[rows] = np.logaddexp(total[rows], alpha[j - s][rows] + p[s - 1][rows, j - s])
+        alpha.append(total)
+    return alpha
+
+
+def _in_scale(spans, table, linear: bool) -> list[np.ndarray]:
+    p = _span_probabilities(spans, table)
+    if linear:
+        return p
+    with np.errstate(divide="ignore"):
+        return [np.log(x) for x in p]
+
+
 def forward(vocab: Vocabulary, table: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word in each language, all segmentations summed. Words have one character at least."""
     out = np.zeros((len(words), table.shape[1]))
     for n, members in _by_length(words):
-        p = _span_probabilities(vocab.spans([words[k] for k in members]), table)
         linear = n <= LINEAR
-        alpha = [np.full((len(members), table.shape[1]), 1.0 if linear else 0.0)]
-        with np.errstate(divide="ignore"):
-            for j in range(1, n + 1):
-                steps = [(alpha[j - s], p[s - 1][:, j - s]) for s in range(1, min(j, LONGEST) + 1)]
-                alpha.append(sum(a * b for a, b in steps) if linear else np.logaddexp.reduce([a + np.log(b) for a, b in steps]))
-            out[members] = np.log(alpha[n]) if linear else alpha[n]
+        spans = vocab.spans([words[k] for k in members])
+        last = _alphas(_in_scale(spans, table, linear), _steps(spans, vocab.size), linear)[n]
+        out[members] = np.log(last) if linear else last
     return out
 
 
 def expected(vocab: Vocabulary, table: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in each language, over all segmentations; longer words than LINEAR are left out."""
+    """Expected uses of each piece in each language, over all segmentations of all words, in logarithms for long ones."""
     total = np.zeros((vocab.size + 1, table.shape[1]))
     for n, members in _by_length(words):
-        if n > LINEAR:
-            continue
+        linear = n <= LINEAR
         spans = vocab.spans([words[k] for k in members])
-        p = _span_probabilities(spans, table)
-        one = np.ones((len(members), table.shape[1]))
-        alpha, beta = [one], {n: one}
-        for j in range(1, n + 1):
-            alpha.append(sum(alpha[j - s] * p[s - 1][:, j - s] for s in range(1, min(j, LONGEST) + 1)))
-        for j in range(n - 1, -1, -1):
-            beta[j] = sum(beta[j + s] * p[s - 1][:, j] for s in range(1, min(n - j, LONGEST) + 1))
-        share = counts[members] / alpha[n]
-        for s, at in enumerate(spans, 1):
-            for j in range(n - s + 1):
-                use = alpha[j] * p[s - 1][:, j] * beta[j + s] * share
+        p, steps = _in_scale(spans, table, linear), _steps(spans, vocab.size)
+        alpha = _alphas(p, steps, linear)
+        beta = [np.zeros_like(alpha[0]) if linear else np.full_like(alpha[0], -np.inf) for _ in range(n)] + [np.ones_like(alpha[0]) if linear else np.zeros_like(alpha[0])]
+        weight = counts[members]
+        for j in range(n, 0, -1):
+            for s, rows in steps[j]:
+                at = slice(None) if rows is None else rows
+                if linear:
+                    ahead = p[s - 1][at, j - s] * beta[j][at]
+                    beta[j - s][at] += ahead
+                    use = alpha[j - s][at] * ahead * weight[at] / alpha[n][at]
+                else:
+                    ahead = p[s - 1][at, j - s] + beta[j][at]
+                    beta[j - s][at] = np.logaddexp(beta[j - s][at], ahead)
+                    use = np.exp(alpha[j - s][at] + ahead - alpha[n][at]) * weight[at]
                 for k in range(table.shape[1]):
-                    total[:, k] += np.bincount(at[:, j], weights=use[:, k], minlength=vocab.size + 1)
+                    total[:, k] += np.bincount(spans[s - 1][at, j - s], weights=use[:, k], minlength=vocab.size + 1)
     return total
 
 

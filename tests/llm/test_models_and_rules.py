@@ -174,7 +174,7 @@ def test_rules_of_several_tokens(spark):
 def segmentations(word, pieces):
     if not word:
         yield 1.0
-    for n in range(1, min(len(word), langid.LONGEST) + 1):
+    for n in range(1, len(word) + 1):
         p = pieces.get(word[:n], langid.UNKNOWN if n == 1 else 0.0)
         p = max(p, langid.UNKNOWN) if n == 1 else p
         if p:
@@ -203,6 +203,73 @@ def test_forward_sums_all_segmentations():
         langid.LINEAR = linear
 
 
+def test_forward_uses_pieces_of_any_length():
+    pieces = ["a", "b", "abababababab", "babab", "ab" * 10, "b" * 17]
+    vocab, names = langid.Vocabulary(pieces), sorted(pieces)
+    table = np.array([[0.1 + 0.01 * k] for k in range(len(names))] + [[0.0]])
+    own = {x: table[i, 0] for i, x in enumerate(names)}
+    words = ["ab" * 10, "ab" * 7, "b" * 18, "bababc", "abababababab"]
+    assert vocab.longest == 20
+    assert np.allclose(langid.forward(vocab, table, words)[:, 0], [np.log(sum(segmentations(w, own))) for w in words])
+
+
+def plain_uses(word, pieces, weight):
+    """Expected uses of each piece, segmentation by segmentation."""
+    ways = []
+
+    def walk(at, used, p):
+        if at == len(word):
+            ways.append((used, p))
+        for n in range(1, len(word) - at + 1):
+            x = word[at : at + n]
+            q = max(pieces.get(x, 0.0), langid.UNKNOWN if n == 1 else 0.0)
+            if q:
+                walk(at + n, [*used, x], p * q)
+
+    walk(0, [], 1.0)
+    total, out = sum(p for _, p in ways), Counter()
+    for used, p in ways:
+        for x in used:
+            out[x if x in pieces else None] += weight * p / total
+    return out
+
+
+@pytest.mark.parametrize("linear", [24, 0])
+def test_expected_uses_like_all_segmentations(monkeypatch, linear):
+    monkeypatch.setattr(langid, "LINEAR", linear)
+    pieces = {"a": 0.2, "b": 0.1, "ab": 0.3, "ba": 0.05, "aba": 0.15, "babababa": 0.1, "abababababa": 0.1}
+    vocab, names = langid.Vocabulary(list(pieces)), sorted(pieces)
+    table = np.array([[pieces[x]] for x in names] + [[0.0]])
+    words, weights = ["abab", "ba", "abababababab", "cab", "a"], [2.0, 1.0, 3.0, 1.0, 5.0]
+    got, want = langid.expected(vocab, table, words, np.array(weights)[:, None]), Counter()
+    for w, x in zip(words, weights):
+        want.update(plain_uses(w, pieces, x))
+    assert np.allclose(got[:, 0], [want[x] for x in names] + [want[None]])
+
+
+def test_a_long_run_without_blanks_teaches_and_is_scored():
+    vocab = langid.Vocabulary(list("漢字仮名文") + ["漢字", "仮名文", "▁"])
+    model = langid.learn(vocab, ["x", "y"], ["漢字" * 300, "仮名文" * 200], np.array([[1.0, 0.0], [0.0, 1.0]]))
+    assert model.texts(vocab, ["漢字漢字漢字", "仮名文仮名文", "漢字" * 20_000])[0] == ["x", "y", "x"]
+    assert model.table[sorted(["漢", "字", "仮", "名", "文", "漢字", "仮名文", "▁"]).index("漢字"), 0] > 0.4
+
+
+def test_the_whole_vocabulary_counts():
+    vocab = langid.vocabulary(P.path("piece_bpe_32k.model"))
+    assert vocab.longest > 8 and vocab.size > 25_000
+
+
+def test_texts_like_the_sum_of_their_words():
+    rng = random.Random(4)
+    vocab, names = langid.Vocabulary(["a", "b", "▁", "▁a", "ab", "bab"]), sorted(["a", "b", "▁", "▁a", "ab", "bab"])
+    table = np.array([[rng.random(), rng.random(), rng.random()] for _ in names] + [[0.0] * 3])
+    model = langid.LanguageModel(["p", "q", "r"], table)
+    texts = [" ".join("".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    for text, name, score in zip(texts, *model.texts(vocab, texts)):
+        logs = [sum(np.log(sum(segmentations("▁" + w, {x: table[i, k] for i, x in enumerate(names)}))) for w in text.split()) for k in range(3)]
+        assert name == "pqr"[int(np.argmax(logs))] and np.isclose(score, 1 / sum(np.exp(x - max(logs)) for x in logs))
+
+
 def test_expected_uses_of_a_word_sum_to_its_length():
     vocab = langid.Vocabulary(["a", "b", "ab", "ba", "aba"])
     table = np.array([[0.2], [0.2], [0.3], [0.1], [0.2], [0.0]])
