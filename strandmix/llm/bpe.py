@@ -6,16 +6,18 @@ cut. Words of the public split pattern are cut there, the fragments are encoded
 
 from __future__ import annotations
 
-import base64
 import hashlib
+import json
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from strandmix.llm.batches import map_text
+from strandmix.llm.batches import bounded, byte_signs, map_text
 
 #: Words and fragments that a worker remembers at most.
 CACHE = 300_000
@@ -108,38 +110,57 @@ class ForcedBpe:
 
 
 @lru_cache(maxsize=2)
-def load(ranks_path: str, pattern: str, specials: tuple[tuple[str, int], ...]) -> ForcedBpe:
-    """The encoder of a file of ranks, kept by the worker."""
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return ForcedBpe(ranks, pattern, dict(specials))
+def load(path: str, pattern: str) -> ForcedBpe:
+    """The encoder of a byte-level tokenizer file (vocabulary, merges, added tokens), kept by the worker.
 
-
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, specials: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ``pattern`` splits text before the merges. ValueError for files whose ids aren't in the order of their merges, or whose added
+    tokens strip or need blanks.
+    """
+    with open(path, encoding="utf-8") as lines:
+        given = json.load(lines)
+    shown = {c: bytes([b]) for b, c in enumerate(byte_signs())}
+    special = {x["content"]: x["id"] for x in given["added_tokens"]}
+    ranks = {b"".join(map(shown.__getitem__, token)): k for token, k in given["model"]["vocab"].items() if token not in special}
+    pairs = (x.split(" ") if isinstance(x, str) else x for x in given["model"]["merges"])
+    made = [given["model"]["vocab"][a + b] for a, b in pairs]
+    if made != sorted(made) or any(x[y] for x in given["added_tokens"] for y in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: merges out of order, or added tokens with conditions")
+    return ForcedBpe(ranks, pattern, special)
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: number of ids, digest of the ids, digest of the decoded text.
 
-    ``ranks_path`` is a vocabulary file that every executor has, as part of an installed package. A null text counts as empty:
-    no ids, digests of the empty string. Ids of documents may be null or repeat; each row is encoded on its own. Nothing is
-    shuffled, and a worker holds about two megabytes of text and CACHE words.
+    ``path`` is a tokenizer file that every executor has, as part of an installed package. A null text counts as empty: no ids,
+    digests of the empty string. Ids of documents may be null or repeat; each row is encoded on its own. Nothing is shuffled, and a
+    worker holds about two megabytes of text and CACHE words.
     """
-    given = tuple(specials.items())
 
     def rows(ids, texts):
-        bpe = load(ranks_path, pattern, given)
+        bpe = load(path, pattern)
         found = [bpe.digest(x or "") for x in texts]
         return {"n_tokens": [x[0] for x in found], "ids_sha256": [x[1] for x in found], "decoded_sha256": [x[2] for x in found]}
 
     return map_text(docs, id_col, text_col, rows, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, specials: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its ids as an array; a null text has none."""
-    given = tuple(specials.items())
 
     def rows(ids, texts):
-        bpe = load(ranks_path, pattern, given)
-        import pyarrow as pa
-
+        bpe = load(path, pattern)
         return {"ids": pa.array([bpe.encode(x or "") for x in texts], type=pa.list_(pa.int32()))}
 
     return map_text(docs, id_col, text_col, rows, "ids array<int>")
+
+
+def decode_ids(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """One row per input row with the text of its ids, special tokens kept; null ids give null, an id of no token an error."""
+
+    def run(batches):
+        bpe = load(path, pattern)
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else bpe.decode(x) for x in part.column(1).to_pylist()], type=pa.string())], names=[id_col, "text"])
+
+    kept = rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return bounded(kept).mapInArrow(run, f"{id_col} long, text string")

@@ -50,7 +50,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from strandmix.llm.bpe import encode_decode
 
-    return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def labels(spark):
     return spark.createDataFrame([(1, 1, 0), (3, 0, None), (None, 1, 1), (8, None, 0), (6, 0, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
 
 
-WORD, BYTE, PIECE = (P.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+WORD, BYTE, PIECE = (P.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 OPERATORS = {
     "ngram_join": lambda s, d: ngram_join.jaccard_join(d),
     "pii": lambda s, d: pii.find_pii(d),
@@ -39,7 +39,7 @@ OPERATORS = {
     "quality_rules": lambda s, d: quality_rules.judge(d),
     "licenses": lambda s, d: licenses.scan(d),
     "langid": lambda s, d: langid.identify(d, langid.train(d, PIECE), PIECE),
-    "bpe": lambda s, d: bpe.encode_decode(d, BYTE, P.PATTERN, {"<|endoftext|>": 50256}),
+    "bpe": lambda s, d: bpe.encode_decode(d, BYTE, P.PATTERN),
     "quality_fm": lambda s, d: quality_fm.score(d, quality_fm.train(d, labels(s))),
     "urls": lambda s, d: url_rules.filter_urls(s, d.withColumnsRenamed({"doc_id": "page_id", "text": "url"}), labels(s)).withColumnRenamed("page_id", "doc_id"),
 }

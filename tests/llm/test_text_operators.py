@@ -121,7 +121,7 @@ ODD = ["a<|endoftext|>b<|startoftext|>", "", "  x\n\n\n y\t", "İΣς ΑΣ ﬁ 
 
 @pytest.fixture(scope="module")
 def forced():
-    return bpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, (("<|endoftext|>", 50256),))
+    return bpe.load(P.path("byte_bpe_50k.json"), P.PATTERN)
 
 
 @pytest.fixture(scope="module")
@@ -148,6 +148,26 @@ def check_bpe(forced, library, text):
     assert forced.digest(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
+def test_ids_and_back(spark, library):
+    texts = [*ODD[:6], None, "x" * 70]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = bpe.encode_ids(docs, P.path("byte_bpe_50k.json"), P.PATTERN)
+    got = {r.doc_id: r.ids for r in ids.collect()}
+    assert got == {k: library["byte_bpe_50k.json"].encode(t or "", add_special_tokens=False).ids for k, t in enumerate(texts)}
+    back = {r.doc_id: r.text for r in bpe.decode_ids(ids, P.path("byte_bpe_50k.json"), P.PATTERN).collect()}
+    assert back == {k: t or "" for k, t in enumerate(texts)}
+    assert bpe.decode_ids(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), P.path("byte_bpe_50k.json"), P.PATTERN).first().text is None
+
+
+def test_tokenizer_files_out_of_order_are_refused(tmp_path):
+    import json
+
+    vocab = {c: k for k, c in enumerate(["a", "b", "bb", "ab"])}
+    (tmp_path / "t.json").write_text(json.dumps({"added_tokens": [], "model": {"vocab": vocab, "merges": ["a b", "b b"]}}))
+    with pytest.raises(ValueError):
+        bpe.load(str(tmp_path / "t.json"), P.PATTERN)
+
+
 def test_cuts_lie_between_bytes_of_no_token(forced):
     rng = random.Random(4)
     for _ in range(300):
