@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmix.llm.storage import written
+
 #: Rows of a few short columns that may be broadcast: some tens of MB.
 SMALL = 500_000
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """The frame, kept on the executors (and made again where one is lost), and its number of rows."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """The frame as a table in the shared folder, and its number of rows, which the table's footers have."""
+    kept = written(df)
     return kept, kept.count()
 
 
