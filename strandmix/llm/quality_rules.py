@@ -1,7 +1,8 @@
 """Quality rules in SQL expressions: rules on a document by itself, and the frequency of its lines across documents of a host.
 
-Lines are normalised and hashed; distinct documents are counted per host and line; lines above a limit are removed, and documents that
-keep too little are rejected. Documents of one host with equal texts count once, so copies don't make each other's lines frequent.
+Lines are normalised and hashed; distinct documents are counted per host and line; lines in more than a share of the host's documents
+are removed, and documents that keep too little are rejected. Documents of one host with equal texts are one document: else a group of
+copies would make its own lines frequent, and all of them would go before one can be kept.
 """
 
 from __future__ import annotations
@@ -9,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmix.llm import sized
 from strandmix.llm.sized import counted, sized_join
 
-#: Documents of a host that may share a line; share of words that must stay.
-MAX_DOCUMENTS, MIN_KEPT = 50, 0.2
+#: Documents of a host that may share a line: so many in any case, and so many percent of the host's. Percent of words that must stay.
+MAX_DOCUMENTS, MAX_PERCENT, MIN_PERCENT = 2, 2, 50
+#: What stands for a document itself among its lines.
+WHOLE = 0
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 _WORDS = f"array_remove(split(text, '{_SPACE}'), '')"
@@ -66,65 +70,104 @@ def text_key(text_col: str) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
-def frequent_lines(lines: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """(host, line) with more than ``max_documents`` distinct documents. Both counts combine before they are shuffled."""
-    return lines.select("host", "line", "key").distinct().groupBy("host", "line").count().where(F.col("count") > max_documents).select("host", "line")
+def frequent_lines(lines: DataFrame, max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT) -> DataFrame:
+    """(host, line) with more than ``max_documents`` distinct documents and more than ``max_percent`` percent of the host's.
+
+    ``lines`` has (host, line, key), and a row with line WHOLE for each document. Counts combine before they are shuffled, and a host's
+    documents are counted like one more line, so no host is gathered.
+    """
+    counts = lines.select("host", "line", "key").distinct().groupBy("host", "line").count()
+    several, _ = counted(counts.where(F.col("count") > max_documents))
+    hosts = several.where(F.col("line") == WHOLE).select("host", F.col("count").alias("documents"))
+    return sized_join(several.where(F.col("line") != WHOLE), hosts, "host", "inner", hosts.count()).where(100 * F.col("count") > max_percent * F.col("documents")).select("host", "line")
+
+
+def _kept(docs: DataFrame, text_col: str, host_col: str, *more) -> DataFrame:
+    return docs.select(*more, F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+#: SQL: the normal form of each line: lower case, runs of digits as 0, runs of blanks as one.
+_NORM = r"transform(split(text, '\\n'), x -> trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0'), '[\\x20\\x09-\\x0D]+', ' ')))"
 
 
 def lines_of(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(host, key, pos, line, words): the hashed normal form of each line, of any length. A null host is a host, the empty one."""
-    norm = r"transform(split(text, '\\n'), x -> trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0'), '[\\x20\\x09-\\x0D]+', ' ')))"
-    kept = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lines = kept.select("host", "key", F.posexplode(F.expr(norm)).alias("pos", "norm")).where("norm != ''")
-    return lines.select("host", "key", "pos", F.xxhash64("norm").alias("line"), (F.length("norm") - F.length(F.regexp_replace("norm", " ", "")) + 1).cast("long").alias("words"))
+    lines = _kept(docs, text_col, host_col).select("host", "key", F.posexplode(F.expr(_NORM)).alias("pos", "norm")).where("norm != ''")
+    return lines.select("host", "key", "pos", _line("norm").alias("line"), (F.length("norm") - F.length(F.regexp_replace("norm", " ", "")) + 1).cast("long").alias("words"))
+
+
+def _line(norm: str) -> Column:
+    """Hash of a line, which is never WHOLE."""
+    return F.when(F.xxhash64(norm) == WHOLE, F.lit(1)).otherwise(F.xxhash64(norm))
 
 
-def removed_words(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """(host, key, removed, places): words in frequent lines and where these stand, for each distinct text of a host that has such lines."""
-    lines = lines_of(docs, text_col, host_col)
-    frequent, n = counted(frequent_lines(lines, max_documents))
-    hit = sized_join(lines, frequent, ["host", "line"], "inner", n)
-    return hit.groupBy("host", "key", "pos").agg(F.max("words").alias("words")).groupBy("host", "key").agg(F.sum("words").alias("removed"), F.sort_array(F.collect_list("pos")).alias("places"))
+def documents_of_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(host, key, line): each document's distinct lines once, and WHOLE for the document itself."""
+    norms = F.expr(f"array_union(array(''), {_NORM})")
+    lines = _kept(docs, text_col, host_col).select("host", "key", F.explode(norms).alias("norm"))
+    return lines.select("host", "key", F.when(F.col("norm") == "", F.lit(WHOLE)).otherwise(_line("norm")).alias("line"))
+
+
+#: SQL: of a text on whose host ``lines`` are frequent, the places of these and their words.
+_HITS = let(
+    _NORM,
+    "m",
+    "transform(filter(transform(m, (x, i) -> struct(i AS i, x AS x)), s -> s.x != '' AND array_contains(lines, if(xxhash64(s.x) = 0, 1L, xxhash64(s.x)))), "
+    "s -> struct(s.i AS i, CAST(length(s.x) - length(replace(s.x, ' ', '')) + 1 AS LONG) AS w))",
+)
+
+
+def _marked(table: DataFrame, docs: DataFrame, text_col: str, host_col: str, max_documents: int, max_percent: int) -> DataFrame:
+    """``table``, which has host, key and text, with (removed, places): words in frequent lines and where these stand; null without any.
+
+    Frequent lines are few and are broadcast by host; documents then find theirs in place and aren't shuffled. Were they more than may
+    be broadcast, lines would be joined, and what they find would be joined to documents by host and key.
+    """
+    frequent, n = counted(frequent_lines(documents_of_lines(docs, text_col, host_col), max_documents, max_percent))
+    if n <= sized.SMALL:
+        by_host = frequent.groupBy("host").agg(F.collect_list("line").alias("lines"))
+        marked = table.join(F.broadcast(by_host), "host", "left").withColumn("hits", F.expr(f"if(lines IS NULL, NULL, {_HITS})")).withColumn("hits", F.expr("if(size(hits) > 0, hits, NULL)"))
+        return marked.withColumns({"removed": F.expr("aggregate(hits, 0L, (a, h) -> a + h.w)"), "places": F.col("hits.i")}).drop("lines", "hits")
+    hit = lines_of(docs, text_col, host_col).join(frequent.hint("merge"), ["host", "line"])
+    found = hit.groupBy("host", "key", "pos").agg(F.max("words").alias("words")).groupBy("host", "key").agg(F.sum("words").alias("removed"), F.sort_array(F.collect_list("pos")).alias("places"))
+    return table.join(found.hint("merge"), ["host", "key"], "left")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT, min_percent: int = MIN_PERCENT) -> DataFrame:
     """One row per input row: the rules' figures, base_failed, removed_words, kept.
 
-    ``kept`` is false where base_failed, or where less than ``min_kept`` of the words stay when frequent lines go. Null texts have no
+    ``kept`` is false where base_failed, or where less than ``min_percent`` percent of the words stay when frequent lines go. Null texts have no
     words and fail. Null or repeated ids are judged row by row, as nothing is joined by id.
     """
-    own = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    own = base_columns(own).select(id_col, "host", "key", "rule_stats.*")
-    removed, n = counted(removed_words(docs, text_col, host_col, max_documents).drop("places"))
-    joined = sized_join(own, removed, ["host", "key"], "left", n)
-    gone = F.coalesce("removed", F.lit(0))
+    # Rows travel under names of their own until the end, so that the id's name can't clash.
+    own = _kept(docs.withColumn("rule_id", F.col(id_col).cast("long")), text_col, host_col, "rule_id")
+    joined = base_columns(_marked(own, docs, text_col, host_col, max_documents, max_percent)).select(F.col("rule_id").alias(id_col), "rule_stats.*", F.coalesce("removed", F.lit(0)).cast("long").alias("removed_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return joined.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ((F.col("n_words") - gone) >= min_kept * F.col("n_words"))).alias("kept"), gone.alias("removed_words"))
+    kept = ~failed & (100 * (F.col("n_words") - F.col("removed_words")) >= min_percent * F.col("n_words"))
+    return joined.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "removed_words")
 
 
-def _good(docs: DataFrame, text_col: str, host_col: str, max_documents: int, min_kept: float) -> DataFrame:
+def _good(docs: DataFrame, text_col: str, host_col: str, max_documents: int, max_percent: int, min_percent: int) -> DataFrame:
     """(row, places): the rows that ``judge`` keeps, and the sorted places of their frequent lines, null where there are none."""
     # Rows travel as one column, so that their names can't clash with the figures.
-    whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    good = base_columns(whole).where(~base_failed(F.col("rule_stats"))).select("row", "host", "key", F.col("rule_stats.n_words").alias("n_words"))
-    removed, n = counted(removed_words(docs, text_col, host_col, max_documents))
-    left = (F.col("n_words") - F.coalesce("removed", F.lit(0))) >= min_kept * F.col("n_words")
-    # Places have no fixed size: each counts as a row of what may be broadcast.
-    n += n and removed.agg(F.sum(F.size("places"))).first()[0]
-    return sized_join(good, removed, ["host", "key"], "left", n).where(left).select("row", "places")
+    whole = _kept(docs, text_col, host_col, F.struct("*").alias("row"))
+    good = base_columns(whole).where(~base_failed(F.col("rule_stats")))
+    marked = _marked(good, docs, text_col, host_col, max_documents, max_percent)
+    left = 100 * (F.col("rule_stats.n_words") - F.coalesce("removed", F.lit(0))) >= min_percent * F.col("rule_stats.n_words")
+    return marked.where(left).select("row", "places")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT, min_percent: int = MIN_PERCENT) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns as they are."""
-    return _good(docs, text_col, host_col, max_documents, min_kept).select("row.*")
+    return _good(docs, text_col, host_col, max_documents, max_percent, min_percent).select("row.*")
 
 
-def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", chars_col: str | None = None, max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT) -> DataFrame:
+def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", chars_col: str | None = None, max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT, min_percent: int = MIN_PERCENT) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, their texts without frequent lines; other lines stay as they are, in their order.
 
     ``chars_col``, where given and present, becomes the new length of a text that changed.
     """
-    good = _good(docs, text_col, host_col, max_documents, min_kept)
+    good = _good(docs, text_col, host_col, max_documents, max_percent, min_percent)
     # What lies between two places that go stays: linear in the lines of a text.
     stays = let(
         r"split(text, '\\n')",
@@ -149,13 +192,14 @@ c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (SELECT unnest(range(0,
 l AS (SELECT doc_id, host, md5(text) AS t, unnest(string_split(text, chr(10))) AS line FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT doc_id, host, t, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l),
-s AS (SELECT *, len(norm) - len(replace(norm, ' ', '')) + 1 AS words FROM m WHERE norm <> '' AND len(norm) - len(replace(norm, ' ', '')) + 1 <= 20),
-f AS (SELECT host, norm FROM s GROUP BY 1, 2 HAVING count(DISTINCT t) > 50),
+s AS (SELECT *, len(norm) - len(replace(norm, ' ', '')) + 1 AS words FROM m WHERE norm <> ''),
+h AS (SELECT host, count(DISTINCT md5(text)) AS documents FROM d GROUP BY 1),
+f AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT t) AS n FROM s GROUP BY 1, 2) JOIN h USING (host) WHERE n > 2 AND 100 * n > 2 * documents),
 x AS (SELECT doc_id, sum(words) AS n FROM s JOIN f USING (host, norm) GROUP BY doc_id),
 b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(x.n, 0) AS BIGINT) AS removed_words
   FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN x ON d.doc_id = x.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= 0.2 * n_words) AS kept, removed_words FROM b
+  (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - removed_words) >= 50 * n_words) AS kept, removed_words FROM b
 """
