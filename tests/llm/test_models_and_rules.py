@@ -35,7 +35,7 @@ def test_rules_like_the_plain_version(spark):
 
 
 def test_lines_that_many_documents_of_a_host_share(spark):
-    prose = lambda k: " ".join(f"p{k}w{j}" for j in range(30))
+    prose = lambda k: " ".join(f"{'abcdefgh'[k]}w{'x' * j}" for j in range(30))  # noqa: E731  # letters: digits are alike in the normal form
     line = "Subscribe to our letter no {} for more news of this kind"
     rows = [(k, f"{line.format(k % 9)}\n{prose(k)}", "a") for k in range(8)]
     rows += [(100 + k, "\n".join([line.format(1)] * 3 + [f"only these t{k}"]), "a") for k in range(3)]
@@ -55,6 +55,7 @@ def test_long_lines_count_like_short_ones(spark):
     notice = " ".join(f"notice{j}x" for j in range(60))
     rows = [(k, f"{notice}\nown words {'x' * (k + 1)}", "a") for k in range(quality_rules.MAX_DOCUMENTS + 1)] + [(900, notice, "a"), (901, notice, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert len(rows) > 3
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert all(got[r[0]].removed_words == 60 and not got[r[0]].kept and not got[r[0]].base_failed for r in rows[:-1])
     assert got[901].removed_words == 0 and [r.doc_id for r in quality_rules.keep_good(docs).collect()] == [901]
@@ -121,25 +122,77 @@ def test_hosts_paths_and_listed_rules(spark):
         assert got[k].rule == (listed[0] if listed else None) and got[k].verdict == (listed[1] if listed else "allow"), url
 
 
-def test_mined_rules_block_what_they_match(spark):
+def planted_urls(spark, n=600):
     rng, pages, labels = random.Random(6), [], []
-    for k in range(600):
+    for k in range(n):
         bad = k % 5 == 0
         host = f"{rng.choice(['www', 'm'])}.{'casino-' if bad else ''}{rng.choice(['red', 'blue', 'green'])}.com"
         pages.append((k, f"http://{host}/{rng.choice(['en', 'fr'])}/{k}"))
         if k % 2 == 0:
             labels.append((k, 1, int(bad)))
-    p, lb = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    rules = {r.rule_id: r for r in url_rules.mine(url_rules.baskets_of(p, lb, "page_id", "url", "doc_id"), 0.05, 0.9).collect()}
-    assert "w:casino" in rules and all(r.confidence >= 0.9 for r in rules.values())
-    assert not any("w:casino" in r.tokens and len(r.tokens) > 1 for r in rules.values())  # simpler rules say as much
-    got = url_rules.judge(p, url_rules.mine(url_rules.baskets_of(p, lb, "page_id", "url", "doc_id"), 0.05, 0.9)).collect()
+    return spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_mined_rules_decide_what_they_match(spark):
+    p, lb = planted_urls(spark)
+    rules = url_rules.mine(url_rules.baskets_of(p, lb)).collect()
+    block = [r for r in rules if r.verdict == "block"]
+    assert ["w:casino"] in [r.tokens for r in block] and all(r.lift >= 1.25 and r.pages >= 10 for r in rules)
+    assert not any("w:casino" in r.tokens and len(r.tokens) > 1 for r in block)  # simpler rules say as much
+    got = url_rules.judge(p, url_rules.mine(url_rules.baskets_of(p, lb))).collect()
     for r in got:
         assert (r.verdict == "block") == ("casino" in r.host)
     # Brute force: a rule fires where all its tokens stand.
-    tokens = {r.page_id: set(r.tokens) for r in url_rules._kept(p, "page_id", "url").collect()}
+    tokens = {r.page: set(r.tokens) for r in url_rules._kept(p, "page_id", "url").collect()}
     for r in got:
-        assert r.n_rules == sum(set(x.tokens) <= tokens[r.page_id] for x in rules.values())
+        fired = [x for x in rules if set(x.tokens) <= tokens[r.page_id]]
+        assert r.n_rules == len(fired) and r.lift == max((x.lift for x in fired), default=None)
+
+
+def test_mined_rules_hold_on_pages_kept_out(spark):
+    p, lb = planted_urls(spark)
+    got = {r.verdict: r for r in url_rules.held_out_lift(p, lb).collect()}
+    assert got["block"].share == 1.0 and got["block"].base < 0.3 and got["block"].pages > 5
+
+
+def test_rules_fire_on_the_tables(spark):
+    p, lb = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("pages", "labels"))
+    got = url_rules.filter_urls(spark, p, lb).collect()
+    none = {r.page_id: r for r in url_rules.filter_urls(spark, p, lb.limit(0)).collect()}
+    assert sum(r.n_rules > 0 for r in got) > 0 and not any(r.n_rules for r in none.values())
+    assert sum(r.verdict != none[r.page_id].verdict for r in got) > 0
+    assert all(r.verdict == none[r.page_id].verdict for r in got if r.rule is not None or not r.n_rules)
+
+
+def plain_rules_of(baskets, min_pages, min_lift):
+    """Every set of tokens of every basket, counted."""
+    n, base, uses = len(baskets), Counter(v for _, v in baskets), Counter()
+    where = defaultdict(frozenset)
+    for t in {t for ts, _ in baskets for t in ts}:
+        where[t] = frozenset(k for k, (ts, _) in enumerate(baskets) if t in ts)
+    stays = {min(t for t in where if where[t] == rows) for rows in set(where.values()) if len(rows) < n}
+    for ts, v in baskets:
+        own = sorted(set(ts) & stays)
+        for k in range(1, len(own) + 1):
+            for c in itertools.combinations(own, k):
+                uses[c, None] += 1
+                uses[c, v] += 1
+    rules = {(c, v): k / uses[c, None] / (base[v] / n) for (c, v), k in uses.items() if v and k >= min_pages}
+    rules = {x: lift for x, lift in rules.items() if lift >= min_lift}
+    return {x: lift for x, lift in rules.items() if not any(y[1] == x[1] and set(y[0]) < set(x[0]) and other >= lift for y, other in rules.items())}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rules_of_any_length_like_all_sets(spark, seed):
+    rng, baskets = random.Random(seed), []
+    for _ in range(150):
+        ts = [t for t in "abcdefg" if rng.random() < 0.6] + (["x", "y", "z"] if rng.random() < 0.4 else [])
+        baskets.append((ts, "block" if set("abcd") <= set(ts) and rng.random() < 0.9 or rng.random() < 0.2 else "allow"))
+    got = url_rules.mine(spark.createDataFrame(baskets, "tokens array<string>, verdict string").repartition(3), 8, 1.2).collect()
+    want = plain_rules_of(baskets, 8, 1.2)
+    assert {(tuple(r.tokens), r.verdict) for r in got} == set(want) and len(want) > 3
+    assert all(np.isclose(r.lift, want[tuple(r.tokens), r.verdict]) and r.first in r.tokens for r in got)
+    assert max(len(r.tokens) for r in got) > 3
 
 
 def test_urls_like_their_sql(spark, tmp_path):
@@ -161,14 +214,9 @@ def test_urls_like_their_sql(spark, tmp_path):
     want = con.execute(url_rules.ORACLE)
     assert [x[0] for x in want.description] == got.columns
     rows = sorted(map(tuple, got.collect()))
-    assert rows == sorted(want.fetchall()) and any(r[5] for r in rows) and len({r[5] for r in rows}) > 2
-
-
-def test_rules_of_several_tokens(spark):
-    rows = [(["a", "b"], True)] * 30 + [(["a"], False)] * 40 + [(["b"], False)] * 40
-    baskets = spark.createDataFrame([(t + [url_rules.BLOCK] * bad,) for t, bad in rows], "items array<string>")
-    got = url_rules.mine(baskets, 0.05, 0.9).collect()
-    assert [r.tokens for r in got] == [["a", "b"]]
+    want = sorted(want.fetchall())
+    assert [r[:6] for r in rows] == [r[:6] for r in want] and all((a[6] is None) == (b[6] is None) and np.isclose(a[6] or 0, b[6] or 0) for a, b in zip(rows, want))
+    assert any(r[5] for r in rows) and len({r[5] for r in rows}) > 2
 
 
 def segmentations(word, pieces):
@@ -342,12 +390,65 @@ def test_sample_share(spark):
 
 def test_rule_counts_hosts_apart(spark):
     groups = defaultdict(set)
-    lines = spark.createDataFrame([("a", 1, ("k", "k")), ("a", 1, ("k", "k")), ("a", 1, ("l", "l")), ("b", 1, ("k", "k"))], "host string, line long, key struct<a: string, b: string>")
+    docs = [("a", 0, ("k", "k")), ("a", 0, ("l", "l")), ("b", 0, ("k", "k"))]
+    lines = spark.createDataFrame([*docs, ("a", 1, ("k", "k")), ("a", 1, ("k", "k")), ("a", 1, ("l", "l")), ("b", 1, ("k", "k"))], "host string, line long, key struct<a: string, b: string>")
     for r in quality_rules.frequent_lines(lines, 1).collect():
         groups[r.host].add(r.line)
     assert groups == {"a": {1}}
 
 
+def plain_frequent(docs, max_documents, max_percent):
+    """(host, normal form) of frequent lines, every document of a host compared."""
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", x.lower())).strip(" ")
+    texts = defaultdict(set)
+    for _, text, host in docs:
+        texts[host or ""].add(text or "")
+    out = set()
+    for host, own in texts.items():
+        uses = Counter(n for t in own for n in {norm(x) for x in t.split("\n")} if n)
+        out |= {(host, n) for n, k in uses.items() if k > max_documents and 100 * k > max_percent * len(own)}
+    return out, norm
+
+
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_frequent_lines_like_the_plain_version(spark, monkeypatch, small):
+    from strandmix.llm import sized
+
+    monkeypatch.setattr(sized, "SMALL", small)
+    rng, docs = random.Random(11), []
+    stock = [" ".join(rng.choice("abcdefg") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 30))) for _ in range(25)]
+    for k in range(400):
+        own = [" ".join(f"{rng.choice('hijk')}{rng.choice('lmnop') * rng.randrange(1, 6)}" for _ in range(12)) for _ in range(rng.randrange(0, 4))]
+        lines = rng.sample(stock, min(25, int(rng.expovariate(0.5)))) + own
+        rng.shuffle(lines)
+        docs.append((k, rng.choice(["\n", "\n\n", " \r\n"]).join(lines) if rng.random() < 0.97 else None, rng.choice(["x", "x", "x", "y", None])))
+    docs += [(900 + k, docs[0][1], docs[0][2]) for k in range(30)]
+    want, norm = plain_frequent(docs, 2, 12)
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: r for r in quality_rules.judge(df, max_percent=12).collect()}
+    kept = {r.doc_id: r.text for r in quality_rules.clean(df, max_percent=12).collect()}
+    assert len(want) > 5 and len({got[k].kept for k, *_ in docs}) == 2
+    changed = 0
+    for k, text, host in docs:
+        lines = (text or "").split("\n")
+        gone = sum(len(norm(x).split(" ")) for x in lines if (host or "", norm(x)) in want)
+        n, failed = plain_rules(text)[0], plain_rules(text)[5]
+        assert got[k].removed_words == gone and got[k].base_failed == failed
+        assert got[k].kept == (not failed and 100 * (n - gone) >= 50 * n)
+        assert (k in kept) == got[k].kept
+        if k in kept:
+            assert kept[k] == ("\n".join(x for x in lines if (host or "", norm(x)) not in want) if gone else text)
+        changed += got[k].kept == failed
+    assert changed > 20
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_line_frequency_decides_on_the_tables(spark, sf):
+    got = quality_rules.judge(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+    assert sum(r.removed_words > 0 for r in got) > len(got) / 10
+    assert 0 < sum(not r.kept and not r.base_failed for r in got) < len(got) / 100
+
+
 @pytest.mark.parametrize("text,n", [("a b c d e f a b c d e", 10), ("a a a a a a", 6), ("a b c d", 0)])
 def test_repeated_words(spark, text, n):
     got = quality_rules.base_columns(spark.createDataFrame([(text,)], "text string")).first()
