@@ -1,7 +1,8 @@
 """License scans by ordered signature rules, in SQL expressions.
 
-A gate finds the few texts that name a license at all. There, keywords choose the rules to try; the matches of all rules are sorted, and
-those that lie inside another, or equal one of a stronger rule, are suppressed. Everything is worked out within the row.
+A gate finds the few texts that name a license at all. There, keywords choose the rules to try. Of the matches of all rules those that
+lie inside another, or equal one of a stronger rule, are suppressed; of two that overlap in part, the weaker one is. Everything is worked
+out within the row.
 """
 
 from __future__ import annotations
@@ -50,11 +51,21 @@ def _detections(rules: str) -> str:
     return f"array_sort(flatten(transform({let('lower(t)', 'lo', f'filter({rules}, r -> contains(lo, r.keyword))')}, r -> {each})))"
 
 
-#: SQL: of sorted detections ``d``, those that end behind all before them.
-_KEPT = (
-    "aggregate(d, struct(CAST(array() AS array<struct<start: int, less: int, priority: int, label: string, weight: double, end: int>>) AS kept, -1 AS end), "
+_FOUND = "array<struct<start: int, less: int, priority: int, label: string, weight: double, end: int>>"
+#: SQL: of sorted detections ``d``, those that end behind all before them, so that none lies inside another.
+_OUTER = (
+    f"aggregate(d, struct(CAST(array() AS {_FOUND}) AS kept, -1 AS end), "
     "(a, x) -> if(x.end <= a.end, a, struct(array_append(a.kept, x) AS kept, x.end AS end)), a -> a.kept)"
 )
+#: SQL: of those, ``o``, from the left: each against the survivor before it; where they overlap the stronger one survives.
+_KEPT = let(
+    f"aggregate(o, struct(CAST(array() AS {_FOUND}) AS kept, CAST(NULL AS struct<start: int, less: int, priority: int, label: string, weight: double, end: int>) AS last), "
+    "(a, x) -> CASE WHEN a.last IS NULL THEN struct(a.kept AS kept, x AS last) WHEN x.start >= a.last.end THEN struct(array_append(a.kept, a.last) AS kept, x AS last) "
+    "WHEN x.priority < a.last.priority THEN struct(a.kept AS kept, x AS last) ELSE a END)",
+    "s",
+    "if(s.last IS NULL, s.kept, array_append(s.kept, s.last))",
+)
+_SURVIVORS = let(_OUTER, "o", _KEPT)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, gate: str = GATE) -> DataFrame:
@@ -68,11 +79,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     rules = RULES if rules is None else rules
     table = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     literal = "array(" + ", ".join(f"struct({_sql(x.label)} AS label, {_sql(x.keyword)} AS keyword, {_sql('(?i)' + x.pattern)} AS pattern, {x.priority} AS priority, CAST({x.weight} AS DOUBLE) AS weight)" for x in rules) + ")"
-    none = "CAST(array() AS array<struct<start: int, less: int, priority: int, label: string, weight: double, end: int>>)"
+    none = f"CAST(array() AS {_FOUND})"
     names = list(PHRASES)
     base = ", ".join(f"if(named, {_places(x)}, struct(0L AS n, 0L AS before, 0L AS behind)) AS b{k}" for k, x in enumerate(names))
     table = table.selectExpr(id_col, "t", f"t RLIKE {_sql(gate + '|all[^a-z]+rights|cc[^a-z]+by')} AS named", f"CAST(regexp_count(t, {_WORD}) AS LONG) AS n_words")
-    found = table.selectExpr(id_col, "n_words", f"struct({base}) AS b", f"if(named, {let(_detections(literal), 'd', _KEPT)}, {none}) AS d")
+    found = table.selectExpr(id_col, "n_words", f"struct({base}) AS b", f"if(named, {let(_detections(literal), 'd', _SURVIVORS)}, {none}) AS d")
     size = {x: len(x.split()) for x in names}
     firsts = ", ".join(f"if(b.b{k}.n > 0, b.b{k}.before, NULL)" for k in range(len(names)))
     lasts = ", ".join(f"if(b.b{k}.n > 0, n_words - b.b{k}.behind - {size[x]}, NULL)" for k, x in enumerate(names))
@@ -88,3 +99,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
         "CAST(coalesce(array_max(transform(d, x -> x.weight)), if(b.b0.n + b.b1.n + b.b2.n > 0, 0.5D, 0D)) AS DOUBLE) AS score",
         "array_join(transform(d, x -> concat_ws(':', x.label, x.start, x.end)), ',') AS detections",
     )
+
+
+def _phrase_sql(phrase: str) -> str:
+    words = phrase.split()
+    return f"[i FOR i IN range(1, len(w) + 1) IF {' AND '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(words))}]"
+
+
+#: Words and base phrases alone; the signatures are beyond SQL of this size.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, {", ".join(f"{_phrase_sql(x)} AS p{k}" for k, x in enumerate(PHRASES))} FROM d)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p0) + len(p1) + len(p2) AS BIGINT) AS n_base, CAST(list_min(p0 || p1 || p2) - 1 AS BIGINT) AS first_word, CAST(list_max(p0 || p1 || p2) - 1 AS BIGINT) AS last_word,
+  array_to_string([x FOR x IN list_sort([{", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES.values()))}]) IF x IS NOT NULL], ',') AS base_labels FROM p
+"""
