@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandmix.llm import ngram_join, quality_rules, url_rules
+from strandmix.llm import licenses, ngram_join, quality_rules, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +40,28 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strandmix.llm.packing import pack_conversations
+
+    return pack_conversations(_table(spark, sf_dir, "conversations"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandmix.llm.tiff import media_digests
 
     return media_digests(_table(spark, sf_dir, "documents"))
 
 
+def tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's file, page by page: what op5 stores, through the reader of pages."""
+    from strandmix.llm.tiff import read_pages, store_texts
+
+    pages = read_pages(store_texts(_table(spark, sf_dir, "documents")), "doc_id", "media")
+    return pages.select("doc_id", "page", "width", "length", "channels", "feature", F.xxhash64("samples").alias("samples_hash"), "error")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +82,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 says of the base phrases alone, which SQL can express."""
+    return op7_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -92,7 +114,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
     "op10_quality_fm": op10_quality_fm,
+    "packing_conversations": packing_conversations,
+    "tiff_pages": tiff_pages,
+    "license_phrases": license_phrases,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
-ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op2_url_rules": url_rules.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
+ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op2_url_rules": url_rules.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "license_phrases": licenses.ORACLE}

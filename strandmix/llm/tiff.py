@@ -321,6 +321,11 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return map_text(docs, id_col, text_col, rows, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages long")
 
 
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, media): each text as a file, a null text as one of blanks."""
+    return map_text(docs, id_col, text_col, lambda ids, texts: {"media": [store(payload_of(x)[1]) for x in texts]}, "media binary")
+
+
 def read_pages(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
     """One row per page of each file in a binary column: shape, compression, feature and samples. What can't be read gives one row with ``error``."""
     import pyarrow as pa

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from strandmix.llm import bpe, licenses, packing, pii, tiff
-from strandmix.llm.license_rules import RULES, Rule
+from strandmix.llm.license_rules import GATE, RULES, Rule
 
 PII_TEXT = st.text(alphabet="ab1290.@+-_%( )Z", max_size=60)
 
@@ -226,35 +226,113 @@ def test_packing_fills_sequences(spark, library):
 
 
 @pytest.mark.parametrize("limits", [packing.Limits(64, 4, 64), packing.Limits(64, 100, 20), packing.Limits(64, 1, 64)])
-def test_packing_keeps_all_limits(limits):
+@pytest.mark.parametrize("loss_of", [len, packing.loss_bearing])
+def test_packing_keeps_all_limits(limits, loss_of):
     rng = random.Random(1)
-    packer, pieces, total = packing.Packer(limits, cut=True, pool=16), [], 0
+    packer, pieces, total = packing.Packer(limits, cut=True, pool=16, loss_of=loss_of), [], 0
     for k in range(200):
         n = rng.randrange(1, 150)
         total += n
-        pieces += packer.add(k, 0, range(n))
+        pieces += packer.add(k, 0, np.array([rng.randrange(3) for _ in range(n)]))
     pieces += packer.finish()
     fill = {}
     for _, _, ids, sequence, offset in pieces:
-        fill.setdefault(sequence, []).append((offset, len(ids)))
+        fill.setdefault(sequence, []).append(ids)
     assert sum(len(x[2]) for x in pieces) == total
     for parts in fill.values():
-        assert sum(n for _, n in parts) <= min(limits.tokens, limits.loss_tokens) and len(parts) <= limits.segments
-        assert sum(n for _, n in parts) in {64} | {1 << k for k in range(7)}
+        assert sum(map(len, parts)) <= limits.tokens and sum(map(loss_of, parts)) <= limits.loss_tokens and len(parts) <= limits.segments
+        assert sum(map(len, parts)) in {64} | {1 << k for k in range(7)}
+
+
+def test_segments_bind_and_sequences_stay_full(spark, library):
+    rng = random.Random(6)
+    texts = {k: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([5, 9, 30, 3000]))) for k in range(700)}
+    got = packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1), P.path("word_bpe_49k.json")).collect()
+    check_pieces(got, library, texts)
+    fill = {}
+    for r in got:
+        fill.setdefault(r.sequence_id, []).append(r.length)
+    assert max(map(len, fill.values())) == packing.Limits().segments
+    whole = sum(sum(x) == 2048 for x in fill.values())
+    assert sum(sum(x) for x in fill.values() if sum(x) == 2048) > 0.95 * sum(map(sum, fill.values())) and whole > 100
+    # One that looks at tokens alone puts more documents into a sequence.
+    loose = packing.Packer(packing.Limits(2048, 10**6, 10**6), cut=True)
+    pieces = [x for k, t in texts.items() for x in loose.add(k, 0, np.arange(len(t.split())))] + list(loose.finish())
+    per = {}
+    for x in pieces:
+        per[x[3]] = per.get(x[3], 0) + 1
+    assert max(per.values()) > packing.Limits().segments
+
+
+def packed(rows, limits):
+    packer = packing.Packer(limits, cut=False)
+    pieces = [x for key, n, loss, segments in rows for x in packer.add((key, n, loss, segments), 0, range(n), loss, segments)] + list(packer.finish())
+    fill = {}
+    for key, _, ids, sequence, offset in pieces:
+        fill.setdefault(sequence, []).append((offset, *key[1:]))
+    return fill
+
+
+def test_tokens_alone_would_break_the_other_limits():
+    rng = random.Random(9)
+    rows = [(k, n := rng.randrange(20, 900), rng.randrange(0, n), rng.randrange(1, 7)) for k in range(600)]
+    limits = packing.DIALOGUE
+    for parts in packed(rows, limits).values():
+        assert [x[0] for x in sorted(parts)] == [sum(y[1] for y in sorted(parts)[:i]) for i in range(len(parts))]
+        assert sum(x[1] for x in parts) <= 2048 and sum(x[2] for x in parts) <= 1024 and sum(x[3] for x in parts) <= 16
+    loose = packed(rows, packing.Limits(2048, 10**6, 10**6)).values()
+    assert any(sum(x[2] for x in parts) > 1024 for parts in loose) and any(sum(x[3] for x in parts) > 16 for parts in loose)
+
+
+def test_dot_product_beats_order_of_arrival():
+    rng = random.Random(10)
+    rows = [(k, *((1500, 100, 1) if rng.random() < 0.5 else (500, 450, 4))) for k in range(400)]
+    least = max(-(-sum(r[i] for r in rows) // c) for i, c in ((1, 2048), (2, 1024), (3, 16)))
+    assert len(packed(rows, packing.DIALOGUE)) <= 1.35 * least
+    sequences, left = 1, [2048, 1024, 16]
+    for r in rows:  # next fit
+        if any(a > b for a, b in zip(r[1:], left)):
+            sequences, left = sequences + 1, [2048, 1024, 16]
+        left = [b - a for a, b in zip(r[1:], left)]
+    assert len(packed(rows, packing.DIALOGUE)) < 0.9 * sequences
 
 
 def test_whole_examples_under_three_limits(spark):
     rng = random.Random(3)
-    rows = [(f"c{k}", n := rng.randrange(0, 900), rng.randrange(0, n + 1)) for k in range(300)] + [("big", 5000, 10), ("none", None, None)]
+    rows = [(f"c{k}", n := rng.randrange(0, 900), rng.randrange(0, n + 1)) for k in range(300)] + [("big", 5000, 10), ("none", None, None), (None, 5, 9), ("c1", 7, -3)]
     limits = packing.Limits(2048, 5, 700)
-    got = packing.pack_examples(spark.createDataFrame(rows, "conv string, n int, loss int"), "conv", "n", "loss", limits).collect()
-    assert sorted(r.conv for r in got) == sorted(r[0] for r in rows)
-    loss, fill = {r[0]: r[2] or 0 for r in rows}, {}
+    df = spark.createDataFrame(rows, "conv string, n int, loss int").selectExpr("*", "'x' AS id", "1 AS segments", "2 AS sequence_id")
+    got = packing.pack_examples(df, "conv", "n", "loss", limits).collect()
+    assert sorted(str(r.conv) for r in got) == sorted(str(r[0]) for r in rows)
+    fill = {}
     for r in got:
         if r.sequence_id is not None:
-            fill.setdefault(r.sequence_id, []).append((r.n_tokens, loss[r.conv], r.conv))
+            fill.setdefault(r.sequence_id, []).append(r)
+        assert (r.sequence_id is None) == (r.n_tokens == 0) and r.n_loss >= 0
+    for parts in fill.values():
+        assert len(parts) == 1 or sum(x.n_tokens for x in parts) <= 2048 and sum(x.n_loss for x in parts) <= 700 and len(parts) <= 5
+    assert packing.pack_examples(df.limit(0), "conv", "n", "loss").count() == 0
+
+
+def test_conversations_are_packed_whole(spark, library):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    got = packing.pack_conversations(turns, P.path("word_bpe_49k.json")).collect()
+    rows, want = turns.collect(), {}
+    for r in rows:
+        n = len(library["word_bpe_49k.json"].encode(r.text or "", add_special_tokens=False).ids) + 1
+        a = want.setdefault(r.conv_id, [0, 0, 0])
+        want[r.conv_id] = [a[0] + n, a[1] + n * (r.role == "assistant"), a[2] + 1]
+    assert {r.conv_id: [r.n_tokens, r.n_loss, r.n_segments] for r in got} == want
+    fill = {}
+    for r in got:
+        fill.setdefault(r.sequence_id, []).append(r)
     for parts in fill.values():
-        assert len(parts) == 1 or sum(x[0] for x in parts) <= 2048 and sum(x[1] for x in parts) <= 700 and len(parts) <= 5
+        sums = [sum(x[k] for x in parts) for k in ("n_tokens", "n_loss", "n_segments")]
+        assert len(parts) == 1 or sums[0] <= 2048 and sums[1] <= 1024 and sums[2] <= 16
+        assert [x.offset for x in sorted(parts, key=lambda x: x.offset)] == [sum(y.n_tokens for y in sorted(parts, key=lambda x: x.offset)[:i]) for i in range(len(parts))]
+    odd = spark.createDataFrame([(None, "assistant", None, 1), (None, None, "a b", 1), (3, "user", "", 1)], "conv_id long, role string, text string, n int")
+    assert sorted((r.conv_id or 0, r.n_tokens, r.n_loss, r.n_segments) for r in packing.pack_conversations(odd, P.path("word_bpe_49k.json")).collect()) == [(0, 4, 1, 2), (3, 1, 0, 1)]
+    assert packing.pack_conversations(odd.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
 @settings(max_examples=150, deadline=None)
@@ -411,12 +489,15 @@ def plain_detections(text, rules):
     for rule in rules:
         if rule.keyword in text.lower():
             found += [(m.start(), -(m.end() - m.start()), rule.priority, rule.label, m.end()) for m in re.finditer("(?i)" + rule.pattern, text)]
-    kept, end = [], -1
-    for x in sorted(found):
-        if x[4] > end:
-            kept.append(f"{x[3]}:{x[0]}:{x[4]}")
-            end = x[4]
-    return ",".join(kept)
+    outer = [x for x in found if not any((y[0] <= x[0] and x[4] <= y[4] and (y[0], y[4]) != (x[0], x[4])) or ((y[0], y[4]) == (x[0], x[4]) and y[2] < x[2]) for y in found)]
+    kept = []
+    for x in sorted(set(outer)):
+        if kept and x[0] < kept[-1][4]:
+            if x[2] < kept[-1][2]:
+                kept[-1] = x
+        else:
+            kept.append(x)
+    return ",".join(f"{x[3]}:{x[0]}:{x[4]}" for x in kept)
 
 
 def test_license_rules_like_the_plain_version(spark):
@@ -424,7 +505,8 @@ def test_license_rules_like_the_plain_version(spark):
         "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License. MIT license.",
         "Licensed under CC BY-NC 4.0.", "GNU Lesser General Public License v2.1 or later; GPL-2.0", "SPDX-License-Identifier: MPL-2.0", "Copyright 2020 x. All rights reserved. © 1999",
         "creative commons attribution-sharealike license and CC BY-SA 4.0 https://creativecommons.org/licenses/by/3.0/", "the new BSD license, zlib license", "nothing", "",
-        "gnu general public license version 2, or (at your option) any later version",
+        "gnu general public license version 2, or (at your option) any later version", "GNU General Public\n * Licence, Version 3", "may not be reproduced without prior written permission",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, without restriction. The MIT License",
     ]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for k, text in enumerate(texts):
@@ -432,6 +514,37 @@ def test_license_rules_like_the_plain_version(spark):
     assert got[0].labels == "apache-2.0" and got[1].labels == "gpl,gpl-3.0" and got[2].labels == "mit" and got[3].labels == "cc-by,cc-by-nc-4.0"
 
 
+def test_names_over_line_breaks_and_in_both_spellings(spark):
+    texts = ["GNU General Public\nLicense v3", "the Apache\n# Software Licence, Version 2.0", "may not be reproduced without prior written permission", "may not be copied without written permission", "CC\nBY-SA 4.0", "\u00a9 2021 x"]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "gpl,gpl-3.0", 1: "apache-2.0", 2: "no-permission", 3: "no-permission", 4: "cc-by,cc-by-sa-4.0", 5: "copyright-notice"}
+
+
+@pytest.mark.parametrize("at", range(0, 400, 8))
+def test_every_match_has_its_keyword_and_passes_the_gate(at):
+    from hypothesis import HealthCheck
+
+    for rule in RULES[at : at + 8]:
+
+        @settings(max_examples=12, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(re.compile(rule.pattern, re.ASCII), fullmatch=True))
+        def check(match):
+            assert rule.keyword in match.lower() and re.search(GATE, match), (rule, match)
+
+        check()
+
+
+def test_license_priority_decides_partial_overlaps(spark):
+    rules = [Rule("strong", "x", "b c x", 0, 1.0), Rule("weak", "x", "x a b", 1, 0.2), Rule("weakest", "x", "x d", 2, 0.3), Rule("in", "x", "c x", 3, 0.9)]
+    texts = ["x a b c x d", "x a b c", "c x d", "x a b c x x d"]
+    got = {r.doc_id: r.detections for r in licenses.scan(spark.createDataFrame([(k, "licence " + t) for k, t in enumerate(texts)], "doc_id long, text string"), rules=rules).collect()}
+    assert got == {0: "strong:12:17", 1: "weak:8:13", 2: "weakest:10:13", 3: "strong:12:17,weakest:18:21"}
+    rng = random.Random(2)
+    texts = ["licence " + " ".join(rng.choice("abcdx") for _ in range(rng.randrange(1, 25))) for _ in range(300)]
+    got = {r.doc_id: r.detections for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules=rules).collect()}
+    assert all(got[k] == plain_detections(t, rules) for k, t in enumerate(texts))
+
+
 def test_license_priority_decides_equal_spans(spark):
     rules = [Rule("strong", "lic", "licence x", 0, 1.0), Rule("weak", "lic", "licence x", 1, 0.2), Rule("inner", "lic", "x", 2, 0.9), Rule("out", "zzz", "licence", 3, 0.1)]
     got = licenses.scan(spark.createDataFrame([(1, "a licence x b x")], "doc_id long, text string"), rules=rules).first()
@@ -439,4 +552,5 @@ def test_license_priority_decides_equal_spans(spark):
 
 
 def test_hundreds_of_rules():
-    assert len(RULES) > 300 and len({r.priority for r in RULES}) == len(RULES)
+    assert len(RULES) > 250 and len({r.label for r in RULES}) > 120 and [r.priority for r in RULES] == list(range(len(RULES)))
+    assert len({r.pattern for r in RULES}) == len(RULES)
