@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept. All but the last return the columns of
 ``documents``. Nulls: a null text is an empty one to every stage, so the rules of stage two reject it; documents with a null id are
-judged like others, and stage three keeps them, as nothing can tell them apart by id. Empty tables pass through all stages.
+judged like others, and in stage three they give way to a linked document with an id. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data: every find is replaced by its kind in brackets; n_chars follows the new text."""
+    """Personal data and secrets: every find is replaced by its kind in brackets; n_chars follows the new text."""
     return pii.mask_pii(docs, chars_col="n_chars")
 
 

@@ -57,6 +57,20 @@ def test_without_the_text_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
 
 
+def test_an_error_in_the_text_operators_is_not_hidden(tmp_path):
+    """What is there but can't be imported is an error, not a shorter list of queries."""
+    import shutil
+
+    shutil.copytree(f"{ROOT}/strandmix", tmp_path / "strandmix")
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("run = ORACLE_SQL = None\n")
+    (tmp_path / "strandmix/llm").mkdir(exist_ok=True)
+    (tmp_path / "strandmix/llm/__init__.py").write_text("")
+    (tmp_path / "strandmix/llm/queries.py").write_text("import a_module_that_is_not_there\n")
+    code = "import __spark_entry__ as e\ntry:\n    e.queries()\nexcept ImportError:\n    raise SystemExit(7)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, timeout=120).returncode == 7
+
+
 def test_failed_runs_are_rows(spark):
     def run(config):
         if config["seed"] == 2:
