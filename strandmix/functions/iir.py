@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: Ripple of a Chebyshev pass band, and depth of a Chebyshev stop band, in dB.
@@ -100,43 +102,87 @@ def _state_space(sections: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return a, b, c, d
 
 
-def sosfilt(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One run from rest. Missing values count as 0 and stay missing.
+class System:
+    """A cascade of sections that runs over rows as they come and carries its state from one call to the next.
 
-    Rows go through in blocks: what a block's own rows add is one matrix product for all blocks, and only the state between blocks is
-    carried on step by step.
+    Rows go through in blocks: what a block's own rows add is one matrix product, and the state is carried from block to block.
     """
+
+    def __init__(self, sections: np.ndarray):
+        a, b, c, d = _state_space(sections)
+        self.order = len(b)
+        self.powers, steps, out_of_state = [np.eye(len(b))], [b], []
+        for _ in range(BLOCK):
+            out_of_state.append(c @ self.powers[-1])
+            self.powers.append(a @ self.powers[-1])
+            steps.append(a @ steps[-1])
+        impulse = np.array([d, *(c @ v for v in steps[: BLOCK - 1])])
+        shift = np.arange(BLOCK)[:, None] - np.arange(BLOCK)
+        self.own = np.where(shift >= 0, impulse[np.maximum(shift, 0)], 0.0)
+        self.into_state, self.out_of_state = np.stack(steps[:BLOCK][::-1], axis=1), np.array(out_of_state)
+
+    def rest(self, channels: int) -> np.ndarray:
+        """The state before anything has come."""
+        return np.zeros((self.order, channels))
+
+    def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Output and new state for some rows of all channels, none of them missing."""
+        y = np.empty_like(x, dtype=float)
+        for k in range(0, len(x), BLOCK):
+            rows = x[k : k + BLOCK]
+            m = len(rows)
+            y[k : k + m] = self.own[:m, :m] @ rows + self.out_of_state[:m] @ state
+            state = self.powers[m] @ state + self.into_state[:, BLOCK - m :] @ rows
+        return y, state
+
+
+@lru_cache(maxsize=64)
+def _system(raw: bytes) -> System:
+    return System(np.frombuffer(raw).reshape(-1, 5))
+
+
+def system(sections: np.ndarray) -> System:
+    """The system of some sections, made once."""
+    return _system(np.ascontiguousarray(sections, dtype=float).tobytes())
+
+
+def _columns(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by channels with 0 for what is missing, and what is."""
+    x = np.asarray(x, dtype=float)
     gone = np.isnan(x)
-    n = len(x)
-    if not n:
-        return np.array(x, dtype=float)
-    a, b, c, d = _state_space(sections)
-    size = min(BLOCK, n)
-    steps, out_of_state, power = [b], [], np.eye(len(b))
-    for _ in range(size):
-        out_of_state.append(c @ power)
-        power = a @ power
-        steps.append(a @ steps[-1])
-    impulse = np.array([d, *(c @ v for v in steps[: size - 1])])
-    shift = np.arange(size)[:, None] - np.arange(size)
-    own = np.where(shift >= 0, impulse[np.maximum(shift, 0)], 0.0)
-    into_state = np.stack(steps[:size][::-1], axis=1)
-    rows = np.zeros((-(-n // size), size))
-    rows.ravel()[:n] = np.where(gone, 0.0, x)
-    given, states, state = rows @ into_state.T, np.zeros((len(rows), len(b))), np.zeros(len(b))
-    for k, v in enumerate(given):
-        states[k] = state
-        state = power @ state + v
-    y = (rows @ own.T + states @ np.array(out_of_state).T).ravel()[:n]
-    return np.where(gone, np.nan, y)
+    return np.where(gone, 0.0, x).reshape(len(x), int(np.prod(x.shape[1:]))), gone
+
+
+def sosfilt(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One run from rest over a series, or over the columns of several. Missing values count as 0 and stay missing."""
+    rows, gone = _columns(x)
+    own = system(sections)
+    return np.where(gone, np.nan, own.run(rows, own.rest(rows.shape[1]))[0].reshape(gone.shape))
+
+
+def padding(sections: np.ndarray) -> int:
+    """Rows by which a long series is continued at each end before it is filtered both ways."""
+    return 6 * len(sections)
+
+
+def before(x: np.ndarray, pad: int) -> np.ndarray:
+    """What continues a series before its first row, by point reflection."""
+    return 2 * x[0] - x[pad:0:-1]
+
+
+def behind(x: np.ndarray, pad: int) -> np.ndarray:
+    """What continues a series behind its last row, by point reflection."""
+    return 2 * x[-1] - x[-2 : -pad - 2 : -1] if pad else x[:0]
 
 
 def filtfilt(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward, so that phases cancel; the ends are continued by point reflection and cut off again."""
-    n, pad = len(x), min(max(0, len(x) - 1), 6 * len(sections))
+    n = len(x)
     if not n:
         return x
-    filled = np.where(np.isnan(x), 0.0, x)
-    ext = np.concatenate([2 * filled[0] - filled[pad:0:-1], filled, 2 * filled[-1] - filled[-2 : -pad - 2 : -1]]) if pad else filled
-    y = sosfilt(sections, sosfilt(sections, ext)[::-1])[::-1]
-    return np.where(np.isnan(x), np.nan, y[pad : pad + n])
+    rows, gone = _columns(x)
+    own, pad = system(sections), min(n - 1, padding(sections))
+    rest = own.rest(rows.shape[1])
+    y = own.run(np.concatenate([before(rows, pad), rows, behind(rows, pad)]), rest)[0]
+    y = own.run(y[::-1], rest)[0][::-1]
+    return np.where(gone, np.nan, y[pad : pad + n].reshape(gone.shape))

@@ -1,7 +1,8 @@
 """Signal preprocessing as DataFrame expressions.
 
-What needs a subject's rows in order uses one window per subject. What needs only a subject's figures uses an aggregation, which combines
-before it shuffles, joined back by subject; adaptive execution broadcasts small figures and splits subjects with very many rows.
+What needs a subject's rows in order uses one window per subject, or one pass over sorted rows. What needs only a subject's figures uses
+an aggregation, which combines before it shuffles, joined back by subject; adaptive execution broadcasts small figures and splits
+subjects with very many rows. A pipeline of steps is one pass, unless some series is too long to be held.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmix.functions import iir
+from strandmix.operators.series import WHOLE, Step, filtered, in_one_pass, longest
 from strandmix.sources.panel import Panel
 
 
@@ -102,42 +104,40 @@ def envelope_moving_average(panel: Panel, window_ms: float, fs: float) -> Panel:
     return _each(panel, lambda c: {}, lambda c: F.when(F.count(c).over(whole) == w, F.avg(c).over(whole)).otherwise(F.avg(c).over(near)))
 
 
-def _filtered(panel: Panel, sections: np.ndarray, zero_phase: bool) -> Panel:
-    """Rational filters run over a subject's whole series in order; series are independent, so each is one group."""
-    channels = list(panel.channels)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        for c in channels:
-            x = rows[c].to_numpy(dtype=float)
-            rows[c] = iir.filtfilt(sections, x) if zero_phase else iir.sosfilt(sections, x)
-        return rows
-
-    kept = panel.df.select("subject_id", "t", *channels)
-    return panel.with_df(kept.groupBy("subject_id").applyInPandas(run, kept.schema))
+def _bandpass(fs: float, low: float = 20, high: float = 450, order: int = 4, kind: str = "butterworth") -> np.ndarray:
+    if not 0 < low < high < fs / 2:
+        raise ValueError(f"cut-offs must satisfy 0 < low < high < {fs / 2}")
+    return iir.design(kind, order, "band", (low, high), fs)
 
 
 def bandpass(panel: Panel, fs: float, low: float = 20, high: float = 450, order: int = 4, kind: str = "butterworth", zero_phase: bool = True) -> Panel:
     """Keep the frequencies between two cut-offs."""
-    if not 0 < low < high < fs / 2:
-        raise ValueError(f"cut-offs must satisfy 0 < low < high < {fs / 2}")
-    return _filtered(panel, iir.design(kind, order, "band", (low, high), fs), zero_phase)
+    return filtered(panel, _bandpass(fs, low, high, order, kind), zero_phase)
 
 
-def notch(panel: Panel, fs: float, freq: float = 50, q: float = 30, harmonics: bool = True, zero_phase: bool = True) -> Panel:
-    """Remove a frequency and, with ``harmonics``, its multiples below 0.95 of half the sampling rate; stop bands that don't fit are left out."""
+def _notch(fs: float, freq: float = 50, q: float = 30, harmonics: bool = True) -> np.ndarray | None:
     half = fs / 2
     if not 0 < freq < half:
         raise ValueError(f"the frequency must lie between 0 and {half}")
     freqs = [freq * k for k in range(1, int(half // freq) + 1) if freq * k < 0.95 * half] if harmonics else [freq]
     bands = [(f - f / q / 2, f + f / q / 2) for f in freqs]
     sections = [iir.design("butterworth", 2, "stop", band, fs) for band in bands if band[0] > 0 and band[1] < half]
-    return _filtered(panel, np.concatenate(sections), zero_phase) if sections else panel
+    return np.concatenate(sections) if sections else None
+
+
+def notch(panel: Panel, fs: float, freq: float = 50, q: float = 30, harmonics: bool = True, zero_phase: bool = True) -> Panel:
+    """Remove a frequency and, with ``harmonics``, its multiples below 0.95 of half the sampling rate; stop bands that don't fit are left out."""
+    sections = _notch(fs, freq, q, harmonics)
+    return panel if sections is None else filtered(panel, sections, zero_phase)
+
+
+def _lowpass(fs: float, cutoff: float = 6, order: int = 4) -> np.ndarray:
+    return iir.design("butterworth", order, "low", (min(cutoff, 0.95 * fs / 2) if cutoff >= fs / 2 else cutoff,), fs)
 
 
 def envelope_lowpass(panel: Panel, fs: float, cutoff: float = 6, order: int = 4, zero_phase: bool = True) -> Panel:
     """Smooth by a low pass; a cut-off at half the sampling rate or above becomes 0.95 of it."""
-    return _filtered(panel, iir.design("butterworth", order, "low", (min(cutoff, 0.95 * fs / 2) if cutoff >= fs / 2 else cutoff,), fs), zero_phase)
+    return filtered(panel, _lowpass(fs, cutoff, order), zero_phase)
 
 
 def normalize(panel: Panel, method: str = "max", reference: DataFrame | None = None) -> Panel:
@@ -158,8 +158,7 @@ def normalize(panel: Panel, method: str = "max", reference: DataFrame | None = N
     if method == "mvc":
         if reference is None:
             raise ValueError("method mvc needs a reference")
-        wide = reference.groupBy("subject_id").pivot("channel", list(panel.channels)).agg(F.first("reference"))
-        wide = wide.select("subject_id", *(F.col(c).alias(f"{c}__r") for c in panel.channels))
+        wide = _wide(reference, panel.channels)
         with_max = _with_stats(panel, {f"{c}__m": F.max(size(c)) for c in panel.channels}).join(wide, "subject_id", "left")
         value = lambda c: F.when(F.coalesce(F.col(f"{c}__r"), F.lit(0.0)) != 0, 100 * F.col(c) / F.col(f"{c}__r")).otherwise(F.try_divide(F.col(c), F.col(f"{c}__m")))
         rest = [x for x in panel.df.columns if x not in panel.channels]
@@ -268,6 +267,141 @@ def envelope(panel: Panel, fs: float, method: str = "lowpass", cutoff: float = 6
     return (envelope_rms if method == "rms" else envelope_moving_average)(panel, window_ms, fs)
 
 
+def _present(x: np.ndarray, figure: Callable) -> np.ndarray:
+    """A figure of each channel's present values; missing where there are none."""
+    out = np.full(x.shape[1], np.nan)
+    for k in range(x.shape[1]):
+        if len(own := x[:, k][~np.isnan(x[:, k])]):
+            out[k] = figure(own)
+    return out
+
+
+def _over(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """A quotient that is missing where the divisor is 0."""
+    return x / np.where(by == 0, np.nan, by)
+
+
+def _trend(t: np.ndarray, x: np.ndarray, degree: int) -> np.ndarray:
+    """What a polynomial in time, scaled to -1..1, leaves of each channel."""
+    n = len(t)
+    u = (2.0 * t - n - 1) / (n - 1) if n > 1 else np.zeros(n)
+    powers, out = u[:, None] ** np.arange(2 * degree + 1), x.copy()
+    for k in range(x.shape[1]):
+        there = ~np.isnan(x[:, k])
+        sums, right = powers[there].sum(axis=0), powers[there, : degree + 1].T @ x[there, k]
+        a = sums[np.arange(degree + 1)[:, None] + np.arange(degree + 1)]
+        out[:, k] = x[:, k] - powers[:, : degree + 1] @ np.linalg.lstsq(a, right, rcond=None)[0]
+    return out
+
+
+def _line(t: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out = np.where(np.isnan(x), np.nan, 0.0)
+    for k in range(x.shape[1]):
+        there = ~np.isnan(x[:, k])
+        own, times = x[there, k], t[there].astype(float)
+        spread = times - times.mean() if len(own) else times
+        if len(own) > 1 and (spread @ spread) > 0:
+            out[:, k] = x[:, k] - own.mean() - (spread @ own) / (spread @ spread) * (t - times.mean())
+    return out
+
+
+def offset_step(method: str = "mean", degree: int = 1) -> Step:
+    """``remove_offset`` of one series."""
+    if method not in ("mean", "median", "linear", "polynomial"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "linear":
+        return lambda t, x, first: _line(t, x)
+    if method == "polynomial":
+        return lambda t, x, first: _trend(t, x, degree)
+    return lambda t, x, first: x - _present(x, np.mean if method == "mean" else np.median)
+
+
+def _near_sums(x: np.ndarray, behind: int, ahead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of present values between ``behind`` rows before and ``ahead`` rows after each row."""
+    there, n = ~np.isnan(x), len(x)
+    ends, starts = np.minimum(np.arange(n) + ahead + 1, n), np.maximum(np.arange(n) - behind, 0)
+    run = lambda v: np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(v, axis=0)])
+    sums, counts = run(np.where(there, x, 0.0)), run(there.astype(float))
+    return sums[ends] - sums[starts], counts[ends] - counts[starts]
+
+
+def envelope_step(fs: float, method: str = "lowpass", cutoff: float = 6, window_ms: float = 50, order: int = 4) -> Step:
+    """``envelope`` of one series."""
+    if method == "lowpass":
+        return filter_step(_lowpass(fs, cutoff, order))
+    if method not in ("rms", "moving_average"):
+        raise ValueError(f"unknown method {method!r}")
+    w = window_width(window_ms, fs)
+    h = w // 2
+
+    def rms(t, x, first):
+        sums, counts = _near_sums(x * x, h, h)
+        return np.sqrt(np.maximum(_over(sums, counts), 0))
+
+    def moving(t, x, first):
+        sums, counts = _near_sums(x, w - 1 - h, h)
+        return np.where(counts == w, sums / w, _over(*_near_sums(x, h, h)))
+
+    return rms if method == "rms" else moving
+
+
+def filter_step(sections: np.ndarray, zero_phase: bool = True) -> Step:
+    """A filter over one series."""
+    return lambda t, x, first: (iir.filtfilt if zero_phase else iir.sosfilt)(sections, x)
+
+
+def rectify_step(method: str = "full_wave") -> Step:
+    """``rectify`` of one series."""
+    if method not in ("full_wave", "half_wave"):
+        raise ValueError(f"unknown method {method!r}")
+    return lambda t, x, first: np.abs(x) if method == "full_wave" else np.maximum(x, 0.0)
+
+
+def normalize_step(channels: tuple[str, ...], method: str = "max") -> Step:
+    """``normalize`` of one series; ``mvc`` finds its references in the further columns of the first row."""
+    if method in ("max", "mean", "median"):
+        return lambda t, x, first: _over(x, _present(np.abs(x), {"max": np.max, "mean": np.mean, "median": np.median}[method]))
+    if method == "zscore":
+        return lambda t, x, first: _over(x - _present(x, np.mean), _present(x, lambda v: v.std(ddof=1) if len(v) > 1 else np.nan))
+    if method == "range":
+
+        def span(t, x, first):
+            low, high = _present(x, np.min), _present(x, np.max)
+            return np.where(high == low, x * 0.0, _over(x - low, high - low))
+
+        return span
+    if method == "mvc":
+
+        def share(t, x, first):
+            given = np.array([first[f"{c}__r"] or 0.0 for c in channels], dtype=float)
+            return np.where(given != 0, 100 * _over(x, given), _over(x, _present(np.abs(x), np.max)))
+
+        return share
+    raise ValueError(f"unknown method {method!r}")
+
+
+def _wide(reference: DataFrame, channels: tuple[str, ...]) -> DataFrame:
+    wide = reference.groupBy("subject_id").pivot("channel", list(channels)).agg(F.first("reference"))
+    return wide.select("subject_id", *(F.col(c).alias(f"{c}__r") for c in channels))
+
+
+def _in_one_pass(panel: Panel, fs: float, steps: list[tuple[str, dict]], reference: DataFrame | None) -> Panel:
+    make = {
+        "dc_removal": offset_step,
+        "bandpass": lambda zero_phase=True, **a: filter_step(_bandpass(fs, **a), zero_phase),
+        "notch": lambda zero_phase=True, **a: None if (x := _notch(fs, **a)) is None else filter_step(x, zero_phase),
+        "rectify": rectify_step,
+        "envelope": lambda **a: envelope_step(fs, **a),
+        "normalize": lambda **a: normalize_step(panel.channels, **a),
+    }
+    made = [x for name, a in steps if (x := make[name](**a)) is not None]
+    if reference is not None and dict(steps).get("normalize", {}).get("method") == "mvc":
+        # Joined before rows are put in order; a whole panel's subjects are brought together again.
+        rows = Panel(panel.df.join(_wide(reference, panel.channels), "subject_id", "left"), panel.channels)
+        return in_one_pass(rows, made, tuple(f"{c}__r" for c in panel.channels))
+    return in_one_pass(panel, made)
+
+
 @dataclass(frozen=True)
 class Processed:
     """A panel with what was done to it."""
@@ -279,7 +413,10 @@ class Processed:
 
 
 def preprocess(panel: Panel, fs: float, steps: dict, reference: DataFrame | None = None) -> Processed:
-    """The steps that ``steps`` has, in fixed order: offset, band pass, notch, rectification, envelope, normalisation. False skips a step."""
+    """The steps that ``steps`` has, in fixed order: offset, band pass, notch, rectification, envelope, normalisation. False skips a step.
+
+    All steps are one pass over rows in order, as long as every series can be held by a task; else each step is worked out by itself.
+    """
     if (steps.get("normalize") or {}).get("method") == "mvc" and reference is None:
         raise ValueError("method mvc needs a reference")
     stages = {
@@ -290,9 +427,10 @@ def preprocess(panel: Panel, fs: float, steps: dict, reference: DataFrame | None
         "envelope": lambda p, **a: envelope(p, fs, **a),
         "normalize": lambda p, **a: normalize(p, reference=reference, **a),
     }
-    done = []
-    for name, stage in stages.items():
-        if name in steps and steps[name] is not False and steps[name] is not None:
-            panel = stage(panel, **(steps[name] if isinstance(steps[name], dict) else {}))
-            done.append(name)
-    return Processed(panel, tuple(done), dict(steps), fs)
+    chosen = [(name, steps[name] if isinstance(steps[name], dict) else {}) for name in stages if name in steps and steps[name] is not False and steps[name] is not None]
+    if longest(panel) <= WHOLE:
+        panel = _in_one_pass(panel, fs, chosen, reference)
+    else:
+        for name, a in chosen:
+            panel = stages[name](panel, **a)
+    return Processed(panel, tuple(name for name, _ in chosen), dict(steps), fs)

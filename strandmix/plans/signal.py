@@ -14,13 +14,13 @@ def scaled_lines(spark, sf_dir, ordered=True) -> A.Panel:
     """The supplier panel with channels of about unit size."""
     p = A.lines_panel(spark, sf_dir, ordered)
     size = {"qty": F.col("qty") / 50, "price": F.col("price") / 99991, "disc": F.col("disc") * 10, "tax": F.col("tax") * 10}
-    return p.with_df(p.df.withColumns(size))
+    return p.with_df(p.df.withColumns(size), True)
 
 
 def events(spark, sf_dir) -> A.Panel:
     """The event panel, times the factor of its SQL."""
     p = A.events_panel(spark, sf_dir)
-    return p.with_df(p.df.withColumn("x", F.col("x") * 1.0123457))
+    return p.with_df(p.df.withColumn("x", F.col("x") * 1.0123457), True)
 
 
 def _ev(name: str, expression: str, make, extra: str = ""):

@@ -11,14 +11,23 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Panel:
-    """``df`` has ``subject_id``, ``t`` (1, 2, ... within a subject) and the channels as doubles; missing values are null, never NaN."""
+    """``df`` has ``subject_id``, ``t`` (1, 2, ... within a subject) and the channels as doubles; missing values are null, never NaN.
+
+    ``whole``: each partition of ``df`` has all rows of its subjects, as after a window over them, so no shuffle need bring them together.
+    """
 
     df: DataFrame
     channels: tuple[str, ...]
+    whole: bool = False
+
+    def with_df(self, df: DataFrame, whole: bool = False) -> Panel:
+        """The same channels over another table; ``whole`` where only columns of the same rows are new."""
+        return Panel(df, self.channels, whole and self.whole)
 
-    def with_df(self, df: DataFrame) -> Panel:
-        """The same channels over another table."""
-        return Panel(df, self.channels)
+    def in_order(self, *columns) -> DataFrame:
+        """The columns, subject by subject in partitions that have all of a subject's rows, in time order."""
+        kept = self.df.select("subject_id", "t", *columns)
+        return (kept if self.whole else kept.repartition("subject_id")).sortWithinPartitions("subject_id", "t")
 
     def by_time(self):
         """The window of a subject's rows in time order."""
@@ -40,7 +49,7 @@ def bind(df: DataFrame, subject: str, order: list[str], channels: dict[str, Colu
     picked = [as_number(F.col(x) if isinstance(x, str) else x).alias(name) for name, x in channels.items()]
     t = F.row_number().over(W.partitionBy("subject_id").orderBy(*order)).alias("t")
     keyed = df.withColumn("subject_id", F.col(subject).cast("long"))
-    return Panel(keyed.select("subject_id", t, *picked), tuple(channels))
+    return Panel(keyed.select("subject_id", t, *picked), tuple(channels), True)
 
 
 def bind_unordered(df: DataFrame, subject: str, channels: dict[str, Column | str]) -> Panel:

@@ -171,6 +171,75 @@ def test_pipeline_steps(spark):
     assert P.preset("unknown") is None and set(P.PRESETS) == {"default", "gait", "isometric", "fine_motor"}
 
 
+def uneven(seed=0):
+    """Series of several lengths, two channels, some values missing."""
+    rng, out = np.random.default_rng(seed), {}
+    for k, n in enumerate([1, 2, 5, 30, 131, 400, 77]):
+        x = rng.normal(size=(n, 2)) * [1, 3] + [2, -1]
+        x[rng.random((n, 2)) < 0.1] = np.nan
+        out[k] = x
+    out[7] = np.full((6, 2), 4.0)
+    out[8] = np.full((3, 2), np.nan)
+    return out
+
+
+@pytest.mark.parametrize("name", ["default", "gait", "isometric", "fine_motor", "other", "plain"])
+def test_one_pass_like_one_step_after_another(spark, monkeypatch, name):
+    from strandmix.operators import preprocess
+
+    p = panel(spark, uneven())
+    more = {"other": {"dc_removal": {"method": "polynomial", "degree": 2}, "envelope": {"method": "moving_average", "window_ms": 6}, "normalize": {"method": "zscore"}}, "plain": {"dc_removal": {"method": "median"}, "rectify": {"method": "half_wave"}, "normalize": {"method": "range"}}}
+    steps = P.preset(name) or more[name]
+    steps = {k: v | {"high": 450} if k == "bandpass" else v for k, v in steps.items()}
+    reference = P.mvc_reference(panel(spark, {k: x for k, x in uneven(1).items() if k % 2}))
+    whole = back(P.preprocess(p, 1000, steps, reference).panel)
+    monkeypatch.setattr(preprocess, "WHOLE", 0)
+    parts = back(P.preprocess(p, 1000, steps, reference).panel)
+    assert set(whole) == set(parts) == set(uneven())
+    for k in whole:
+        assert np.allclose(whole[k], parts[k], atol=1e-9, equal_nan=True), (k, whole[k][:5], parts[k][:5])
+
+
+@pytest.mark.parametrize("zero_phase", [True, False])
+def test_filters_by_batches_like_whole_series(spark, monkeypatch, zero_phase):
+    from strandmix.operators import series as R
+
+    given = uneven(3)
+    p = panel(spark, given)
+    sections = iir.design("butterworth", 4, "band", (20, 450), 1000)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        monkeypatch.setattr(R, "WHOLE", 0)
+        got = back(R.filtered(p, sections, zero_phase))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for k, x in given.items():
+        want = (iir.filtfilt if zero_phase else iir.sosfilt)(sections, x)
+        assert got[k].shape == want.shape and np.allclose(got[k], want, atol=1e-9, equal_nan=True), k
+
+
+def test_series_without_a_subject_or_rows(spark):
+    from strandmix.operators import series as R
+
+    rows = [(None, 1, 1.0), (None, 2, None), (3, 1, 2.0)]
+    p = Panel(spark.createDataFrame(rows, "subject_id long, t int, x double"), ("x",))
+    sections = iir.design("butterworth", 2, "low", (50,), 1000)
+    for got in (R.filtered(p, sections, True), R.filtered_by_batches(p, sections, True)):
+        assert sorted((r.subject_id or 0, r.t, r.x is None) for r in got.df.collect()) == [(0, 1, False), (0, 2, True), (3, 1, False)]
+        assert got.df.schema == p.df.schema
+    none = p.with_df(p.df.limit(0))
+    assert R.filtered(none, sections, True).df.count() == R.filtered_by_batches(none, sections, True).df.count() == 0
+
+
+def test_a_pipeline_shuffles_a_bound_panel_once(spark):
+    rows = spark.createDataFrame([(k % 3, k, float(k)) for k in range(90)], "s long, k int, v double")
+    got = P.preprocess(bind(rows, "s", ["k"], {"x": "v"}), 1000, P.preset("default")).panel.df
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(subject_id") == 1 and plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan
+    assert got.count() == 90
+
+
 def test_checks():
     assert checks.renamed({"nIterFA": 3, "tol": 1}) == {"iter_fa": 3, "tol": 1}
     assert checks.model_type("MFA") == "mfa"
