@@ -104,7 +104,8 @@ def envelope_moving_average(panel: Panel, window_ms: float, fs: float) -> Panel:
     return _each(panel, lambda c: {}, lambda c: F.when(F.count(c).over(whole) == w, F.avg(c).over(whole)).otherwise(F.avg(c).over(near)))
 
 
-def _bandpass(fs: float, low: float = 20, high: float = 450, order: int = 4, kind: str = "butterworth") -> np.ndarray:
+def bandpass_sections(fs: float, low: float = 20, high: float = 450, order: int = 4, kind: str = "butterworth") -> np.ndarray:
+    """Sections of a band pass."""
     if not 0 < low < high < fs / 2:
         raise ValueError(f"cut-offs must satisfy 0 < low < high < {fs / 2}")
     return iir.design(kind, order, "band", (low, high), fs)
@@ -112,10 +113,10 @@ def _bandpass(fs: float, low: float = 20, high: float = 450, order: int = 4, kin
 
 def bandpass(panel: Panel, fs: float, low: float = 20, high: float = 450, order: int = 4, kind: str = "butterworth", zero_phase: bool = True) -> Panel:
     """Keep the frequencies between two cut-offs."""
-    return filtered(panel, _bandpass(fs, low, high, order, kind), zero_phase)
+    return filtered(panel, bandpass_sections(fs, low, high, order, kind), zero_phase)
 
 
-def _notch(fs: float, freq: float = 50, q: float = 30, harmonics: bool = True) -> np.ndarray | None:
+def notch_sections(fs: float, freq: float = 50, q: float = 30, harmonics: bool = True) -> np.ndarray | None:
     half = fs / 2
     if not 0 < freq < half:
         raise ValueError(f"the frequency must lie between 0 and {half}")
@@ -127,17 +128,17 @@ def _notch(fs: float, freq: float = 50, q: float = 30, harmonics: bool = True) -
 
 def notch(panel: Panel, fs: float, freq: float = 50, q: float = 30, harmonics: bool = True, zero_phase: bool = True) -> Panel:
     """Remove a frequency and, with ``harmonics``, its multiples below 0.95 of half the sampling rate; stop bands that don't fit are left out."""
-    sections = _notch(fs, freq, q, harmonics)
+    sections = notch_sections(fs, freq, q, harmonics)
     return panel if sections is None else filtered(panel, sections, zero_phase)
 
 
-def _lowpass(fs: float, cutoff: float = 6, order: int = 4) -> np.ndarray:
+def lowpass_sections(fs: float, cutoff: float = 6, order: int = 4) -> np.ndarray:
     return iir.design("butterworth", order, "low", (min(cutoff, 0.95 * fs / 2) if cutoff >= fs / 2 else cutoff,), fs)
 
 
 def envelope_lowpass(panel: Panel, fs: float, cutoff: float = 6, order: int = 4, zero_phase: bool = True) -> Panel:
     """Smooth by a low pass; a cut-off at half the sampling rate or above becomes 0.95 of it."""
-    return filtered(panel, _lowpass(fs, cutoff, order), zero_phase)
+    return filtered(panel, lowpass_sections(fs, cutoff, order), zero_phase)
 
 
 def normalize(panel: Panel, method: str = "max", reference: DataFrame | None = None) -> Panel:
@@ -328,7 +329,7 @@ def _near_sums(x: np.ndarray, behind: int, ahead: int) -> tuple[np.ndarray, np.n
 def envelope_step(fs: float, method: str = "lowpass", cutoff: float = 6, window_ms: float = 50, order: int = 4) -> Step:
     """``envelope`` of one series."""
     if method == "lowpass":
-        return filter_step(_lowpass(fs, cutoff, order))
+        return filter_step(lowpass_sections(fs, cutoff, order))
     if method not in ("rms", "moving_average"):
         raise ValueError(f"unknown method {method!r}")
     w = window_width(window_ms, fs)
@@ -388,8 +389,8 @@ def _wide(reference: DataFrame, channels: tuple[str, ...]) -> DataFrame:
 def _in_one_pass(panel: Panel, fs: float, steps: list[tuple[str, dict]], reference: DataFrame | None) -> Panel:
     make = {
         "dc_removal": offset_step,
-        "bandpass": lambda zero_phase=True, **a: filter_step(_bandpass(fs, **a), zero_phase),
-        "notch": lambda zero_phase=True, **a: None if (x := _notch(fs, **a)) is None else filter_step(x, zero_phase),
+        "bandpass": lambda zero_phase=True, **a: filter_step(bandpass_sections(fs, **a), zero_phase),
+        "notch": lambda zero_phase=True, **a: None if (x := notch_sections(fs, **a)) is None else filter_step(x, zero_phase),
         "rectify": rectify_step,
         "envelope": lambda **a: envelope_step(fs, **a),
         "normalize": lambda **a: normalize_step(panel.channels, **a),

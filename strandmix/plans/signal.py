@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandmix.operators import preprocess as P
 from strandmix.operators import suffstats as S
+from strandmix.plans.filter_sql import both_ways_sql, run_sql
 from strandmix.plans.registry import CHANNELS, EV, LI, LS, query, r, table
 from strandmix.sources import panel as A
 
@@ -102,13 +103,36 @@ query(
     "pp_channel_summary",
     f"WITH {LI}, lo AS ({_long}) SELECT channel, {r('avg(v)', 'mean')}, {r('stddev_samp(v)', 'sd')}, {r('min(v)', 'min')}, {r('max(v)', 'max')} FROM lo GROUP BY 1",
 )(lambda s, d: P.channel_summary(A.lines_panel(s, d, False)))
-query("pp_bandpass")(lambda s, d: P.bandpass(events(s, d), 1000).df)
-query("pp_bandpass_chebyshev1")(lambda s, d: P.bandpass(events(s, d), 1000, kind="chebyshev1").df)
-query("pp_bandpass_chebyshev2")(lambda s, d: P.bandpass(events(s, d), 1000, kind="chebyshev2").df)
-query("pp_notch")(lambda s, d: P.notch(events(s, d), 1000, 50).df)
-query("pp_envelope_lowpass")(lambda s, d: P.envelope_lowpass(events(s, d), 1000).df)
-query("pp_pipeline_default")(lambda s, d: P.preprocess(events(s, d), 1000, P.preset("default")).panel.df)
-query("pp_pipeline_gait")(lambda s, d: P.preprocess(events(s, d), 1000, P.preset("gait"), P.mvc_reference(events(s, d))).panel.df)
+#: Decimals of filtered values: engines sum a filter's terms in other orders.
+FILTERED = 4
+_bp, _notched, _smooth, _gentle = P.bandpass_sections(1000), P.notch_sections(1000), P.lowpass_sections(1000, 6), P.lowpass_sections(1000, 4)
+_first = "src AS (SELECT subject_id, t, x FROM ev)"
+
+
+def _filtered(name: str, ctes: str, make) -> None:
+    """A query with its SQL, whose CTEs end in one called ``done``."""
+    query(name, f"WITH RECURSIVE {EV}, {ctes} SELECT subject_id, t, round(x, {FILTERED}) + 0.0 AS x FROM done")(lambda s, d: make(s, d).df.select("subject_id", "t", F.round("x", FILTERED).alias("x")))
+
+
+_filtered("pp_bandpass", f"{_first}, {both_ways_sql('done', 'src', _bp)}", lambda s, d: P.bandpass(events(s, d), 1000))
+for _kind in ("chebyshev1", "chebyshev2"):
+    _filtered(f"pp_bandpass_{_kind}", f"{_first}, {both_ways_sql('done', 'src', P.bandpass_sections(1000, kind=_kind))}", lambda s, d, k=_kind: P.bandpass(events(s, d), 1000, kind=k))
+_filtered("pp_bandpass_one_way", f"{_first}, one AS (SELECT subject_id, t AS p, x AS v FROM src), {run_sql('runs', 'one', _bp)}, done AS (SELECT subject_id, p AS t, y AS x FROM runs)", lambda s, d: P.bandpass(events(s, d), 1000, zero_phase=False))
+_filtered("pp_notch", f"{_first}, {both_ways_sql('done', 'src', _notched)}", lambda s, d: P.notch(events(s, d), 1000, 50))
+_filtered("pp_envelope_lowpass", f"{_first}, {both_ways_sql('done', 'src', _smooth)}", lambda s, d: P.envelope_lowpass(events(s, d), 1000))
+_rest = "{bp}, {notch}, rect AS (SELECT subject_id, t, abs(x) AS x FROM nt), {env}"
+_filtered(
+    "pp_pipeline_default",
+    f"src AS (SELECT subject_id, t, x - avg(x) {_OVER} AS x FROM ev), " + _rest.format(bp=both_ways_sql("bp", "src", _bp), notch=both_ways_sql("nt", "bp", _notched), env=both_ways_sql("en", "rect", _smooth)) + f", done AS (SELECT subject_id, t, x / nullif(max(abs(x)) {_OVER}, 0) AS x FROM en)",
+    lambda s, d: P.preprocess(events(s, d), 1000, P.preset("default")).panel,
+)
+_filtered(
+    "pp_pipeline_gait",
+    f"src AS (SELECT subject_id, t, x - (regr_intercept(x, t) {_OVER} + regr_slope(x, t) {_OVER} * t) AS x FROM ev), "
+    + _rest.format(bp=both_ways_sql("bp", "src", _bp), notch=both_ways_sql("nt", "bp", _notched), env=both_ways_sql("en", "rect", _gentle))
+    + ", ref AS (SELECT subject_id, max(abs(x)) AS m FROM ev GROUP BY 1), done AS (SELECT en.subject_id, t, 100 * x / nullif(m, 0) AS x FROM en JOIN ref ON ref.subject_id = en.subject_id)",
+    lambda s, d: P.preprocess(events(s, d), 1000, P.preset("gait"), P.mvc_reference(events(s, d))).panel,
+)
 
 _pairs = [(a, b) for k, a in enumerate(CHANNELS) for b in CHANNELS[k:]]
 query(
