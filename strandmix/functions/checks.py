@@ -47,3 +47,24 @@ def renamed(kwargs: dict) -> dict:
             warnings.warn(f"{old} is now {new}", DeprecationWarning, stacklevel=3)
             out.setdefault(new, kwargs[old])
     return out
+
+
+def fit_object(fit, kind: str | None = None, required: tuple[str, ...] = ()) -> str:
+    """The model type of a fit: what it says, or ``kind``, which warns where the fit says otherwise. ValueError for what is no fit.
+
+    A fit has components with a mean, loadings and noise of the same channels, one prior for each, and the ``required`` attributes.
+    """
+    import numpy as np
+
+    if missing := [x for x in ("kind", "components", "pi", *required) if getattr(fit, x, None) is None]:
+        raise ValueError(f"not a fit, or one without {', '.join(missing)}")
+    if not len(fit.components) or len(fit.pi) != len(fit.components):
+        raise ValueError(f"{len(fit.components)} components and {len(fit.pi)} priors")
+    shapes = {np.shape(c.loadings) for c in fit.components}
+    if len(shapes) != 1 or any(len(c.mean) != np.shape(c.loadings)[0] or len(c.noise) != np.shape(c.loadings)[0] for c in fit.components):
+        raise ValueError("components of different shapes")
+    found = model_type(fit.kind)
+    if kind is not None and model_type(kind) != found:
+        warnings.warn(f"a fit of {found} taken for {model_type(kind)}", UserWarning, stacklevel=2)
+        return model_type(kind)
+    return found

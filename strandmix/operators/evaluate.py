@@ -132,6 +132,26 @@ def rotate(fit: Fit, clusters: list[int] | None = None) -> Fit:
     return replace(fit, components=tuple(new), extra=fit.extra | {"rotations": kept})
 
 
+def rotate_scores(scores: DataFrame, fit: Fit) -> DataFrame:
+    """Factor scores (subject_id, t, z, f_1 ...) of a fit before ``rotate``, turned like its loadings; clusters that weren't rotated keep theirs.
+
+    ValueError for a fit without rotations or scores of another number of factors.
+    """
+    turned, r = fit.extra.get("rotations"), fit.n_factors
+    names = [f"f_{j + 1}" for j in range(r)]
+    if turned is None:
+        raise ValueError("a fit that has not been rotated")
+    if [c for c in scores.columns if c.startswith("f_")] != names:
+        raise ValueError(f"scores need the columns {', '.join(names)}")
+    columns = []
+    for j, name in enumerate(names):
+        value = F.col(name)
+        for k, m in sorted(turned.items()):
+            value = F.when(F.col("z") == k, sum((float(m[i, j]) * F.col(x) for i, x in enumerate(names)), F.lit(0.0))).otherwise(value)
+        columns.append(value.alias(name))
+    return scores.select(*(c for c in scores.columns if c not in names), *columns)
+
+
 def align_to_truth(z_true: np.ndarray, z_hat: np.ndarray) -> dict:
     """The mapping of estimated on true clusters with most agreement, aligned labels and accuracy.
 

@@ -71,8 +71,17 @@ def minmax(panel: Panel) -> DataFrame:
     return panel.df.join(stats, "subject_id").select("subject_id", "t", *(scaled(c).alias(c) for c in panel.channels))
 
 
-def embedding(features: DataFrame, columns: list[str], dims: int = 2, max_rows: int = 200_000) -> DataFrame:
-    """Subjects in the leading principal axes of their features, as a projection with literal coefficients."""
+def neural_command(panel: Panel, clusters: DataFrame, dims: int = 2) -> DataFrame:
+    """(subject_id, t, z, dim_1 ...): activations scaled to 0..1 within each subject, in the principal axes of all rows together.
+
+    One aggregation gives means and covariances; the projection is an expression.
+    """
+    scaled = Panel(minmax(panel), panel.channels)
+    return embedding(scaled.df.join(clusters.select("subject_id", "z"), "subject_id"), list(panel.channels), dims, keys=("subject_id", "t", "z"))
+
+
+def embedding(features: DataFrame, columns: list[str], dims: int = 2, keys: tuple[str, ...] = ("subject_id",)) -> DataFrame:
+    """Rows by their keys in the leading principal axes of their features, as a projection with literal coefficients; an axis's largest entry is positive."""
     clean = features.dropna(subset=columns)
     m = len(columns)
     one = clean.agg(*(F.avg(c) for c in columns), *(F.covar_pop(columns[i], columns[j]) for i in range(m) for j in range(i, m))).first()
@@ -81,7 +90,7 @@ def embedding(features: DataFrame, columns: list[str], dims: int = 2, max_rows:
     cov[np.triu_indices(m)] = [x or 0.0 for x in one[m:]]
     _, axes, _ = L.top_eigen(cov + np.triu(cov, 1).T, dims)
     project = lambda j: sum((float(axes[i, j]) * (F.col(c) - float(mean[i])) for i, c in enumerate(columns)), F.lit(0.0))
-    return clean.select("subject_id", *(project(j).alias(f"dim_{j + 1}") for j in range(dims)))
+    return clean.select(*keys, *(project(j).alias(f"dim_{j + 1}") for j in range(dims)))
 
 
 def mean_basis(bases: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -86,6 +86,20 @@ def row_errors(panel: Panel, fit: Fit, assignments: DataFrame, kind: str | None
     return _by_cluster(panel, assignments, squares, ["sq_error"])
 
 
+def row_log_densities(panel: Panel, fit: Fit) -> DataFrame:
+    """(subject_id, t, log_density_1 ...): each row's Gaussian log density under every cluster, as an expression with literal coefficients.
+
+    Null where a channel is missing. Densities of a subject's rows sum to its log likelihood.
+    """
+    columns = []
+    for k, c in enumerate(fit.components):
+        # The squared length of the whitened row: one linear form for each channel.
+        white, logdet = np.linalg.cholesky(np.linalg.inv(c.cov)).T, float(np.linalg.slogdet(c.cov)[1])
+        quad = sum((x * x for x in linear(panel.channels, white, c.mean)), F.lit(0.0))
+        columns.append((-0.5 * (F.lit(float(len(c.mean) * L.LOG_2PI + logdet)) + quad)).alias(f"log_density_{k + 1}"))
+    return panel.df.select("subject_id", "t", *columns)
+
+
 def subject_sse(stats: Stats, fit: Fit, z: np.ndarray | None = None, kind: str | None = None) -> np.ndarray:
     """(N,): squared reconstruction error of each subject, from statistics alone."""
     z = fit.z if z is None else z

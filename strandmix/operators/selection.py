@@ -118,6 +118,18 @@ def evaluation(selection: Selection, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "K int, r int, logLik double, BIC double, min_size int, max_size int").orderBy("BIC")
 
 
+def r_summary(found: dict, spark: SparkSession, kind: str = "", scope: str = "", how: str = "") -> DataFrame:
+    """(item, cluster, value, text) of what ``select_r`` found: model type, scope, the r chosen, r of all data and of each cluster, fit."""
+    rows = [("model_type", None, None, kind or None), ("scope", None, None, scope or None), ("r", None, float(found["r"]), None)]
+    if "r_global" in found:
+        rows.append(("r_global", None, float(found["r_global"]), None))
+    rows += [("r_cluster", int(k), float(v), how or None) for k, v in sorted(found.get("per_cluster", {}).items())]
+    if (fit := found.get("fit")) is not None:
+        rows.append(("logLik", None, float(fit.loglik), f"{fit.n_clusters} clusters, {fit.n_factors} factors"))
+    rows += [("limit", j + 1, float(v), None) for j, v in enumerate(found.get("limits", []))]
+    return spark.createDataFrame(rows, "item string, cluster int, value double, text string")
+
+
 def model_by(selection: Selection, k: int, r: int) -> Fit | None:
     """The model of (K, r), if it was tried."""
     return selection.models.get((k, r))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -198,42 +198,106 @@ def baselines_run(config: dict) -> list[dict]:
     return [{"model_type": "dynamic"} | row for row in compare_all(stats, int(config["K"]), int(config["r"]), z, int(config["seed"]), list(params["loadings"]))]
 
 
-def modelsel_run(config: dict) -> list[dict]:
-    """Both mixtures under both strategies on one simulated panel."""
+#: Candidates that selection runs try, whatever the truth: K and r of model selection, K of the comparison of criteria.
+K_CANDIDATES, R_CANDIDATES, K_COMPARED = range(1, 6), range(1, 6), range(2, 7)
+MODES = ("modelsel", "oracle_r", "oracle_Kr")
+
+
+def modelsel_run(config: dict, mode: str = "modelsel", ks=K_CANDIDATES, rs=R_CANDIDATES, strategies=("grid", "twostage"), methods=("mfa", "mpca"), criterion: str = "ICL", temperature: float = 2.0) -> list[dict]:
+    """Each mixture under each strategy on one simulated panel.
+
+    Candidates don't depend on the truth, but for the modes that are told of it: ``oracle_r`` knows r, ``oracle_Kr`` K and r.
+    """
     from strandmix.operators import evaluate as E
     from strandmix.operators import selection as Q
 
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
     stats, z, params = _simulated(config)
     k, r, out = int(config["K"]), int(config["r"]), []
-    for kind in ("mfa", "mpca"):
-        for strategy in ("grid", "twostage"):
+    ks, rs = [k] if mode == "oracle_Kr" else ks, [r] if mode != "modelsel" else rs
+    for kind in methods:
+        for strategy in strategies:
             begun = time.perf_counter()
-            got = Q.select_k_r(stats, kind, strategy, ks=range(1, k + 2), rs=range(1, r + 2), seed=int(config["seed"]))
+            options = {"criterion": criterion, "temperature": temperature, "r_fixed": rs[0] if len(rs) == 1 else 2} if strategy == "twostage" else {}
+            got = Q.select_k_r(stats, kind, strategy, ks=ks, rs=rs, seed=int(config["seed"]), **options)
             row = E.model_selection_row({"K": k, "r": r, "z": z}, got.best, stats, time.perf_counter() - begun)
             space = E.clusterwise_similarity(list(params["loadings"]), [c.loadings for c in got.best.components], z, got.best.z)
-            out.append(row | {"K_true": k, "r_true": r, "method": kind, "selection_strategy": strategy, "mode": "modelsel", "r_mode": "select", "subspace_similarity": space})
+            out.append(row | {"K_true": k, "r_true": r, "method": kind, "selection_strategy": strategy, "mode": mode, "r_mode": "select" if mode == "modelsel" else "oracle", "subspace_similarity": space})
     return out
 
 
-def kselect_run(config: dict) -> list[dict]:
-    """K by BIC, and by ICL at three temperatures, on one simulated panel."""
+def vote(choices: list[int]) -> int:
+    """The most frequent choice, the smallest of equals."""
+    return min(choices, key=lambda x: (-choices.count(x), x))
+
+
+def kselect_run(config: dict, ks=K_COMPARED, r: int = 2) -> list[dict]:
+    """K by BIC, by ICL at three temperatures, and by the vote of BIC and two of these, on one simulated panel; candidates don't depend on the truth."""
     from strandmix.operators import criteria as C
     from strandmix.operators import mixture as M
 
     stats, _, _ = _simulated(config)
-    k_true, r = int(config["K_true"]), int(config["r_true"])
-    begun = time.perf_counter()
-    fits = {k: M.fit(stats, "mfa", k, r, seed=int(config["seed"])) for k in range(1, k_true + 3) if k <= len(stats)}
+    k_true, begun = int(config["K_true"]), time.perf_counter()
+    fits = {k: M.fit(stats, "mfa", k, r, seed=int(config["seed"])) for k in ks if k <= len(stats)}
     bic = {k: C.bic("mfa", f.loglik, k, r, stats.width, float(stats.n.sum())) for k, f in fits.items()}
     scores = {"BIC": bic} | {f"ICL_T{t}": {k: C.icl(bic[k], C.tempered(f.resp, t)) for k, f in fits.items()} for t in (1, 2, 3)}
     spent = time.perf_counter() - begun
-    return [{"method": name, "K_hat": (best := min(s, key=lambda k: (s[k], k))), "K_correct": best == k_true, "runtime_sec": spent} for name, s in scores.items()]
+    best = {name: min(s, key=lambda k: (s[k], k)) for name, s in scores.items()}
+    best["Ensemble"] = vote([best[x] for x in ("BIC", "ICL_T1", "ICL_T2")])
+    return [{"method": name, "K_hat": k, "K_correct": k == k_true, "runtime_sec": spent} for name, k in best.items()]
 
 
-def sweep(spark: SparkSession, what: str = "baselines", grid: str = "test") -> DataFrame:
-    """An experiment over a grid: baselines, modelsel or kselect."""
+def sweep(spark: SparkSession, what: str = "baselines", grid: str | DataFrame = "test", **options) -> DataFrame:
+    """An experiment over a grid, by name or as a table: baselines, modelsel or kselect, with the options of its runs."""
     run, schema = {"baselines": (baselines_run, BASELINE_SCHEMA), "modelsel": (modelsel_run, MODELSEL_SCHEMA), "kselect": (kselect_run, KSELECT_SCHEMA)}[what]
-    return run_grid(param_grid(spark, grid), run, schema)
+    return run_grid(param_grid(spark, grid) if isinstance(grid, str) else grid, partial(run, **options) if options else run, schema)
+
+
+def compare_simulated(spark: SparkSession, model_types=("dynamic",), n: int = 30, k: int = 3, r: int = 3, m: int = 8, length: int = 200, separations=(1.0, 1.0, 1.0), seeds=(123,)) -> DataFrame:
+    """The six methods on simulated panels of each model type and seed, as a table. ValueError for a type that can't be simulated."""
+    if unknown := [x for x in model_types if x != "dynamic"]:
+        raise ValueError(f"unknown model types: {', '.join(map(str, unknown))}")
+    rows = [(n, k, r, m, length, *map(float, separations), int(seed), j + 1) for j, seed in enumerate(seeds)]
+    return sweep(spark, "baselines", spark.createDataFrame(rows, CONFIG_SCHEMA))
+
+
+def finish(raw: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """The end of a sweep: aggregates over finite rows, and win rates of each metric; written under ``path`` where one is given.
+
+    Model selection runs are told by their columns. With a path, aggregates are computed from the written rows, so no run is made twice.
+    """
+    from strandmix.sources.results import save_results
+
+    if path:
+        raw = raw.sparkSession.read.parquet(save_results(raw, f"{path}/raw")[0])
+    ok = raw.where(F.coalesce(F.col("error_msg"), F.lit("")) == "") if "error_msg" in raw.columns else raw
+    if "selection_strategy" in raw.columns:
+        agg = aggregate_modelsel(raw)
+        out = {"aggregated": agg, "win_rates": modelsel_win_rates(agg)}
+    else:
+        agg = aggregate_results(ok)
+        rates = [win_rates(agg, x, x in ("ARI", "VAF")).select(F.lit(x).alias("metric"), "*") for x in ("ARI", "BIC", "VAF", "SSE") if f"{x}_mean" in agg.columns]
+        out = {"aggregated": agg, "win_rates": reduce(DataFrame.unionByName, rates)}
+    if path:
+        out = {name: raw.sparkSession.read.parquet(save_results(df, f"{path}/{name}")[0]) for name, df in out.items()}
+    return {"raw": raw} | out
+
+
+def aggregate_partial_results(spark: SparkSession, folder: str, pattern: str = "*.parquet", path: str | None = None, remove_partial: bool = False) -> dict[str, DataFrame]:
+    """``finish`` over the results that tasks left in a folder, by the names of their columns.
+
+    ``remove_partial`` deletes the files that were read, once the results stand under ``path``, which it therefore needs.
+    """
+    from strandmix.sources.results import read_all_results, remove_files
+
+    if remove_partial and not path:
+        raise ValueError("remove_partial needs a path to write to first")
+    raw = read_all_results(spark, f"{folder}/{pattern}")
+    files = [row[0] for row in raw.select("file").distinct().collect()] if remove_partial else []
+    out = finish(raw.drop("file"), path)
+    remove_files(spark, files)
+    return out
 
 
 def aggregate_partial(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def fixed(kind: str) -> M.Fit:
     return M.Fit(kind, np.zeros(0, np.int64), np.zeros(0, int), np.zeros((0, 2)), np.array(PRIORS), parts, 0.0, 0, CHANNELS)
 
 
-def _linear(coefficients, mean, offset=None) -> list[str]:
+def linear_sql(coefficients, mean, offset=None) -> list[str]:
     return [" + ".join([repr(float(offset[k]) if offset is not None else 0.0), *(f"({float(v)!r}) * ({c} - ({float(m)!r}))" for v, c, m in zip(row, CHANNELS, mean))]) for k, row in enumerate(coefficients)]
 
 
@@ -48,16 +48,16 @@ def _rows_query(name, kind, make, per_cluster, names):
 
 for _kind, _scorer in (("mfa", P.fa_scorer), ("mpca", P.ppca_scorer)):
     _fit = fixed(_kind)
-    _rows_query(f"pj_scores_{_kind}", _kind, P.scores, [_linear(_scorer(c), c.mean) for c in _fit.components], ["f_1", "f_2"])
-    _rows_query(f"pj_reconstruct_{_kind}", _kind, P.reconstruct, [_linear(P.hat(_kind, c), c.mean, c.mean) for c in _fit.components], CHANNELS)
+    _rows_query(f"pj_scores_{_kind}", _kind, P.scores, [linear_sql(_scorer(c), c.mean) for c in _fit.components], ["f_1", "f_2"])
+    _rows_query(f"pj_reconstruct_{_kind}", _kind, P.reconstruct, [linear_sql(P.hat(_kind, c), c.mean, c.mean) for c in _fit.components], CHANNELS)
 for _name in ("pca", "single_fa"):
-    _rows_query(f"pj_reconstruct_{_name}", "mfa", lambda p, f, a, k=_name: P.reconstruct(p, f, a, k), [_linear(P.hat(_name, c), c.mean, c.mean) for c in fixed("mfa").components], CHANNELS)
+    _rows_query(f"pj_reconstruct_{_name}", "mfa", lambda p, f, a, k=_name: P.reconstruct(p, f, a, k), [linear_sql(P.hat(_name, c), c.mean, c.mean) for c in fixed("mfa").components], CHANNELS)
 
 
 def _squares(kind: str) -> str:
     out = []
     for k, c in enumerate(fixed(kind).components):
-        out.append(f"WHEN z = {k + 1} THEN " + " + ".join(f"({x}) ** 2" for x in _linear(np.eye(4) - P.hat(kind, c), c.mean)))
+        out.append(f"WHEN z = {k + 1} THEN " + " + ".join(f"({x}) ** 2" for x in linear_sql(np.eye(4) - P.hat(kind, c), c.mean)))
     return "CASE " + " ".join(out) + " END"
 
 
@@ -73,7 +73,7 @@ for _kind in ("mfa", "mpca"):
     )(lambda s, d, k=_kind: P.row_errors(scaled_lines(s, d), fixed(k), parity(s, d)).agg(F.sum("sq_error").alias("sse")).join(S.total_squares(scaled_lines(s, d, False), "raw")).select((1 - F.col("sse") / F.col("sst")).alias("vaf")))
 query(
     "pj_score_smoothness",
-    f"{_Z}, f AS (SELECT subject_id, t, {_case([_linear(P.fa_scorer(c), c.mean) for c in fixed('mfa').components], ['f_1', 'f_2']).replace('round(', '(').replace(', 6)', ')')} FROM zz), "
+    f"{_Z}, f AS (SELECT subject_id, t, {_case([linear_sql(P.fa_scorer(c), c.mean) for c in fixed('mfa').components], ['f_1', 'f_2']).replace('round(', '(').replace(', 6)', ')')} FROM zz), "
     "dd AS (SELECT f_1 - 2 * lag(f_1, 1) OVER w + lag(f_1, 2) OVER w AS a, f_2 - 2 * lag(f_2, 1) OVER w + lag(f_2, 2) OVER w AS b FROM f WINDOW w AS (PARTITION BY subject_id ORDER BY t)) "
     f"SELECT {r('coalesce(sum(a * a), 0) + coalesce(sum(b * b), 0)', 'penalty')} FROM dd",
 )(lambda s, d: P.score_smoothness(scaled_lines(s, d), fixed("mfa"), parity(s, d)))
@@ -87,6 +87,31 @@ def _log_density(kind: str, k: int) -> str:
     return f"ln({PRIORS[k]} + 1e-16) + sum(-0.5 * ({float(4 * L.LOG_2PI + logdet)!r} + {quad}))"
 
 
+def _row_density(kind: str, k: int) -> str:
+    """SQL: the log density of a row under a cluster."""
+    c = fixed(kind).components[k]
+    inv, logdet = np.linalg.inv(c.cov), float(np.linalg.slogdet(c.cov)[1])
+    quad = " + ".join(f"({float(inv[i, j])!r}) * ({CHANNELS[i]} - ({float(c.mean[i])!r})) * ({CHANNELS[j]} - ({float(c.mean[j])!r}))" for i in range(4) for j in range(4))
+    return f"-0.5 * ({float(4 * L.LOG_2PI + logdet)!r} + {quad})"
+
+
+for _kind in ("mfa", "mpca"):
+    query(f"pj_row_log_density_{_kind}", f"WITH {LS} SELECT subject_id, t, {', '.join(r(_row_density(_kind, k), f'log_density_{k + 1}') for k in range(2))} FROM ls")(lambda s, d, k=_kind: P.row_log_densities(scaled_lines(s, d), fixed(k)))
+
+
+def _rotated_scores(s, d):
+    fit = E.rotate(fixed("mfa"))
+    return E.rotate_scores(P.scores(scaled_lines(s, d), fixed("mfa"), parity(s, d)), fit)
+
+
+def _rotated_sql() -> str:
+    turned = E.rotate(fixed("mfa")).extra["rotations"]
+    plain = [linear_sql(P.fa_scorer(c), c.mean) for c in fixed("mfa").components]
+    new = [[" + ".join(f"({float(turned[k + 1][i, j])!r}) * ({plain[k][i]})" for i in range(2)) for j in range(2)] for k in range(2)]
+    return _case(new, ["f_1", "f_2"])
+
+
+query("pj_rotated_scores", f"{_Z} SELECT subject_id, t, z, {_rotated_sql()} FROM zz")(_rotated_scores)
 _JOINT = "WITH {ls}, j AS ({rows})"
 
 
@@ -206,28 +231,56 @@ query(
 )
 
 
-# Fits: iterative, so without SQL.
+# Fits have their SQL where the truth is planted: suppliers with odd numbers lie far from the others, and any right fit tells them apart.
+_PLANTED = f"{LS}, pl AS (SELECT subject_id, qty + CASE WHEN subject_id % 2 = 1 THEN 3 ELSE 0 END AS qty, price - CASE WHEN subject_id % 2 = 1 THEN 2 ELSE 0 END AS price, disc, tax FROM ls)"
+#: Clusters as ``canonical`` numbers them: by size, then by smallest subject.
+_TRUE = f"{_PLANTED}, sz AS (SELECT subject_id % 2 AS odd, count(DISTINCT subject_id) AS n, min(subject_id) AS low FROM pl GROUP BY 1), tr AS (SELECT odd, n, CAST(row_number() OVER (ORDER BY n DESC, low) AS INTEGER) AS z FROM sz)"
+
+
+def planted(s, d) -> A.Panel:
+    """The supplier panel with the suppliers of odd numbers moved."""
+    p = scaled_lines(s, d, False)
+    odd = F.pmod("subject_id", F.lit(2)) == 1
+    return p.with_df(p.df.withColumns({"qty": F.col("qty") + F.when(odd, 3.0).otherwise(0.0), "price": F.col("price") - F.when(odd, 2.0).otherwise(0.0)}))
+
+
 def _stats(s, d, panel="emb"):
-    return S.collect(A.embeddings_panel(s, d) if panel == "emb" else scaled_lines(s, d, False))
+    return S.collect({"emb": lambda: A.embeddings_panel(s, d), "wide": lambda: A.embeddings_panel(s, d, 64), "planted": lambda: planted(s, d), "li": lambda: scaled_lines(s, d, False)}[panel]())
 
 
-def _labels(s, d, kind, **options):
-    got = M.canonical(M.fit(_stats(s, d), kind, 2, 2, **options))
+def _labels(s, d, kind, panel="planted", **options):
+    got = M.canonical(M.fit(_stats(s, d, panel), kind, 2, 2, **options))
     return got.assignments(s).join(got.responsibilities(s).where("k = 1").select("subject_id", F.col("p").alias("p_1")), "subject_id")
 
 
-for _name, _kind, _options in (
+_FORMS = (
     ("fa_hard", "mfa", {}),
     ("fa_soft", "mfa", {"em": "soft"}),
     ("fa_hard_shrunk", "mfa", {"estep": "shrunk"}),
     ("pca_hard_em", "mpca", {"method": "EM"}),
     ("pca_hard_closed", "mpca", {"method": "closed_form"}),
     ("pca_soft", "mpca", {"em": "soft"}),
-):
-    query(f"mx_{_name}", None)(lambda s, d, k=_kind, o=_options: _labels(s, d, k, **o))
-query("mx_fa_parameters")(lambda s, d: M.fit(_stats(s, d), "mfa", 2, 2).parameters(s))
+)
+_LABELS_SQL = f"WITH {_TRUE} SELECT DISTINCT subject_id, z, {{p}}FROM pl JOIN tr ON tr.odd = pl.subject_id % 2"
+for _name, _kind, _options in _FORMS:
+    query(f"mx_{_name}", _LABELS_SQL.format(p="CAST(z = 1 AS DOUBLE) AS p_1 "))(lambda s, d, k=_kind, o=_options: _labels(s, d, k, **o))
+# Without a planted truth: the embeddings' subjects, over all their channels.
+query("mx_fa_hard_wide")(lambda s, d: _labels(s, d, "mfa", "wide"))
+
+
+def _parameters(s, d, kind, **options):
+    """(k, channel, pi, mean, variance) of a fit; a closed form's variances sum to those of its cluster."""
+    got = M.canonical(M.fit(_stats(s, d, "planted"), kind, 2, 2, **options))
+    rows = [(k + 1, c, float(p), float(x.mean[j]), float(np.trace(x.cov))) for k, (p, x) in enumerate(zip(got.pi, got.components)) for j, c in enumerate(CHANNELS)]
+    return s.createDataFrame(rows, "k int, channel string, pi double, mean double, variance double")
+
+
+_CLUSTER = ", ".join(f"avg({c}) AS m_{c}" for c in CHANNELS) + ", " + " + ".join(f"var_pop({c})" for c in CHANNELS) + " AS v"
+_PARAMS_SQL = f"WITH {_TRUE}, cl AS (SELECT subject_id % 2 AS odd, {_CLUSTER} FROM pl GROUP BY 1), al AS (SELECT z, n, sum(n) OVER () AS total, cl.* FROM cl JOIN tr USING (odd)) " + " UNION ALL ".join(f"SELECT z AS k, '{c}' AS channel, {r('n / total', 'pi')}, {r(f'm_{c}', 'mean')}{{v}} FROM al" for c in CHANNELS)
+query("mx_fa_parameters", _PARAMS_SQL.format(v=""))(lambda s, d: _parameters(s, d, "mfa").drop("variance"))
+query("mx_pca_parameters", _PARAMS_SQL.format(v=f", {r('v', 'variance')}"))(lambda s, d: _parameters(s, d, "mpca", method="closed_form"))
 query("mx_fa_loadings")(lambda s, d: M.fit(_stats(s, d), "mfa", 2, 2).loadings(s))
-query("mx_distributed")(lambda s, d: M.fit_distributed(scaled_lines(s, d, False), "mpca", 2, 2, max_iter=8)[1])
+query("mx_distributed", f"WITH {_TRUE} SELECT DISTINCT subject_id, CAST(CASE WHEN subject_id % 2 = 1 THEN 2 ELSE 1 END AS INTEGER) AS z FROM pl")(lambda s, d: M.fit_distributed(planted(s, d), "mpca", 2, 2)[1].select("subject_id", "z"))
 
 
 @query("mx_two_step")

@@ -139,7 +139,18 @@ query(
     "ss_subject_moments",
     f"WITH {LS} SELECT subject_id, count(*) AS n, {', '.join(r(f'avg({c})', f'mean_{c}') for c in CHANNELS)}, {', '.join(r(f'covar_pop({a}, {b})', f'cov_{a}_{b}') for a, b in _pairs)} FROM ls GROUP BY 1",
 )(lambda s, d: S.subject_moments(scaled_lines(s, d, False)))
-query("ss_sufficient_statistics")(lambda s, d: S.moments(scaled_lines(s, d, False)))
+
+
+def _named_moments(s, d):
+    """The arrays of sums and products as columns by name."""
+    m = S.moments(scaled_lines(s, d, False))
+    return m.select("subject_id", "n", *(F.col("s")[k].alias(f"s_{c}") for k, c in enumerate(CHANNELS)), *(F.col("q")[k].alias(f"q_{a}_{b}") for k, (a, b) in enumerate(_pairs)))
+
+
+query(
+    "ss_sufficient_statistics",
+    f"WITH {LS} SELECT subject_id, count(*) AS n, {', '.join(r(f'sum({c})', f's_{c}') for c in CHANNELS)}, {', '.join(r(f'sum({a} * {b})', f'q_{a}_{b}') for a, b in _pairs)} FROM ls WHERE {' AND '.join(f'{c} IS NOT NULL' for c in CHANNELS)} GROUP BY 1",
+)(_named_moments)
 query(
     "ss_pooled_covariance",
     f"WITH {LS} " + " UNION ALL ".join(f"SELECT '{a}' AS row_channel, '{b}' AS col_channel, {r(f'covar_pop({a}, {b})', 'value')} FROM ls" for a, b in _pairs),

@@ -122,6 +122,15 @@ query("agg_partial_dispatch", f"WITH {_MSA} SELECT N, K_true, r_true, method, se
 # Experiments and simulations: random, so without SQL.
 query("sw_baselines")(lambda s, d: W.sweep(s, "baselines", "test").drop("error_msg"))
 query("sw_modelsel")(lambda s, d: W.sweep(s, "modelsel", "modelsel_test").drop("runtime_sec"))
+# Told of K and r, there is nothing to be wrong about; told of r, only K is chosen.
+_TOLD = "SELECT g.run_id, g.seed, g.N, g.K AS K_true, g.r AS r_true, m.method, st.strategy AS selection_strategy, 'oracle_Kr' AS mode, 'oracle' AS r_mode, g.K AS K_hat, g.r AS r_hat, true AS K_correct, true AS r_correct, true AS Kr_correct FROM g, (VALUES ('mfa'), ('mpca')) m(method), (VALUES ('grid'), ('twostage')) st(strategy)"
+query("sw_modelsel_oracle_kr", f"WITH g AS ({_grid_sql('modelsel_test')}) {_TOLD}")(
+    lambda s, d: W.sweep(s, "modelsel", "modelsel_test", mode="oracle_Kr").select("run_id", "seed", "N", "K_true", "r_true", "method", "selection_strategy", "mode", "r_mode", "K_hat", "r_hat", "K_correct", "r_correct", "Kr_correct")
+)
+query("sw_modelsel_oracle_r", f"WITH g AS ({_grid_sql('modelsel_test')}) SELECT g.run_id, m.method, st.strategy AS selection_strategy, 'oracle_r' AS mode, g.r AS r_hat, true AS r_correct, true AS candidate FROM g, (VALUES ('mfa'), ('mpca')) m(method), (VALUES ('grid'), ('twostage')) st(strategy)")(
+    lambda s, d: W.sweep(s, "modelsel", "modelsel_test", mode="oracle_r").select("run_id", "method", "selection_strategy", "mode", "r_hat", "r_correct", F.col("K_hat").between(1, 5).alias("candidate"))
+)
+query("sw_finish_modelsel")(lambda s, d: W.finish(W.sweep(s, "modelsel", "modelsel_test", mode="oracle_Kr"))["win_rates"])
 query("sw_kselect")(lambda s, d: W.sweep(s, "kselect", "k_selection").drop("runtime_sec"))
 query("src_simulate")(lambda s, d: G.generate(s, seed=7, n_subjects=12, length=60)[0].df)
 
@@ -155,6 +164,12 @@ query("pl_sse_heatmap", f"WITH e AS (SELECT l_suppkey AS subject_id, sum(l_disco
     lambda s, d: D.sse_heatmap(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject_id")).agg(F.sum("l_discount").alias("a"), F.sum("l_tax").alias("b")), ["a", "b"])
 )
 query("pl_minmax_activations", f"WITH {EV} SELECT subject_id, t, {r('coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0)', 'x')} FROM ev WINDOW w AS (PARTITION BY subject_id)")(lambda s, d: D.minmax(events(s, d)))
+_MM = "mm AS (SELECT subject_id, t, CAST(subject_id % 2 + 1 AS INTEGER) AS z, " + ", ".join(f"coalesce(({c} - min({c}) OVER w) / nullif(max({c}) OVER w - min({c}) OVER w, 0), 0) AS {c}" for c in ("qty", "price")) + " FROM ls WINDOW w AS (PARTITION BY subject_id))"
+# Two channels have their axes in closed form: an angle, and the axis at right angles to it.
+_AXES = "ax AS (SELECT avg(qty) AS mx, avg(price) AS my, 0.5 * atan2(2 * covar_pop(qty, price), var_pop(qty) - var_pop(price)) AS a FROM mm), un AS (SELECT mx, my, cos(a) AS c1, sin(a) AS s1, -sin(a) AS c2, cos(a) AS s2 FROM ax), sg AS (SELECT *, CASE WHEN (CASE WHEN abs(c1) >= abs(s1) THEN c1 ELSE s1 END) < 0 THEN -1 ELSE 1 END AS g1, CASE WHEN (CASE WHEN abs(c2) >= abs(s2) THEN c2 ELSE s2 END) < 0 THEN -1 ELSE 1 END AS g2 FROM un)"
+query("pl_neural_command", f"WITH {LS}, {_MM}, {_AXES} SELECT subject_id, t, z, {r('g1 * (c1 * (qty - mx) + s1 * (price - my))', 'dim_1')}, {r('g2 * (c2 * (qty - mx) + s2 * (price - my))', 'dim_2')} FROM mm, sg")(
+    lambda s, d: D.neural_command(A.Panel(scaled_lines(s, d).df.select("subject_id", "t", "qty", "price"), ("qty", "price")), parity(s, d))
+)
 query("pl_cluster_embedding")(lambda s, d: D.embedding(S.mean_variance_features(scaled_lines(s, d, False)), [f"{f}_{c}" for f in ("mean", "var") for c in CHANNELS]))
 query("pl_mean_basis", f"WITH {_LOAD}, m AS (SELECT CAST(channel % 2 + 1 AS INTEGER) AS k, CAST(k AS BIGINT) AS ch, factor, avg(value) AS v FROM lo GROUP BY ALL) SELECT k, ch AS channel, factor, {r('v', 'value')} FROM m")(
     lambda s, d: (lambda b: D.mean_basis(b, b.select("subject_id").distinct().withColumn("z", (F.col("subject_id") % 2 + 1).cast("int"))))(loadings(s, d).select(F.col("channel").alias("subject_id"), F.col("k").cast("long").alias("channel"), "factor", "value"))
@@ -179,7 +194,16 @@ def _windowed(s, d):
     return windowed_moments(table(s, d, "events"), "user_id", "ts", ["value"])
 
 
-@query("st_score_rows", None)
+def _first_scores() -> str:
+    """SQL: a row's scores under the first cluster."""
+    from strandmix.operators.project import fa_scorer
+    from strandmix.plans.models import linear_sql
+
+    c = fixed("mfa").components[0]
+    return ", ".join(r(x, f"f_{k + 1}") for k, x in enumerate(linear_sql(fa_scorer(c), c.mean)))
+
+
+@query("st_score_rows", f"WITH {LS} SELECT subject_id, t, {', '.join(r(c, c) for c in CHANNELS)}, {_first_scores()} FROM ls")
 def _scored(s, d):
     from strandmix.streaming.panels import score_rows
 

@@ -32,6 +32,13 @@ def read_all_results(spark: SparkSession, *paths: str) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def remove_files(spark: SparkSession, files: list[str]) -> None:
+    """Delete files in any store that Spark reads."""
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def completed_tasks(done: DataFrame, n_total: int, id_col: str = "run_id") -> DataFrame:
     """One row: tasks with a result, all tasks, per cent with one decimal."""
     n = F.countDistinct(id_col)
