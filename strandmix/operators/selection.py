@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,55 +49,57 @@ def _row(stats: Stats, fit: Fit, **more) -> dict:
 def grid(stats: Stats, kind: str, ks=range(1, 6), rs=range(1, 6), spark: SparkSession | None = None, **options) -> Selection:
     """All (K, r): the smallest BIC over all rows wins. With a session, each cell is a task of its own over broadcast statistics."""
     cells = [(k, r) for r in rs for k in ks if k <= len(stats) and r <= stats.width]
-    if spark is None:
-        models = {(k, r): M.fit(stats, kind, k, r, **options) for k, r in cells}
-    else:
-        models = dict(zip(cells, _spread(spark, stats, [("fit", kind, k, r, options) for k, r in cells])))
+    models = dict(zip(cells, _fits(spark, stats, [(kind, k, r, options) for k, r in cells])))
     summary = sorted((_row(stats, x) for x in models.values()), key=lambda row: (row["BIC"], row["K"], row["r"]))
     best = (summary[0]["K"], summary[0]["r"])
     return Selection(*best, models[best], summary, models, {"strategy": "grid", "criterion": "BIC"})
 
 
 def _spread(spark: SparkSession, stats: Stats, jobs: list[tuple]) -> list:
-    """Fits by tasks; only their parameters and labels come back."""
-    import pickle
+    """Fits (kind, k, r, options) by tasks; only their parameters and labels come back."""
+    rows = _tasks(spark, stats, jobs, lambda given, job: [(pickle.dumps(M.fit(given, *job[:3], **job[3])),)], "model binary")
+    return [pickle.loads(row.model) for row in sorted(rows.collect(), key=lambda row: row.job)]
+
+
+def _tasks(spark: SparkSession, stats: Stats, jobs: list[tuple], run, schema: str) -> DataFrame:
+    """The rows of ``run(stats, job)`` for each job, as a table with the job's number; each job is a task's, over broadcast statistics."""
+    sent, names = spark.sparkContext.broadcast(stats), [x.split()[0] for x in schema.split(", ")]
 
-    sent = spark.sparkContext.broadcast(stats)
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        out = [(int(i), *row) for i, job in zip(rows["job"], rows["what"]) for row in run(sent.value, pickle.loads(job))]
+        return pd.DataFrame(out, columns=["job", *names])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        def one(job):
-            _, kind, k, r, options = pickle.loads(job)
-            return pickle.dumps(M.fit(sent.value, kind, k, r, **options))
+    table = spark.createDataFrame([(i, pickle.dumps(x)) for i, x in enumerate(jobs)], "job int, what binary")
+    return table.repartition(max(1, min(len(jobs), spark.sparkContext.defaultParallelism)), "job").groupBy("job").applyInPandas(each, f"job int, {schema}")
 
-        return pd.DataFrame({"id": rows["id"], "model": [one(x) for x in rows["job"]]})
 
-    table = spark.createDataFrame([(i, pickle.dumps(x)) for i, x in enumerate(jobs)], "id int, job binary")
-    got = table.repartition(max(1, min(len(jobs), spark.sparkContext.defaultParallelism)), "id").groupBy("id").applyInPandas(run, "id int, model binary").collect()
-    return [pickle.loads(row.model) for row in sorted(got, key=lambda row: row.id)]
+def _fits(spark: SparkSession | None, stats: Stats, jobs: list[tuple]) -> list[Fit]:
+    """Fits (kind, k, r, options), by tasks where there is a session."""
+    return [M.fit(stats, *job[:3], **job[3]) for job in jobs] if spark is None else _spread(spark, stats, jobs)
 
 
-def two_stage(stats: Stats, kind: str, ks=range(1, 6), rs=range(1, 6), r_fixed: int = 2, criterion: str = "ICL", temperature: float = 1.0, seed: int = 0, **options) -> Selection:
-    """First K at a fixed r, by ICL (of a short fit from three random starts) or BIC; then r at that K by BIC."""
+def two_stage(stats: Stats, kind: str, ks=range(1, 6), rs=range(1, 6), r_fixed: int = 2, criterion: str = "ICL", temperature: float = 1.0, seed: int = 0, spark: SparkSession | None = None, **options) -> Selection:
+    """First K at a fixed r, by ICL (of a short fit from three random starts) or BIC; then r at that K by BIC. With a session, fits are tasks."""
     if criterion not in ("ICL", "BIC"):
         raise ValueError(f"unknown criterion {criterion!r}")
     summary, models, r0 = [], {}, min(r_fixed, stats.width)
-    for k in ks:
-        if k > len(stats):
-            continue
-        got = models[k, r0] = M.fit(stats, kind, k, r0, seed=seed, **options)
-        row = _row(stats, got, stage="K")
+    ks, rs = [k for k in ks if k <= len(stats)], [r for r in rs if r <= stats.width]
+    short = {"n_init": 3, "use_kmeans": False, "seed": seed + 1, "max_iter": 10, "tol": 1e-10}
+    jobs = [(kind, k, r0, {"seed": seed} | options) for k in ks] + [(kind, k, r0, short) for k in ks if criterion == "ICL"]
+    found = _fits(spark, stats, jobs)
+    for at, k in enumerate(ks):
+        models[k, r0] = found[at]
+        row = _row(stats, found[at], stage="K")
         if criterion == "ICL":
-            extra = M.fit(stats, kind, k, r0, n_init=3, use_kmeans=False, seed=seed + 1, max_iter=10, tol=1e-10)
+            extra = found[len(ks) + at]
             resp = C.tempered(extra.resp, temperature) if temperature != 1 else extra.resp
             bic = C.bic(kind, extra.loglik, k, r0, stats.width, float(stats.n.sum()))
             row |= {"entropy": C.entropy(resp), "ICL": C.icl(bic, resp)}
         summary.append(row)
     best_k = min(summary, key=lambda row: (row[criterion], row["K"]))["K"]
-    second = []
-    for r in rs:
-        if r <= stats.width:
-            got = models[best_k, r] = models.get((best_k, r)) or M.fit(stats, kind, best_k, r, seed=seed, **options)
-            second.append(_row(stats, got, stage="r"))
+    missing = [r for r in rs if (best_k, r) not in models]
+    models |= {(best_k, r): x for r, x in zip(missing, _fits(spark, stats, [(kind, best_k, r, {"seed": seed} | options) for r in missing]))}
+    second = [_row(stats, models[best_k, r], stage="r") for r in rs]
     best_r = min(second, key=lambda row: (row["BIC"], row["r"]))["r"]
     return Selection(best_k, best_r, models[best_k, best_r], summary + second, models, {"strategy": "twostage", "criterion": criterion, "temperature": temperature})
 
@@ -135,26 +140,62 @@ def model_by(selection: Selection, k: int, r: int) -> Fit | None:
     return selection.models.get((k, r))
 
 
-def bootstrap_draws(stats: Stats, kind: str, ks=range(2, 6), r: int = 2, n_boot: int = 50, ratio: float = 0.8, seed: int = 0, **options) -> list[tuple]:
-    """(K, b, subject_id, z) of fits to subsamples without replacement."""
-    rows = []
-    for k in ks:
-        for b in range(n_boot):
-            chosen = np.sort(np.random.default_rng([seed, k, b]).choice(len(stats), max(k, int(ratio * len(stats))), replace=False))
-            got = M.fit(stats.pick(chosen), kind, k, r, seed=seed + b, **options)
-            rows += [(k, b, int(i), int(z)) for i, z in zip(got.ids, got.z)]
-    return rows
+def _draw(stats: Stats, kind: str, k: int, r: int, b: int, ratio: float, seed: int, options: dict) -> list[tuple]:
+    """(K, b, subject_id, z) of a fit to a subsample without replacement."""
+    chosen = np.sort(np.random.default_rng([seed, k, b]).choice(len(stats), max(k, int(ratio * len(stats))), replace=False))
+    got = M.fit(stats.pick(chosen), kind, k, r, seed=seed + b, **options)
+    return [(k, b, int(i), int(z)) for i, z in zip(got.ids, got.z)]
+
+
+def bootstrap_draws(spark: SparkSession, stats: Stats, kind: str, ks=range(2, 6), r: int = 2, n_boot: int = 50, ratio: float = 0.8, seed: int = 0, **options) -> DataFrame:
+    """(K, b, subject_id, z) of fits to subsamples without replacement; each draw is a task's."""
+    jobs = [(k, b) for k in ks if k <= len(stats) for b in range(n_boot)]
+    return _tasks(spark, stats, jobs, lambda given, job: _draw(given, kind, job[0], r, job[1], ratio, seed, options), "K int, b int, subject_id long, z int").drop("job")
 
 
-def stability(labels: DataFrame, min_joint: int = 5) -> DataFrame:
+#: Subjects of a block whose pairs are counted at once.
+PAIR_BLOCK = 1000
+
+
+def stability(labels: DataFrame, min_joint: int = 5, block: int = PAIR_BLOCK) -> DataFrame:
     """(K, stability, n_pairs) from labels (K, b, subject_id, z): 1 - 4 mean(p (1 - p)) over pairs of subjects drawn together often enough.
 
-    Subjects of a study pair up, once per draw: the pairs are of subjects, never of rows.
+    A subject is one row, its labels by draw. Blocks of subjects meet in tasks and count their pairs by matrix products; what comes out
+    is one row for two blocks. So pairs are never rows, and a subject is sent once for each block of others.
     """
-    a = labels.select("K", "b", F.col("subject_id").alias("i"), F.col("z").alias("zi"))
-    b = labels.select("K", "b", F.col("subject_id").alias("j"), F.col("z").alias("zj"))
-    pairs = a.join(b, ["K", "b"]).where("i < j").groupBy("K", "i", "j").agg(F.avg((F.col("zi") == F.col("zj")).cast("double")).alias("p"), F.count("*").alias("joint"))
-    return pairs.where(F.col("joint") >= min_joint).groupBy("K").agg((1 - 4 * F.avg(F.col("p") * (1 - F.col("p")))).alias("stability"), F.count("*").alias("n_pairs"))
+    rows = labels.groupBy("K", "subject_id").agg(F.sort_array(F.collect_list(F.struct("b", "z"))).alias("own"))
+    sizes = {row[0]: row[1] for row in rows.groupBy("K").count().collect()}
+    most = max(sizes.values(), default=1)
+    blocks = -(-most // block)
+    placed = rows.select("K", "subject_id", F.col("own.b").alias("b"), F.col("own.z").alias("z"), F.pmod(F.xxhash64("subject_id"), F.lit(blocks)).cast("int").alias("at"))
+    left = placed.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence(F.col("at"), F.lit(blocks - 1))))
+    right = placed.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("at"))))
+
+    def count(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        draws = np.unique(np.concatenate([*x["b"], *y["b"]])) if len(x) and len(y) else np.zeros(0, int)
+        names = np.unique(np.concatenate([*x["z"], *y["z"]])) if len(draws) else np.zeros(0, int)
+
+        def marks(part):
+            there, chosen = np.zeros((len(part), len(draws))), np.zeros((len(part), len(draws), len(names)))
+            for row, (b, z) in enumerate(zip(part["b"], part["z"])):
+                at = np.searchsorted(draws, b)
+                there[row, at] = 1
+                chosen[row, at, np.searchsorted(names, z)] = 1
+            return there, chosen.reshape(len(part), -1)
+
+        if not len(draws):
+            return pd.DataFrame({"K": [], "total": [], "pairs": []})
+        (p, a), (q, b) = marks(x), marks(y)
+        joint, same = p @ q.T, a @ b.T
+        ids, others = x["subject_id"].to_numpy()[:, None], y["subject_id"].to_numpy()[None, :]
+        enough = (joint >= min_joint) & ((ids < others) if key[1] == key[2] else np.ones(joint.shape, bool))
+        share = same[enough] / joint[enough]
+        return pd.DataFrame({"K": [int(key[0])], "total": [float((share * (1 - share)).sum())], "pairs": [int(enough.sum())]})
+
+    keys = ["K", "i", "j"]
+    counted = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(count, "K int, total double, pairs long")
+    total = counted.groupBy("K").agg(F.sum("total").alias("total"), F.sum("pairs").alias("n_pairs")).where("n_pairs > 0")
+    return total.select("K", (1 - 4 * F.col("total") / F.col("n_pairs")).alias("stability"), "n_pairs")
 
 
 def best_k_by_stability(table: DataFrame) -> DataFrame:
@@ -162,17 +203,24 @@ def best_k_by_stability(table: DataFrame) -> DataFrame:
     return table.orderBy(F.desc("stability"), "K").limit(1)
 
 
-def cross_validate_k(stats: Stats, kind: str, ks=range(2, 6), r: int = 2, folds: int = 5, seed: int = 0, **options) -> list[tuple]:
-    """(K, fold, loglik per row) of subjects held out in turn."""
-    fold = np.random.default_rng(seed).permutation(len(stats)) % folds
-    rows = []
-    for k in ks:
-        for f in range(folds):
-            train, test = stats.pick(fold != f), stats.pick(fold == f)
-            if len(train) >= k and len(test):
-                got = M.fit(train, kind, k, r, seed=seed, **options)
-                rows.append((k, f, C.loglik(test, got, held_out=True) / float(test.n.sum())))
-    return rows
+def _folds(stats: Stats, folds: int, seed: int) -> np.ndarray:
+    """The fold of each subject."""
+    return np.random.default_rng(seed).permutation(len(stats)) % folds
+
+
+def cross_validate_k(spark: SparkSession, stats: Stats, kind: str, ks=range(2, 6), r: int = 2, folds: int = 5, seed: int = 0, **options) -> DataFrame:
+    """(K, fold, score): log likelihood per row of subjects held out in turn; each fold is a task's."""
+
+    def run(given, job):
+        k, f = job
+        fold = _folds(given, folds, seed)
+        train, test = given.pick(fold != f), given.pick(fold == f)
+        if len(train) < k or not len(test):
+            return []
+        got = M.fit(train, kind, k, r, seed=seed, **options)
+        return [(k, f, C.loglik(test, got, held_out=True) / float(test.n.sum()))]
+
+    return _tasks(spark, stats, [(k, f) for k in ks for f in range(folds)], run, "K int, fold int, score double").drop("job")
 
 
 def one_se_rule(scores: DataFrame, key: str, value: str, higher: bool = True) -> DataFrame:
@@ -192,13 +240,10 @@ def vaf_rule(table: DataFrame, threshold: float = 0.9) -> DataFrame:
     return table.agg(F.coalesce(F.min(F.when(F.col("VAF") >= threshold, F.col("r"))), F.max("r")).alias("r_vaf"), F.min_by("r", F.struct("BIC", "r")).alias("r_bic"))
 
 
-def criteria_table(stats: Stats, kind: str, k: int, rs=range(1, 6), rotate: bool = False, smooth=None, **options) -> list[dict]:
-    """Per r at one K: likelihood, BIC, VAF, VSS and, with ``smooth`` (N, M, M: summed squares of second differences), smoothness."""
+def criteria_table(stats: Stats, kind: str, k: int, rs=range(1, 6), rotate: bool = False, smooth=None, spark: SparkSession | None = None, **options) -> list[dict]:
+    """Per r at one K: likelihood, BIC, VAF, VSS and, with ``smooth`` (N, M, M: summed squares of second differences), smoothness. With a session, fits are tasks."""
     rows = []
-    for r in rs:
-        if r > stats.width:
-            continue
-        got = M.fit(stats, kind, k, r, **options)
+    for got in _fits(spark, stats, [(kind, k, r, options) for r in rs if r <= stats.width]):
         rows.append(_row(stats, got, VAF=P.vaf(stats, got), VSS=vss([c.loadings for c in got.components], rotate=rotate), smoothness=smoothness(got, smooth) if smooth is not None else None))
     return rows
 
@@ -326,34 +371,89 @@ def cross_validate_r(stats: Stats, rs, model: str = "FA", folds: int = 5, metric
     return rows
 
 
+def _shuffled_place(i: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
+    """Where row i of n goes under a permutation drawn by ``key``: rounds that mix two halves of the number, until it lies below n."""
+    half = max(1, -(-(n - 1).bit_length() // 2)) if n > 1 else 1
+    mask, keys = np.uint64((1 << half) - 1), np.random.default_rng(key).integers(1, 1 << 62, 6, dtype=np.uint64)
+
+    def mixed(x):
+        left, right = x >> np.uint64(half), x & mask
+        for k in keys:
+            h = (right + k) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ (h >> np.uint64(32)) & mask
+        return left << np.uint64(half) | right
+
+    out = mixed(i.astype(np.uint64))
+    while (late := out >= n).any():
+        out[late] = mixed(out[late])
+    return out.astype(np.int64)
+
+
+def permuted_eigenvalues(rows: DataFrame, channels: list[str], p: int, seed: int = 0) -> list[float]:
+    """Eigenvalues of the covariance when each channel's values are shuffled by themselves, on the cluster, over all rows.
+
+    Rows are numbered, each channel's value goes to the place that a permutation gives, and places are put together again: one shuffle
+    of all values, whatever their number. ``rows`` must come in the same partitions each time, as tables do.
+    """
+    m = len(channels)
+    counts = {row[0]: row[1] for row in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    offsets, n = {}, 0
+    for part in sorted(counts):
+        offsets[part], n = n, n + counts[part]
+
+    def place(batches):
+        at = offsets.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            i = np.arange(at, at + batch.num_rows)
+            at += batch.num_rows
+            places = np.concatenate([_shuffled_place(i, n, (seed, p, j)) for j in range(m)])
+            values = pa.concat_arrays([batch.column(j) for j in range(m)])
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.repeat(np.arange(m, dtype=np.int32), batch.num_rows)), values], names=["place", "j", "v"])
+
+    long = rows.select(*channels).mapInArrow(place, "place long, j int, v double")
+    wide = long.groupBy("place").agg(*(F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"x{j}") for j in range(m)))
+    one = wide.agg(*(F.covar_pop(f"x{i}", f"x{j}") for i in range(m) for j in range(i, m))).first()
+    return _eigenvalues(one, m).tolist()
+
+
+def _eigenvalues(upper, m: int) -> np.ndarray:
+    cov = np.zeros((m, m))
+    cov[np.triu_indices(m)] = upper
+    return np.linalg.eigvalsh(cov + np.triu(cov, 1).T)[::-1]
+
+
 def parallel_analysis(panel: Panel, rs, n_perm: int = 100, quantile: float = 0.95, seed: int = 0, max_rows: int = 200_000) -> dict:
     """Eigenvalues of the covariance against those of panels with each channel shuffled by itself; leading ones above the quantile count.
 
-    The eigenvalues are those of all rows. Permutations are tasks; each shuffles the pooled rows, or, of more than ``max_rows``, as many
-    chosen by a hash, which only widens the limits.
+    All rows count in both. Permutations of up to ``max_rows`` rows are tasks that shuffle the pooled rows in memory; those of more are
+    jobs on the cluster, one after another.
     """
     spark, channels = panel.df.sparkSession, list(panel.channels)
     rows = panel.df.dropna(subset=channels)
     m = len(channels)
     one = rows.agg(F.count("*"), *(F.covar_pop(channels[i], channels[j]) for i in range(m) for j in range(i, m))).first()
-    n, cov = one[0], np.zeros((m, m))
-    cov[np.triu_indices(m)] = one[1:]
+    n, observed = one[0], _eigenvalues([x or 0.0 for x in one[1:]], m)
     if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("subject_id", "t"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    data = np.array(rows.select(*channels).toPandas(), dtype=float)
-    sent = spark.sparkContext.broadcast(data[np.lexsort(data.T)])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        x, out = sent.value, []
-        for p in part["p"]:
-            rng = np.random.default_rng([seed, int(p)])
-            mixed = np.column_stack([rng.permutation(x[:, j]) for j in range(x.shape[1])])
-            out += [(int(p), j + 1, float(v)) for j, v in enumerate(np.linalg.eigvalsh(np.cov(mixed.T, bias=True).reshape(x.shape[1], -1))[::-1])]
-        return pd.DataFrame(out, columns=["p", "component", "eigenvalue"])
-
-    got = spark.range(n_perm).select(F.col("id").alias("p")).groupBy("p").applyInPandas(run, "p long, component int, eigenvalue double")
-    limits = {row[0]: row[1] for row in got.groupBy("component").agg(F.percentile("eigenvalue", quantile)).collect()}
-    observed = np.linalg.eigvalsh(cov + np.triu(cov, 1).T)[::-1]
+        kept = rows.select(*channels).persist()
+        table = np.array([permuted_eigenvalues(kept, channels, p, seed) for p in range(n_perm)])
+        kept.unpersist()
+        limits = {j + 1: float(np.quantile(table[:, j], quantile)) for j in range(m)}
+    else:
+        data = np.array(rows.select(*channels).toPandas(), dtype=float)
+        sent = spark.sparkContext.broadcast(data[np.lexsort(data.T)])
+
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            x, out = sent.value, []
+            for p in part["p"]:
+                rng = np.random.default_rng([seed, int(p)])
+                mixed = np.column_stack([rng.permutation(x[:, j]) for j in range(x.shape[1])])
+                out += [(int(p), j + 1, float(v)) for j, v in enumerate(np.linalg.eigvalsh(np.cov(mixed.T, bias=True).reshape(x.shape[1], -1))[::-1])]
+            return pd.DataFrame(out, columns=["p", "component", "eigenvalue"])
+
+        got = spark.range(n_perm).select(F.col("id").alias("p")).groupBy("p").applyInPandas(run, "p long, component int, eigenvalue double")
+        limits = {row[0]: row[1] for row in got.groupBy("component").agg(F.percentile("eigenvalue", quantile)).collect()}
     above = 0
     while above < len(observed) and observed[above] > limits[above + 1]:
         above += 1

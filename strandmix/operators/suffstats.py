@@ -102,17 +102,27 @@ def upper_to_full(q: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def collect(panel: Panel, max_subjects: int = 200_000) -> Stats:
-    """The statistics on the driver, by subject. ValueError beyond ``max_subjects``: larger panels are fitted by ``distributed`` steps.
+#: Bytes of statistics that may come to the driver, as matrices.
+DRIVER_BYTES = 1 << 30
+
+
+def collectable(width: int, limit: int = DRIVER_BYTES) -> int:
+    """Subjects of so many channels whose statistics fit into ``limit`` bytes."""
+    return max(1, limit // (8 * (width * width + width + 2)))
+
+
+def collect(panel: Panel, limit: int = DRIVER_BYTES) -> Stats:
+    """The statistics on the driver, by subject. ValueError beyond ``limit`` bytes: larger panels are fitted by ``mixture.fit_distributed``.
 
     Two passes: the panel's means as centre, then the sums about them.
     """
+    max_subjects = collectable(len(panel.channels), limit)
     means = panel.df.dropna(subset=list(panel.channels)).agg(*(F.avg(c).alias(c) for c in panel.channels)).first()
     centre = np.array([x if x is not None else 0.0 for x in means], dtype=float)
     table = moments(panel, centre.tolist())
     rows = table.limit(max_subjects + 1).collect()
     if len(rows) > max_subjects:
-        raise ValueError(f"more than {max_subjects} subjects: fit them with mixture.fit_distributed")
+        raise ValueError(f"more than {max_subjects} subjects of {len(panel.channels)} channels: fit them with mixture.fit_distributed")
     rows.sort(key=lambda r: r[0])
     m = len(panel.channels)
     s = np.array([r[2] for r in rows], dtype=float).reshape(-1, m)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandmix.functions import linalg as L
@@ -261,9 +262,9 @@ _FORMS = (
     ("pca_hard_closed", "mpca", {"method": "closed_form"}),
     ("pca_soft", "mpca", {"em": "soft"}),
 )
-_LABELS_SQL = f"WITH {_TRUE} SELECT DISTINCT subject_id, z, {{p}}FROM pl JOIN tr ON tr.odd = pl.subject_id % 2"
+_LABELS_SQL = f"WITH {_TRUE} SELECT DISTINCT subject_id, z{{p}} FROM pl JOIN tr ON tr.odd = pl.subject_id % 2"
 for _name, _kind, _options in _FORMS:
-    query(f"mx_{_name}", _LABELS_SQL.format(p="CAST(z = 1 AS DOUBLE) AS p_1 "))(lambda s, d, k=_kind, o=_options: _labels(s, d, k, **o))
+    query(f"mx_{_name}", _LABELS_SQL.format(p=", CAST(z = 1 AS DOUBLE) AS p_1"))(lambda s, d, k=_kind, o=_options: _labels(s, d, k, **o))
 # Without a planted truth: the embeddings' subjects, over all their channels.
 query("mx_fa_hard_wide")(lambda s, d: _labels(s, d, "mfa", "wide"))
 
@@ -280,7 +281,16 @@ _PARAMS_SQL = f"WITH {_TRUE}, cl AS (SELECT subject_id % 2 AS odd, {_CLUSTER} FR
 query("mx_fa_parameters", _PARAMS_SQL.format(v=""))(lambda s, d: _parameters(s, d, "mfa").drop("variance"))
 query("mx_pca_parameters", _PARAMS_SQL.format(v=f", {r('v', 'variance')}"))(lambda s, d: _parameters(s, d, "mpca", method="closed_form"))
 query("mx_fa_loadings")(lambda s, d: M.fit(_stats(s, d), "mfa", 2, 2).loadings(s))
-query("mx_distributed", f"WITH {_TRUE} SELECT DISTINCT subject_id, CAST(CASE WHEN subject_id % 2 = 1 THEN 2 ELSE 1 END AS INTEGER) AS z FROM pl")(lambda s, d: M.fit_distributed(planted(s, d), "mpca", 2, 2)[1].select("subject_id", "z"))
+def _distributed(s, d, **options):
+    """(subject_id, z) of a distributed fit, clusters by size, then by smallest subject."""
+    found = M.fit_distributed(planted(s, d), "mpca", 2, 2, **options)[1].select("subject_id", "z")
+    order = found.groupBy("z").agg(F.count("*").alias("n"), F.min("subject_id").alias("low")).withColumn("new", F.row_number().over(Window.orderBy(F.desc("n"), "low")))
+    return found.join(F.broadcast(order), "z").select("subject_id", F.col("new").alias("z"))
+
+
+for _em in ("hard", "soft"):
+    query(f"mx_distributed{'' if _em == 'hard' else '_soft'}", _LABELS_SQL.format(p=""))(lambda s, d, e=_em: _distributed(s, d, em=e, max_iter=8))
+query("sel_grid_distributed", "SELECT 2 AS K")(lambda s, d: s.createDataFrame([(M.grid_distributed(planted(s, d), "mpca", (1, 2), (1,), max_iter=6)[0]["K"],)], "K int"))
 
 
 @query("mx_two_step")
@@ -307,10 +317,10 @@ def _vote(s, d):
 
 
 query("sel_grid_bic")(lambda s, d: Q.grid(_stats(s, d), "mfa", range(1, 4), range(1, 4), spark=s).frame(s))
-query("sel_twostage_icl")(lambda s, d: Q.two_stage(_stats(s, d), "mpca", range(1, 4), range(1, 4)).frame(s))
+query("sel_twostage_icl")(lambda s, d: Q.two_stage(_stats(s, d), "mpca", range(1, 4), range(1, 4), spark=s).frame(s))
 query("sel_posthoc")(lambda s, d: Q.evaluation(Q.grid(_stats(s, d), "mpca", range(1, 4), range(1, 3)), s))
-query("sel_k_bootstrap")(lambda s, d: Q.stability(s.createDataFrame(Q.bootstrap_draws(_stats(s, d), "mpca", (2, 3), n_boot=12, method="closed_form"), "K int, b int, subject_id long, z int")))
-query("sel_k_cv")(lambda s, d: Q.one_se_rule(s.createDataFrame(Q.cross_validate_k(_stats(s, d), "mpca", (2, 3), folds=3, method="closed_form"), "K int, fold int, score double"), "K", "score"))
+query("sel_k_bootstrap")(lambda s, d: Q.stability(Q.bootstrap_draws(s, _stats(s, d), "mpca", method="closed_form")))
+query("sel_k_cv")(lambda s, d: Q.one_se_rule(Q.cross_validate_k(s, _stats(s, d), "mpca", method="closed_form"), "K", "score"))
 query("sel_r_cv")(lambda s, d: Q.one_se_rule(s.createDataFrame(Q.cross_validate_r(_stats(s, d), range(1, 5), "FA"), "r int, fold int, score double"), "r", "score", higher=False))
 
 
@@ -342,7 +352,7 @@ def _similarity(s, d):
 
 
 query("ev_rotated_loadings")(lambda s, d: E.align_signs(E.rotate(M.fit(_stats(s, d), "mfa", 2, 2))).loadings(s))
-query("ev_bootstrap_ci")(lambda s, d: E.bootstrap_summary(E.bootstrap_loadings(s, _stats(s, d), "mpca", 2, 2, n_boot=20, method="closed_form")))
+query("ev_bootstrap_ci")(lambda s, d: E.bootstrap_summary(E.bootstrap_loadings(s, _stats(s, d), "mpca", 2, 2, method="closed_form")))
 
 
 @query("ev_align_to_truth")

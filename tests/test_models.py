@@ -39,7 +39,9 @@ def test_statistics_of_a_panel_like_those_in_memory(spark, planted):
         assert np.allclose(got.scatter(mean), want.scatter(mean))
     assert np.allclose(got.pooled()[2], want.pooled()[2]) and (got.n == want.n).all()
     with pytest.raises(ValueError):
-        S.collect(panel(spark, series), max_subjects=3)
+        S.collect(panel(spark, series), limit=3 * 8 * (25 + 7))
+    assert len(S.collect(panel(spark, series), limit=6 * 8 * (25 + 7))) == 6
+    assert S.collectable(8) > 1_000_000 and S.collectable(64) < 40_000
 
 
 def test_matrix_sums_like_single_sums(spark, planted, monkeypatch):
@@ -247,12 +249,153 @@ def test_selection_finds_planted_clusters(spark, stats):
 
 
 def test_stability_and_cross_validation(spark, stats):
-    draws = spark.createDataFrame(Q.bootstrap_draws(stats, "mpca", (2, 3), n_boot=12, method="closed_form"), "K int, b int, subject_id long, z int")
+    draws = Q.bootstrap_draws(spark, stats, "mpca", (2, 3), n_boot=12, method="closed_form")
+    assert sorted((r.K, r.b, r["count"]) for r in draws.groupBy("K", "b").count().collect()) == [(k, b, 19) for k in (2, 3) for b in range(12)]
     assert Q.best_k_by_stability(Q.stability(draws)).first().K == 2
-    rows = spark.createDataFrame(Q.cross_validate_k(stats, "mpca", (1, 2, 3), folds=4, method="closed_form"), "K int, fold int, score double")
+    rows = Q.cross_validate_k(spark, stats, "mpca", (1, 2, 3), folds=4, method="closed_form")
     assert [r.K for r in Q.one_se_rule(rows, "K", "score").where("selected").collect()] == [2]
 
 
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_pairs_in_blocks_like_all_pairs(spark, block):
+    rng = np.random.default_rng(4)
+    rows = [(k, b, i, int(rng.integers(1, k + 1))) for k in (2, 3, 4) for b in range(9) for i in range(20) if rng.random() < (0.8 if k < 4 else 0.3)]
+    got = {r.K: (r.stability, r.n_pairs) for r in Q.stability(spark.createDataFrame(rows, "K int, b int, subject_id long, z int"), block=block).collect()}
+    for k in (2, 3, 4):
+        label = {(b, i): z for kk, b, i, z in rows if kk == k}
+        shares = []
+        for i, j in itertools.combinations(range(20), 2):
+            both = [label[b, i] == label[b, j] for b in range(9) if (b, i) in label and (b, j) in label]
+            if len(both) >= 5:
+                shares.append(np.mean(both))
+        if shares:
+            assert got[k][1] == len(shares) and np.isclose(got[k][0], 1 - 4 * np.mean([p * (1 - p) for p in shares]))
+        else:
+            assert k not in got
+    assert Q.stability(spark.createDataFrame([], "K int, b int, subject_id long, z int")).count() == 0
+
+
+def test_two_stages_by_tasks_like_one_after_another(spark, stats):
+    a, b = (Q.two_stage(stats, "mpca", range(1, 4), range(1, 4), temperature=2.0, spark=x) for x in (None, spark))
+    assert (a.best_k, a.best_r) == (b.best_k, b.best_r) and all(np.isclose(x["BIC"], y["BIC"]) for x, y in zip(a.summary, b.summary))
+    one, two = (Q.criteria_table(stats, "mfa", 2, range(1, 4), spark=x) for x in (None, spark))
+    assert all(np.isclose(x["VAF"], y["VAF"]) and x["r"] == y["r"] for x, y in zip(one, two))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
+def test_shuffled_places_are_a_permutation(n):
+    places = [Q._shuffled_place(np.arange(n), n, (0, p, j)) for p in range(2) for j in range(2)]
+    assert all(sorted(x.tolist()) == list(range(n)) for x in places)
+    assert n < 64 or len({tuple(x) for x in places}) == 4
+    if n >= 1000:
+        x, y = places[0], places[1]
+        assert abs(np.corrcoef(x, y)[0, 1]) < 0.1 and abs(np.corrcoef(x, np.arange(n))[0, 1]) < 0.1
+
+
+def test_parallel_analysis_of_all_rows_on_the_cluster(spark, planted, tmp_path):
+    p = panel(spark, {k + 1: x for k, x in enumerate(planted[0][:8])})
+    p.df.repartition(3).write.parquet(str(tmp_path / "p"))
+    p = p.with_df(spark.read.parquet(str(tmp_path / "p")))
+    small = Q.parallel_analysis(p, range(1, 5), n_perm=12)
+    large = Q.parallel_analysis(p, range(1, 5), n_perm=12, max_rows=100)
+    assert large["n_above"] == small["n_above"] and np.allclose(large["observed"], small["observed"])
+    assert np.allclose(large["limits"], small["limits"], rtol=0.15)
+    # The values of each channel stay: what changes is how they are put together.
+    values = Q.permuted_eigenvalues(p.df.dropna(), list(p.channels), 3)
+    assert np.isclose(sum(values), sum(small["observed"])) and not np.allclose(values, small["observed"])
+
+
+@pytest.mark.parametrize("em", ["hard", "soft"])
+def test_distributed_fits_from_kmeans(spark, planted, em):
+    p = panel(spark, {k + 1: x for k, x in enumerate(planted[0])})
+    fit, labels = M.fit_distributed(p, "mpca", 2, 2, em=em, max_iter=10)
+    got = {r.subject_id: r.z for r in labels.collect()}
+    assert E.ari(planted[1], [got[k + 1] for k in range(24)]) == 1
+    local = M.fit_once(S.collect(p), "mpca", 2, 2, planted[1] - 1, em=em, max_iter=10, method="closed_form")
+    assert np.isclose(sorted(fit.pi)[0], sorted(local.pi)[0], atol=1e-6)
+    assert np.allclose(sorted(c.mean.sum() for c in fit.components), sorted(c.mean.sum() for c in local.components), atol=1e-4)
+    with pytest.raises(ValueError):
+        M.fit_distributed(p, "mpca", 2, 2, em="other")
+
+
+def test_criteria_of_distributed_fits(spark, planted):
+    p = panel(spark, {k + 1: x for k, x in enumerate(planted[0])})
+    rows = M.grid_distributed(p, "mpca", (1, 2), (1, 2), max_iter=8)
+    assert rows[0]["K"] == 2 and [x["BIC"] for x in rows] == sorted(x["BIC"] for x in rows)
+    stats = S.collect(p)
+    for row in rows:
+        local = M.fit_once(stats, "mpca", row["K"], row["r"], planted[1] - 1 if row["K"] == 2 else None, max_iter=8, method="closed_form")
+        assert np.isclose(row["logLik"], local.loglik, rtol=1e-6) and np.isclose(row["entropy"], C.entropy(local.resp), atol=1e-3)
+
+
+def test_densities_of_rows_sum_to_a_subject_s(spark, planted, stats):
+    p = panel(spark, {k + 1: x for k, x in enumerate(planted[0][:3])})
+    for kind in ("mfa", "mpca"):
+        fit = M.fit(stats, kind, 2, 2)
+        got = P.row_log_densities(p, fit).groupBy("subject_id").sum("log_density_1", "log_density_2").collect()
+        own = S.from_arrays(planted[0][:3])
+        for k, c in enumerate(fit.components):
+            want = L.log_likelihoods(own.n, own.scatter(c.mean), c.cov)
+            assert np.allclose([r[k + 1] for r in sorted(got, key=lambda r: r[0])], want)
+    gone = p.with_df(p.df.selectExpr("subject_id", "t", *(f"CASE WHEN t > 1 THEN {c} END AS {c}" if c == p.channels[0] else c for c in p.channels)))
+    assert P.row_log_densities(gone, fit).where("log_density_1 IS NULL").count() == 3
+
+
+def test_rotated_scores_give_the_same_reconstruction(spark, planted, stats):
+    from dataclasses import replace
+
+    p = panel(spark, {k + 1: x for k, x in enumerate(planted[0])})
+    fit = replace(M.fit(stats, "mfa", 2, 2), channels=p.channels)
+    z = fit.assignments(spark)
+    plain = P.scores(p, fit, z)
+    turned = E.rotate(fit, clusters=[1])
+    got = {(r.subject_id, r.t): r for r in E.rotate_scores(plain, turned).collect()}
+    for r in plain.collect()[:200]:
+        a, b = fit.components[r.z - 1].loadings @ [r.f_1, r.f_2], turned.components[r.z - 1].loadings @ [got[r.subject_id, r.t].f_1, got[r.subject_id, r.t].f_2]
+        assert np.allclose(a, b)
+    for call in (lambda: E.rotate_scores(plain, fit), lambda: E.rotate_scores(plain.drop("f_2"), turned)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_checks_of_fits(stats):
+    from dataclasses import replace
+
+    from strandmix.functions import checks
+
+    fit = M.fit(stats, "mfa", 2, 2)
+    assert checks.fit_object(fit) == "mfa" == checks.fit_object(fit, "MFA", ("z", "resp"))
+    with pytest.warns(UserWarning):
+        assert checks.fit_object(fit, "mpca") == "mpca"
+    for bad in ([], replace(fit, components=()), replace(fit, pi=np.ones(3)), replace(fit, kind="other"), replace(fit, components=(fit.components[0], replace(fit.components[1], mean=np.zeros(2))))):
+        with pytest.raises(ValueError):
+            checks.fit_object(bad)
+    with pytest.raises(ValueError):
+        checks.fit_object(fit, required=("nothing",))
+
+
+def test_summary_of_a_choice_of_r(spark, stats):
+    found = Q.select_r(None, stats, "mfa", 2, range(1, 4), scope="hybrid")
+    rows = Q.r_summary(found, spark, "mfa", "hybrid", "max").collect()
+    items = [r.item for r in rows]
+    assert items.count("r_cluster") == 2 and {"model_type", "scope", "r", "r_global", "logLik"} <= set(items)
+    assert next(r.value for r in rows if r.item == "r") == found["r"]
+
+
+def test_threads_of_libraries(spark):
+    import os
+
+    from strandmix.functions import threads
+
+    before = {k: os.environ.get(k) for k in threads.VARIABLES}
+    with threads.internal_threads(2, spark):
+        assert all(os.environ[k] == "2" == spark.sparkContext.environment[k] for k in threads.VARIABLES)
+    assert before == {k: os.environ.get(k) for k in threads.VARIABLES} and "OMP_NUM_THREADS" not in spark.sparkContext.environment or before["OMP_NUM_THREADS"]
+    with pytest.raises(ValueError):
+        with threads.internal_threads(0):
+            pass
+
+
 @pytest.mark.parametrize("how", [dict(method=m) for m in ("bic", "vaf", "vss", "multicriteria", "cv")] + [dict(scope=s) for s in ("clusterwise", "hybrid", "global-first")] + [dict(scope="clusterwise", how=h) for h in ("mean", "majority", "min")])
 def test_every_way_to_choose_r(spark, planted, stats, how):
     assert 1 <= Q.select_r(None, stats, "mfa", 2, range(1, 4), **how)["r"] <= 3

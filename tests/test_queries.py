@@ -99,6 +99,42 @@ def test_results_round_trip(spark, tmp_path):
         R.read_all_results(spark, str(tmp_path / "none"))
 
 
+def test_modes_and_candidates_of_selection_runs(spark):
+    config = {"N": 12, "K": 2, "r": 2, "M": 6, "T_each": 60, "cluster_sep_spatial": 1.0, "cluster_sep_temporal": 1.0, "cluster_sep_stability": 1.0, "seed": 3}
+    free = W.modelsel_run(config, methods=("mpca",), strategies=("grid",), ks=(1, 3), rs=(1,))
+    assert free[0]["K_hat"] in (1, 3) and free[0]["r_hat"] == 1 and not free[0]["K_correct"] and free[0]["r_mode"] == "select"
+    told = W.modelsel_run(config, "oracle_r", methods=("mpca",), ks=(1, 2))
+    assert all(x["r_hat"] == 2 and x["r_correct"] and x["mode"] == "oracle_r" for x in told) and len(told) == 2
+    assert all(x["Kr_correct"] for x in W.modelsel_run(config, "oracle_Kr", methods=("mpca",)))
+    with pytest.raises(ValueError):
+        W.modelsel_run(config, "other")
+    # The same panel with another truth in its configuration has the same candidates.
+    rows = W.kselect_run({"N": 12, "K_true": 4, "r_true": 2, "M": 6, "T_each": 40, "cluster_sep_spatial": 1.0, "cluster_sep_temporal": 1.0, "cluster_sep_stability": 1.0, "seed": 3}, ks=(2, 3))
+    assert {x["method"] for x in rows} == {"BIC", "ICL_T1", "ICL_T2", "ICL_T3", "Ensemble"} and all(x["K_hat"] in (2, 3) and not x["K_correct"] for x in rows)
+    assert W.vote([3, 2, 3]) == 3 and W.vote([4, 2, 3]) == 2
+
+
+def test_end_of_a_sweep(spark, tmp_path):
+    with pytest.raises(ValueError):
+        W.compare_simulated(spark, ("static",))
+    raw = W.compare_simulated(spark, n=8, k=2, r=1, m=4, length=30, seeds=(1, 2)).persist()
+    out = W.finish(raw, str(tmp_path / "out"))
+    assert out["raw"].count() == raw.count() == 12 and {r.n_reps for r in out["aggregated"].collect()} <= {1, 2}
+    assert {r.metric for r in out["win_rates"].collect()} == {"ARI", "BIC", "VAF", "SSE"}
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/aggregated/csv")).count() == out["aggregated"].count()
+    # What tasks left in a folder, one file a run.
+    for k, seed in enumerate((1, 2)):
+        raw.where(f"seed = {seed}").coalesce(1).write.parquet(str(tmp_path / f"part/task{k}.parquet"))
+    with pytest.raises(ValueError):
+        W.aggregate_partial_results(spark, str(tmp_path / "part"), remove_partial=True)
+    again = W.aggregate_partial_results(spark, str(tmp_path / "part"), path=str(tmp_path / "all"), remove_partial=True)
+    key = lambda df: sorted((r.Method, r.n_reps, round(r.SSE_mean, 6)) for r in df.collect())
+    assert key(again["aggregated"]) == key(out["aggregated"])
+    assert not list((tmp_path / "part").glob("*/*.parquet"))
+    failed = spark.createDataFrame([(1, "x")], "run_id int, error_msg string").join(raw.drop("run_id", "error_msg").limit(1))
+    assert W.finish(raw.unionByName(failed.select(raw.columns)))["aggregated"].count() == out["aggregated"].count()
+
+
 def test_streams_like_batches(spark, tmp_path):
     from strandmix.streaming import panels as T
 
