@@ -130,7 +130,10 @@ query("sw_modelsel_oracle_kr", f"WITH g AS ({_grid_sql('modelsel_test')}) {_TOLD
 query("sw_modelsel_oracle_r", f"WITH g AS ({_grid_sql('modelsel_test')}) SELECT g.run_id, m.method, st.strategy AS selection_strategy, 'oracle_r' AS mode, g.r AS r_hat, true AS r_correct, true AS candidate FROM g, (VALUES ('mfa'), ('mpca')) m(method), (VALUES ('grid'), ('twostage')) st(strategy)")(
     lambda s, d: W.sweep(s, "modelsel", "modelsel_test", mode="oracle_r").select("run_id", "method", "selection_strategy", "mode", "r_hat", "r_correct", F.col("K_hat").between(1, 5).alias("candidate"))
 )
-query("sw_finish_modelsel")(lambda s, d: W.finish(W.sweep(s, "modelsel", "modelsel_test", mode="oracle_Kr"))["win_rates"])
+query(
+    "sw_finish_modelsel",
+    f"WITH g AS ({_grid_sql('modelsel_test')}), t AS ({_TOLD.replace('SELECT g.run_id', 'SELECT g.cluster_sep_spatial, g.run_id')}) SELECT N, K_true, r_true, {r('cluster_sep_spatial', 'cluster_sep_spatial')}, method, selection_strategy, 1.0::DOUBLE AS K_correct_rate, 1.0::DOUBLE AS r_correct_rate, 1.0::DOUBLE AS Kr_correct_rate, count(*) AS n_reps, CAST(0 AS BIGINT) AS n_errors FROM t GROUP BY ALL",
+)(lambda s, d: W.finish(W.sweep(s, "modelsel", "modelsel_test", mode="oracle_Kr"))["aggregated"].select("N", "K_true", "r_true", "cluster_sep_spatial", "method", "selection_strategy", "K_correct_rate", "r_correct_rate", "Kr_correct_rate", "n_reps", "n_errors"))
 query("sw_kselect")(lambda s, d: W.sweep(s, "kselect", "k_selection").drop("runtime_sec"))
 query("src_simulate")(lambda s, d: G.generate(s, seed=7, n_subjects=12, length=60)[0].df)
 
