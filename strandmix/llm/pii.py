@@ -238,3 +238,16 @@ def mask_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = No
             yield part.set_column(at, part.schema.field(at), pa.array(new, type=part.schema.field(at).type))
 
     return bounded(docs).withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+
+
+#: The counts of the base kinds; where they stand is beyond SQL.
+ORACLE = r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+  regexp_extract_all(coalesce(text, ''), '[0-9]([\x20-]?[0-9])+') AS card, regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]') AS phone FROM documents),
+d AS (SELECT *, [regexp_replace(x, '[^0-9]', '', 'g') FOR x IN card] AS digits, [len(regexp_replace(x, '[^0-9]', '', 'g')) FOR x IN phone] AS lengths FROM m)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
+  CAST(len([x FOR x IN ip IF len([p FOR p IN string_split(x, '.') IF coalesce(TRY_CAST('0' || ltrim(p, '0') AS INTEGER), 256) > 255]) = 0]) AS BIGINT) AS n_ip,
+  CAST(len([x FOR x IN digits IF len(x) BETWEEN 14 AND 19
+    AND list_sum([CAST(x[len(x) - i + 1] AS INTEGER) * (2 - i % 2) - CASE WHEN i % 2 = 0 AND CAST(x[len(x) - i + 1] AS INTEGER) > 4 THEN 9 ELSE 0 END FOR i IN range(1, len(x) + 1)]) % 10 = 0]) AS BIGINT) AS n_card,
+  CAST(len([x FOR x IN lengths IF x BETWEEN 10 AND 15]) AS BIGINT) AS n_phone FROM d
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmix.llm import licenses, ngram_join, quality_rules, url_rules
+from strandmix.llm import licenses, ngram_join, pii, quality_rules, tiff, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op3's base kinds alone, which SQL can express."""
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +67,11 @@ def tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "page", "width", "length", "channels", "feature", F.xxhash64("samples").alias("samples_hash"), "error")
 
 
+def tiff_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 says of a text's bytes before and after padding, which SQL can express."""
+    return op5_tiff(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -115,9 +125,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_quality_fm": op10_quality_fm,
     "packing_conversations": packing_conversations,
+    "pii_counts": pii_counts,
     "tiff_pages": tiff_pages,
+    "tiff_sizes": tiff_sizes,
     "license_phrases": license_phrases,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
-ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op2_url_rules": url_rules.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "license_phrases": licenses.ORACLE}
+ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op2_url_rules": url_rules.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "license_phrases": licenses.ORACLE, "pii_counts": pii.ORACLE, "tiff_sizes": tiff.ORACLE}

@@ -348,3 +348,6 @@ def read_pages(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out), types)], names=names)
 
     return bounded(files).select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data")).mapInArrow(run, schema)
+
+
+ORACLE = f"SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST(greatest({ROW}, ceil(strlen(coalesce(text, '')) / {ROW}.0) * {ROW}) AS BIGINT) AS payload_bytes FROM documents"
