@@ -193,7 +193,7 @@ def _start_by_kmeans(table: DataFrame, m: int, n_clusters: int, n_factors: int,
     _, axes, _ = L.top_eigen(cov, n_factors)
     project = lambda j: sum((float(axes[i, j]) * (F.col("s")[i] / F.col("n") + float(centre[i] - mean[i])) for i in range(m)), F.lit(0.0))
     features = table.select("subject_id", array_to_vector(F.array(*(project(j) for j in range(axes.shape[1])))).alias("features"))
-    model = KMeans(k=n_clusters, seed=seed).fit(features)
+    model = KMeans(k=n_clusters, seed=seed, initSteps=1, maxIter=10).fit(features)
     return model.transform(features).select("subject_id", (F.col("prediction") + 1).cast("int").alias("z"))
 
 

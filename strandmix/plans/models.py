@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -413,3 +415,84 @@ def flagship(s, sf_dir):
 
 
 query("flagship")(flagship)
+
+
+# What else has a truth in SQL.
+query("mx_kmeans_start", _LABELS_SQL.format(p=""))(lambda s, d: _start_labels(s, d))
+
+
+def _start_labels(s, d):
+    """(subject_id, z) of k-means over subjects' features, clusters by size, then by smallest subject."""
+    st = _stats(s, d, "planted")
+    z = M.kmeans_start(st, 2, 2)
+    order = sorted(set(z), key=lambda k: (-(z == k).sum(), st.ids[z == k].min()))
+    return s.createDataFrame([(int(i), order.index(k) + 1) for i, k in zip(st.ids, z)], "subject_id long, z int")
+
+
+_SINGLE = fixed("mfa").components[0]
+query("pj_scores_single_fa", f"WITH {LS} SELECT subject_id, t, {', '.join(r(x, f'f_{j + 1}') for j, x in enumerate(linear_sql(P.regression_scorer(_SINGLE), _SINGLE.mean)))} FROM ls")(
+    lambda s, d: scaled_lines(s, d).df.select("subject_id", "t", *(x.alias(f"f_{j + 1}") for j, x in enumerate(P.linear(CHANNELS, P.regression_scorer(_SINGLE), _SINGLE.mean))))
+)
+
+
+def _with_parity(s, d, kind):
+    st = S.collect(scaled_lines(s, d, False))
+    return st, replace(fixed(kind), ids=st.ids, z=st.ids % 2 + 1)
+
+
+for _kind in ("mfa", "mpca"):
+    query(f"pj_reconstruction_error_{_kind}", f"{_Z} SELECT {r(f'sum({_squares(_kind)})', 'sse')}, {r(f'sqrt(sum({_squares(_kind)}) / (4 * count(*)))', 'rmse')} FROM zz")(
+        lambda s, d, k=_kind: s.createDataFrame([tuple(P.reconstruction_error(*_with_parity(s, d, k), metric) for metric in ("sse", "rmse"))], "sse double, rmse double")
+    )
+    query(f"ic_loglik_held_out_{_kind}", f"{_joint_sql(_kind).replace(' + 1e-16)', ')')}, m AS (SELECT subject_id, k, v, max(v) OVER (PARTITION BY subject_id) AS top FROM j), l AS (SELECT max(top) + ln(sum(exp(v - top))) AS lse FROM m GROUP BY subject_id) SELECT {r('sum(lse)', 'loglik')} FROM l")(
+        lambda s, d, k=_kind: s.createDataFrame([(C.loglik(*_with_parity(s, d, k), held_out=True),)], "loglik double")
+    )
+
+
+def _checked() -> list[tuple[str, bool]]:
+    """What the argument checks let pass."""
+    from strandmix.functions import checks
+
+    def passes(call) -> bool:
+        try:
+            call()
+        except ValueError:
+            return False
+        return True
+
+    fit = fixed("mfa")
+    calls = {
+        "model_type MFA": lambda: checks.model_type("MFA"),
+        "model_type other": lambda: checks.model_type("other"),
+        "params 2 2": lambda: checks.model_params(2, 2),
+        "params 0 2": lambda: checks.model_params(0, 2),
+        "params 2 1.5": lambda: checks.model_params(2, 1.5),
+        "params tol 0": lambda: checks.model_params(2, 2, tol=0),
+        "5 clusters of 4 subjects": lambda: checks.fits_data(5, 4, 2, 8),
+        "4 clusters of 4 subjects": lambda: checks.fits_data(4, 4, 2, 8),
+        "9 factors of 8 channels": lambda: checks.fits_data(2, 4, 9, 8),
+        "fit": lambda: checks.fit_object(fit, "mfa", ("pi",)),
+        "fit without components": lambda: checks.fit_object(replace(fit, components=())),
+        "no fit": lambda: checks.fit_object({}),
+        "fit that lacks a field": lambda: checks.fit_object(fit, required=("nothing",)),
+    }
+    return [(name, passes(call)) for name, call in calls.items()]
+
+
+_PASS = {"model_type MFA", "params 2 2", "4 clusters of 4 subjects", "fit"}
+query("ck_arguments", "SELECT * FROM (VALUES " + ", ".join(f"('{name}', {str(name in _PASS).lower()})" for name, _ in _checked()) + ") t(check_name, passes)")(lambda s, d: s.createDataFrame(_checked(), "check_name string, passes boolean"))
+query("ck_renamed_arguments", "SELECT * FROM (VALUES ('iter_fa', 3), ('kmeans_rdim', 2), ('tol', 1)) t(argument, value)")(lambda s, d: s.createDataFrame(sorted(_renamed().items()), "argument string, value int"))
+
+
+def _renamed() -> dict:
+    import warnings
+
+    from strandmix.functions import checks
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", DeprecationWarning)
+        return checks.renamed({"nIterFA": 3, "subject_rdim_for_kmeans": 2, "tol": 1})
+
+
+for _name, _options in (("cv", {"method": "cv"}), ("global_first", {"scope": "global-first"}), ("vss", {"method": "vss", "threshold": 0.9}), ("multicriteria", {"method": "multicriteria"})):
+    query(f"sel_r_{_name}_of_two", "SELECT 2 AS r")(lambda s, d, o=_options: _of_two(s, d, **o))

@@ -173,6 +173,12 @@ _AXES = "ax AS (SELECT avg(qty) AS mx, avg(price) AS my, 0.5 * atan2(2 * covar_p
 query("pl_neural_command", f"WITH {LS}, {_MM}, {_AXES} SELECT subject_id, t, z, {r('g1 * (c1 * (qty - mx) + s1 * (price - my))', 'dim_1')}, {r('g2 * (c2 * (qty - mx) + s2 * (price - my))', 'dim_2')} FROM mm, sg")(
     lambda s, d: D.neural_command(A.Panel(scaled_lines(s, d).df.select("subject_id", "t", "qty", "price"), ("qty", "price")), parity(s, d))
 )
+_TWO = f"{LS}, mm AS (SELECT subject_id, avg(qty) AS qty, var_samp(price) AS price FROM ls GROUP BY 1), {_AXES}"
+query("pl_cluster_embedding_of_two", f"WITH {_TWO} SELECT subject_id, {r('g1 * (c1 * (qty - mx) + s1 * (price - my))', 'dim_1')}, {r('g2 * (c2 * (qty - mx) + s2 * (price - my))', 'dim_2')} FROM mm, sg")(lambda s, d: D.embedding(S.mean_variance_features(scaled_lines(s, d, False)), ["mean_qty", "var_price"]))
+query("src_read_all_results", "SELECT * FROM (SELECT * FROM region UNION ALL BY NAME SELECT * FROM nation)")(lambda s, d: R.read_all_results(s, f"{d}/region.parquet", f"{d}/nation.parquet").drop("file"))
+query("src_simulate_shape", "SELECT CAST(i AS BIGINT) AS subject_id, CAST(40 AS BIGINT) AS n, 1 AS first, 40 AS last, true AS has_cluster FROM range(1, 13) t(i)")(
+    lambda s, d: (lambda p, z: p.df.groupBy("subject_id").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last")).join(z, "subject_id").select("subject_id", "n", "first", "last", F.col("z_true").between(1, 2).alias("has_cluster")))(*G.simulate(s, G.Design(12, 2, 2, 5, 40, seed=9)))
+)
 query("pl_cluster_embedding")(lambda s, d: D.embedding(S.mean_variance_features(scaled_lines(s, d, False)), [f"{f}_{c}" for f in ("mean", "var") for c in CHANNELS]))
 query("pl_mean_basis", f"WITH {_LOAD}, m AS (SELECT CAST(channel % 2 + 1 AS INTEGER) AS k, CAST(k AS BIGINT) AS ch, factor, avg(value) AS v FROM lo GROUP BY ALL) SELECT k, ch AS channel, factor, {r('v', 'value')} FROM m")(
     lambda s, d: (lambda b: D.mean_basis(b, b.select("subject_id").distinct().withColumn("z", (F.col("subject_id") % 2 + 1).cast("int"))))(loadings(s, d).select(F.col("channel").alias("subject_id"), F.col("k").cast("long").alias("channel"), "factor", "value"))
