@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pytest
 
 from strandmix.llm import langid, quality_fm, quality_rules, url_rules
+from strandmix.llm.sampling import hashed_share
 
 DATA = "/root/testdata/sf0.01"
 
@@ -358,6 +359,27 @@ def test_quality_of_held_out_documents(spark):
     assert np.mean([r.score for r, q in held if q == 1]) > np.mean([r.score for r, q in held if q == 0]) + 0.4
 
 
+def test_scores_like_the_sum_over_pairs_with_the_classes_shares(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{x}.parquet") for x in ("documents", "labels"))
+    model = quality_fm.train(docs, labels, per_label=40)
+    rows = {r.doc_id: r for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    got = {r.doc_id: r for r in quality_fm.score(docs, model).collect()}
+    for k in list(rows)[:25]:
+        f = quality_fm.featurise([rows[k].text], [rows[k].n_chars])
+        at, x = f.index, f.value.astype(float)
+        raw = model.bias + sum(model.weights[i] * v for i, v in zip(at, x)) + sum(x[i] * x[j] * float(model.factors[at[i]] @ model.factors[at[j]]) for i in range(len(at)) for j in range(i))
+        assert np.isclose(got[k].score, 1 / (1 + np.exp(-raw)), atol=1e-5)
+    # The bias of a fit to a sample with other shares of classes is moved by the log of the odds between them.
+    chosen, counts = hashed_share(spark.createDataFrame(sorted(known.items()), "id long, label int"), "id", "label", 40)
+    sample = sorted((r.id, r.label) for r in chosen.collect() if r.id in rows)
+    f = quality_fm.featurise([rows[k].text for k, _ in sample], [rows[k].n_chars for k, _ in sample])
+    target = np.array([float(y) for _, y in sample])
+    plain = quality_fm.fit(f, target)
+    moved = np.log(counts[1] / counts[0]) - np.log(target.sum() / (1 - target).sum())
+    assert np.isclose(model.bias, plain.bias + moved, atol=1e-4)
+
+
 def test_what_the_classifier_keeps(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
     model = quality_fm.train(docs, labels)
@@ -380,8 +402,6 @@ def test_labels_of_held_out_documents_teach_nothing(spark):
 
 
 def test_sample_share(spark):
-    from strandmix.llm.sampling import hashed_share
-
     df = spark.range(20_000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 'a' WHEN id % 10 < 9 THEN 'b' END AS label")
     got, counts = hashed_share(df, "id", "label", 1000)
     sizes = {r[0]: r[1] for r in got.groupBy("label").count().collect()}
