@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmix.functions import iir
+from strandmix.operators.medians import mean_of_largest, medians
 from strandmix.operators.series import WHOLE, Step, filtered, in_one_pass, longest
 from strandmix.sources.panel import Panel
 
@@ -26,6 +27,21 @@ def _with_stats(panel: Panel, stats: dict[str, Column]) -> DataFrame:
     return panel.df.join(panel.df.groupBy("subject_id").agg(*(x.alias(name) for name, x in stats.items())), "subject_id")
 
 
+def _by_median(panel: Panel, size: bool, value: Callable[[str], Column]) -> Panel:
+    """Each channel replaced by an expression over itself and its median, of absolute values with ``size``.
+
+    Series that a task can hold are gathered by Spark's median; where some can't, medians are closed in on.
+    """
+    figure = lambda c: F.abs(F.col(c)) if size else F.col(c)
+    if longest(panel) <= WHOLE:
+        return _each(panel, lambda c: {f"{c}__m": F.median(figure(c))}, value)
+    found = medians(panel.with_df(panel.df.select("subject_id", "t", *(figure(c).alias(c) for c in panel.channels))).long().drop("t"))
+    wide = found.groupBy("subject_id").pivot("channel", list(panel.channels)).agg(F.first("median"))
+    joined = panel.df.join(wide.select("subject_id", *(F.col(c).alias(f"{c}__m") for c in panel.channels)), "subject_id", "left")
+    rest = [x for x in panel.df.columns if x not in panel.channels]
+    return panel.with_df(joined.select(*rest, *(value(c).alias(c) for c in panel.channels)))
+
+
 def _each(panel: Panel, stats: Callable[[str], dict[str, Column]], value: Callable[[str], Column]) -> Panel:
     """Each channel replaced by an expression over itself and its subject's figures."""
     every = {name: x for c in panel.channels for name, x in stats(c).items()}
@@ -39,7 +55,7 @@ def remove_offset(panel: Panel, method: str = "mean", degree: int = 1) -> Panel:
     if method == "mean":
         return _each(panel, lambda c: {f"{c}__m": F.avg(c)}, lambda c: F.col(c) - F.col(f"{c}__m"))
     if method == "median":
-        return _each(panel, lambda c: {f"{c}__m": F.median(c)}, lambda c: F.col(c) - F.col(f"{c}__m"))
+        return _by_median(panel, False, lambda c: F.col(c) - F.col(f"{c}__m"))
     if method == "linear":
         stats = lambda c: {f"{c}__s": F.regr_slope(F.col(c), F.col("t").cast("double")), f"{c}__i": F.regr_intercept(F.col(c), F.col("t").cast("double"))}
         return _each(panel, stats, lambda c: F.col(c) - F.coalesce(F.col(f"{c}__i") + F.col(f"{c}__s") * F.col("t"), F.col(c)))
@@ -148,8 +164,10 @@ def normalize(panel: Panel, method: str = "max", reference: DataFrame | None = N
     0 gives null; a constant channel has range 0.
     """
     size = lambda c: F.abs(F.col(c))
-    if method in ("max", "mean", "median"):
-        figure = {"max": F.max, "mean": F.avg, "median": F.median}[method]
+    if method == "median":
+        return _by_median(panel, True, lambda c: F.try_divide(F.col(c), F.col(f"{c}__m")))
+    if method in ("max", "mean"):
+        figure = {"max": F.max, "mean": F.avg}[method]
         return _each(panel, lambda c: {f"{c}__m": figure(size(c))}, lambda c: F.try_divide(F.col(c), F.col(f"{c}__m")))
     if method == "zscore":
         return _each(panel, lambda c: {f"{c}__m": F.avg(c), f"{c}__s": F.stddev_samp(c)}, lambda c: F.try_divide(F.col(c) - F.col(f"{c}__m"), F.col(f"{c}__s")))
@@ -199,6 +217,8 @@ def mvc_reference(panel: Panel, method: str = "peak", window_ms: float = 500, fs
         return panel.long().groupBy("subject_id", "channel").agg(F.max(F.abs("value")).alias("reference"))
     if method == "mean_peak":
         long = panel.long().where("value IS NOT NULL").withColumn("value", F.abs("value"))
+        if longest(panel) > WHOLE:
+            return mean_of_largest(long, top_percent).withColumnRenamed("mean", "reference")
         sizes = long.groupBy("subject_id", "channel").agg(F.greatest(F.lit(1), F.floor(F.count("*") * top_percent / 100)).alias("top"))
         ranked = long.withColumn("rank", F.row_number().over(W.partitionBy("subject_id", "channel").orderBy(F.desc("value"))))
         return ranked.join(sizes, ["subject_id", "channel"]).where("rank <= top").groupBy("subject_id", "channel").agg(F.avg("value").alias("reference"))

@@ -240,6 +240,41 @@ def test_a_pipeline_shuffles_a_bound_panel_once(spark):
     assert got.count() == 90
 
 
+@pytest.mark.parametrize("buckets", [4096, 3])
+def test_medians_like_sorted_values(spark, monkeypatch, buckets):
+    from strandmix.operators import medians as Q
+
+    monkeypatch.setattr(Q, "BUCKETS", buckets)
+    rng = np.random.default_rng(5)
+    groups = {(1, "a"): rng.normal(size=501), (1, "b"): rng.integers(0, 3, 400).astype(float), (2, "a"): np.array([4.0]), (2, "b"): np.full(50, -1.5), (3, "a"): np.exp(rng.normal(0, 20, 300)), (3, "b"): np.array([1.0, 2.0])}
+    rows = [(k, c, float(v)) for (k, c), x in groups.items() for v in x] + [(1, "a", None), (4, "a", None)] + [(None, "a", float(v)) for v in (5, 1, 9)]
+    got = {(r.subject_id, r.channel): r.median for r in Q.medians(spark.createDataFrame(rows, "subject_id long, channel string, value double").repartition(3)).collect()}
+    assert set(got) == {*groups, (None, "a")} and got[None, "a"] == 5
+    assert all(np.isclose(got[k], np.median(x), rtol=1e-12) for k, x in groups.items())
+
+
+def test_medians_of_long_series_like_those_of_short_ones(spark, monkeypatch):
+    from strandmix.operators import preprocess
+
+    p = panel(spark, uneven(7))
+    short = [back(P.remove_offset(p, "median")), back(P.normalize(p, "median"))]
+    monkeypatch.setattr(preprocess, "WHOLE", 0)
+    for a, b in zip(short, [back(P.remove_offset(p, "median")), back(P.normalize(p, "median"))]):
+        assert all(np.allclose(a[k], b[k], atol=1e-12, equal_nan=True) for k in a) and set(a) == set(b)
+
+
+@pytest.mark.parametrize("percent", [5, 40, 100])
+def test_largest_of_long_series_like_those_of_short_ones(spark, monkeypatch, percent):
+    from strandmix.operators import preprocess
+
+    p = panel(spark, {k: np.round(x, 1) for k, x in uneven(9).items()})
+    key = lambda df: {(r.subject_id, r.channel): r.reference for r in df.collect()}
+    short = key(P.mvc_reference(p, "mean_peak", top_percent=percent))
+    monkeypatch.setattr(preprocess, "WHOLE", 0)
+    long = key(P.mvc_reference(p, "mean_peak", top_percent=percent))
+    assert set(short) == set(long) and all(np.isclose(short[k], long[k]) for k in short)
+
+
 def test_checks():
     assert checks.renamed({"nIterFA": 3, "tol": 1}) == {"iter_fa": 3, "tol": 1}
     assert checks.model_type("MFA") == "mfa"
