@@ -13,6 +13,7 @@ from strandmix.functions import linalg as L
 from strandmix.operators.mixture import Fit
 from strandmix.operators.suffstats import Stats
 
+# Fixed values, in order of priority.
 #: Columns that may hold hard labels, in the order in which they are looked for.
 LABEL_COLUMNS = ("z", "cluster", "clusters", "class", "z_hat", "cl", "hard_cluster", "labels")
 

@@ -29,6 +29,7 @@ GRIDS = {
     "k_selection": {"N": (40, 60), "K_true": (2, 3, 4, 5), "r_true": (2,), "M": (8,), "T_each": (100,), "cluster_sep_spatial": (0.3, 0.6, 1.0), "cluster_sep_temporal": (0.6,), "cluster_sep_stability": (0.6,), "seed": (1, 2, 3, 4, 5)},
 }
 
+# The study's parameters as its first table lists them.
 TABLE1 = (
     ("True cluster number (K)", "3, 4"),
     ("True factor (PC) number (r)", "3, 5"),

@@ -291,8 +291,8 @@ def _distributed(s, d, **options):
 
 
 for _em in ("hard", "soft"):
-    query(f"mx_distributed{'' if _em == 'hard' else '_soft'}", _LABELS_SQL.format(p=""))(lambda s, d, e=_em: _distributed(s, d, em=e, max_iter=8))
-query("sel_grid_distributed", "SELECT 2 AS K")(lambda s, d: s.createDataFrame([(M.grid_distributed(planted(s, d), "mpca", (1, 2), (1,), max_iter=6)[0]["K"],)], "K int"))
+    query(f"mx_distributed{'' if _em == 'hard' else '_soft'}", _LABELS_SQL.format(p=""))(lambda s, d, e=_em: _distributed(s, d, em=e))
+query("sel_grid_distributed", "SELECT 2 AS K")(lambda s, d: s.createDataFrame([(M.grid_distributed(planted(s, d), "mpca", (1, 2), (1,))[0]["K"],)], "K int"))
 
 
 @query("mx_two_step")
