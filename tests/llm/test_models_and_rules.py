@@ -443,10 +443,10 @@ def test_frequent_lines_like_the_plain_version(spark, monkeypatch, small):
         rng.shuffle(lines)
         docs.append((k, rng.choice(["\n", "\n\n", " \r\n"]).join(lines) if rng.random() < 0.97 else None, rng.choice(["x", "x", "x", "y", None])))
     docs += [(900 + k, docs[0][1], docs[0][2]) for k in range(30)]
-    want, norm = plain_frequent(docs, 2, 12)
+    want, norm = plain_frequent(docs, 2, 6)
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
-    got = {r.doc_id: r for r in quality_rules.judge(df, max_percent=12).collect()}
-    kept = {r.doc_id: r.text for r in quality_rules.clean(df, max_percent=12).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(df, max_percent=6).collect()}
+    kept = {r.doc_id: r.text for r in quality_rules.clean(df, max_percent=6).collect()}
     assert len(want) > 5 and len({got[k].kept for k, *_ in docs}) == 2
     changed = 0
     for k, text, host in docs:
