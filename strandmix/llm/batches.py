@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,6 +28,21 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches; in the end the memory that it freed goes back to the system, as workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose texts have about ``limit`` bytes; a longer text is a slice of its own."""
     for batch in batches:
@@ -52,7 +70,7 @@ def map_text(df: DataFrame, id_col: str, text_col: str, rows: Callable[[list, li
             columns = [ids, *(found[name] for name in names[1:])]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in columns], names=names)
 
-    return bounded(kept).mapInArrow(run, full)
+    return bounded(kept).mapInArrow(tidied(run), full)
 
 
 def byte_signs() -> list[str]:

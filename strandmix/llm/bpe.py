@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmix.llm.batches import bounded, byte_signs, map_text
+from strandmix.llm.batches import bounded, byte_signs, map_text, tidied
 
 #: Words and fragments that a worker remembers at most.
 CACHE = 300_000
@@ -163,4 +163,4 @@ def decode_ids(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else bpe.decode(x) for x in part.column(1).to_pylist()], type=pa.string())], names=[id_col, "text"])
 
     kept = rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return bounded(kept).mapInArrow(run, f"{id_col} long, text string")
+    return bounded(kept).mapInArrow(tidied(run), f"{id_col} long, text string")

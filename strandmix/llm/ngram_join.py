@@ -20,18 +20,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmix.llm.batches import bounded, chunks
+from strandmix.llm.batches import bounded, chunks, tidied
 from strandmix.llm.components import components
 from strandmix.llm.sized import counted, sized_join
 from strandmix.llm.storage import discard, written
 
-#: Words of an n-gram; bits of its hash that are kept; least number of fragments; text bytes of a fragment; n-grams of a block.
-WORDS, BITS, FRAGMENTS, FRAGMENT_BYTES, BLOCK = 5, 53, 64, 16 << 20, 1 << 19
+#: Words of an n-gram; bits of its hash that are kept; least number of hash ranges; bytes of input, as its files store it, for each; n-grams of a block.
+WORDS, BITS, FRAGMENTS, FRAGMENT_BYTES, BLOCK = 5, 53, 64, 4 << 20, 1 << 19
 #: Sets from which on an n-gram counts as most frequent; n-grams that wait in a task.
 FREQUENT, PENDING = 255, 3_000_000
 #: Where the global order is cut: numbers of sets at which a fragment begins; the last, of most frequent n-grams, is cut by hash into 8.
 PIVOTS = np.array([3, 4, 6, 10, 20, 60, FREQUENT])
 CACHE = 60_000
+#: What a source says of its size that doesn't know it is more than this.
+UNKNOWN_BYTES = 1 << 55
 #: Stands for a null id inside.
 NO_ID = -(1 << 63)
 
@@ -100,7 +102,7 @@ def _cut_into_fragments(fragments: int, seed: int):
 
     def block(docs: list[tuple[int, ...]], sets: dict[int, np.ndarray], sizes: dict[int, int]) -> Iterator[tuple]:
         ids, texts, nodes, proofs, ns = (np.array(x, dtype=np.int64) for x in zip(*docs))
-        yield -1 - int(np.abs(nodes[0]) % fragments), nodes.tobytes(), ns.astype("<i4").tobytes(), ids.tobytes(), texts.tobytes() + proofs.tobytes()
+        yield -1 - int(nodes[0]) % fragments, nodes.tobytes(), ns.astype("<i4").tobytes(), ids.tobytes(), texts.tobytes() + proofs.tobytes()
         keys = [x for x in sets if len(sets[x])]
         if not keys:
             return
@@ -195,7 +197,7 @@ class _Fragment:
 
 
 def _count_in_fragments(fragments: int):
-    """Per fragment: the segments of n-grams that several sets share, with the number of sets that have them, up to FREQUENT."""
+    """Per hash range: the segments of n-grams that several sets share, with the number of sets that have them, up to FREQUENT."""
     shift = np.uint64(BITS - (fragments.bit_length() - 1))
     segment = lambda x: (*x[:4], None, None, *x[4:])
 
@@ -342,11 +344,12 @@ def _links_between(prefixes: DataFrame, group: DataFrame, sets: DataFrame, perce
 
 
 def _fragments_for(kept: DataFrame) -> int:
-    """Fragments for the input's size, which the plan knows from its files; texts are only measured where it doesn't."""
-    size = int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 62:
+    """Hash ranges for the input's size, which a plan's sources know from their files; where one doesn't, texts are measured."""
+    leaves = kept._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if size >= UNKNOWN_BYTES:
         size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(FRAGMENTS, 1 << max(0, (size // FRAGMENT_BYTES).bit_length()))
+    return max(FRAGMENTS, 1 << (size // FRAGMENT_BYTES).bit_length())
 
 
 def _sets_of(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -357,9 +360,9 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple
     tasks = max(fragments, int(spark.conf.get("spark.sql.shuffle.partitions")))
     seed = 0
     while True:
-        blocks = kept.select("id", "text", F.xxhash64("text").alias("key")).mapInArrow(_cut_into_fragments(fragments, seed), _BLOCKS)
+        blocks = kept.select("id", "text", F.xxhash64("text").alias("key")).mapInArrow(tidied(_cut_into_fragments(fragments, seed)), _BLOCKS)
         dealt = blocks.repartitionById(tasks, F.expr("if(fragment < 0, -1 - fragment, fragment)")).sortWithinPartitions("fragment")
-        segments = written(dealt.mapInArrow(_count_in_fragments(fragments), _SEGMENTS))
+        segments = written(dealt.mapInArrow(tidied(_count_in_fragments(fragments)), _SEGMENTS))
         rows = written(segments.where("kind = 0").select("node", "n", F.nullif(F.col("doc"), F.lit(NO_ID)).alias("doc"), "text", "proof"))
         clash = rows.groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("m"), F.min("proof").alias("p"), F.max("proof").alias("q")).where("n != m OR p != q")
         if clash.isEmpty():
@@ -368,7 +371,7 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple
         discard(segments, rows)
         seed += 1
     by_node = segments.where("kind = 1").select("node", "n", "grams", "ranks").repartition(tasks, "node").sortWithinPartitions("node", "n")
-    table = written(by_node.mapInArrow(_gather_sets(percent), _SETS))
+    table = written(by_node.mapInArrow(tidied(_gather_sets(percent)), _SETS))
     discard(segments)
     return rows, table
 
@@ -389,7 +392,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[
     chains = group.select(F.col("root").alias("src")).distinct().join(root_of.select(F.col("node").alias("src"), F.col("root").alias("dst")), "src").select("src", "dst")
     rooted = between.join(root_of.select(F.col("node").alias("a"), F.col("root").alias("r")), "a", "left").join(root_of.select(F.col("node").alias("b"), F.col("root").alias("s")), "b", "left")
     edges = written(chains.union(rooted.select(F.coalesce("r", "a").alias("src"), F.coalesce("s", "b").alias("dst"))).distinct())
-    # A leader that leads nobody else is in no group's rows but its own group's root.
+    # Nodes without a row here, roots among them, are their own components.
     node_of, joined = root_of.select("node", F.col("root").alias("component")), None
     if not edges.isEmpty():
         joined = components(edges)

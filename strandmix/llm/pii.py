@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmix.llm.batches import bounded, chunks, map_text
+from strandmix.llm.batches import bounded, chunks, map_text, tidied
 
 #: Order of the kinds where spans start together; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "secret")
@@ -237,7 +237,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = No
                 part = part.set_column(chars, part.schema.field(chars), pa.array(counts, type=part.schema.field(chars).type))
             yield part.set_column(at, part.schema.field(at), pa.array(new, type=part.schema.field(at).type))
 
-    return bounded(docs).withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return bounded(docs).withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(tidied(run), docs.schema)
 
 
 #: The counts of the base kinds; where they stand is beyond SQL.

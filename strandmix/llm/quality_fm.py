@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmix.llm.batches import bounded, chunks
+from strandmix.llm.batches import bounded, chunks, tidied
 from strandmix.llm.sampling import crc_mod, hashed_share
 
 #: Hash buckets of words; buckets of each statistic; labelled rows of each class that a fit takes.
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             index, value = np.split(rows.index, rows.starts[1:-1]), np.split(rows.value, rows.starts[1:-1])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array([x.astype("<i4").tobytes() for x in index]), pa.array([x.astype("<f4").tobytes() for x in value])], names=["id", "label", "features", "weights"])
 
-    got = texts.select("id", "text", "chars", "label").mapInArrow(run, "id long, label int, features binary, weights binary").collect()
+    got = texts.select("id", "text", "chars", "label").mapInArrow(tidied(run), "id long, label int, features binary, weights binary").collect()
     got = sorted(got, key=lambda r: (r.id, r.features))
     index, value = [np.frombuffer(r.features, dtype="<i4") for r in got], [np.frombuffer(r.weights, dtype="<f4") for r in got]
     if not got:
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id",
             found = sent.value.score(featurise(part.column(1).to_pylist(), part.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.astype(float))], names=["id", "score"])
 
-    scored = _kept(docs, id_col, text_col, chars_col).mapInArrow(run, "id long, score double")
+    scored = _kept(docs, id_col, text_col, chars_col).mapInArrow(tidied(run), "id long, score double")
     return scored.select(F.col("id").alias(id_col), (crc_mod("id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
@@ -189,4 +189,4 @@ def keep_good(docs: DataFrame, model: FactorisationMachine, text_col: str = "tex
             n_chars = part.column(chars).to_pylist() if chars is not None else [None] * part.num_rows
             yield part.filter(pa.array(sent.value.score(featurise(part.column(at).to_pylist(), n_chars)) >= threshold))
 
-    return bounded(docs).mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(tidied(run), docs.schema)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmix.llm.batches import bounded, chunks, map_text
+from strandmix.llm.batches import bounded, chunks, map_text, tidied
 
 # Fixed values of the format: tag numbers, field types and compression codes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -347,7 +347,7 @@ def read_pages(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out), types)], names=names)
 
-    return bounded(files).select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data")).mapInArrow(run, schema)
+    return bounded(files).select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data")).mapInArrow(tidied(run), schema)
 
 
 ORACLE = f"SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST(greatest({ROW}, ceil(strlen(coalesce(text, '')) / {ROW}.0) * {ROW}) AS BIGINT) AS payload_bytes FROM documents"
