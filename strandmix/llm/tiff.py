@@ -26,6 +26,8 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 #: Bytes of samples that the reader decodes for one page; a page that claims more is an error.
 PAGE_BYTES = 1 << 28
+#: Samples that features are summed of at a time, and bytes of samples from which on pages leave a task.
+FEATURE_BLOCK, OUT_BYTES = 1 << 20, 8 << 20
 #: Pixels and samples of a row of the payload's pages, and rows of a page, strip and tile.
 PIXELS, CHANNELS, PAGE_ROWS, BLOCK_ROWS = 64, 3, 1 << 14, 256
 ROW = PIXELS * CHANNELS
@@ -214,6 +216,13 @@ def write_tiff(pages: list[tuple[np.ndarray, int, bool, int]]) -> bytes:
 
 def read_tiff(data: bytes) -> Iterator[Page]:
     """The pages of a file, in the order of its directories; ValueError where it isn't one that can be read."""
+    try:
+        yield from _pages(data)
+    except (struct.error, zlib.error, LookupError, OverflowError) as e:
+        raise ValueError(f"a damaged file: {type(e).__name__}: {e}") from e
+
+
+def _pages(data: bytes) -> Iterator[Page]:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
@@ -291,12 +300,26 @@ def store(payload: bytes) -> bytes:
 
 
 def features(samples: np.ndarray) -> str:
-    """Mean and deviation of each channel, and the mean step between neighbours in a row, each in thousandths."""
-    flat = samples.reshape(-1, samples.shape[2]).astype(np.int64)
-    n = max(1, len(flat))
-    mean = flat.sum(axis=0) / n
-    spread = np.sqrt(np.maximum((flat * flat).sum(axis=0) / n - mean * mean, 0))
-    step = np.abs(np.diff(samples.astype(np.int16), axis=1)).mean() if samples.shape[1] > 1 and len(samples) else 0.0
+    """Mean and deviation of each channel, and the mean step between neighbours in a row, each in thousandths.
+
+    Summed block by block, as wide integers of a whole page would take many times its size.
+    """
+    length, width, channels = samples.shape
+    across = max(1, min(width, FEATURE_BLOCK // channels))
+    down = max(1, FEATURE_BLOCK // (across * channels))
+    sums, squares, steps = np.zeros(channels, dtype=np.int64), np.zeros(channels, dtype=np.int64), 0
+    for top in range(0, length, down):
+        for left in range(0, width, across):
+            # One more column, for the step to it.
+            part = samples[top : top + down, left : left + across + 1]
+            steps += int(np.abs(np.diff(part.astype(np.int16), axis=1)).sum(dtype=np.int64))
+            flat = part[:, :across].reshape(-1, channels).astype(np.int64)
+            sums += flat.sum(axis=0)
+            squares += (flat * flat).sum(axis=0)
+    n = max(1, length * width)
+    mean = sums / n
+    spread = np.sqrt(np.maximum(squares / n - mean * mean, 0))
+    step = steps / max(1, length * (width - 1) * channels)
     return ":".join(str(int(round(1000 * float(x)))) for x in [*mean, *spread, step])
 
 
@@ -327,25 +350,40 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_pages(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
-    """One row per page of each file in a binary column: shape, compression, feature and samples. What can't be read gives one row with ``error``."""
+    """One row per page of each file in a binary column: shape, compression, feature and samples. What can't be read gives one row with ``error``.
+
+    A null or empty file can't be read. Pages leave a task every OUT_BYTES, so a small file that unpacks to many large pages takes the
+    memory of a few; a page has PAGE_BYTES at most.
+    """
     import pyarrow as pa
 
     schema = f"{id_col} long, page int, width int, length int, channels int, compression int, predictor int, blocks int, feature string, samples binary, error string"
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64(), *[pa.int32()] * 7, pa.string(), pa.binary(), pa.string()]
 
-    def run(batches):
-        for part in chunks(batches, 1, 8 << 20):
-            out = []
+    def rows(batches):
+        for part in chunks(batches, 1, OUT_BYTES):
             for key, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 k = -1
                 try:
                     for k, x in enumerate(read_tiff(data or b"")):
-                        out.append((key, k, *x[:6], features(x.samples), x.samples.tobytes(), None))
-                except (ValueError, struct.error, zlib.error, IndexError, KeyError, OverflowError) as e:
-                    out.append((key, k + 1, *[None] * 8, f"{type(e).__name__}: {e}"))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out), types)], names=names)
+                        yield key, k, *x[:6], features(x.samples), x.samples.tobytes(), None
+                except ValueError as e:
+                    yield key, k + 1, *[None] * 8, f"{type(e).__name__}: {e}"
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out), types)], names=names)
+
+    def run(batches):
+        out, size = [], 0
+        for row in rows(batches):
+            out.append(row)
+            size += 1000 + len(row[9] or b"")
+            if size >= OUT_BYTES:
+                yield batch(out)
+                out, size = [], 0
+        if out:
+            yield batch(out)
 
     return bounded(files).select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data")).mapInArrow(tidied(run), schema)
 
