@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmix.llm import licenses, ngram_join, pii, quality_rules, tiff, url_rules
+from strandmix.llm import licenses, negatives, ngram_join, pii, quality_rules, suffixes, tiff, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +113,21 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandmix.llm.suffixes import cut_repeats
+
+    return cut_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 7th row's label is moved by one first; anchors are the rows whose id is divisible by 100."""
+    from strandmix.llm.negatives import mine, scaled
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), scaled(F.col("embedding"), 256).alias("vector"))
+    return mine(rows, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_url_rules": op2_url_rules,
@@ -124,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
     "op10_quality_fm": op10_quality_fm,
+    "op11_suffixes": op11_suffixes,
+    "op12_hard_negatives": op12_hard_negatives,
     "packing_conversations": packing_conversations,
     "pii_counts": pii_counts,
     "tiff_pages": tiff_pages,
@@ -132,4 +149,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
-ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op2_url_rules": url_rules.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "license_phrases": licenses.ORACLE, "pii_counts": pii.ORACLE, "tiff_sizes": tiff.ORACLE}
+ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op2_url_rules": url_rules.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "license_phrases": licenses.ORACLE, "pii_counts": pii.ORACLE, "tiff_sizes": tiff.ORACLE, "op11_suffixes": suffixes.ORACLE, "op12_hard_negatives": negatives.ORACLE}

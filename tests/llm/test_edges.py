@@ -4,7 +4,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from strandmix.llm import bpe, langid, licenses, ngram_join, packing, pii, quality_fm, quality_rules, tiff, url_rules
+from strandmix.llm import bpe, langid, licenses, ngram_join, packing, pii, quality_fm, quality_rules, suffixes, tiff, url_rules
 
 LONG = "the word goes on and on " * 9000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, host string, key string, t int, node int, n int, rule_stats int, removed int, odd_id int, gram int"
@@ -41,6 +41,7 @@ OPERATORS = {
     "langid": lambda s, d: langid.identify(d, langid.train(d, PIECE), PIECE),
     "bpe": lambda s, d: bpe.encode_decode(d, BYTE, P.PATTERN),
     "quality_fm": lambda s, d: quality_fm.score(d, quality_fm.train(d, labels(s))),
+    "suffixes": lambda s, d: suffixes.cut_repeats(d),
     "urls": lambda s, d: url_rules.filter_urls(s, d.withColumnsRenamed({"doc_id": "page_id", "text": "url"}), labels(s)).withColumnRenamed("page_id", "doc_id"),
 }
 
