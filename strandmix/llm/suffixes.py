@@ -493,7 +493,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return first.withColumn("kind", F.lit(0)).unionByName(texts.withColumn("kind", F.lit(1)), allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(tidied(run), schema)
 
     def by_range(df: DataFrame, run, schema: str) -> DataFrame:
-        return df.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(tidied(run), schema)
+        return df.repartitionById(ranges, F.col("range")).sortWithinPartitions("range").mapInArrow(tidied(run), schema)
 
     counted = texts.select("bucket", "text").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_count_anchors(ranges)), "range int, bucket long, hashes binary, counts binary")
     shared = written(by_range(counted, _find_shared(hot), "bucket long, shared binary, hot binary"))
