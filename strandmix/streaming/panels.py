@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandmix.operators.mixture import Fit
 from strandmix.operators.project import linear
 from strandmix.operators.project import fa_scorer, ppca_scorer
 
 
-def read_panel_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).parquet(path)
+def read_panel_stream(spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int = 0) -> DataFrame:
+    """New Parquet files of a folder, or of a pattern of paths, as a stream; in batches of so many files, or (0) all at once."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def windowed_moments(rows: DataFrame, subject: str, time: str, channels: list[str], width: str = "1 day", late: str = "1 day") -> DataFrame:

@@ -50,8 +50,8 @@ def test_without_the_text_operators(tmp_path):
     """The library and its entry points work when that subpackage and the pipeline are gone."""
     import shutil
 
-    for x in ("strandmix", "__spark_entry__.py"):
-        (shutil.copytree if x == "strandmix" else shutil.copy)(f"{ROOT}/{x}", tmp_path / x)
+    for x in ("strandmix", "jobs", "__spark_entry__.py"):
+        (shutil.copy if x.endswith(".py") else shutil.copytree)(f"{ROOT}/{x}", tmp_path / x)
     shutil.rmtree(tmp_path / "strandmix/llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not any(x.startswith('op') for x in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
@@ -62,6 +62,7 @@ def test_an_error_in_the_text_operators_is_not_hidden(tmp_path):
     import shutil
 
     shutil.copytree(f"{ROOT}/strandmix", tmp_path / "strandmix")
+    shutil.copytree(f"{ROOT}/jobs", tmp_path / "jobs")
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     (tmp_path / "corpus_pipeline.py").write_text("run = ORACLE_SQL = None\n")
     (tmp_path / "strandmix/llm").mkdir(exist_ok=True)
