@@ -14,7 +14,7 @@ and the first profile. Rows without a conversation are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import command_line, log, with_defaults
@@ -63,12 +63,11 @@ def run(spark: SparkSession, source: str, output: str, config: dict | None = Non
     config = with_defaults(config, DEFAULTS)
     if any(len(x) != len(CHANNELS) for x in config["profiles"].values()) or not config["profiles"]:
         raise ValueError(f"profiles need {len(CHANNELS)} means each")
-    seen = Observation()
-    found = report(spark.read.parquet(source), config).observe(seen, F.count("*").alias("conversations"), F.sum("turns").alias("turns"), F.sum(F.col("flagged").cast("long")).alias("flagged"))
+    found = report(spark.read.parquet(source), config)
     found.hint("rebalance", "profile").write.mode("overwrite").partitionBy("profile").parquet(f"{output}/report")
-    counts = {k: v or 0 for k, v in seen.get.items()}
-    log.info("read %d turns of %d conversations from %s", counts["turns"], counts["conversations"], source)
     written = spark.read.schema(found.schema).parquet(f"{output}/report")
+    counts = written.agg(F.count("*").alias("conversations"), F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"), F.count_if("flagged").alias("flagged")).first().asDict()
+    log.info("read %d turns of %d conversations from %s", counts["turns"], counts["conversations"], source)
     summary = written.groupBy("profile").agg(F.count("*").alias("conversations"), F.sum(F.col("flagged").cast("long")).alias("flagged"), F.avg("turns").alias("turns"), F.avg("penalty").alias("penalty"))
     summary.coalesce(1).write.mode("overwrite").json(f"{output}/summary")
     log.info("wrote %s/report and %s/summary, %d flagged", output, output, counts["flagged"])
