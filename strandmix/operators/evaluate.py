@@ -181,11 +181,16 @@ def clusterwise_similarity(true_bases: list[np.ndarray], bases: list[np.ndarray]
     return float(np.mean(found)) if found else None
 
 
-def align_bootstrap(reference: np.ndarray, loadings: np.ndarray, exact: bool = True) -> np.ndarray:
-    """Clusters of a resampled fit (K, M, r) ordered like the reference's, their columns rotated towards it and signed by correlation."""
+def align_bootstrap(reference: np.ndarray, loadings: np.ndarray, exact: bool = True, in_order: bool = False) -> np.ndarray:
+    """Clusters of a resampled fit (K, M, r) ordered like the reference's, their columns rotated towards it and signed by correlation.
+
+    ``in_order``: the clusters are the reference's already, as in a fit that starts from its labels.
+    """
     unit = lambda x: x / np.maximum(np.sqrt((x**2).sum(axis=-2, keepdims=True)), 1e-12)
     close = np.array([[np.abs(unit(a).T @ unit(b)).sum() for b in loadings] for a in reference])
-    if exact:
+    if in_order:
+        match = np.arange(len(close))
+    elif exact:
         match = L.assign(close.max() - close)
     else:
         match, left = np.zeros(len(close), dtype=int), set(range(len(close)))

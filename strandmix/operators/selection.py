@@ -169,7 +169,8 @@ def stability(labels: DataFrame, min_joint: int = 5, block: int = PAIR_BLOCK) ->
     blocks = -(-most // block)
     placed = rows.select("K", "subject_id", F.col("own.b").alias("b"), F.col("own.z").alias("z"), F.pmod(F.xxhash64("subject_id"), F.lit(blocks)).cast("int").alias("at"))
     left = placed.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence(F.col("at"), F.lit(blocks - 1))))
-    right = placed.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("at"))))
+    again = placed.select(*(F.col(c).alias(f"{c}_") for c in placed.columns)).toDF(*placed.columns)  # columns of its own: the two sides meet
+    right = again.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("at"))))
 
     def count(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         draws = np.unique(np.concatenate([*x["b"], *y["b"]])) if len(x) and len(y) else np.zeros(0, int)

@@ -40,14 +40,18 @@ def _moments_by_matrix(panel: Panel, centre: list[float]) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            x = np.column_stack([np.asarray(batch.column(k + 1), dtype=float) for k in range(m)]) - about
-            unique, where = np.unique(ids, return_inverse=True)
-            rows = [(int(u), int((own := where == k).sum()), x[own].sum(axis=0).tolist(), (x[own].T @ x[own])[upper].tolist()) for k, u in enumerate(unique)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=["subject_id", "n", "s", "q"])
-
-    parts = panel.df.select("subject_id", *channels).mapInArrow(partial, "subject_id long, n long, s array<double>, q array<double>")
-    summed = lambda name, size: F.array(*(F.sum(F.col(name)[k]) for k in range(size))).alias(name)
-    return parts.groupBy("subject_id").agg(F.sum("n").alias("n"), summed("s", m), summed("q", len(upper[0])))
+            order = np.argsort(ids, kind="stable")
+            x = np.column_stack([np.asarray(batch.column(k + 1), dtype=float) for k in range(m)])[order] - about
+            cuts = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]])) if len(ids) else order
+            sums = [np.concatenate([[b - a], x[a:b].sum(axis=0), (x[a:b].T @ x[a:b])[upper]]) for a, b in zip(cuts, [*cuts[1:], len(ids)])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[order][cuts]), pa.array(sums, type=pa.list_(pa.float64()))], names=["subject_id", "v"])
+
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    parts = panel.df.select("subject_id", *channels).mapInArrow(partial, "subject_id long, v array<double>")
+    total = parts.groupBy("subject_id").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("v")))).alias("v"))
+    return total.select("subject_id", F.col("v")[0].cast("long").alias("n"), F.slice("v", 2, m).alias("s"), F.slice("v", m + 2, len(upper[0])).alias("q"))
 
 
 @dataclass(frozen=True)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from strandmix.plans import models, signal, studies
+from strandmix.plans import clustered, models, signal, studies
 from strandmix.plans.registry import ORACLE, QUERIES, Query
 
 #: Importing them registers their queries.
-MODULES = (signal, models, studies)
+MODULES = (signal, models, studies, clustered)
 
-flagship = models.flagship
+flagship = clustered.flagship
 
 
 def queries() -> dict[str, Query]:

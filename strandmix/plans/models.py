@@ -330,15 +330,9 @@ def _vote(s, d):
     return B.majority_frame(table(s, d, "lineitem").select(F.col("l_suppkey").alias("subject_id"), (F.col("l_linenumber") % 3).cast("int").alias("z"), F.col("l_discount").alias("distance")))
 
 
-query("sel_grid_bic")(lambda s, d: Q.grid(_stats(s, d), "mfa", range(1, 4), range(1, 4), spark=s).frame(s))
-query("sel_twostage_icl")(lambda s, d: Q.two_stage(_stats(s, d), "mpca", range(1, 4), range(1, 4), spark=s).frame(s))
-query("sel_posthoc")(lambda s, d: Q.evaluation(Q.grid(_stats(s, d), "mpca", range(1, 4), range(1, 3)), s))
 query("sel_k_bootstrap_planted", f"WITH {_TRUE} SELECT 2 AS K, 1.0::DOUBLE AS stability, CAST(count(DISTINCT subject_id) * (count(DISTINCT subject_id) - 1) / 2 AS BIGINT) AS n_pairs FROM pl")(
     lambda s, d: Q.stability(Q.bootstrap_draws(s, _stats(s, d, "planted"), "mpca", (2,), method="closed_form"))
 )
-query("sel_k_bootstrap")(lambda s, d: Q.stability(Q.bootstrap_draws(s, _stats(s, d), "mpca", method="closed_form")))
-query("sel_k_cv")(lambda s, d: Q.one_se_rule(Q.cross_validate_k(s, _stats(s, d), "mpca", method="closed_form"), "K", "score"))
-query("sel_r_cv")(lambda s, d: Q.one_se_rule(s.createDataFrame(Q.cross_validate_r(_stats(s, d), range(1, 5), "FA"), "r int, fold int, score double"), "r", "score", higher=False))
 
 
 def _chosen(s, d, **options):
@@ -384,7 +378,6 @@ def _similarity(s, d):
 
 
 query("ev_rotated_loadings")(lambda s, d: E.align_signs(E.rotate(M.fit(_stats(s, d), "mfa", 2, 2))).loadings(s))
-query("ev_bootstrap_ci")(lambda s, d: E.bootstrap_summary(E.bootstrap_loadings(s, _stats(s, d), "mpca", 2, 2, method="closed_form")))
 
 
 @query("ev_align_to_truth", f"WITH {_PLANTED} SELECT DISTINCT subject_id, CAST(subject_id % 2 + 1 AS INTEGER) AS z_true, CAST(subject_id % 2 + 1 AS INTEGER) AS z_aligned FROM pl")
@@ -407,16 +400,6 @@ query("ev_vaf_sse_correlation", f"WITH v AS (SELECT 1 - avg(l_tax) AS vaf, avg(l
 )
 
 
-def flagship(s, sf_dir):
-    """Cluster the embedding panel, score every row, and summarise each cluster's reconstruction."""
-    p = A.embeddings_panel(s, sf_dir)
-    got = M.canonical(M.fit_panel(p, "mfa", 2, 2, use_kmeans=False))
-    return P.summarize_clusters(p, got, got.assignments(s))
-
-
-query("flagship")(flagship)
-
-
 # What else has a truth in SQL.
 query("mx_kmeans_start", _LABELS_SQL.format(p=""))(lambda s, d: _start_labels(s, d))
 
