@@ -482,8 +482,7 @@ def fit_panel(panel: Panel, kind: str, n_clusters: int, n_factors: int, **option
     """A fit and its assignments (subject_id, z, loglik), which are recomputed from the parameters whenever they are read."""
     with statistics(panel) as table:
         found = fit_best(table, [(n_clusters, n_factors)], kind, **options)[0]
-    again = Table(S.moments(panel, table.centre.tolist()).select("subject_id", F.concat(F.array(F.col("n").cast("double")), "s", "q").alias("x")), table.channels, table.centre, table.subjects, table.rows)
-    return found, assignments(again, [found]).drop("model")
+    return found, assignments(table, [found]).drop("model")
 
 
 def canonical(table: Table, fit: Fit) -> Fit:

@@ -182,97 +182,30 @@ def _centre(panel: Panel) -> np.ndarray:
     return np.array([x or 0.0 for x in means])
 
 
-def _start_by_kmeans(table: DataFrame, m: int, n_clusters: int, n_factors: int, centre: np.ndarray, seed: int) -> DataFrame:
-    """(subject_id, z) by k-means, on the cluster, over subjects' means in the axes of the pooled covariance."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    pooled = _pool(table.withColumn("z", F.lit(1)), m).first()
-    one = Stats(np.array([0]), np.array([float(pooled["n"])]), np.array([pooled["s"]]), S.upper_to_full(np.array([pooled["q"]]), m), centre)
-    _, mean, cov = one.pooled()
-    _, axes, _ = L.top_eigen(cov, n_factors)
-    project = lambda j: sum((float(axes[i, j]) * (F.col("s")[i] / F.col("n") + float(centre[i] - mean[i])) for i in range(m)), F.lit(0.0))
-    features = table.select("subject_id", array_to_vector(F.array(*(project(j) for j in range(axes.shape[1])))).alias("features"))
-    model = KMeans(k=n_clusters, seed=seed, initSteps=1, maxIter=10).fit(features)
-    return model.transform(features).select("subject_id", (F.col("prediction") + 1).cast("int").alias("z"))
-
-
 def fit_distributed(
     panel: Panel, kind: str, n_clusters: int, n_factors: int, z_init: DataFrame | None = None, max_iter: int = 20, inner: int = 20, tol: float = 1e-3, method: str = "closed_form", estep: str = "textbook", em: str = "hard", start: str = "kmeans", seed: int = 0
 ) -> tuple[Fit, DataFrame]:
-    """A fit for panels of any number of subjects: the statistics stay on the cluster, and a round sends K pooled ones to the driver.
+    """One fit by ``fits.fit_many``, for panels of any number of subjects: the statistics stay on the cluster, a round sends K pooled ones to the driver.
 
-    Returns the parameters (ids and labels empty) and the assignments (subject_id, z, loglik). The start is ``z_init`` (subject_id, z
-    from 1), k-means over subjects' means, or (``start="modulo"``) the subject's number modulo K. Soft fits weight each subject's
-    statistics by its responsibilities. Assignments are expressions over the statistics, recomputed from the last parameters.
+    Returns the parameters (ids and labels empty) and the assignments (subject_id, z, loglik), recomputed from them whenever they are
+    read. The start is ``z_init`` (subject_id, z from 1), k-means over subjects' means, or (``start="modulo"``) the subject's number modulo K.
     """
+    from strandmix.operators import fits as T
+
     if em not in ("hard", "soft") or start not in ("kmeans", "modulo"):
         raise ValueError(f"em is hard or soft, start kmeans or modulo, not {em!r}, {start!r}")
-    m, centre = len(panel.channels), _centre(panel)
-    table = S.moments(panel, centre.tolist()).persist()
-    if z_init is None and start == "kmeans" and n_clusters > 1:
-        z_init = _start_by_kmeans(table, m, n_clusters, min(n_factors, m), centre, seed)
-    current = table.join(z_init, "subject_id") if z_init is not None else table.withColumn("z", (F.pmod("subject_id", F.lit(n_clusters)) + 1).cast("int"))
-    components, pi, last, rounds, loglik = [None] * n_clusters, np.full(n_clusters, 1 / n_clusters), -np.inf, 0, -np.inf
-    for rounds in range(1, max_iter + 1):
-        pooled = {r["z"]: r for r in _pool(current, m).collect()}
-        if rounds > 1:
-            loglik = sum(r["ll"] for r in pooled.values())
-            if rounds > 5 and abs(loglik - last) < tol:
-                break
-            last = loglik
-        for k in range(n_clusters):
-            row = pooled.get(k + 1)
-            if row is not None and row["n"] > 1e-10:
-                one = Stats(np.array([0]), np.array([float(row["n"])]), np.array([row["s"]]), S.upper_to_full(np.array([row["q"]]), m), centre)
-                components[k] = _component(kind, one, np.ones(1), n_factors, inner, method, estep)
-        total = sum(r["subjects"] for r in pooled.values())
-        pi = np.array([pooled[k + 1]["subjects"] / total if k + 1 in pooled else 0.0 for k in range(n_clusters)])
-        components = [c if c is not None else next(x for x in components if x is not None) for c in components]
-        current = assigned(table, components, pi, centre) if em == "hard" else weighted(table, components, pi, centre)
-    table.unpersist()
-    resp = np.zeros((0, n_clusters))
-    return Fit(kind, np.zeros(0, np.int64), np.zeros(0, int), resp, pi, tuple(components), loglik, rounds, panel.channels), assign_frame(S.moments(panel, centre.tolist()), components, pi, centre)
+    spec = T.Spec(checks.model_type(kind), n_clusters, n_factors, start if z_init is None else "given", seed, em=em, max_iter=max_iter, inner=inner, tol=tol, method=method, estep=estep)
+    with T.statistics(panel, z_init) as table:
+        found = T.fit_many(table, [spec])[0]
+    return found, T.assignments(table, [found]).drop("model")
 
 
 def grid_distributed(panel: Panel, kind: str, ks=range(1, 6), rs=range(1, 6), **options) -> list[dict]:
-    """K, r, logLik, BIC, entropy and ICL of distributed fits, the smallest BIC first; the mixture's likelihood, over all subjects."""
-    from strandmix.operators import criteria as C
-
-    m, centre, out = len(panel.channels), _centre(panel), []
-    table = S.moments(panel, centre.tolist()).persist()
-    n = float(table.agg(F.sum("n")).first()[0] or 0)
-    for k in ks:
-        for r in rs:
-            if r > m:
-                continue
-            got, _ = fit_distributed(panel, kind, k, r, **options)
-            joint = log_joint_columns(got.components, got.pi, centre)
-            top = F.greatest(*joint) if k > 1 else joint[0]
-            parts = table.select(top.alias("top"), F.array(*joint).alias("joint")).withColumn("lse", F.col("top") + F.log(F.aggregate(F.transform("joint", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)))
-            entropy = F.aggregate(F.transform("joint", lambda x: F.exp(x - F.col("lse")) + TINY), F.lit(0.0), lambda a, p: a - p * F.log(p))
-            loglik, spread = parts.select("lse", entropy.alias("e")).agg(F.sum("lse"), F.sum("e")).first()
-            bic = C.bic(kind, loglik, k, r, m, n)
-            out.append({"K": k, "r": r, "logLik": loglik, "BIC": bic, "entropy": spread, "ICL": bic + 2 * spread})
-    table.unpersist()
-    return sorted(out, key=lambda row: (row["BIC"], row["K"], row["r"]))
-
-
-def _pool(table: DataFrame, m: int) -> DataFrame:
-    """Pooled statistics per cluster from rows (z, n, s, q) and, where they are, weights w and shares of the likelihood."""
-    ll = F.sum("loglik") if "loglik" in table.columns else F.lit(0.0)
-    w = F.col("w") if "w" in table.columns else F.lit(1.0)
-    return table.groupBy("z").agg(F.sum(w * F.col("n")).alias("n"), F.sum(w).alias("subjects"), F.array(*(F.sum(w * F.col("s")[i]) for i in range(m))).alias("s"), F.array(*(F.sum(w * F.col("q")[i]) for i in range(m * (m + 1) // 2))).alias("q"), ll.alias("ll"))
-
-
-def weighted(table: DataFrame, components, pi: np.ndarray, centre: np.ndarray) -> DataFrame:
-    """Moments once for each cluster z with w, the subject's responsibility, and loglik, which sums to the subject's over clusters."""
-    joint = log_joint_columns(components, pi, centre, L.JITTER)
-    top = F.greatest(*joint) if len(joint) > 1 else joint[0]
-    sums = F.aggregate(F.transform("joint", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
-    rows = table.withColumn("joint", F.array(*joint)).withColumn("top", top).withColumn("lse", F.col("top") + F.log(sums))
-    rows = rows.select("subject_id", "n", "s", "q", "lse", F.posexplode("joint").alias("pos", "value"))
-    return rows.select("subject_id", "n", "s", "q", (F.col("pos") + 1).alias("z"), F.exp(F.col("value") - F.col("lse")).alias("w"), F.when(F.col("pos") == 0, F.col("lse")).otherwise(0.0).alias("loglik"))
+    """K, r, logLik, BIC, entropy and ICL of fits from k-means on the cluster, the smallest BIC first; all of them advance together."""
+    from strandmix.operators import fits as T
+
+    with T.statistics(panel) as table:
+        return T.grid(table, kind, ks, rs, **({"n_init": 0, "method": "closed_form"} | options)).summary
 
 
 def log_joint_columns(components, pi: np.ndarray, centre: np.ndarray, jitter: float = 0.0):

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmix.functions import iir
+from strandmix.operators.blocks import over_neighbours
 from strandmix.operators.medians import mean_of_largest, medians
 from strandmix.operators.series import WHOLE, Step, filtered, in_one_pass, longest
 from strandmix.sources.panel import Panel
@@ -107,17 +108,21 @@ def window_width(window_ms: float, fs: float) -> int:
 def envelope_rms(panel: Panel, window_ms: float, fs: float) -> Panel:
     """Root of the mean square over the rows up to half a window away; shorter at the ends."""
     h = window_width(window_ms, fs) // 2
-    near = panel.by_time().rowsBetween(-h, h)
-    return _each(panel, lambda c: {}, lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)).over(near)))
+    mean = lambda w: [F.sqrt(F.avg(F.col(c) * F.col(c)).over(w.rowsBetween(-h, h))).alias(c) for c in panel.channels]
+    return panel.with_df(over_neighbours(panel, h, h, mean))
 
 
 def envelope_moving_average(panel: Panel, window_ms: float, fs: float) -> Panel:
     """Mean over a centred window, an even one with its extra row ahead; at the ends over the rows up to half a window away."""
     w = window_width(window_ms, fs)
     h = w // 2
-    behind, time = w - 1 - h, panel.by_time()
-    whole, near = time.rowsBetween(-behind, h), time.rowsBetween(-h, h)
-    return _each(panel, lambda c: {}, lambda c: F.when(F.count(c).over(whole) == w, F.avg(c).over(whole)).otherwise(F.avg(c).over(near)))
+    behind = w - 1 - h
+
+    def mean(time):
+        whole, near = time.rowsBetween(-behind, h), time.rowsBetween(-h, h)
+        return [F.when(F.count(c).over(whole) == w, F.avg(c).over(whole)).otherwise(F.avg(c).over(near)).alias(c) for c in panel.channels]
+
+    return panel.with_df(over_neighbours(panel, h, h, mean))
 
 
 def bandpass_sections(fs: float, low: float = 20, high: float = 450, order: int = 4, kind: str = "butterworth") -> np.ndarray:
@@ -224,10 +229,14 @@ def mvc_reference(panel: Panel, method: str = "peak", window_ms: float = 500, fs
         return ranked.join(sizes, ["subject_id", "channel"]).where("rank <= top").groupBy("subject_id", "channel").agg(F.avg("value").alias("reference"))
     if method == "rms_peak":
         w = window_width(window_ms, fs)
-        last, whole = panel.by_time().rowsBetween(-(w - 1), 0), W.partitionBy("subject_id")
-        # A series shorter than the window is one window.
-        size = lambda c: F.least(F.lit(w), F.count(c).over(whole))
-        rms = panel.with_df(panel.df.select("subject_id", "t", *(F.when(F.count(c).over(last) == size(c), F.sqrt(F.avg(F.col(c) * F.col(c)).over(last))).alias(c) for c in panel.channels)))
+        counted = _with_stats(panel, {f"{c}__n": F.count(c) for c in panel.channels})
+
+        def mean(time):
+            last = time.rowsBetween(-(w - 1), 0)
+            # A series shorter than the window is one window.
+            return [F.when(F.count(c).over(last) == F.least(F.lit(w), F.col(f"{c}__n")), F.sqrt(F.avg(F.col(c) * F.col(c)).over(last))).alias(c) for c in panel.channels]
+
+        rms = panel.with_df(over_neighbours(panel.with_df(counted, True), w - 1, 0, mean))
         return rms.long().groupBy("subject_id", "channel").agg(F.max("value").alias("reference"))
     raise ValueError(f"unknown method {method!r}")
 

@@ -104,8 +104,15 @@ def two_stage(stats: Stats, kind: str, ks=range(1, 6), rs=range(1, 6), r_fixed:
     return Selection(best_k, best_r, models[best_k, best_r], summary + second, models, {"strategy": "twostage", "criterion": criterion, "temperature": temperature})
 
 
-def select_k_r(stats: Stats, kind: str, strategy: str = "grid", criterion: str = "ICL", **options) -> Selection:
-    """Either strategy by name; the grid always goes by BIC."""
+def select_k_r(stats: Stats | Panel, kind: str, strategy: str = "grid", criterion: str = "ICL", **options) -> Selection:
+    """Either strategy by name; the grid always goes by BIC. A panel's statistics stay on the cluster, whatever its size."""
+    if isinstance(stats, Panel):
+        from strandmix.operators import fits as T
+
+        if strategy not in ("grid", "twostage"):
+            raise ValueError(f"unknown strategy {strategy!r}")
+        with T.statistics(stats) as table:
+            return T.grid(table, kind, **options) if strategy == "grid" else T.two_stage(table, kind, criterion=criterion, **options)
     if strategy == "grid":
         return grid(stats, kind, **options)
     if strategy == "twostage":

@@ -1,7 +1,7 @@
-"""Whole series in time order: several steps in one pass over sorted rows, and filters that carry their state over series of any length.
+"""Whole series in time order: several steps in one pass over sorted rows, and filters over series of any length in blocks of time.
 
 Rows come sorted by subject and time and go through Arrow batches. Series of up to WHOLE values are worked on whole, all steps at once.
-Longer ones are filtered batch by batch, forward and, after another sort within partitions, backward; memory is bounded by a batch.
+In panels with longer ones, all series are filtered in blocks that run side by side and hand on their states; memory is bounded by a block.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from strandmix.sources.panel import Panel
 
 #: Values of a series, rows times channels, that a task may hold at once.
 WHOLE = 1 << 22
+#: Rows of a block of a longer series.
+BLOCK_ROWS = 1 << 17
 #: Stands for a null subject inside.
 NOBODY = -(1 << 63)
 
@@ -87,108 +89,100 @@ def in_one_pass(panel: Panel, steps: list[Step], extra: tuple[str, ...] = ()) ->
     return Panel(rows.mapInArrow(run, rows.select("subject_id", "t", *channels).schema), panel.channels, True)
 
 
-class _Forward:
-    """One series forward: what continues it before its first row is known once enough rows have come."""
-
-    def __init__(self, sections: np.ndarray, zero_phase: bool, channels: int):
-        self.system, self.pad = iir.system(sections), iir.padding(sections) if zero_phase else 0
-        self.state, self.held, self.started = self.system.rest(channels), np.zeros((0, channels)), False
-
-    def feed(self, x: np.ndarray, last: bool = False) -> np.ndarray:
-        """Outputs of all rows that can be worked on so far."""
-        if not self.started:
-            self.held = np.concatenate([self.held, x])
-            if len(self.held) <= self.pad and not last:
-                return self.held[:0]
-            self.pad, x, self.started = min(self.pad, len(self.held) - 1), self.held, True
-            self.state = self.system.run(iir.before(x, self.pad), self.state)[1]
-        else:
-            self.held = np.concatenate([self.held, x])
-        self.held = self.held[-self.pad - 1 :]
-        y, self.state = self.system.run(x, self.state)
-        return y
-
-    def tail(self) -> np.ndarray:
-        """Outputs of what continues the series behind its last row."""
-        return self.system.run(iir.behind(self.held, self.pad), self.state)[0]
-
-
-def filtered_by_batches(panel: Panel, sections: np.ndarray, zero_phase: bool) -> Panel:
-    """A filter over series of any length. Forward, rows behind a series' end are added; backward, after a sort, they go again."""
-    channels = list(panel.channels)
-    names = ["subject_id", "t", *channels, "gone__", "tail__"]
-    rows = panel.in_order(*channels)
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds.get(c, k)}" for c, k in zip(names, [*kinds.values(), "binary", "int"]))
-
-    def batch(subject, times, y, gone, tail):
-        n = len(y)
-        ids = pa.array([None if subject == NOBODY else subject] * n, type=pa.int64())
-        flags = pa.array([None if g is None or not g.any() else np.packbits(g).tobytes() for g in gone], type=pa.binary())
-        return pa.RecordBatch.from_arrays([ids, pa.array(times), *(pa.array(y[:, k]) for k in range(len(channels))), flags, pa.array(np.full(n, tail, dtype=np.int32))], names=names)
-
-    def forward(batches):
-        at, run, waiting = None, None, []
-
-        def out(y):
-            # Outputs follow the rows in order, some rows late.
-            nonlocal waiting
-            if not len(y):
-                return None
-            t, gone = (np.concatenate(x) for x in zip(*waiting))
-            waiting = [(t[len(y) :], gone[len(y) :])] if len(t) > len(y) else []
-            return batch(at, t[: len(y)], y, gone[: len(y)], 0)
-
-        def end():
-            if (x := out(run.feed(np.zeros((0, len(channels))), True))) is not None:
-                yield x
-            if zero_phase and len(y := run.tail()):
-                yield batch(at, np.arange(1, len(y) + 1).astype(last.dtype) + last, y, [None] * len(y), 1)
-
-        last = None
-        for subject, part in _runs(batches):
-            if subject != at:
-                if run is not None:
-                    yield from end()
-                at, run, waiting = subject, _Forward(sections, zero_phase, len(channels)), []
-            x, t = _values(part, channels), np.asarray(part.column("t"))
-            gone, last = np.isnan(x), t[-1]
-            waiting.append((t, gone))
-            if (found := out(run.feed(np.where(gone, 0.0, x)))) is not None:
-                yield found
-        if run is not None:
-            yield from end()
-
-    def marked(part, y):
-        if part.column("gone__").null_count < part.num_rows:
-            flags = part.column("gone__").to_pylist()
-            for k, g in enumerate(flags):
-                if g is not None:
-                    y[k, np.unpackbits(np.frombuffer(g, dtype=np.uint8))[: len(channels)].astype(bool)] = np.nan
-        return y
-
-    def backward(batches):
-        at, state, own = None, None, iir.system(sections)
-        for subject, part in _runs(batches):
-            if subject != at:
-                at, state = subject, own.rest(len(channels))
-            x = _values(part, channels)
-            if zero_phase:
-                x, state = own.run(x, state)
-            keep = np.asarray(part.column("tail__")) == 0
-            y = marked(part, x)
-            if keep.any():
-                part, y = part.filter(pa.array(keep)), y[keep]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(_array(y[:, k]) for k in range(len(channels)))], names=names[:-2])
-
-    there = rows.mapInArrow(forward, schema)
-    back = there.sortWithinPartitions("subject_id", F.desc("t")) if zero_phase else there
-    return Panel(back.mapInArrow(backward, rows.schema), panel.channels, True)
+def _state_after(states: pa.Table, system: iir.System, length: str, offset: str, back: bool) -> np.ndarray:
+    """(blocks, order, channels): the state in which each block of one series begins, from the rows and the own state of all of them.
+
+    A block maps the state s that it begins with to A^m s + v: m are its rows, v is where it ends if it begins at rest. So states follow
+    from block to block, and only these small maps of a series come together.
+    """
+    blocks = states.num_rows
+    v = np.array(states.column(offset).to_pylist(), dtype=float).reshape(blocks, system.order, -1)
+    out, state = np.zeros_like(v), np.zeros(v.shape[1:])
+    powers: dict[int, np.ndarray] = {}
+    for k in range(blocks - 1, -1, -1) if back else range(blocks):
+        out[k] = state
+        m = states.column(length)[k].as_py()
+        if m not in powers:
+            powers[m] = np.linalg.matrix_power(system.powers[1], m)
+        state = powers[m] @ state + v[k]
+    return out
+
+
+def filtered_in_blocks(panel: Panel, sections: np.ndarray, zero_phase: bool, size: int = BLOCK_ROWS) -> Panel:
+    """A filter over series of any length, in blocks of time that run side by side, forward and backward.
+
+    Each block is run from rest to see where it ends; the states in which blocks begin follow from those ends alone; then every block runs again
+    from its own. Backward it is the same over what the forward run gives, which is computed anew where it is needed, so only states travel.
+    The first block also runs over what continues the series before it, the last one over what continues it behind. A series has as many blocks as
+    whole ones fit into it, so its last block has a whole one's rows at least. A task holds one block, and a series' maps, a state for each block.
+    """
+    channels, system = list(panel.channels), iir.system(sections)
+    pad = iir.padding(sections) if zero_phase else 0
+    size = max(size, pad + 1)
+    counts = panel.df.groupBy(F.col("subject_id").alias("s__")).agg(F.count("*").alias("n__"))
+    rows = panel.df.select("subject_id", "t", *channels).join(counts, F.col("subject_id").eqNullSafe(F.col("s__"))).drop("s__")
+    last = F.greatest(F.floor(F.col("n__") / size) - 1, F.lit(0))
+    rows = rows.withColumn("block__", F.least(F.floor((F.col("t") - 1) / size), last)).withColumn("last__", last)
+    keys = ["subject_id", "block__"]
+
+    def read(part: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, int, int]:
+        """Rows in time order, their values with 0 for missing ones, what is missing, and the rows that continue them before and behind."""
+        part = part.sort_by("t").combine_chunks()
+        x = _values(part, channels)
+        gone = np.isnan(x)
+        x = np.where(gone, 0.0, x)
+        at, n = part.column("block__")[0].as_py(), part.column("n__")[0].as_py()
+        own = min(pad, n - 1)
+        front = iir.before(x, own) if at == 0 and own else x[:0]
+        end = iir.behind(x, own) if at == part.column("last__")[0].as_py() and own else x[:0]
+        return part, np.concatenate([front, x, end]), gone, len(front), len(end)
+
+    def states(key, names, columns) -> pa.Table:
+        return pa.table({"subject_id": pa.array([key[0].as_py()], pa.int64()), "block__": pa.array([key[1].as_py()], pa.int64()), **{n: pa.array([c]) for n, c in zip(names, columns)}})
+
+    def ends(key, part):
+        _, x, _, _, _ = read(part)
+        return states(key, ("m", "v"), (len(x), system.run(x, system.rest(x.shape[1]))[1].ravel().tolist()))
+
+    def begins(back: bool):
+        def run(key, found):
+            found = found.sort_by("block__").combine_chunks()
+            own = _state_after(found, system, "m", "v", back)
+            kept = found.column("start") if back else None
+            named = {"start": kept, "back": pa.array([x.ravel().tolist() for x in own])} if back else {"start": pa.array([x.ravel().tolist() for x in own])}
+            return pa.table({"subject_id": found.column("subject_id"), "block__": found.column("block__"), **named})
+
+        return run
+
+    def forward(part: pa.Table, state: pa.Table):
+        part, x, gone, front, end = read(part)
+        y, _ = system.run(x, np.array(state.column("start")[0].as_py()).reshape(system.order, -1))
+        return part, y[front:], gone, end
+
+    def ends_back(key, part, state):
+        _, y, _, _ = forward(part, state)
+        return states(key, ("m", "v", "start"), (len(y), system.run(y[::-1], system.rest(y.shape[1]))[1].ravel().tolist(), state.column("start")[0].as_py()))
+
+    def finish(key, part, state):
+        part, y, gone, end = forward(part, state)
+        if zero_phase:
+            y = system.run(y[::-1], np.array(state.column("back")[0].as_py()).reshape(system.order, -1))[0][::-1]
+        y = np.where(gone, np.nan, y[: len(gone)])
+        return pa.table({"subject_id": part.column("subject_id"), "t": part.column("t"), **{c: _array(y[:, k]) for k, c in enumerate(channels)}})
+
+    own = "subject_id long, block__ long"
+    given = rows.groupBy(*keys).applyInArrow(ends, f"{own}, m long, v array<double>").groupBy("subject_id").applyInArrow(begins(False), f"{own}, start array<double>")
+    if zero_phase:
+        given = rows.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(ends_back, f"{own}, m long, v array<double>, start array<double>")
+        given = given.groupBy("subject_id").applyInArrow(begins(True), f"{own}, start array<double>, back array<double>")
+    kinds = dict(panel.df.dtypes)
+    schema = f"subject_id {kinds['subject_id']}, t {kinds['t']}, " + ", ".join(f"{c} double" for c in channels)
+    return Panel(rows.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(finish, schema), panel.channels)
 
 
 def filtered(panel: Panel, sections: np.ndarray, zero_phase: bool) -> Panel:
     """A rational filter over each subject's whole series in time order."""
     if longest(panel) > WHOLE:
-        return filtered_by_batches(panel, sections, zero_phase)
+        return filtered_in_blocks(panel, sections, zero_phase)
     run = iir.filtfilt if zero_phase else iir.sosfilt
     return in_one_pass(panel, [lambda t, x, first: run(sections, x)])

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmix.operators.blocks import over_neighbours
 from strandmix.sources.panel import Panel
 
 #: Channels up to which sums of products are single aggregates; more are summed as matrices of a partition.
@@ -116,7 +117,7 @@ def collectable(width: int, limit: int = DRIVER_BYTES) -> int:
 
 
 def collect(panel: Panel, limit: int = DRIVER_BYTES) -> Stats:
-    """The statistics on the driver, by subject. ValueError beyond ``limit`` bytes: larger panels are fitted by ``mixture.fit_distributed``.
+    """The statistics on the driver, by subject. ValueError beyond ``limit`` bytes: larger panels stay on the cluster, in ``fits.statistics``.
 
     Two passes: the panel's means as centre, then the sums about them.
     """
@@ -126,7 +127,7 @@ def collect(panel: Panel, limit: int = DRIVER_BYTES) -> Stats:
     table = moments(panel, centre.tolist())
     rows = table.limit(max_subjects + 1).collect()
     if len(rows) > max_subjects:
-        raise ValueError(f"more than {max_subjects} subjects of {len(panel.channels)} channels: fit them with mixture.fit_distributed")
+        raise ValueError(f"more than {max_subjects} subjects of {len(panel.channels)} channels: use operators.fits, where they stay on the cluster")
     rows.sort(key=lambda r: r[0])
     m = len(panel.channels)
     s = np.array([r[2] for r in rows], dtype=float).reshape(-1, m)
@@ -177,8 +178,8 @@ def mean_variance_features(panel: Panel) -> DataFrame:
 
 def second_differences(panel: Panel) -> DataFrame:
     """The panel with each channel replaced by its second difference in time; the first two rows of a subject are null."""
-    w = panel.by_time()
-    return panel.df.select("subject_id", "t", *((F.col(c) - 2 * F.lag(c, 1).over(w) + F.lag(c, 2).over(w)).alias(c) for c in panel.channels))
+    second = lambda w: [(F.col(c) - 2 * F.lag(c, 1).over(w) + F.lag(c, 2).over(w)).alias(c) for c in panel.channels]
+    return over_neighbours(panel, 2, 0, second)
 
 
 def smoothness(panel: Panel) -> DataFrame:

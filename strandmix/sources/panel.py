@@ -52,6 +52,32 @@ def bind(df: DataFrame, subject: str, order: list[str], channels: dict[str, Colu
     return Panel(keyed.select("subject_id", t, *picked), tuple(channels), True)
 
 
+#: Buckets of time that ``bind_spread`` cuts all rows into.
+BUCKETS = 256
+
+
+def bind_spread(df: DataFrame, subject: str, order: list[str], channels: dict[str, Column | str], buckets: int = BUCKETS) -> Panel:
+    """``bind`` for panels in which one subject may have a large share of all rows: no window and no task has a subject's rows together.
+
+    Rows fall into buckets by quantiles of the first column of ``order``, a number or a time that is never null. Rows are numbered within subject
+    and bucket, after the number of the subject's rows in the buckets before. Rows that are equal in that column stay in one bucket.
+    """
+    first = F.col(order[0])
+    kind = dict(df.dtypes)[order[0]]
+    number = first.cast("timestamp").cast("double") if kind.startswith("timestamp") or kind == "date" else first.cast("double")
+    edges = df.agg(F.percentile_approx(number, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("q")).first()["q"] or []
+    edges = sorted(set(edges))
+    place = F.size(F.filter(F.lit(edges), lambda x: x < number)) if edges else F.lit(0)
+    picked = [as_number(F.col(x) if isinstance(x, str) else x).alias(name) for name, x in channels.items()]
+    keyed = df.withColumn("subject_id", F.col(subject).cast("long")).withColumn("bucket__", place)
+    counts = keyed.groupBy("subject_id", "bucket__").agg(F.count("*").alias("n__"))
+    earlier = F.coalesce(F.sum("n__").over(W.partitionBy("subject_id").orderBy("bucket__").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("subject_id").alias("s__"), F.col("bucket__").alias("o__"), earlier.alias("before__"))
+    within = F.row_number().over(W.partitionBy("subject_id", "bucket__").orderBy(*order))
+    numbered = keyed.withColumn("at__", within).join(offsets, F.col("subject_id").eqNullSafe(F.col("s__")) & (F.col("bucket__") == F.col("o__")))
+    return Panel(numbered.select("subject_id", (F.col("before__") + F.col("at__")).cast("int").alias("t"), *picked), tuple(channels))
+
+
 def bind_unordered(df: DataFrame, subject: str, channels: dict[str, Column | str]) -> Panel:
     """A panel for operators that don't look at time: without ``t``, and without the sort that it costs."""
     picked = [as_number(F.col(x) if isinstance(x, str) else x).alias(name) for name, x in channels.items()]

@@ -1,9 +1,12 @@
+from datetime import datetime
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandmix.functions import checks, iir
 from strandmix.operators import preprocess as P
-from strandmix.sources.panel import Panel, bind, check_panel
+from strandmix.sources.panel import Panel, bind, bind_spread, check_panel
 
 
 def panel(spark, series: dict) -> Panel:
@@ -200,23 +203,80 @@ def test_one_pass_like_one_step_after_another(spark, monkeypatch, name):
         assert np.allclose(whole[k], parts[k], atol=1e-9, equal_nan=True), (k, whole[k][:5], parts[k][:5])
 
 
-@pytest.mark.parametrize("zero_phase", [True, False])
-def test_filters_by_batches_like_whole_series(spark, monkeypatch, zero_phase):
+@pytest.mark.parametrize("zero_phase,size", [(True, 1), (True, 40), (True, 10_000), (False, 7), (False, 100)])
+def test_filters_in_blocks_like_whole_series(spark, zero_phase, size):
     from strandmix.operators import series as R
 
     given = uneven(3)
-    p = panel(spark, given)
-    sections = iir.design("butterworth", 4, "band", (20, 450), 1000)
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    for sections in (iir.design("butterworth", 4, "band", (20, 450), 1000), P.notch_sections(1000)[:4]):
+        got = back(R.filtered_in_blocks(panel(spark, given), sections, zero_phase, size))
+        for k, x in given.items():
+            want = (iir.filtfilt if zero_phase else iir.sosfilt)(sections, x)
+            assert got[k].shape == want.shape and np.allclose(got[k], want, atol=1e-9, equal_nan=True), k
+
+
+def test_long_series_go_by_blocks(spark, monkeypatch):
+    from strandmix.operators import series as R
+
+    p, sections = panel(spark, uneven(2)), P.lowpass_sections(1000)
+    want = back(R.filtered(p, sections, True))
+    monkeypatch.setattr(R, "WHOLE", 0)
+    got = back(R.filtered(p, sections, True))
+    assert all(np.allclose(got[k], want[k], atol=1e-9, equal_nan=True) for k in want)
+
+
+def rows_by_task(df):
+    return sorted(df.withColumn("task", F.spark_partition_id()).toPandas()["task"].value_counts())  # whole rows, so that nothing is pruned
+
+
+def test_one_hot_subject_is_on_all_tasks(spark):
+    """A subject with all rows: numbered, filtered and smoothed with no task that has twice the usual rows."""
+    from strandmix.operators import blocks
+    from strandmix.operators import series as R
+
+    n = 24_000
+    raw = spark.range(n, numPartitions=4).select((F.col("id") % 1 + 7).alias("s"), F.col("id").alias("k"), F.sin(F.col("id") / 9).alias("v"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # tasks are counted as planned
     try:
-        monkeypatch.setattr(R, "WHOLE", 0)
-        got = back(R.filtered(p, sections, zero_phase))
+        p = bind_spread(raw, "s", ["k"], {"x": "v"}, 64)
+        numbered = rows_by_task(p.df)
+        smooth = blocks.over_neighbours(p, 5, 5, lambda w: [F.avg("x").over(w.rowsBetween(-5, 5)).alias("x")], size=200)
+        filtered = R.filtered_in_blocks(p, P.lowpass_sections(1000), True, 200).df
+        for found in (numbered, rows_by_task(smooth), rows_by_task(filtered)):
+            assert sum(found) == n and len(found) == 4 and found[-1] < 2 * np.median(found), found
+        x = np.sin(np.arange(n) / 9)
+        got = np.array([r.x for r in filtered.orderBy("t").collect()])
+        assert np.allclose(got, iir.filtfilt(P.lowpass_sections(1000), x[:, None])[:, 0], atol=1e-9)
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    for k, x in given.items():
-        want = (iir.filtfilt if zero_phase else iir.sosfilt)(sections, x)
-        assert got[k].shape == want.shape and np.allclose(got[k], want, atol=1e-9, equal_nan=True), k
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_windows_with_halos_like_windows_of_whole_series(spark, size):
+    from pyspark.sql import Window as W
+
+    from strandmix.operators import blocks
+
+    p = panel(spark, uneven(2))
+    whole = W.partitionBy("subject_id").orderBy("t")
+    for behind, ahead in ((3, 3), (2, 0), (0, 4), (0, 0), (50, 1)):
+        columns = lambda w, a=behind, b=ahead: [F.sum(c).over(w.rowsBetween(-a, b)).alias(c) for c in p.channels] + [F.count(p.channels[0]).over(w.rowsBetween(-a, b)).alias("n")]
+        got = blocks.over_neighbours(p, behind, ahead, columns, size)
+        want = p.df.select("subject_id", "t", *columns(whole))
+        key = lambda df: sorted((r.subject_id, r.t, r.n, *(None if v is None else round(v, 9) + 0.0 for v in r[2:-1])) for r in df.collect())
+        assert key(got) == key(want)
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 300])
+def test_spread_row_numbers_like_those_of_a_window(spark, buckets):
+    rows = [(k % 4 if k % 11 else None, datetime(2024, 1, 1 + (k * 7) % 20, k % 24), k, float(k)) for k in range(500)] + [(1, datetime(2024, 1, 5), 900 + k, 1.0) for k in range(60)]
+    df = spark.createDataFrame(rows, "s long, ts timestamp, e long, v double").repartition(3)
+    key = lambda p: sorted((r.subject_id or -1, r.t, r.x) for r in p.df.collect())
+    assert key(bind_spread(df, "s", ["ts", "e"], {"x": "v"}, buckets)) == key(bind(df, "s", ["ts", "e"], {"x": "v"}))
+    assert bind_spread(df.limit(0), "s", ["ts", "e"], {"x": "v"}).df.count() == 0
 
 
 def test_series_without_a_subject_or_rows(spark):
@@ -225,11 +285,11 @@ def test_series_without_a_subject_or_rows(spark):
     rows = [(None, 1, 1.0), (None, 2, None), (3, 1, 2.0)]
     p = Panel(spark.createDataFrame(rows, "subject_id long, t int, x double"), ("x",))
     sections = iir.design("butterworth", 2, "low", (50,), 1000)
-    for got in (R.filtered(p, sections, True), R.filtered_by_batches(p, sections, True)):
+    for got in (R.filtered(p, sections, True), R.filtered_in_blocks(p, sections, True)):
         assert sorted((r.subject_id or 0, r.t, r.x is None) for r in got.df.collect()) == [(0, 1, False), (0, 2, True), (3, 1, False)]
         assert got.df.schema == p.df.schema
     none = p.with_df(p.df.limit(0))
-    assert R.filtered(none, sections, True).df.count() == R.filtered_by_batches(none, sections, True).df.count() == 0
+    assert R.filtered(none, sections, True).df.count() == R.filtered_in_blocks(none, sections, True).df.count() == 0
 
 
 def test_a_pipeline_shuffles_a_bound_panel_once(spark):
