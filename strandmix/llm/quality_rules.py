@@ -1,20 +1,39 @@
 """Quality rules in SQL expressions: rules on a document by itself, and the frequency of its lines across documents of a host.
 
-Lines are normalised and hashed; distinct documents are counted per host and line; lines in more than a share of the host's documents
-are removed, and documents that keep too little are rejected. Documents of one host with equal texts are one document: else a group of
-copies would make its own lines frequent, and all of them would go before one can be kept.
+Lines are normalised and hashed; distinct documents are counted per host and line; lines above a limit are removed, and documents that
+keep too little are rejected. What counts are groups of near copies: else a group would make its own lines frequent, and all of it would go
+before one can be kept. Equal texts of a host are one document to begin with. Of documents with a line that is frequent by that count, the
+least of each of four hashes over their 5-word windows is taken; near copies mostly agree in it. A line's groups are its distinct
+values of a hash, by the hash that has fewest, so copies that lost one of the four to a change still are one group by another.
+
+The limit is a share of the host's documents or an absolute number, whichever is lower: so neither do three documents of a small host nor
+a thousand among millions escape, and the rule means the same at any size.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmix.llm import sized
 from strandmix.llm.sized import counted, sized_join
 
-#: Documents of a host that may share a line: so many in any case, and so many percent of the host's. Percent of words that must stay.
-MAX_DOCUMENTS, MAX_PERCENT, MIN_PERCENT = 2, 2, 50
+#: Groups of documents of a host that may share a line: so many in any case, and beyond that so many percent of the host's documents, but no
+#: more than MOST. Percent of words that must stay.
+MAX_DOCUMENTS, MAX_PERCENT, MOST, MIN_PERCENT = 2, 2, 500, 50
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Groups that may share a line: so many in any case, and beyond that so many percent of the host's documents, but no more than ``most``."""
+
+    documents: int = MAX_DOCUMENTS
+    percent: int = MAX_PERCENT
+    most: int = MOST
+
+
 #: What stands for a document itself among its lines.
 WHOLE = 0
 
@@ -70,16 +89,49 @@ def text_key(text_col: str) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
-def frequent_lines(lines: DataFrame, max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT) -> DataFrame:
-    """(host, line) with more than ``max_documents`` distinct documents and more than ``max_percent`` percent of the host's.
+def _above(count: Column, documents: Column, limits: Limits) -> Column:
+    return (count > limits.documents) & ((100 * count > limits.percent * documents) | (count > limits.most))
+
+
+def frequent_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(host, line, documents) with more distinct documents than the limits let pass; ``documents`` are the host's.
 
     ``lines`` has (host, line, key), and a row with line WHOLE for each document. Counts combine before they are shuffled, and a host's
     documents are counted like one more line, so no host is gathered.
     """
     counts = lines.select("host", "line", "key").distinct().groupBy("host", "line").count()
-    several, _ = counted(counts.where(F.col("count") > max_documents))
+    several, _ = counted(counts.where(F.col("count") > limits.documents))
     hosts = several.where(F.col("line") == WHOLE).select("host", F.col("count").alias("documents"))
-    return sized_join(several.where(F.col("line") != WHOLE), hosts, "host", "inner", hosts.count()).where(100 * F.col("count") > max_percent * F.col("documents")).select("host", "line")
+    joined = sized_join(several.where(F.col("line") != WHOLE), hosts, "host", "inner", hosts.count())
+    return joined.where(_above(F.col("count"), F.col("documents"), limits)).select("host", "line", "documents")
+
+
+#: SQL: the least of four hashes over the 5-word windows of a text, or over all of a shorter one: the same 128 bits from four places on.
+_LEAST = let(
+    _WORDS,
+    "w",
+    let(
+        "if(size(w) < 5, array(md5(array_join(w, ' '))), transform(sequence(0, size(w) - 5), i -> md5(concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))))",
+        "g",
+        "transform(array(0, 8, 16, 24), k -> array_min(transform(g, x -> concat(substring(x, k + 1), substring(x, 1, k)))))",
+    ),
+)
+
+
+def _by_groups(found: DataFrame, docs: DataFrame, rows: int, text_col: str, host_col: str, limits: Limits) -> DataFrame:
+    """(host, line): the lines found whose groups of near copies are more than the limits let pass. Only documents that have such a line are looked at."""
+    own = _kept(docs, text_col, host_col)
+    if rows <= sized.SMALL:
+        by_host = found.groupBy("host").agg(F.collect_set("line").alias("lines"))
+        mine = let(_NORM, "m", "array_intersect(lines, transform(m, x -> if(xxhash64(x) = 0, 1L, xxhash64(x))))")
+        having = own.join(F.broadcast(by_host), "host").withColumn("mine", F.expr(mine)).where("size(mine) > 0").select("host", "text", F.explode("mine").alias("line"))
+    else:
+        hit = lines_of(docs, text_col, host_col).join(found.select("host", "line").hint("merge"), ["host", "line"]).select("host", "key", "line").distinct()
+        having = own.join(hit.hint("merge"), ["host", "key"]).select("host", "text", "line")
+    least = having.select("host", "line", F.expr(_LEAST).alias("least"))
+    groups = least.groupBy("host", "line").agg(*(F.count_distinct(F.col("least")[k]).alias(f"g{k}") for k in range(4)))
+    fewest = groups.select("host", "line", F.least("g0", "g1", "g2", "g3").alias("groups"))
+    return sized_join(found, fewest, ["host", "line"], "inner", rows).where(_above(F.col("groups"), F.col("documents"), limits)).select("host", "line")
 
 
 def _kept(docs: DataFrame, text_col: str, host_col: str, *more) -> DataFrame:
@@ -117,13 +169,14 @@ _HITS = let(
 )
 
 
-def _marked(table: DataFrame, docs: DataFrame, text_col: str, host_col: str, max_documents: int, max_percent: int) -> DataFrame:
+def _marked(table: DataFrame, docs: DataFrame, text_col: str, host_col: str, limits: Limits) -> DataFrame:
     """``table``, which has host, key and text, with (removed, places): words in frequent lines and where these stand; null without any.
 
     Frequent lines are few and are broadcast by host; documents then find theirs in place and aren't shuffled. Were they more than may
     be broadcast, lines would be joined, and what they find would be joined to documents by host and key.
     """
-    frequent, n = counted(frequent_lines(documents_of_lines(docs, text_col, host_col), max_documents, max_percent))
+    found, n = counted(frequent_lines(documents_of_lines(docs, text_col, host_col), limits))
+    frequent, n = counted(_by_groups(found, docs, n, text_col, host_col, limits))
     if n <= sized.SMALL:
         by_host = frequent.groupBy("host").agg(F.collect_list("line").alias("lines"))
         marked = table.join(F.broadcast(by_host), "host", "left").withColumn("hits", F.expr(f"if(lines IS NULL, NULL, {_HITS})")).withColumn("hits", F.expr("if(size(hits) > 0, hits, NULL)"))
@@ -133,7 +186,7 @@ def _marked(table: DataFrame, docs: DataFrame, text_col: str, host_col: str, max
     return table.join(found.hint("merge"), ["host", "key"], "left")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT, min_percent: int = MIN_PERCENT) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT, most: int = MOST, min_percent: int = MIN_PERCENT) -> DataFrame:
     """One row per input row: the rules' figures, base_failed, removed_words, kept.
 
     ``kept`` is false where base_failed, or where less than ``min_percent`` percent of the words stay when frequent lines go. Null texts have no
@@ -141,33 +194,33 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     # Rows travel under names of their own until the end, so that the id's name can't clash.
     own = _kept(docs.withColumn("rule_id", F.col(id_col).cast("long")), text_col, host_col, "rule_id")
-    joined = base_columns(_marked(own, docs, text_col, host_col, max_documents, max_percent)).select(F.col("rule_id").alias(id_col), "rule_stats.*", F.coalesce("removed", F.lit(0)).cast("long").alias("removed_words"))
+    joined = base_columns(_marked(own, docs, text_col, host_col, Limits(max_documents, max_percent, most))).select(F.col("rule_id").alias(id_col), "rule_stats.*", F.coalesce("removed", F.lit(0)).cast("long").alias("removed_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     kept = ~failed & (100 * (F.col("n_words") - F.col("removed_words")) >= min_percent * F.col("n_words"))
     return joined.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "removed_words")
 
 
-def _good(docs: DataFrame, text_col: str, host_col: str, max_documents: int, max_percent: int, min_percent: int) -> DataFrame:
+def _good(docs: DataFrame, text_col: str, host_col: str, limits: Limits, min_percent: int) -> DataFrame:
     """(row, places): the rows that ``judge`` keeps, and the sorted places of their frequent lines, null where there are none."""
     # Rows travel as one column, so that their names can't clash with the figures.
     whole = _kept(docs, text_col, host_col, F.struct("*").alias("row"))
     good = base_columns(whole).where(~base_failed(F.col("rule_stats")))
-    marked = _marked(good, docs, text_col, host_col, max_documents, max_percent)
+    marked = _marked(good, docs, text_col, host_col, limits)
     left = 100 * (F.col("rule_stats.n_words") - F.coalesce("removed", F.lit(0))) >= min_percent * F.col("rule_stats.n_words")
     return marked.where(left).select("row", "places")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT, min_percent: int = MIN_PERCENT) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT, most: int = MOST, min_percent: int = MIN_PERCENT) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns as they are."""
-    return _good(docs, text_col, host_col, max_documents, max_percent, min_percent).select("row.*")
+    return _good(docs, text_col, host_col, Limits(max_documents, max_percent, most), min_percent).select("row.*")
 
 
-def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", chars_col: str | None = None, max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT, min_percent: int = MIN_PERCENT) -> DataFrame:
+def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", chars_col: str | None = None, max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT, most: int = MOST, min_percent: int = MIN_PERCENT) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, their texts without frequent lines; other lines stay as they are, in their order.
 
     ``chars_col``, where given and present, becomes the new length of a text that changed.
     """
-    good = _good(docs, text_col, host_col, max_documents, max_percent, min_percent)
+    good = _good(docs, text_col, host_col, Limits(max_documents, max_percent, most), min_percent)
     # What lies between two places that go stays: linear in the lines of a text.
     stays = let(
         r"split(text, '\\n')",
@@ -194,7 +247,12 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_
 m AS (SELECT doc_id, host, t, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l),
 s AS (SELECT *, len(norm) - len(replace(norm, ' ', '')) + 1 AS words FROM m WHERE norm <> ''),
 h AS (SELECT host, count(DISTINCT md5(text)) AS documents FROM d GROUP BY 1),
-f AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT t) AS n FROM s GROUP BY 1, 2) JOIN h USING (host) WHERE n > 2 AND 100 * n > 2 * documents),
+f0 AS (SELECT host, norm, documents FROM (SELECT host, norm, count(DISTINCT t) AS n FROM s GROUP BY 1, 2) JOIN h USING (host) WHERE n > 2 AND (100 * n > 2 * documents OR n > 500)),
+hit AS (SELECT DISTINCT doc_id, host, norm, documents FROM s JOIN f0 USING (host, norm)),
+a AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [md5(array_to_string(w, ' '))] ELSE list_transform(range(1, len(w) - 3), lambda i: md5(concat_ws(' ', w[i], w[i+1], w[i+2], w[i+3], w[i+4]))) END AS g FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
+o AS (SELECT doc_id, list_min(g) AS g0, list_min(list_transform(g, lambda x: x[9:] || x[:8])) AS g1, list_min(list_transform(g, lambda x: x[17:] || x[:16])) AS g2, list_min(list_transform(g, lambda x: x[25:] || x[:24])) AS g3 FROM a),
+p AS (SELECT host, norm, any_value(documents) AS documents, least(count(DISTINCT g0), count(DISTINCT g1), count(DISTINCT g2), count(DISTINCT g3)) AS n FROM hit JOIN o USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT host, norm FROM p WHERE n > 2 AND (100 * n > 2 * documents OR n > 500)),
 x AS (SELECT doc_id, sum(words) AS n FROM s JOIN f USING (host, norm) GROUP BY doc_id),
 b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
