@@ -3,7 +3,7 @@
 Lines are normalised and hashed; distinct documents are counted per host and line; lines above a limit are removed, and documents that
 keep too little are rejected. What counts are groups of near copies: else a group would make its own lines frequent, and all of it would go
 before one can be kept. Equal texts of a host are one document to begin with. Of documents with a line that is frequent by that count, the
-least of each of four hashes over their 5-word windows is taken; near copies mostly agree in it. A line's groups are its distinct
+least of each of four hashes over a quarter of their 5-word windows is taken; near copies mostly agree in it. A line's groups are its distinct
 values of a hash, by the hash that has fewest, so copies that lost one of the four to a change still are one group by another.
 
 The limit is a share of the host's documents or an absolute number, whichever is lower: so neither do three documents of a small host nor
@@ -106,14 +106,15 @@ def frequent_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return joined.where(_above(F.col("count"), F.col("documents"), limits)).select("host", "line", "documents")
 
 
-#: SQL: the least of four hashes over the 5-word windows of a text, or over all of a shorter one: the same 128 bits from four places on.
+#: SQL: the least of four hashes over 5-word windows of a text: the same 128 bits from four places on. A quarter of the windows count, told by
+#: the lengths of their first and last words; a text without such a window has the hash of all its words.
 _LEAST = let(
     _WORDS,
     "w",
     let(
-        "if(size(w) < 5, array(md5(array_join(w, ' '))), transform(sequence(0, size(w) - 5), i -> md5(concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))))",
-        "g",
-        "transform(array(0, 8, 16, 24), k -> array_min(transform(g, x -> concat(substring(x, k + 1), substring(x, 1, k)))))",
+        "if(size(w) < 5, array(), transform(filter(sequence(0, size(w) - 5), i -> (length(w[i]) + length(w[i + 4])) % 4 = 0), i -> md5(concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))))",
+        "f",
+        let("if(size(f) = 0, array(md5(array_join(w, ' '))), f)", "g", "transform(array(0, 8, 16, 24), k -> array_min(transform(g, x -> concat(substring(x, k + 1), substring(x, 1, k)))))"),
     ),
 )
 
@@ -249,7 +250,8 @@ s AS (SELECT *, len(norm) - len(replace(norm, ' ', '')) + 1 AS words FROM m WHER
 h AS (SELECT host, count(DISTINCT md5(text)) AS documents FROM d GROUP BY 1),
 f0 AS (SELECT host, norm, documents FROM (SELECT host, norm, count(DISTINCT t) AS n FROM s GROUP BY 1, 2) JOIN h USING (host) WHERE n > 2 AND (100 * n > 2 * documents OR n > 500)),
 hit AS (SELECT DISTINCT doc_id, host, norm, documents FROM s JOIN f0 USING (host, norm)),
-a AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [md5(array_to_string(w, ' '))] ELSE list_transform(range(1, len(w) - 3), lambda i: md5(concat_ws(' ', w[i], w[i+1], w[i+2], w[i+3], w[i+4]))) END AS g FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
+a0 AS (SELECT doc_id, w, list_transform(list_filter(range(1, greatest(len(w) - 3, 1)), lambda i: (len(w[i]) + len(w[i+4])) % 4 = 0), lambda i: md5(concat_ws(' ', w[i], w[i+1], w[i+2], w[i+3], w[i+4]))) AS f FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
+a AS (SELECT doc_id, CASE WHEN len(f) = 0 THEN [md5(array_to_string(w, ' '))] ELSE f END AS g FROM a0),
 o AS (SELECT doc_id, list_min(g) AS g0, list_min(list_transform(g, lambda x: x[9:] || x[:8])) AS g1, list_min(list_transform(g, lambda x: x[17:] || x[:16])) AS g2, list_min(list_transform(g, lambda x: x[25:] || x[:24])) AS g3 FROM a),
 p AS (SELECT host, norm, any_value(documents) AS documents, least(count(DISTINCT g0), count(DISTINCT g1), count(DISTINCT g2), count(DISTINCT g3)) AS n FROM hit JOIN o USING (doc_id) GROUP BY 1, 2),
 f AS (SELECT host, norm FROM p WHERE n > 2 AND (100 * n > 2 * documents OR n > 500)),

@@ -1,8 +1,11 @@
 """Quality rules, url rules, language and quality models against plain versions and held-out rows."""
 
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -462,7 +465,8 @@ def plain_frequent(docs, max_documents, max_percent, most=500):
 
     def least(text):
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
-        found = [hashlib.md5(" ".join(words[i : i + 5]).encode()).hexdigest() for i in range(max(1, len(words) - 4))]
+        windows = [words[i : i + 5] for i in range(len(words) - 4) if (len(words[i]) + len(words[i + 4])) % 4 == 0] or [words]
+        found = [hashlib.md5(" ".join(x).encode()).hexdigest() for x in windows]
         return [min(h[8 * k :] + h[: 8 * k] for h in found) for k in range(4)]
 
     texts = defaultdict(set)
@@ -524,3 +528,53 @@ def test_line_frequency_decides_on_the_tables(spark, sf):
 def test_repeated_words(spark, text, n):
     got = quality_rules.base_columns(spark.createDataFrame([(text,)], "text string")).first()
     assert got.rule_stats.n_repeat_words == n == plain_rules(text)[4]
+
+
+def test_long_words_in_blocks_like_short_ones(monkeypatch):
+    """A word of any length: the sum over all segmentations in blocks is the one in logarithms."""
+    rng = random.Random(3)
+    pieces = ["▁", "a", "b", "c", *{"".join(rng.choice("abcd") for _ in range(rng.randint(2, 9))) for _ in range(200)}]
+    vocab = langid.Vocabulary(pieces)
+    table = np.concatenate([np.random.default_rng(0).dirichlet(np.ones(vocab.size), 3).T, np.zeros((1, 3))])
+    words = ["▁" + "".join(rng.choice("abcde") for _ in range(n)) for n in (1, 5, 63, 64, 200, 517)]
+    monkeypatch.setattr(langid, "LONG", 10_000)
+    want = langid.forward(vocab, table, words)
+    for block in (3, 50, 2048):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert np.allclose([langid.forward_long(vocab, table, w) for w in words], want, rtol=1e-10)
+
+
+def test_a_run_of_letters_without_end_is_bounded_in_memory():
+    """Five million letters without a blank in a process of its own, which may grow by less than 400 MB."""
+    code = """
+import random, resource, numpy as np, public_tokenizers as P
+from strandmix.llm import langid
+vocab = langid.vocabulary(P.path("piece_bpe_32k.model"))
+table = np.concatenate([np.random.default_rng(0).dirichlet(np.ones(vocab.size), 4).T, np.zeros((1, 4))])
+text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=500_000)) * 10
+model = langid.LanguageModel(["a", "b", "c", "d"], table)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+got = model.texts(vocab, [text, "short words here"])
+print(got[0][0] in "abcd", len(model._at), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=900, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), env=os.environ)
+    right, known, grown = done.stdout.split()
+    assert right == "True" and int(known) == 3 and int(grown) < 400, done.stdout
+
+
+def test_license_time_follows_the_matches(spark):
+    """A text with twice the matches takes little more than twice the time, and its detections are twice as many."""
+    import time
+
+    from strandmix.llm import licenses
+
+    sentence = "Licensed under the Apache License, Version 2.0. Some words of its own follow here, and they name no license. "
+    seconds, found = {}, {}
+    for n in (100, 2000, 4000):
+        df = spark.createDataFrame([(1, sentence * n)], "doc_id long, text string")
+        begun = time.perf_counter()
+        row = licenses.scan(df).collect()[0]
+        seconds[n], found[n] = time.perf_counter() - begun, row.detections.count("apache-2.0:")
+        assert row.labels == "apache-2.0"
+    assert found[4000] == 2 * found[2000] and found[2000] == 20 * found[100] and found[100] >= 100
+    assert seconds[4000] < 2.5 * seconds[2000] + 1, seconds
