@@ -7,20 +7,23 @@ algorithm. Piece probabilities are learned by expectation maximisation; a text's
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmix.llm.batches import map_text
+from strandmix.llm.batches import bounded, chunks, map_text
 from strandmix.llm.sampling import crc_mod, hashed_share
 
 #: Labelled documents of each language that a fit takes; words that a worker remembers; rounds of the fit.
 PER_LANGUAGE, CACHE, ROUNDS = 600, 500_000, 2
-#: Words longer than this are summed in logarithms.
-LINEAR = 24
+#: Words longer than this are summed in logarithms; those longer than LONG in blocks of so many characters, are not remembered and don't teach.
+LINEAR, LONG, BLOCK = 24, 64, 2048
 #: Probability of a character that is no piece, and the weight that each piece starts with.
 UNKNOWN, PRIOR = 1e-7, 0.02
 
@@ -128,10 +131,46 @@ def _in_scale(spans, table, linear: bool) -> list[np.ndarray]:
         return [np.log(x) for x in p]
 
 
+def forward_long(vocab: Vocabulary, table: np.ndarray, word: str) -> np.ndarray:
+    """The same sum for one word of any length: only the last ``longest`` beginnings are kept, as numbers that are scaled every few characters.
+
+    Memory is that of a block's spans, whatever the word's length, besides the word itself.
+    """
+    longest, languages, n = vocab.longest, table.shape[1], len(word)
+    alpha = np.zeros((longest + BLOCK, languages))
+    alpha[longest - 1] = 1.0
+    scale = np.zeros(languages)
+    for a in range(0, n, BLOCK):
+        m, first = min(BLOCK, n - a), max(0, a - longest + 1)
+        spans = vocab.spans([word[first : a + m]])
+        # weights[i, k]: of the piece that ends behind character a + i and has longest - k characters.
+        weights = np.zeros((m, longest, languages))
+        for s, at in enumerate(spans, 1):
+            p = table[at[0]]
+            if s == 1:
+                p = np.maximum(p, UNKNOWN)
+            ends = first + np.arange(len(p)) + s - 1 - a
+            inside = ends >= 0
+            weights[ends[inside], longest - s] = p[inside]
+        for i in range(m):
+            np.einsum("kl,kl->l", alpha[i : i + longest], weights[i], out=alpha[i + longest])
+            if i % 8 == 7 or i == m - 1:
+                top = alpha[i + longest].copy()
+                alpha[i + 1 : i + longest + 1] /= top
+                scale += np.log(top)
+        alpha[:longest] = alpha[m : m + longest].copy()
+    return scale + np.log(alpha[longest - 1])
+
+
 def forward(vocab: Vocabulary, table: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word in each language, all segmentations summed. Words have one character at least."""
     out = np.zeros((len(words), table.shape[1]))
-    for n, members in _by_length(words):
+    for k, word in enumerate(words):
+        if len(word) > LONG:
+            out[k] = forward_long(vocab, table, word)
+    short = [k for k, word in enumerate(words) if len(word) <= LONG]
+    for n, members in _by_length([words[k] for k in short]):
+        members = [short[k] for k in members]
         linear = n <= LINEAR
         spans = vocab.spans([words[k] for k in members])
         last = _alphas(_in_scale(spans, table, linear), _steps(spans, vocab.size), linear)[n]
@@ -181,7 +220,7 @@ class LanguageModel:
         with_letters = [bool(x and self.languages and _LETTER.search(x)) for x in texts]
         split = [x.lower().split() if ok else [] for x, ok in zip(texts, with_letters)]
         at = self._at
-        new = list(dict.fromkeys(w for words in split for w in words if w not in at))
+        new = list(dict.fromkeys(w for words in split for w in words if len(w) < LONG and w not in at))
         if new:
             rows = forward(vocab, self.table, ["▁" + w for w in new])
             at.update(zip(new, range(len(self._known), len(self._known) + len(new))))
@@ -192,7 +231,11 @@ class LanguageModel:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            total = self._known[np.fromiter(map(at.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+            known = [w for w in words if len(w) < LONG]
+            total = self._known[np.fromiter(map(at.__getitem__, known), dtype=np.int64, count=len(known))].sum(axis=0)
+            for word in words if len(known) < len(words) else ():
+                if len(word) >= LONG:
+                    total = total + forward_long(vocab, self.table, "▁" + word)
             best = int(np.argmax(total))
             names.append(self.languages[best])
             scores.append(float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum()))
@@ -209,17 +252,23 @@ def learn(vocab: Vocabulary, languages: list[str], words: list[str], counts: np.
     return LanguageModel(languages, table)
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in chunks(batches):
+        uses = Counter((w, lang) for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for w in text.lower().split() if len(w) < LONG)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in uses], pa.string()), pa.array([x for _, x in uses], pa.string()), pa.array(list(uses.values()), pa.int64())], names=["word", "lang", "n"])
+
+
 def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learn from about ``per_language`` documents of each language, chosen by a hash among those with crc32(id) mod 4 other than 2.
 
-    Only the sample's word counts come to the driver, a few tens of MB at most. Null texts, languages and ids teach nothing. Languages
-    are classes: their number is that of the labels, which is taken to be small.
+    Only the sample's word counts come to the driver, a few tens of MB at most; words of LONG characters or more, which are runs without
+    blanks rather than words, stay away. Words are split and lower-cased as prediction does. Null texts, languages and ids teach
+    nothing. Languages are classes: their number is that of the labels, which is taken to be small.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     kept = kept.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("id", 4) != 2))
     chosen, counts = hashed_share(kept, "id", "lang", per_language)
-    words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word != ''")
-    got = words.groupBy("word", "lang").count().collect()
+    got = bounded(chosen.select("lang", "text")).mapInArrow(_word_counts, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n")).collect()
     languages = sorted(counts)
     where = {x: k for k, x in enumerate(languages)}
     every = sorted({r[0] for r in got})
