@@ -35,35 +35,49 @@ def _places(phrase: str) -> str:
     return let(f"split(t, {_phrase(phrase)})", "p", f"struct(CAST(size(p) - 1 AS LONG) AS n, CAST(regexp_count(p[0], {_WORD}) AS LONG) AS before, CAST(regexp_count(element_at(p, -1), {_WORD}) AS LONG) AS behind)")
 
 
+_ONE = "struct<start: int, less: int, priority: int, label: string, weight: double, end: int>"
+_FOUND = f"array<{_ONE}>"
+#: Elements of a list that are copied when one is added.
+_CHUNK = 256
+#: SQL: an empty list that grows by chunks, as an array would be copied as a whole with each element.
+_EMPTY = f"CAST(array() AS {_FOUND}) AS now, CAST(array() AS array<{_FOUND}>) AS full"
+
+
+def _with(state: str, x: str) -> str:
+    """SQL: the fields of a growing list of a state with one more element."""
+    return f"if(size({state}.now) < {_CHUNK}, array_append({state}.now, {x}), array({x})) AS now, if(size({state}.now) < {_CHUNK}, {state}.full, array_append({state}.full, {state}.now)) AS full"
+
+
+def _same(state: str) -> str:
+    return f"{state}.now AS now, {state}.full AS full"
+
+
+def _all(state: str) -> str:
+    """SQL: a growing list as an array."""
+    return f"flatten(array_append({state}.full, {state}.now))"
+
+
 def _detections(rules: str) -> str:
     """SQL: (start, end, priority, label, weight) of every match of a rule whose keyword occurs, by start, longest first, strongest first."""
+    start = "a.at + length(p[a.i])"
+    match = f"struct({start} AS start, -length(x) AS less, r.priority AS priority, r.label AS label, r.weight AS weight, {start} + length(x) AS end)"
     each = let(
         "regexp_extract_all(t, r.pattern, 0)",
         "m",
-        let(
-            "split(t, r.pattern)",
-            "p",
-            "aggregate(m, struct(CAST(array() AS array<struct<start: int, less: int, priority: int, label: string, weight: double, end: int>>) AS found, 0 AS at, 0 AS i), "
-            "(a, x) -> struct(array_append(a.found, struct(a.at + length(p[a.i]) AS start, -length(x) AS less, r.priority AS priority, r.label AS label, r.weight AS weight, a.at + length(p[a.i]) + length(x) AS end)) AS found, "
-            "a.at + length(p[a.i]) + length(x) AS at, a.i + 1 AS i), a -> a.found)",
-        ),
+        let("split(t, r.pattern)", "p", f"aggregate(m, struct({_EMPTY}, 0 AS at, 0 AS i), (a, x) -> struct({_with('a', match)}, {start} + length(x) AS at, a.i + 1 AS i), a -> {_all('a')})"),
     )
     return f"array_sort(flatten(transform({let('lower(t)', 'lo', f'filter({rules}, r -> contains(lo, r.keyword))')}, r -> {each})))"
 
 
-_FOUND = "array<struct<start: int, less: int, priority: int, label: string, weight: double, end: int>>"
 #: SQL: of sorted detections ``d``, those that end behind all before them, so that none lies inside another.
-_OUTER = (
-    f"aggregate(d, struct(CAST(array() AS {_FOUND}) AS kept, -1 AS end), "
-    "(a, x) -> if(x.end <= a.end, a, struct(array_append(a.kept, x) AS kept, x.end AS end)), a -> a.kept)"
-)
+_OUTER = f"aggregate(d, struct({_EMPTY}, -1 AS end), (a, x) -> if(x.end <= a.end, a, struct({_with('a', 'x')}, x.end AS end)), a -> {_all('a')})"
 #: SQL: of those, ``o``, from the left: each against the survivor before it; where they overlap the stronger one survives.
 _KEPT = let(
-    f"aggregate(o, struct(CAST(array() AS {_FOUND}) AS kept, CAST(NULL AS struct<start: int, less: int, priority: int, label: string, weight: double, end: int>) AS last), "
-    "(a, x) -> CASE WHEN a.last IS NULL THEN struct(a.kept AS kept, x AS last) WHEN x.start >= a.last.end THEN struct(array_append(a.kept, a.last) AS kept, x AS last) "
-    "WHEN x.priority < a.last.priority THEN struct(a.kept AS kept, x AS last) ELSE a END)",
+    f"aggregate(o, struct({_EMPTY}, CAST(NULL AS {_ONE}) AS last), "
+    f"(a, x) -> CASE WHEN a.last IS NULL THEN struct({_same('a')}, x AS last) WHEN x.start >= a.last.end THEN struct({_with('a', 'a.last')}, x AS last) "
+    f"WHEN x.priority < a.last.priority THEN struct({_same('a')}, x AS last) ELSE a END)",
     "s",
-    "if(s.last IS NULL, s.kept, array_append(s.kept, s.last))",
+    f"if(s.last IS NULL, {_all('s')}, array_append({_all('s')}, s.last))",
 )
 _SURVIVORS = let(_OUTER, "o", _KEPT)
 
