@@ -188,17 +188,55 @@ def correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(size > 0, za.T @ zb / np.where(size > 0, size, 1), 0.0)
 
 
-def kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 100, seed: int = 0) -> np.ndarray:
-    """Labels 0..k-1 of the best of several runs of Lloyd's algorithm from distinct rows."""
-    rng, best, labels = np.random.default_rng(seed), np.inf, np.zeros(len(x), dtype=int)
+def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(N, K) squared distances, a centre at a time."""
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+
+
+def exchange(x: np.ndarray, labels: np.ndarray, centres: np.ndarray, passes: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and centres after moving single points wherever that lowers the sum of squares, until no move does.
+
+    Leaving a cluster of n points lowers its sum by d n / (n - 1), joining one of n raises it by d n / (n + 1), so a point may move although its own
+    centre is the nearest. Points of a cluster that hasn't changed since the last pass are compared with clusters that have.
+    """
+    labels, centres, k = labels.copy(), centres.astype(float).copy(), len(centres)
+    sizes = np.bincount(labels, minlength=k).astype(float)
+    live = np.ones(k, dtype=bool)
+    for _ in range(passes):
+        changed = np.zeros(k, dtype=bool)
+        for i, v in enumerate(x):
+            own = labels[i]
+            if sizes[own] < 2:
+                continue
+            others = np.flatnonzero((live | changed) if not (live[own] or changed[own]) else np.ones(k, dtype=bool))
+            others = others[others != own]
+            if not len(others):
+                continue
+            d = ((centres[others] - v) ** 2).sum(axis=1) * sizes[others] / (sizes[others] + 1)
+            best = int(d.argmin())
+            leaves = ((centres[own] - v) ** 2).sum() * sizes[own] / (sizes[own] - 1)
+            if d[best] < leaves * (1 - 1e-12) - 1e-15:
+                to = int(others[best])
+                centres[own] -= (v - centres[own]) / (sizes[own] - 1)
+                centres[to] += (v - centres[to]) / (sizes[to] + 1)
+                sizes[own], sizes[to], labels[i] = sizes[own] - 1, sizes[to] + 1, to
+                changed[own] = changed[to] = True
+        live = changed
+        if not changed.any():
+            break
+    return labels, centres
+
+
+def kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 100, seed: int = 0, exchanges: bool = True) -> np.ndarray:
+    """Labels 0..k-1 of the best of several runs from distinct rows over all points, and (with ``exchanges``) what moves of single points make of it."""
+    rng, best, labels, found = np.random.default_rng(seed), np.inf, np.zeros(len(x), dtype=int), None
     distinct = np.unique(x, axis=0)
     k = min(k, len(distinct))
     for _ in range(starts):
         centres = distinct[rng.choice(len(distinct), k, replace=False)]
         own = None
         for _ in range(rounds):
-            d = ((x[:, None] - centres) ** 2).sum(axis=2)
-            new = d.argmin(axis=1)
+            new = _apart(x, centres).argmin(axis=1)
             if own is not None and (new == own).all():
                 break
             own = new
@@ -207,5 +245,5 @@ def kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 100, seed: int
                     centres[j] = x[own == j].mean(axis=0)
         total = float(((x - centres[own]) ** 2).sum())
         if total < best - 1e-12:
-            best, labels = total, own
-    return labels
+            best, labels, found = total, own, centres
+    return exchange(x, labels, found)[0] if exchanges and found is not None else labels

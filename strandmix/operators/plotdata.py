@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmix.functions import linalg as L
+from strandmix.operators.kendall import kendall
 from strandmix.sources.panel import Panel
 
 
@@ -53,10 +54,7 @@ def loading_correlation(loadings: DataFrame, a: int, b: int, method: str = "pear
         return both.groupBy("factor_a", "factor_b").agg(F.corr("x", "y").alias("corr"))
     if method != "kendall":
         raise ValueError(f"unknown method {method!r}")
-    other = both.select("factor_a", "factor_b", F.col("channel").alias("c2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = both.join(other, ["factor_a", "factor_b"]).where("channel < c2")
-    dx, dy = F.signum(F.col("x2") - F.col("x")), F.signum(F.col("y2") - F.col("y"))
-    return pairs.groupBy("factor_a", "factor_b").agg(F.try_divide(F.sum(dx * dy), F.sqrt(F.sum(dx * dx) * F.sum(dy * dy))).alias("corr"))
+    return kendall(both, ["factor_a", "factor_b"])
 
 
 def sse_heatmap(errors: DataFrame, methods: list[str]) -> DataFrame:

@@ -399,31 +399,70 @@ def _shuffled_place(i: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def permuted_eigenvalues(rows: DataFrame, channels: list[str], p: int, seed: int = 0) -> list[float]:
-    """Eigenvalues of the covariance when each channel's values are shuffled by themselves, on the cluster, over all rows.
+#: Places that a task puts together at once.
+PLACES = 1 << 16
 
-    Rows are numbered, each channel's value goes to the place that a permutation gives, and places are put together again: one shuffle
-    of all values, whatever their number. ``rows`` must come in the same partitions each time, as tables do.
+
+def permuted_eigenvalues(rows: DataFrame, channels: list[str], permutations, seed: int = 0, places: int = PLACES) -> np.ndarray:
+    """(permutations, channels): eigenvalues of the covariance when each channel's values are shuffled by themselves, over all rows.
+
+    Rows are numbered, and each channel's value goes to the place that a permutation gives. All permutations travel in one shuffle, by permutation
+    and block of places; a task puts a block's rows together and sums their products. ``rows`` must come in the same partitions each
+    time, as tables and kept frames do.
     """
-    m = len(channels)
-    counts = {row[0]: row[1] for row in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    m, numbers = len(channels), list(permutations)
+    kept = rows.select(*channels)
+    counts = {row[0]: row[1] for row in kept.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    means = kept.agg(*(F.avg(c) for c in channels)).first()
+    centre = np.array([x or 0.0 for x in means])
     offsets, n = {}, 0
     for part in sorted(counts):
         offsets[part], n = n, n + counts[part]
+    blocks = max(1, -(-n // places))
 
     def place(batches):
         at = offsets.get(TaskContext.get().partitionId(), 0)
         for batch in batches:
             i = np.arange(at, at + batch.num_rows)
             at += batch.num_rows
-            places = np.concatenate([_shuffled_place(i, n, (seed, p, j)) for j in range(m)])
-            values = pa.concat_arrays([batch.column(j) for j in range(m)])
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.repeat(np.arange(m, dtype=np.int32), batch.num_rows)), values], names=["place", "j", "v"])
+            values = [np.asarray(batch.column(j), dtype=float) - centre[j] for j in range(m)]
+            for p in numbers:
+                for j, v in enumerate(values):
+                    to = _shuffled_place(i, n, (seed, int(p), j))
+                    order = np.argsort(to, kind="stable")
+                    cuts = np.searchsorted(to[order] // places, np.arange(blocks + 1))
+                    some = np.flatnonzero(np.diff(cuts))
+                    own = [order[cuts[b] : cuts[b + 1]] for b in some]
+                    columns = [pa.array(np.full(len(some), p, np.int64)), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), j, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([to[x].astype("<i8").tobytes() for x in own]), pa.array([v[x].tobytes() for x in own])], names=["p", "block", "j", "places", "v"])
+
+    def products(batches):
+        now, x = None, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([np.concatenate([x.sum(axis=0), (x.T @ x)[np.triu_indices(m)]])], pa.list_(pa.float64()))], names=["p", "s"])
 
-    long = rows.select(*channels).mapInArrow(place, "place long, j int, v double")
-    wide = long.groupBy("place").agg(*(F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"x{j}") for j in range(m)))
-    one = wide.agg(*(F.covar_pop(f"x{i}", f"x{j}") for i in range(m) for j in range(i, m))).first()
-    return _eigenvalues(one, m).tolist()
+        for batch in batches:
+            for p, b, j, to, v in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if (p, b) != now:
+                    if now is not None:
+                        yield done()
+                    now, x = (p, b), np.zeros((min(places, n - b * places), m))
+                x[np.frombuffer(to, "<i8") - b * places, j] = np.frombuffer(v)
+        if now is not None:
+            yield done()
+
+    sent = kept.mapInArrow(place, "p long, block int, j int, places binary, v binary").repartition("p", "block").sortWithinPartitions("p", "block")
+    found = sent.mapInArrow(products, "p long, s array<double>").groupBy("p").agg(Summarizer.sum(array_to_vector("s")).alias("s")).collect()
+    out = np.zeros((len(numbers), m))
+    for row in found:
+        s = row["s"].toArray() / n
+        upper = s[m:] - np.outer(s[:m], s[:m])[np.triu_indices(m)]
+        out[numbers.index(row["p"])] = _eigenvalues(upper, m)
+    return out
 
 
 def _eigenvalues(upper, m: int) -> np.ndarray:
@@ -432,36 +471,21 @@ def _eigenvalues(upper, m: int) -> np.ndarray:
     return np.linalg.eigvalsh(cov + np.triu(cov, 1).T)[::-1]
 
 
-def parallel_analysis(panel: Panel, rs, n_perm: int = 100, quantile: float = 0.95, seed: int = 0, max_rows: int = 200_000) -> dict:
+def parallel_analysis(panel: Panel, rs, n_perm: int = 100, quantile: float = 0.95, seed: int = 0) -> dict:
     """Eigenvalues of the covariance against those of panels with each channel shuffled by itself; leading ones above the quantile count.
 
-    All rows count in both. Permutations of up to ``max_rows`` rows are tasks that shuffle the pooled rows in memory; those of more are
-    jobs on the cluster, one after another.
+    All rows count in both, and draws are the same whatever the number of rows.
     """
-    spark, channels = panel.df.sparkSession, list(panel.channels)
-    rows = panel.df.dropna(subset=channels)
+    channels = list(panel.channels)
     m = len(channels)
-    one = rows.agg(F.count("*"), *(F.covar_pop(channels[i], channels[j]) for i in range(m) for j in range(i, m))).first()
-    n, observed = one[0], _eigenvalues([x or 0.0 for x in one[1:]], m)
-    if n > max_rows:
-        kept = rows.select(*channels).persist()
-        table = np.array([permuted_eigenvalues(kept, channels, p, seed) for p in range(n_perm)])
+    kept = panel.df.dropna(subset=channels).select(*channels).persist()
+    try:
+        one = kept.agg(*(F.covar_pop(channels[i], channels[j]) for i in range(m) for j in range(i, m))).first()
+        observed = _eigenvalues([x or 0.0 for x in one], m)
+        table = permuted_eigenvalues(kept, channels, range(n_perm), seed)
+    finally:
         kept.unpersist()
-        limits = {j + 1: float(np.quantile(table[:, j], quantile)) for j in range(m)}
-    else:
-        data = np.array(rows.select(*channels).toPandas(), dtype=float)
-        sent = spark.sparkContext.broadcast(data[np.lexsort(data.T)])
-
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            x, out = sent.value, []
-            for p in part["p"]:
-                rng = np.random.default_rng([seed, int(p)])
-                mixed = np.column_stack([rng.permutation(x[:, j]) for j in range(x.shape[1])])
-                out += [(int(p), j + 1, float(v)) for j, v in enumerate(np.linalg.eigvalsh(np.cov(mixed.T, bias=True).reshape(x.shape[1], -1))[::-1])]
-            return pd.DataFrame(out, columns=["p", "component", "eigenvalue"])
-
-        got = spark.range(n_perm).select(F.col("id").alias("p")).groupBy("p").applyInPandas(run, "p long, component int, eigenvalue double")
-        limits = {row[0]: row[1] for row in got.groupBy("component").agg(F.percentile("eigenvalue", quantile)).collect()}
+    limits = {j + 1: float(np.quantile(table[:, j], quantile)) for j in range(m)}
     above = 0
     while above < len(observed) and observed[above] > limits[above + 1]:
         above += 1

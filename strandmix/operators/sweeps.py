@@ -176,6 +176,28 @@ def run_grid(grid: DataFrame, run: Callable[[dict], list[dict]], schema: str, pa
     return grid.repartition(n, "run_id").groupBy("run_id").applyInPandas(one, schema)
 
 
+def resumed_grid(grid: DataFrame, run: Callable[[dict], list[dict]], schema: str, path: str, partitions: int | None = None, chunk: int = 200, attempts: int = 3) -> DataFrame:
+    """``run_grid`` whose results stay under ``path``, run by run, so that a sweep that was stopped goes on where it was.
+
+    Runs go in chunks of their numbers; a chunk's results are written to a folder for each run, which only its own run ever overwrites. A
+    later call leaves out the runs that have results, by an anti-join, and tries failed ones again until they have failed ``attempts`` times.
+    Returns all results so far, with ``attempt``, the number of the try that made them.
+    """
+    spark = grid.sparkSession
+    full = f"{schema.replace('run_id int, ', '', 1) if schema.startswith('run_id int, ') else schema.replace(', run_id int', '', 1)}, attempt int, run_id int"
+    spark.createDataFrame([], full).write.mode("append").partitionBy("run_id").parquet(path)  # makes the folder, adds nothing
+    there = lambda: spark.read.schema(full).parquet(path)
+    tries = there().groupBy("run_id").agg(F.max("attempt").alias("tried"), F.max((F.coalesce("error_msg", F.lit("")) != "").cast("int")).alias("failed"))
+    open_runs = grid.join(tries, "run_id", "left").where(F.col("tried").isNull() | ((F.col("failed") == 1) & (F.col("tried") < attempts)))
+    # Numbers of runs come to the driver, as many as a grid has rows; what is read from the folder must not be looked at again once it is written to.
+    left = sorted((r[0], (r[1] or 0) + 1) for r in open_runs.select("run_id", "tried").collect())
+    for at in range(0, len(left), chunk):
+        own = F.broadcast(spark.createDataFrame(left[at : at + chunk], "run_id int, attempt int"))
+        found = run_grid(grid.join(own.drop("attempt"), "run_id"), run, schema, partitions).join(own, "run_id")
+        found.select(*(x.split()[0] for x in full.split(", "))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    return there()
+
+
 CONFIG_SCHEMA = "N int, K int, r int, M int, T_each int, cluster_sep_spatial double, cluster_sep_temporal double, cluster_sep_stability double, seed int, run_id int"
 BASELINE_SCHEMA = f"{CONFIG_SCHEMA}, model_type string, Method string, BIC double, ARI double, SSE double, VAF double, subspace_similarity double, error_msg string"
 MODELSEL_SCHEMA = "run_id int, seed int, N int, K_true int, r_true int, M int, T_each int, cluster_sep_spatial double, cluster_sep_temporal double, cluster_sep_stability double, method string, selection_strategy string, mode string, r_mode string, K_hat int, r_hat int, K_correct boolean, r_correct boolean, Kr_correct boolean, ARI double, VAF double, logLik double, BIC double, subspace_similarity double, runtime_sec double, error_msg string"
@@ -249,10 +271,11 @@ def kselect_run(config: dict, ks=K_COMPARED, r: int = 2) -> list[dict]:
     return [{"method": name, "K_hat": k, "K_correct": k == k_true, "runtime_sec": spent} for name, k in best.items()]
 
 
-def sweep(spark: SparkSession, what: str = "baselines", grid: str | DataFrame = "test", **options) -> DataFrame:
-    """An experiment over a grid, by name or as a table: baselines, modelsel or kselect, with the options of its runs."""
+def sweep(spark: SparkSession, what: str = "baselines", grid: str | DataFrame = "test", path: str | None = None, **options) -> DataFrame:
+    """An experiment over a grid, by name or as a table: baselines, modelsel or kselect, with the options of its runs. With ``path`` it goes on where it was stopped."""
     run, schema = {"baselines": (baselines_run, BASELINE_SCHEMA), "modelsel": (modelsel_run, MODELSEL_SCHEMA), "kselect": (kselect_run, KSELECT_SCHEMA)}[what]
-    return run_grid(param_grid(spark, grid) if isinstance(grid, str) else grid, partial(run, **options) if options else run, schema)
+    table, call = param_grid(spark, grid) if isinstance(grid, str) else grid, partial(run, **options) if options else run
+    return resumed_grid(table, call, schema, path) if path else run_grid(table, call, schema)
 
 
 def compare_simulated(spark: SparkSession, model_types=("dynamic",), n: int = 30, k: int = 3, r: int = 3, m: int = 8, length: int = 200, separations=(1.0, 1.0, 1.0), seeds=(123,)) -> DataFrame:

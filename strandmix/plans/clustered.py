@@ -6,9 +6,12 @@ few aggregates, and SQL can follow a fit from its first labels through its round
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from strandmix.operators import evaluate as E
 from strandmix.operators import fits as T
 from strandmix.operators import selection as Q
+from strandmix.operators import twostep as Two
 from strandmix.plans.registry import LS, query, r
 from strandmix.plans.signal import scaled_lines
 from strandmix.sources import panel as A
@@ -171,6 +174,24 @@ query(
 )(lambda s, d: _stability(s, d).select("K", "n_pairs"))
 
 
+def two_shapes(s, d) -> A.Panel:
+    """Suppliers with odd numbers move their first two channels together, the others their last two."""
+    p = scaled_lines(s, d, False)
+    odd, noise = F.pmod("subject_id", F.lit(2)) == 1, F.pmod(F.xxhash64("qty", "disc", "subject_id"), F.lit(1000)) / 5000.0
+    return p.with_df(p.df.withColumns({"price": F.when(odd, F.col("qty") + noise).otherwise(F.col("price")), "tax": F.when(odd, F.col("tax")).otherwise(F.col("disc") + noise)}))
+
+
+_SHAPES = f"{LS}, sz AS (SELECT subject_id % 2 AS odd, count(DISTINCT subject_id) AS n, min(subject_id) AS low FROM ls GROUP BY 1), tr AS (SELECT odd, CAST(row_number() OVER (ORDER BY n DESC, low) AS INTEGER) AS z FROM sz)"
+
+
+@query("mx_two_step", f"WITH {_SHAPES} SELECT DISTINCT subject_id, z FROM ls JOIN tr ON tr.odd = ls.subject_id % 2")
+def _two_step(s, d):
+    with T.statistics(two_shapes(s, d)) as table:
+        found = Two.two_step(table, 1, 2).assignments
+        order = found.groupBy("z").agg(F.count("*").alias("n"), F.min("subject_id").alias("low")).orderBy(F.desc("n"), "low").collect()
+    return found.join(F.broadcast(s.createDataFrame([(r.z, k + 1) for k, r in enumerate(order)], "z int, new int")), "z").select("subject_id", F.col("new").alias("z"))
+
+
 def flagship(s, sf_dir):
     """Cluster the embedding panel over all its components, and summarise each cluster's reconstruction."""
     df = s.read.parquet(f"{sf_dir}/embeddings.parquet")

@@ -295,12 +295,6 @@ for _em in ("hard", "soft"):
 query("sel_grid_distributed", "SELECT 2 AS K")(lambda s, d: s.createDataFrame([(M.grid_distributed(planted(s, d), "mpca", (1, 2), (1,))[0]["K"],)], "K int"))
 
 
-@query("mx_two_step")
-def _two_step(s, d):
-    got = B.two_step(_stats(s, d), 2, 2)
-    return s.createDataFrame([(int(i), int(z)) for i, z in zip(got.ids, got.z)], "subject_id long, z int")
-
-
 @query("mx_single_models")
 def _single_models(s, d):
     st = _stats(s, d, "li")

@@ -167,7 +167,7 @@ query("pl_sse_heatmap", f"WITH e AS (SELECT l_suppkey AS subject_id, sum(l_disco
     lambda s, d: D.sse_heatmap(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject_id")).agg(F.sum("l_discount").alias("a"), F.sum("l_tax").alias("b")), ["a", "b"])
 )
 query("pl_minmax_activations", f"WITH {EV} SELECT subject_id, t, {r('coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0)', 'x')} FROM ev WINDOW w AS (PARTITION BY subject_id)")(lambda s, d: D.minmax(events(s, d)))
-_MM = "mm AS (SELECT subject_id, t, CAST(subject_id % 2 + 1 AS INTEGER) AS z, " + ", ".join(f"coalesce(({c} - min({c}) OVER w) / nullif(max({c}) OVER w - min({c}) OVER w, 0), 0) AS {c}" for c in ("qty", "price")) + " FROM ls WINDOW w AS (PARTITION BY subject_id))"
+_MM = "mr AS MATERIALIZED (SELECT subject_id, " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in ("qty", "price")) + " FROM ls GROUP BY 1), mm AS MATERIALIZED (SELECT subject_id, t, CAST(subject_id % 2 + 1 AS INTEGER) AS z, " + ", ".join(f"coalesce(({c} - lo_{c}) / nullif(hi_{c} - lo_{c}, 0), 0) AS {c}" for c in ("qty", "price")) + " FROM ls JOIN mr USING (subject_id))"
 # Two channels have their axes in closed form: an angle, and the axis at right angles to it.
 _AXES = "ax AS (SELECT avg(qty) AS mx, avg(price) AS my, 0.5 * atan2(2 * covar_pop(qty, price), var_pop(qty) - var_pop(price)) AS a FROM mm), un AS (SELECT mx, my, cos(a) AS c1, sin(a) AS s1, -sin(a) AS c2, cos(a) AS s2 FROM ax), sg AS (SELECT *, CASE WHEN (CASE WHEN abs(c1) >= abs(s1) THEN c1 ELSE s1 END) < 0 THEN -1 ELSE 1 END AS g1, CASE WHEN (CASE WHEN abs(c2) >= abs(s2) THEN c2 ELSE s2 END) < 0 THEN -1 ELSE 1 END AS g2 FROM un)"
 query("pl_neural_command", f"WITH {LS}, {_MM}, {_AXES} SELECT subject_id, t, z, {r('g1 * (c1 * (qty - mx) + s1 * (price - my))', 'dim_1')}, {r('g2 * (c2 * (qty - mx) + s2 * (price - my))', 'dim_2')} FROM mm, sg")(

@@ -31,18 +31,36 @@ class Design:
     seed: int = 123
 
 
+def spatial_bias(d: Design, k: int, rng: np.random.Generator) -> np.ndarray:
+    """(M, r): what cluster k, from 0, adds to the common loadings.
+
+    One cluster has none. Of two, the first leans towards the first half of the channels, the second towards the other half. Of more, the first
+    leans towards the first third, the second towards the last third, and each other one has a wave over the channels with a phase of its own.
+    """
+    # Strengths for two clusters (0.3 and -0.2) and for more (0.4 and -0.15), of the wave (0.15) and of its noise (0.1).
+    shape, first = (d.n_channels, d.n_factors), np.arange(d.n_channels)[:, None]
+    step = lambda edge, low, high: d.spatial * np.where(first < edge, low, high) * np.ones(shape)
+    if d.n_clusters == 1:
+        return np.zeros(shape)
+    if d.n_clusters == 2:
+        half = -(-d.n_channels // 2)
+        return step(half, 0.3, -0.2) if k == 0 else step(half, -0.2, 0.3)
+    if k == 0:
+        return step(-(-d.n_channels // 3), 0.4, -0.15)
+    if k == 1:
+        return step(-(-2 * d.n_channels // 3), -0.15, 0.4)
+    wave = np.sin(2 * np.pi * ((first + 1) / d.n_channels + (k - 2) / (d.n_clusters - 2)))
+    return d.spatial * (0.15 * wave + 0.1 * rng.normal(size=shape))
+
+
 def cluster_parameters(d: Design) -> dict:
     """Loadings (K, M, r) with columns of sum 1, and per cluster and factor frequency, phase, amplitude; noise level and memory per cluster."""
     rng = np.random.default_rng([d.seed, 0])
-    channel = np.arange(d.n_channels)
-    shared = rng.uniform(0.2, 1.0, (d.n_channels, d.n_factors))
+    shared = rng.uniform(0.3, 0.7, (d.n_channels, d.n_factors))
     loadings, freq, phase, noise, memory = [], [], [], [], []
     base_f, base_p = rng.uniform(*d.freq_range, d.n_factors), rng.uniform(0, 2 * np.pi, d.n_factors)
     for k in range(d.n_clusters):
-        # Each cluster's factors lean towards channels of their own.
-        centre = (channel[:, None] - (np.arange(d.n_factors) + k * d.n_factors / max(1, d.n_clusters)) * d.n_channels / d.n_factors) % d.n_channels
-        bump = np.exp(-0.5 * (np.minimum(centre, d.n_channels - centre) / (d.n_channels / (2 * d.n_factors))) ** 2)
-        raw = np.maximum((1 - min(d.spatial, 1)) * shared + d.spatial * bump + rng.normal(0, 0.05, shared.shape), 0)
+        raw = np.maximum(shared + spatial_bias(d, k, rng) + rng.normal(0, 0.1 * d.spatial, shared.shape), 0)
         loadings.append(raw / np.maximum(raw.sum(axis=0), 1e-12))
         shift = k / max(1, d.n_clusters - 1) if d.n_clusters > 1 else 0.0
         freq.append(base_f * (1 + 0.5 * d.temporal * shift))

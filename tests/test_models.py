@@ -292,17 +292,86 @@ def test_shuffled_places_are_a_permutation(n):
         assert abs(np.corrcoef(x, y)[0, 1]) < 0.1 and abs(np.corrcoef(x, np.arange(n))[0, 1]) < 0.1
 
 
-def test_parallel_analysis_of_all_rows_on_the_cluster(spark, planted, tmp_path):
-    p = panel(spark, {k + 1: x for k, x in enumerate(planted[0][:8])})
-    p.df.repartition(3).write.parquet(str(tmp_path / "p"))
-    p = p.with_df(spark.read.parquet(str(tmp_path / "p")))
-    small = Q.parallel_analysis(p, range(1, 5), n_perm=12)
-    large = Q.parallel_analysis(p, range(1, 5), n_perm=12, max_rows=100)
-    assert large["n_above"] == small["n_above"] and np.allclose(large["observed"], small["observed"])
-    assert np.allclose(large["limits"], small["limits"], rtol=0.15)
-    # The values of each channel stay: what changes is how they are put together.
-    values = Q.permuted_eigenvalues(p.df.dropna(), list(p.channels), 3)
-    assert np.isclose(sum(values), sum(small["observed"])) and not np.allclose(values, small["observed"])
+def test_permutations_like_shuffled_columns(spark, planted):
+    """All permutations in one job, in blocks of any size, each like its channels put in their places one by one."""
+    rows = panel(spark, {k + 1: x for k, x in enumerate(planted[0])}).df.select("c0", "c1", "c2").persist()
+    data = np.array([tuple(r) for r in rows.collect()])  # partition by partition, as rows are numbered
+    n = len(data)
+    got = {size: Q.permuted_eigenvalues(rows, ["c0", "c1", "c2"], range(5), 3, size) for size in (100, 1 << 16)}
+    for p in range(5):
+        mixed = np.zeros_like(data)
+        for j in range(3):
+            mixed[Q._shuffled_place(np.arange(n), n, (3, p, j)), j] = data[:, j]
+        want = np.linalg.eigvalsh(np.cov(mixed.T, bias=True))[::-1]
+        assert all(np.allclose(x[p], want, atol=1e-10) for x in got.values())
+    rows.unpersist()
+
+
+def test_exchanges_never_lose():
+    rng = np.random.default_rng(0)
+    better = 0
+    for seed in range(30):
+        x = rng.normal(size=(60, 2)) + rng.integers(0, 3, (60, 1)) * rng.uniform(0, 3)
+        spread = lambda z: sum(((x[z == k] - x[z == k].mean(axis=0)) ** 2).sum() for k in np.unique(z))  # noqa: E731, B023
+        plain, found = (L.kmeans(x, 4, starts=1, seed=seed, exchanges=e) for e in (False, True))
+        assert spread(found) <= spread(plain) + 1e-9
+        better += spread(found) < spread(plain) - 1e-9
+        centres = np.stack([x[found == k].mean(axis=0) for k in range(4)])
+        sizes = np.bincount(found)
+        for i, v in enumerate(x):  # no single move lowers the sum
+            own = found[i]
+            if sizes[own] > 1:
+                leaves = ((centres[own] - v) ** 2).sum() * sizes[own] / (sizes[own] - 1)
+                assert all(((centres[k] - v) ** 2).sum() * sizes[k] / (sizes[k] + 1) >= leaves - 1e-9 for k in range(4) if k != own)
+    assert better > 3
+
+
+def test_kendall_without_pairs(spark):
+    from strandmix.operators import kendall as K
+
+    rng = np.random.default_rng(1)
+    for values in ([], [5], rng.integers(0, 4, 50), rng.normal(size=333), np.arange(64)[::-1], np.zeros(9)):
+        values = np.asarray(values)
+        assert K.inversions(values) == sum(int((values[i + 1 :] < v).sum()) for i, v in enumerate(values))
+    rows, want = [], {}
+    for g, (n, levels) in enumerate([(1, 5), (2, 5), (40, 3), (200, 1000), (150, 7), (30, 1)]):
+        x, y = rng.integers(0, levels, n), rng.integers(0, levels, n) if g % 2 else np.arange(n) % max(1, levels // 2)
+        rows += [(g, float(a), float(b)) for a, b in zip(x, y)] + [(g, None, 1.0), (g, 1.0, None)]
+        dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+        bottom = np.sqrt((dx**2).sum() * (dy**2).sum())
+        want[g] = (dx * dy).sum() / bottom if bottom else None
+    df = spark.createDataFrame(rows, "g int, x double, y double").repartition(3)
+    for blocks in (2, 5, 64):
+        got = {r.g: r["corr"] for r in K.kendall(df, ["g"], blocks=blocks).collect()}
+        assert got.keys() == want.keys() and all((got[g] is None) == (want[g] is None) and (want[g] is None or np.isclose(got[g], want[g])) for g in want)
+
+
+@pytest.mark.parametrize("method,refine", [("PCA", False), ("PCA", True), ("FA", False)])
+def test_two_steps_on_the_cluster_like_those_in_memory(spark, planted, method, refine):
+    from strandmix.operators import fits as T
+    from strandmix.operators import twostep as Two
+
+    p = panel(spark, {k + 1: x for k, x in enumerate(planted[0])})
+    st = S.collect(p)
+    with T.statistics(p) as table:
+        got = Two.two_step(table, 2, 2, method, refine=refine)
+    want = B.two_step(st, 2, 2, method, refine=refine)
+    z = {r.subject_id: r.z for r in got.assignments.collect()}
+    assert E.ari(want.z, [z[int(i)] for i in st.ids]) == 1
+    assert np.isclose(got.sse, want.sse, rtol=1e-9) and np.isclose(got.vaf, want.vaf, rtol=1e-9)
+
+
+def test_two_steps_over_more_subjects_than_the_sample(spark, planted, monkeypatch):
+    from strandmix.operators import fits as T
+    from strandmix.operators import twostep as Two
+
+    monkeypatch.setattr(T, "SAMPLE", 8)
+    p = panel(spark, {k + 1: x for k, x in enumerate(planted[0])})
+    st = S.collect(p)
+    with T.statistics(p) as table:
+        got = Two.two_step(table, 1, 2)
+    z = {r.subject_id: r.z for r in got.assignments.collect()}
+    assert E.ari(B.two_step(st, 1, 2).z, [z[int(i)] for i in st.ids]) == 1
 
 
 @pytest.mark.parametrize("em", ["hard", "soft"])
