@@ -531,6 +531,26 @@ def _best_of(rows: list[dict], criteria, weights: dict[str, float] | None = None
     return int(r[np.flatnonzero(np.abs(score - np.nanmax(score)) < 1e-10)].min())
 
 
+def choose_r(rows: list[dict], method: str, rs, threshold: float = 0.9) -> int:
+    """r by a method from a table of criteria: bic, vaf, vss, smoothness or multicriteria."""
+    if method == "bic":
+        r = min(rows, key=lambda x: (x["BIC"], x["r"]))["r"]
+    elif method == "vaf":
+        r = min((x["r"] for x in rows if x["VAF"] >= threshold), default=max(rs))
+    elif method == "vss":
+        r = by_vss(rows, threshold)
+    elif method == "smoothness":
+        r = by_smoothness(rows, threshold)
+    elif method == "multicriteria":
+        scaled = lambda c: (lambda x: np.full(len(x), 0.5) if x.max() == x.min() else (x - x.min()) / (x.max() - x.min()))(np.array([x[c] if x[c] is not None else 0.0 for x in rows], dtype=float))
+        score = scaled("BIC") + 1 - scaled("VAF") + scaled("smoothness") + 1 - scaled("VSS")
+        good = [j for j, x in enumerate(rows) if x["VAF"] >= threshold]
+        r = rows[min(good, key=lambda j: (score[j], rows[j]["r"])) if good else int(np.argmax([x["VAF"] for x in rows]))]["r"]
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return int(r)
+
+
 def select_r(panel: Panel, stats: Stats, kind: str, k: int, rs=range(1, 6), method: str = "bic", scope: str = "global", how: str = "max", threshold: float = 0.9, folds: int = 5, seed: int = 0, smooth: np.ndarray | None = None, criteria=("VAF", "VSS")) -> dict:
     """r by any method: bic, vaf, vss, smoothness, multicriteria, cv or pa, over the mixture or (scope) per cluster, global-first or hybrid."""
     rs = [r for r in rs if r <= stats.width]
@@ -551,19 +571,4 @@ def select_r(panel: Panel, stats: Stats, kind: str, k: int, rs=range(1, 6), meth
     if method == "pa":
         return parallel_analysis(panel, rs, seed=seed)
     rows = criteria_table(stats, kind, k, rs, smooth=smooth, seed=seed)
-    if method == "bic":
-        r = min(rows, key=lambda x: (x["BIC"], x["r"]))["r"]
-    elif method == "vaf":
-        r = min((x["r"] for x in rows if x["VAF"] >= threshold), default=max(rs))
-    elif method == "vss":
-        r = by_vss(rows, threshold)
-    elif method == "smoothness":
-        r = by_smoothness(rows, threshold)
-    elif method == "multicriteria":
-        scaled = lambda c: (lambda x: np.full(len(x), 0.5) if x.max() == x.min() else (x - x.min()) / (x.max() - x.min()))(np.array([x[c] if x[c] is not None else 0.0 for x in rows], dtype=float))
-        score = scaled("BIC") + 1 - scaled("VAF") + scaled("smoothness") + 1 - scaled("VSS")
-        good = [j for j, x in enumerate(rows) if x["VAF"] >= threshold]
-        r = rows[min(good, key=lambda j: (score[j], rows[j]["r"])) if good else int(np.argmax([x["VAF"] for x in rows]))]["r"]
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    return {"r": int(r), "summary": rows}
+    return {"r": choose_r(rows, method, rs, threshold), "summary": rows}

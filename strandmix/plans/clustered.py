@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandmix.operators import choices as H
 from strandmix.operators import evaluate as E
 from strandmix.operators import fits as T
 from strandmix.operators import selection as Q
@@ -253,3 +254,38 @@ def _bootstrap_ci(s, d):
     with T.statistics(_panel_of(s, d)) as table:
         rows = T.bootstrap_loadings(table, "mpca", 2, 2, 100, method="closed_form", max_iter=20)
     return E.bootstrap_summary(s.createDataFrame(rows, "b long, k int, channel int, factor int, value double"))
+
+
+def _chosen(s, d, **options):
+    p = scaled_lines(s, d)
+    with T.statistics(p) as table:
+        return s.createDataFrame([(H.select_r(p, table, "mfa", 2, range(1, 4), **options)["r"],)], "r int")
+
+
+for _name, _options in (("vss", {"method": "vss", "threshold": 0.3}), ("clusterwise", {"scope": "clusterwise"}), ("hybrid", {"scope": "hybrid"}), ("smoothness", {"method": "smoothness", "threshold": 0.3})):
+    query(f"sel_r_{_name}")(lambda s, d, o=_options: _chosen(s, d, **o))
+
+
+@query("mx_single_models")
+def _single_models(s, d):
+    with T.statistics(_panel_of(s, d)) as table:
+        return s.createDataFrame([(x.kind, x.loglik, x.bic, x.sse) for x in H.singles(table)], "kind string, loglik double, bic double, sse double")
+
+
+@query("mx_compare_methods")
+def _compare(s, d):
+    with T.statistics(two_shapes(s, d)) as table:
+        rows = H.compare_all(table, 2, 1, max_iter=20)
+    return s.createDataFrame([(x["Method"], x["BIC"], x["SSE"], x["VAF"]) for x in rows], "Method string, BIC double, SSE double, VAF double")
+
+
+def _truth(s, d):
+    """ARI of each method that clusters, on panels whose two kinds of subjects differ in shape."""
+    p = two_shapes(s, d)
+    truth = p.df.select("subject_id", (F.pmod("subject_id", F.lit(2)) + 1).cast("int").alias("z_true")).distinct()
+    with T.statistics(p) as table:
+        rows = H.compare_all(table, 2, 1, truth, max_iter=20)
+    return s.createDataFrame([(x["Method"], x["ARI"]) for x in rows if x["ARI"] is not None], "Method string, ari double")
+
+
+query("mx_compare_ari", "SELECT * FROM (VALUES ('TwoStep_FA', 1.0::DOUBLE), ('TwoStep_PCA', 1.0::DOUBLE), ('MixtureFA', 1.0::DOUBLE), ('MixturePCA', 1.0::DOUBLE)) t(Method, ari)")(_truth)

@@ -295,12 +295,6 @@ for _em in ("hard", "soft"):
 query("sel_grid_distributed", "SELECT 2 AS K")(lambda s, d: s.createDataFrame([(M.grid_distributed(planted(s, d), "mpca", (1, 2), (1,))[0]["K"],)], "K int"))
 
 
-@query("mx_single_models")
-def _single_models(s, d):
-    st = _stats(s, d, "li")
-    return s.createDataFrame([(x.kind, x.loglik, x.bic, x.sse) for x in (B.single_fa(st), B.single_pca(st))], "kind string, loglik double, bic double, sse double")
-
-
 # Two channels have their eigenvalues in closed form, and with them the likelihood and the error of one principal axis.
 _EIGEN = f"WITH {LS}, c AS (SELECT count(*) AS n, var_pop(qty) AS a, var_pop(price) AS b, covar_pop(qty, price) AS c FROM ls), e AS (SELECT n, (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c) AS v, (a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c * c) AS w FROM c), l AS (SELECT n, w, -n / 2.0 * (2 * ln(2 * pi()) + ln(v) + ln(w) + 2) AS ll FROM e)"
 
@@ -313,12 +307,6 @@ def _single_pca(s, d):
     return s.createDataFrame([(x.loglik / n, x.bic / n, x.sse / n)], "loglik_per_row double, bic_per_row double, sse_per_row double")
 
 
-@query("mx_compare_methods")
-def _compare(s, d):
-    rows = B.compare_all(_stats(s, d), 2, 2)
-    return s.createDataFrame([(x["Method"], x["BIC"], x["SSE"], x["VAF"]) for x in rows], "Method string, BIC double, SSE double, VAF double")
-
-
 @query("mx_vote", "WITH v AS (SELECT l_suppkey AS subject_id, CAST(l_linenumber % 3 AS INTEGER) AS z, l_discount AS distance FROM lineitem), g AS (SELECT subject_id, z, count(*) AS n, avg(distance) AS m FROM v GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY n DESC, m, z) AS rk FROM g) SELECT subject_id, z FROM k WHERE rk = 1")
 def _vote(s, d):
     return B.majority_frame(table(s, d, "lineitem").select(F.col("l_suppkey").alias("subject_id"), (F.col("l_linenumber") % 3).cast("int").alias("z"), F.col("l_discount").alias("distance")))
@@ -329,12 +317,6 @@ query("sel_k_bootstrap_planted", f"WITH {_TRUE} SELECT 2 AS K, 1.0::DOUBLE AS st
 )
 
 
-def _chosen(s, d, **options):
-    p = A.embeddings_panel(s, d)
-    got = Q.select_r(p, S.collect(p), "mfa", 2, range(1, 4), **options)
-    return s.createDataFrame([(int(got["r"]),)], "r int")
-
-
 def two_rank(s, d) -> A.Panel:
     """Four channels that two others make, but for a trace of noise: any right way finds two factors."""
     p = scaled_lines(s, d)
@@ -350,20 +332,6 @@ def _of_two(s, d, **options):
 
 for _name, _options in (("parallel_analysis", {"method": "pa"}), ("vaf", {"method": "vaf", "threshold": 0.9})):
     query(f"sel_r_{_name}", "SELECT 2 AS r")(lambda s, d, o=_options: _of_two(s, d, **o))
-for _name, _options in (("vss", {"method": "vss", "threshold": 0.3}), ("clusterwise", {"scope": "clusterwise"}), ("hybrid", {"scope": "hybrid"})):
-    query(f"sel_r_{_name}")(lambda s, d, o=_options: _chosen(s, d, **o))
-
-
-@query("sel_r_smoothness")
-def _by_smoothness(s, d):
-    p = A.embeddings_panel(s, d)
-    stats = S.collect(p)
-    rows = {x[0]: x[1] for x in Q.difference_squares(p).collect()}
-    smooth = S.upper_to_full(np.array([rows[int(i)] for i in stats.ids]), stats.width)
-    table_ = Q.criteria_table(stats, "mfa", 2, range(1, 4), smooth=smooth)
-    return s.createDataFrame([(x["r"], x["VAF"], x["BIC"], x["smoothness"], x["VSS"], x["r"] == Q.by_smoothness(table_, 0.3)) for x in table_], "r int, VAF double, BIC double, smoothness double, VSS double, selected boolean")
-
-
 @query("ev_subspace_similarity")
 def _similarity(s, d):
     got = M.fit(_stats(s, d), "mfa", 2, 2)

@@ -214,3 +214,53 @@ def test_wide_statistics(spark):
         assert st.n[i] == len(own) and np.allclose(st.s[i], own.sum(axis=0)) and np.allclose(st.q[i], own.T @ own)
     with T.statistics(p) as table:
         same(T.fit_many(table, [T.Spec("mfa", 2, 3, "modulo", max_iter=6)])[0], M.fit_once(st, "mfa", 2, 3, st.ids % 2, max_iter=6), 1e-6)
+
+
+# --- choices ------------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def smooth(panel, stats):
+    rows = {r[0]: r[1] for r in Q.difference_squares(panel).collect()}
+    return S.upper_to_full(np.array([rows[int(i)] for i in stats.ids]), 5)
+
+
+def test_clusters_stand_for_their_subjects(panel, table, stats, smooth):
+    from strandmix.operators import choices as H
+    from strandmix.operators import project as P
+
+    fits = T.fit_best(table, [(3, 1), (3, 2), (2, 2)], "mfa")
+    squares = H.smoothness(table, Q.difference_squares(panel), fits)
+    for fit, (own, told), got in zip(fits, H.by_cluster(table, fits), squares):
+        z = {r.subject_id: r.z for r in T.assignments(table, [fit]).collect()}
+        whole = replace_labels(fit, stats, {i: type("R", (), {"z": k}) for i, k in z.items()})
+        for kind in ("raw", "global", "cluster"):
+            assert P.vaf(own, told, sst=kind) == pytest.approx(P.vaf(stats, whole, sst=kind), rel=1e-9)
+        assert P.subject_sse(own, told).sum() == pytest.approx(P.subject_sse(stats, whole).sum(), rel=1e-9)
+        assert got == pytest.approx(Q.smoothness(whole, smooth), rel=1e-9)
+
+
+WAYS = [{"method": m} for m in ("bic", "vaf", "vss", "smoothness", "multicriteria", "cv")] + [{"scope": x} for x in ("clusterwise", "hybrid", "global-first")]
+
+
+@pytest.mark.parametrize("way", WAYS, ids=lambda w: next(iter(w.values())))
+def test_every_way_to_choose_r_like_in_memory(panel, table, stats, smooth, way):
+    from strandmix.operators import choices as H
+
+    got = H.select_r(panel, table, "mfa", 3, range(1, 4), threshold=0.5, **way)
+    want = Q.select_r(panel, stats, "mfa", 3, range(1, 4), threshold=0.5, smooth=smooth if way.get("method") in ("smoothness", "multicriteria") else None, **way)
+    assert got["r"] == want["r"]
+    if "per_cluster" in got:
+        assert sorted(got["per_cluster"].values()) == sorted(want["per_cluster"].values())
+
+
+def test_six_methods_like_in_memory(spark, table, stats, data):
+    from strandmix.operators import baselines as B
+    from strandmix.operators import choices as H
+
+    truth = spark.createDataFrame([(int(i), int(z)) for i, z in zip(stats.ids, data[1])], "subject_id long, z_true int")
+    got, want = H.compare_all(table, 3, 2, truth), B.compare_all(stats, 3, 2, data[1])
+    for a, b in zip(got, want):
+        assert a["Method"] == b["Method"]
+        for key in ("BIC", "SSE", "VAF", "ARI"):
+            assert (a[key] is None) == (b[key] is None) and (a[key] is None or a[key] == pytest.approx(b[key], rel=1e-6)), (a["Method"], key)
