@@ -136,3 +136,41 @@ def compare_all(table: T.Table, k: int, r: int, truth: DataFrame | None = None,
         sse = float(P.subject_sse(stats, own, kind="pca" if kind == "mpca" else None).sum())
         rows.append({"Method": name, "BIC": C.bic(kind, got.loglik, k, r, table.width, table.subjects), "ARI": ari(T.assignments(table, [got])), "SSE": sse, "VAF": 1 - sse / total})
     return rows
+
+
+def modelsel_rows(table: T.Table, truth: dict, mode: str = "modelsel", ks=range(1, 6), rs=range(1, 6), strategies=("grid", "twostage"), methods=("mfa", "mpca"), criterion: str = "ICL", temperature: float = 2.0, seed: int = 0, **options) -> list[dict]:
+    """``sweeps.modelsel_run`` on a given panel with ``truth`` (K, r): each mixture under each strategy, in any of its modes."""
+    from strandmix.operators.sweeps import MODES
+
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
+    k, r, out = int(truth["K"]), int(truth["r"]), []
+    ks, rs = [k] if mode == "oracle_Kr" else list(ks), [r] if mode != "modelsel" else list(rs)
+    for kind in methods:
+        for strategy in strategies:
+            if strategy == "grid":
+                got = T.grid(table, kind, ks, rs, seed=seed, **options)
+            else:
+                got = T.two_stage(table, kind, ks, rs, rs[0] if len(rs) == 1 else 2, criterion, temperature, seed, **options)
+            best = got.best
+            stats, own = by_cluster(table, [best])[0]
+            bic = C.bic(best.kind, best.loglik, got.best_k, got.best_r, table.width, table.rows)
+            right = {"K_correct": got.best_k == k, "r_correct": got.best_r == r, "Kr_correct": (got.best_k, got.best_r) == (k, r)}
+            names = {"method": kind, "selection_strategy": strategy, "mode": mode, "r_mode": "select" if mode == "modelsel" else "oracle", "seed": seed}
+            out.append(names | {"N": table.subjects, "M": table.width, "K_true": k, "r_true": r, "K_hat": got.best_k, "r_hat": got.best_r, "VAF": P.vaf(stats, own), "logLik": best.loglik, "BIC": bic} | right)
+    return out
+
+
+def kselect_rows(table: T.Table, k_true: int, ks=range(2, 7), r: int = 2, seed: int = 0, **options) -> list[dict]:
+    """``sweeps.kselect_run`` on a given panel: K by BIC, by ICL at three temperatures, and by the vote of BIC and two of these."""
+    from strandmix.operators.sweeps import vote
+
+    ks = [k for k in ks if k <= table.subjects]
+    fits = T.fit_best(table, [(k, min(r, table.width)) for k in ks], "mfa", seed=seed, **options)
+    bic = {k: T._row(table, f)["BIC"] for k, f in zip(ks, fits)}
+    scores = {"BIC": bic}
+    for t in (1, 2, 3):
+        scores[f"ICL_T{t}"] = {k: bic[k] + 2 * e["entropy"] for k, e in zip(ks, T.evaluate(table, fits, temperature=t))}
+    best = {name: min(x, key=lambda k, x=x: (x[k], k)) for name, x in scores.items()}
+    best["Ensemble"] = vote([best[x] for x in ("BIC", "ICL_T1", "ICL_T2")])
+    return [{"method": name, "K_hat": k, "K_correct": k == k_true} for name, k in best.items()]

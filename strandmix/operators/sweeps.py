@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandmix.sources.panel import Panel
+
 # The axes of each grid, the first varying fastest.
 _SEPARATIONS = ("cluster_sep_spatial", "cluster_sep_temporal", "cluster_sep_stability")
 
@@ -58,9 +60,21 @@ def param_grid(spark: SparkSession, name: str = "full") -> DataFrame:
     return spark.range(size).select(*columns, (F.col("id") + 1).cast("int").alias("run_id"))
 
 
-def table1(spark: SparkSession) -> DataFrame:
-    """The study's parameters."""
-    return spark.createDataFrame(list(TABLE1), "Parameter string, Values string")
+def progress(grid: DataFrame, results: DataFrame) -> DataFrame:
+    """The grid with n_results, the rows that each run has in a table of results (run_id, ...); their counts combine before they are shuffled."""
+    counts = results.groupBy("run_id").agg(F.count("*").alias("n_results"))
+    return grid.join(counts, "run_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
+
+
+def table1(spark: SparkSession, panel: Panel | None = None) -> DataFrame:
+    """The study's parameters, and beside them what a panel has of each: subjects, channels and the longest series; null for the others."""
+    listed = spark.createDataFrame(list(TABLE1), "Parameter string, Values string")
+    if panel is None:
+        return listed
+    sizes = panel.df.groupBy("subject_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("subjects"), F.max("n").alias("longest"))
+    of = lambda start, value: F.when(F.startswith("Parameter", F.lit(start)), value)
+    observed = F.coalesce(of("Number of subjects", F.col("subjects")), of("Channels", F.lit(len(panel.channels)).cast("long")), of("Time length", F.col("longest")))
+    return listed.join(F.broadcast(sizes)).select("Parameter", "Values", observed.alias("observed"))
 
 
 def finite(name: str):

@@ -12,7 +12,9 @@ from strandmix.operators import choices as H
 from strandmix.operators import evaluate as E
 from strandmix.operators import fits as T
 from strandmix.operators import selection as Q
+from strandmix.operators import sweeps as W
 from strandmix.operators import twostep as Two
+from strandmix.plans.models import planted
 from strandmix.plans.registry import LS, query, r
 from strandmix.plans.signal import scaled_lines
 from strandmix.sources import panel as A
@@ -289,3 +291,54 @@ def _truth(s, d):
 
 
 query("mx_compare_ari", "SELECT * FROM (VALUES ('TwoStep_FA', 1.0::DOUBLE), ('TwoStep_PCA', 1.0::DOUBLE), ('MixtureFA', 1.0::DOUBLE), ('MixturePCA', 1.0::DOUBLE)) t(Method, ari)")(_truth)
+
+
+# Experiments on the given panel, with the suppliers of odd numbers moved: two clusters.
+_TOLD = "(VALUES ('mfa'), ('mpca')) m(method), (VALUES ('grid'), ('twostage')) st(selection_strategy)"
+_SUBJECTS = "n AS (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem)"
+
+
+def _modelsel(s, d, mode: str, columns: list[str], panel=None):
+    with T.statistics(panel or planted(s, d)) as table:
+        rows = H.modelsel_rows(table, {"K": 2, "r": 1}, mode, (1, 2), (1, 2), method="closed_form", max_iter=10)
+    kinds = dict(x.split() for x in W.MODELSEL_SCHEMA.split(", "))
+    return s.createDataFrame([tuple(x.get(c) for c in columns) for x in rows], ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+_FREE = ["method", "selection_strategy", "mode", "r_mode", "N", "K_true", "r_true", "K_hat", "r_hat", "K_correct", "r_correct", "Kr_correct", "VAF", "logLik", "BIC"]
+query("sw_modelsel")(lambda s, d: _modelsel(s, d, "modelsel", _FREE))
+query(
+    "sw_modelsel_oracle_kr",
+    f"WITH {_SUBJECTS} SELECT method, selection_strategy, 'oracle_Kr' AS mode, 'oracle' AS r_mode, CAST(n AS INTEGER) AS N, 2 AS K_true, 1 AS r_true, 2 AS K_hat, 1 AS r_hat, true AS K_correct, true AS r_correct, true AS Kr_correct FROM n, {_TOLD}",
+)(lambda s, d: _modelsel(s, d, "oracle_Kr", _FREE[:-3]))
+query(
+    "sw_modelsel_oracle_r",
+    f"WITH {_SUBJECTS} SELECT method, selection_strategy, 'oracle_r' AS mode, 'oracle' AS r_mode, CAST(n AS INTEGER) AS N, 2 AS K_true, 1 AS r_true, 2 AS K_hat, 1 AS r_hat, true AS K_correct, true AS r_correct, true AS Kr_correct FROM n, {_TOLD}",
+)(lambda s, d: _modelsel(s, d, "oracle_r", _FREE[:-3]))
+
+
+@query(
+    "sw_finish_modelsel",
+    f"WITH {_SUBJECTS} SELECT CAST(n AS INTEGER) AS N, 2 AS K_true, 1 AS r_true, method, selection_strategy, 1.0::DOUBLE AS K_correct_rate, 1.0::DOUBLE AS r_correct_rate, 1.0::DOUBLE AS Kr_correct_rate, CAST(2 AS BIGINT) AS n_reps, CAST(0 AS BIGINT) AS n_errors FROM n, {_TOLD}",
+)
+def _finish(s, d):
+    """Two repetitions: the panel, and its first half of each series."""
+    whole = planted(s, d)
+    half = whole.with_df(whole.df.where(F.pmod(F.xxhash64(*CHANNELS), F.lit(2)) == 0))
+    names = [x.split()[0] for x in W.MODELSEL_SCHEMA.split(", ")]
+    raw = _modelsel(s, d, "oracle_r", names, whole).unionByName(_modelsel(s, d, "oracle_r", names, half))
+    return W.finish(raw)["aggregated"].select("N", "K_true", "r_true", "method", "selection_strategy", "K_correct_rate", "r_correct_rate", "Kr_correct_rate", "n_reps", "n_errors")
+
+
+@query("sw_baselines")
+def _baselines(s, d):
+    with T.statistics(planted(s, d)) as table:
+        rows = [(k, r, x["Method"], x["BIC"], x["SSE"], x["VAF"]) for k in (2, 3) for r in (1, 2) for x in H.compare_all(table, k, r, max_iter=10)]
+    return s.createDataFrame(rows, "K int, r int, Method string, BIC double, SSE double, VAF double")
+
+
+@query("sw_kselect")
+def _kselect(s, d):
+    with T.statistics(planted(s, d)) as table:
+        rows = H.kselect_rows(table, 2, (2, 3, 4), 1, max_iter=20)
+    return s.createDataFrame([(x["method"], x["K_hat"], x["K_correct"]) for x in rows], "method string, K_hat int, K_correct boolean")

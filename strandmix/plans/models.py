@@ -394,8 +394,8 @@ for _kind in ("mfa", "mpca"):
     )
 
 
-def _checked() -> list[tuple[str, bool]]:
-    """What the argument checks let pass."""
+def _checked(n: int) -> list[tuple[str, int, bool]]:
+    """What the argument checks let pass, for a panel of n subjects."""
     from strandmix.functions import checks
 
     def passes(call) -> bool:
@@ -413,30 +413,34 @@ def _checked() -> list[tuple[str, bool]]:
         "params 0 2": lambda: checks.model_params(0, 2),
         "params 2 1.5": lambda: checks.model_params(2, 1.5),
         "params tol 0": lambda: checks.model_params(2, 2, tol=0),
-        "5 clusters of 4 subjects": lambda: checks.fits_data(5, 4, 2, 8),
-        "4 clusters of 4 subjects": lambda: checks.fits_data(4, 4, 2, 8),
-        "9 factors of 8 channels": lambda: checks.fits_data(2, 4, 9, 8),
+        "more clusters than subjects": lambda: checks.fits_data(n + 1, n, 2, 8),
+        "as many clusters as subjects": lambda: checks.fits_data(n, n, 2, 8),
+        "9 factors of 8 channels": lambda: checks.fits_data(2, n, 9, 8),
         "fit": lambda: checks.fit_object(fit, "mfa", ("pi",)),
         "fit without components": lambda: checks.fit_object(replace(fit, components=())),
         "no fit": lambda: checks.fit_object({}),
         "fit that lacks a field": lambda: checks.fit_object(fit, required=("nothing",)),
     }
-    return [(name, passes(call)) for name, call in calls.items()]
+    return [(name, n, passes(call)) for name, call in calls.items()]
 
 
-_PASS = {"model_type MFA", "params 2 2", "4 clusters of 4 subjects", "fit"}
-query("ck_arguments", "SELECT * FROM (VALUES " + ", ".join(f"('{name}', {str(name in _PASS).lower()})" for name, _ in _checked()) + ") t(check_name, passes)")(lambda s, d: s.createDataFrame(_checked(), "check_name string, passes boolean"))
-query("ck_renamed_arguments", "SELECT * FROM (VALUES ('iter_fa', 3), ('kmeans_rdim', 2), ('tol', 1)) t(argument, value)")(lambda s, d: s.createDataFrame(sorted(_renamed().items()), "argument string, value int"))
+_PASS = {"model_type MFA", "params 2 2", "as many clusters as subjects", "fit"}
+query("ck_arguments", "SELECT check_name, n, passes FROM (SELECT count(*) AS n FROM supplier), (VALUES " + ", ".join(f"('{name}', {str(name in _PASS).lower()})" for name, _, _ in _checked(4)) + ") t(check_name, passes)")(
+    lambda s, d: s.createDataFrame(_checked(table(s, d, "supplier").count()), "check_name string, n long, passes boolean")
+)
+query("ck_renamed_arguments", "SELECT unnest(['iter_fa', 'kmeans_rdim', 'tol']) AS argument, unnest([max(l_linenumber), min(l_linenumber), count(DISTINCT l_returnflag)])::INTEGER AS value FROM lineitem")(
+    lambda s, d: s.createDataFrame(sorted(_renamed(*table(s, d, "lineitem").agg(F.max("l_linenumber"), F.min("l_linenumber"), F.count_distinct("l_returnflag")).first()).items()), "argument string, value int")
+)
 
 
-def _renamed() -> dict:
+def _renamed(rounds: int, dims: int, tol: int) -> dict:
     import warnings
 
     from strandmix.functions import checks
 
     with warnings.catch_warnings():
         warnings.simplefilter("ignore", DeprecationWarning)
-        return checks.renamed({"nIterFA": 3, "subject_rdim_for_kmeans": 2, "tol": 1})
+        return checks.renamed({"nIterFA": rounds, "subject_rdim_for_kmeans": dims, "tol": tol})
 
 
 for _name, _options in (("cv", {"method": "cv"}), ("global_first", {"scope": "global-first"}), ("vss", {"method": "vss", "threshold": 0.9}), ("multicriteria", {"method": "multicriteria"})):

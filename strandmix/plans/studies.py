@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from strandmix.operators import plotdata as D
@@ -30,9 +32,19 @@ def _grid_sql(name: str) -> str:
     return f"SELECT {', '.join(out)}, CAST(i + 1 AS INTEGER) AS run_id FROM range(0, {size}) t(i)"
 
 
+def _grid_size(name: str) -> int:
+    return math.prod(len(v) for v in W.GRIDS[name].values())
+
+
+# Each grid with the results that its runs have: orders stand for results.
 for _name in W.GRIDS:
-    query(f"agg_param_grid_{_name}", _grid_sql(_name))(lambda s, d, n=_name: W.param_grid(s, n))
-query("agg_table1", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in W.TABLE1) + ") t(Parameter, \"Values\")")(lambda s, d: W.table1(s))
+    query(f"agg_param_grid_{_name}", f"WITH g AS ({_grid_sql(_name)}), c AS (SELECT CAST(o_orderkey % {_grid_size(_name)} + 1 AS INTEGER) AS run_id, count(*) AS found FROM orders GROUP BY 1) SELECT g.*, coalesce(found, 0) AS n_results FROM g LEFT JOIN c USING (run_id)")(
+        lambda s, d, n=_name: W.progress(W.param_grid(s, n), table(s, d, "orders").select((F.col("o_orderkey") % _grid_size(n) + 1).cast("int").alias("run_id")))
+    )
+_OBSERVED = {"Number of subjects (N)": "subjects", "Channels (M)": "4", "Time length (T_each)": "longest"}
+query("agg_table1", f"WITH {LS}, z AS (SELECT count(*) AS subjects, max(n) AS longest FROM (SELECT count(*) AS n FROM ls GROUP BY subject_id)) " + " UNION ALL ".join(f"SELECT '{a}' AS Parameter, '{b}' AS \"Values\", CAST({_OBSERVED.get(a, 'NULL')} AS BIGINT) AS observed FROM z" for a, b in W.TABLE1))(
+    lambda s, d: W.table1(s, scaled_lines(s, d, False))
+)
 
 # Results of a study, one row for each order line. Factors with many decimals keep means off the halves at which engines round apart.
 _CONFIG = "CAST(20 + 10 * (l_suppkey % 3) AS INTEGER) AS N, CAST(2 + l_partkey % 2 AS INTEGER) AS K, 2 AS r, 8 AS M, 100 AS T_each, 0.5::DOUBLE * (1 + l_orderkey % 2) AS cluster_sep_spatial, 1.0::DOUBLE AS cluster_sep_temporal, 1.0::DOUBLE AS cluster_sep_stability"
@@ -119,23 +131,8 @@ query("agg_k_selection_accuracy", f"WITH {_MS} SELECT method, count(*) AS n, {r(
 query("agg_completed_tasks", f"SELECT count(DISTINCT o_custkey) AS n_completed, CAST(2000 AS BIGINT) AS n_total, {r('round(100 * count(DISTINCT o_custkey) / 2000.0, 1)', 'pct')} FROM orders")(lambda s, d: R.completed_tasks(table(s, d, "orders"), 2000, "o_custkey"))
 query("agg_partial_dispatch", f"WITH {_MSA} SELECT N, K_true, r_true, method, selection_strategy, n_reps, n_errors FROM msa")(lambda s, d: W.aggregate_partial(_modelsel(s, d)).select("N", "K_true", "r_true", "method", "selection_strategy", "n_reps", "n_errors"))
 
-# Experiments and simulations: random, so without SQL.
-query("sw_baselines")(lambda s, d: W.sweep(s, "baselines", "test").drop("error_msg"))
-query("sw_modelsel")(lambda s, d: W.sweep(s, "modelsel", "modelsel_test").drop("runtime_sec"))
-# Told of K and r, there is nothing to be wrong about; told of r, only K is chosen.
-_TOLD = "SELECT g.run_id, g.seed, g.N, g.K AS K_true, g.r AS r_true, m.method, st.strategy AS selection_strategy, 'oracle_Kr' AS mode, 'oracle' AS r_mode, g.K AS K_hat, g.r AS r_hat, true AS K_correct, true AS r_correct, true AS Kr_correct FROM g, (VALUES ('mfa'), ('mpca')) m(method), (VALUES ('grid'), ('twostage')) st(strategy)"
-query("sw_modelsel_oracle_kr", f"WITH g AS ({_grid_sql('modelsel_test')}) {_TOLD}")(
-    lambda s, d: W.sweep(s, "modelsel", "modelsel_test", mode="oracle_Kr").select("run_id", "seed", "N", "K_true", "r_true", "method", "selection_strategy", "mode", "r_mode", "K_hat", "r_hat", "K_correct", "r_correct", "Kr_correct")
-)
-query("sw_modelsel_oracle_r", f"WITH g AS ({_grid_sql('modelsel_test')}) SELECT g.run_id, m.method, st.strategy AS selection_strategy, 'oracle_r' AS mode, g.r AS r_hat, true AS r_correct, true AS candidate FROM g, (VALUES ('mfa'), ('mpca')) m(method), (VALUES ('grid'), ('twostage')) st(strategy)")(
-    lambda s, d: W.sweep(s, "modelsel", "modelsel_test", mode="oracle_r").select("run_id", "method", "selection_strategy", "mode", "r_hat", "r_correct", F.col("K_hat").between(1, 5).alias("candidate"))
-)
-query(
-    "sw_finish_modelsel",
-    f"WITH g AS ({_grid_sql('modelsel_test')}), t AS ({_TOLD.replace('SELECT g.run_id', 'SELECT g.cluster_sep_spatial, g.run_id')}) SELECT N, K_true, r_true, {r('cluster_sep_spatial', 'cluster_sep_spatial')}, method, selection_strategy, 1.0::DOUBLE AS K_correct_rate, 1.0::DOUBLE AS r_correct_rate, 1.0::DOUBLE AS Kr_correct_rate, count(*) AS n_reps, CAST(0 AS BIGINT) AS n_errors FROM t GROUP BY ALL",
-)(lambda s, d: W.finish(W.sweep(s, "modelsel", "modelsel_test", mode="oracle_Kr"))["aggregated"].select("N", "K_true", "r_true", "cluster_sep_spatial", "method", "selection_strategy", "K_correct_rate", "r_correct_rate", "Kr_correct_rate", "n_reps", "n_errors"))
-query("sw_kselect")(lambda s, d: W.sweep(s, "kselect", "k_selection").drop("runtime_sec"))
-query("src_simulate")(lambda s, d: G.generate(s, seed=7, n_subjects=12, length=60)[0].df)
+# Simulated panels of as many subjects as there are suppliers; random, so SQL tells their shape only.
+query("src_simulate")(lambda s, d: G.generate(s, seed=7, n_subjects=table(s, d, "supplier").count(), length=60)[0].df)
 
 # Tables behind plots.
 _FACTORS = [f"f{k}" for k in range(1, 5)]
@@ -176,8 +173,8 @@ query("pl_neural_command", f"WITH {LS}, {_MM}, {_AXES} SELECT subject_id, t, z,
 _TWO = f"{LS}, mm AS (SELECT subject_id, avg(qty) AS qty, var_samp(price) AS price FROM ls GROUP BY 1), {_AXES}"
 query("pl_cluster_embedding_of_two", f"WITH {_TWO} SELECT subject_id, {r('g1 * (c1 * (qty - mx) + s1 * (price - my))', 'dim_1')}, {r('g2 * (c2 * (qty - mx) + s2 * (price - my))', 'dim_2')} FROM mm, sg")(lambda s, d: D.embedding(S.mean_variance_features(scaled_lines(s, d, False)), ["mean_qty", "var_price"]))
 query("src_read_all_results", "SELECT * FROM (SELECT * FROM region UNION ALL BY NAME SELECT * FROM nation)")(lambda s, d: R.read_all_results(s, f"{d}/region.parquet", f"{d}/nation.parquet").drop("file"))
-query("src_simulate_shape", "SELECT CAST(i AS BIGINT) AS subject_id, CAST(40 AS BIGINT) AS n, 1 AS first, 40 AS last, true AS has_cluster FROM range(1, 13) t(i)")(
-    lambda s, d: (lambda p, z: p.df.groupBy("subject_id").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last")).join(z, "subject_id").select("subject_id", "n", "first", "last", F.col("z_true").between(1, 2).alias("has_cluster")))(*G.simulate(s, G.Design(12, 2, 2, 5, 40, seed=9)))
+query("src_simulate_shape", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS subject_id, CAST(40 AS BIGINT) AS n, 1 AS first, 40 AS last, true AS has_cluster FROM supplier")(
+    lambda s, d: (lambda p, z: p.df.groupBy("subject_id").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last")).join(z, "subject_id").select("subject_id", "n", "first", "last", F.col("z_true").between(1, 2).alias("has_cluster")))(*G.simulate(s, G.Design(table(s, d, "supplier").count(), 2, 2, 5, 40, seed=9)))
 )
 query("pl_cluster_embedding")(lambda s, d: D.embedding(S.mean_variance_features(scaled_lines(s, d, False)), [f"{f}_{c}" for f in ("mean", "var") for c in CHANNELS]))
 query("pl_mean_basis", f"WITH {_LOAD}, m AS (SELECT CAST(channel % 2 + 1 AS INTEGER) AS k, CAST(k AS BIGINT) AS ch, factor, avg(value) AS v FROM lo GROUP BY ALL) SELECT k, ch AS channel, factor, {r('v', 'value')} FROM m")(
