@@ -379,7 +379,13 @@ def cross_validate_r(stats: Stats, rs, model: str = "FA", folds: int = 5, metric
     return rows
 
 
-def _shuffled_place(i: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
+#: Places of a chunk, whose permutations a task draws by itself.
+CHUNK = 1 << 16
+#: Rows that a task deals out at once.
+DEALT = 1 << 18
+
+
+def _dealt_place(i: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
     """Where row i of n goes under a permutation drawn by ``key``: rounds that mix two halves of the number, until it lies below n."""
     half = max(1, -(-(n - 1).bit_length() // 2)) if n > 1 else 1
     mask, keys = np.uint64((1 << half) - 1), np.random.default_rng(key).integers(1, 1 << 62, 6, dtype=np.uint64)
@@ -399,6 +405,26 @@ def _shuffled_place(i: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _within(chunk: int, n: int, key: tuple[int, int, int], size: int) -> np.ndarray:
+    """The permutation of a chunk's places under (seed, permutation, channel)."""
+    return np.random.default_rng((*key, chunk)).permutation(min(size, n - chunk * size))
+
+
+def _shuffled_place(i: np.ndarray, n: int, key: tuple[int, int, int], size: int | None = None) -> np.ndarray:
+    """Where row i of n goes under the permutation of (seed, permutation, channel): dealt over all places by seed and channel, then permuted within its chunk.
+
+    The deal is a permutation of all rows, so each of these is one as well; those of a channel differ within chunks.
+    """
+    size = size or CHUNK
+    dealt = _dealt_place(i, n, (key[0], key[2]))
+    chunk = dealt // size
+    out = np.empty_like(dealt)
+    for c in np.unique(chunk).tolist():
+        own = chunk == c
+        out[own] = c * size + _within(c, n, key, size)[dealt[own] - c * size]
+    return out
+
+
 #: Places that a task puts together at once.
 PLACES = 1 << 16
 
@@ -406,14 +432,15 @@ PLACES = 1 << 16
 def permuted_eigenvalues(rows: DataFrame, channels: list[str], permutations, seed: int = 0, places: int = PLACES) -> np.ndarray:
     """(permutations, channels): eigenvalues of the covariance when each channel's values are shuffled by themselves, over all rows.
 
-    Rows are numbered, and each channel's value goes to the place that a permutation gives. All permutations travel in one shuffle, by permutation
-    and block of places; a task puts a block's rows together and sums their products. ``rows`` must come in the same partitions each
-    time, as tables and kept frames do.
+    Rows are numbered, and each channel's values are dealt over chunks of places, in one shuffle whatever the number of permutations. A task
+    then permutes a chunk's channels for each permutation and sums their products, ``places`` rows at a time. What all permutations of
+    two channels share is which values meet in a chunk: 1 / CHUNK of the variance of their covariance. ``rows`` must come in the same
+    partitions each time, as tables and kept frames do.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    m, numbers = len(channels), list(permutations)
+    m, numbers, size = len(channels), list(permutations), CHUNK
     kept = rows.select(*channels)
     counts = {row[0]: row[1] for row in kept.groupBy(F.spark_partition_id().alias("p")).count().collect()}
     means = kept.agg(*(F.avg(c) for c in channels)).first()
@@ -421,47 +448,66 @@ def permuted_eigenvalues(rows: DataFrame, channels: list[str], permutations, see
     offsets, n = {}, 0
     for part in sorted(counts):
         offsets[part], n = n, n + counts[part]
-    blocks = max(1, -(-n // places))
+    chunks = max(1, -(-n // size))
+    upper = np.triu_indices(m)
+
+    def deal(batches):
+        at, waiting = offsets.get(TaskContext.get().partitionId(), 0), []
+
+        def dealt():
+            nonlocal at
+            x = np.concatenate(waiting)
+            i = np.arange(at, at + len(x))
+            at += len(x)
+            waiting.clear()
+            for j in range(m):
+                to = _dealt_place(i, n, (seed, j))
+                order = np.argsort(to)
+                to, v = to[order], x[order, j]
+                cuts = np.searchsorted(to // size, np.arange(chunks + 1))
+                some = np.flatnonzero(np.diff(cuts))
+                local = (to % size).astype("<i4")
+                parts = [(cuts[c], cuts[c + 1]) for c in some]
+                columns = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), j, np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([local[a:b].tobytes() for a, b in parts]), pa.array([v[a:b].tobytes() for a, b in parts])], names=["chunk", "j", "places", "v"])
 
-    def place(batches):
-        at = offsets.get(TaskContext.get().partitionId(), 0)
         for batch in batches:
-            i = np.arange(at, at + batch.num_rows)
-            at += batch.num_rows
-            values = [np.asarray(batch.column(j), dtype=float) - centre[j] for j in range(m)]
-            for p in numbers:
-                for j, v in enumerate(values):
-                    to = _shuffled_place(i, n, (seed, int(p), j))
-                    order = np.argsort(to, kind="stable")
-                    cuts = np.searchsorted(to[order] // places, np.arange(blocks + 1))
-                    some = np.flatnonzero(np.diff(cuts))
-                    own = [order[cuts[b] : cuts[b + 1]] for b in some]
-                    columns = [pa.array(np.full(len(some), p, np.int64)), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), j, np.int32))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([to[x].astype("<i8").tobytes() for x in own]), pa.array([v[x].tobytes() for x in own])], names=["p", "block", "j", "places", "v"])
+            if batch.num_rows:
+                waiting.append(np.column_stack([np.asarray(batch.column(j), dtype=float) - centre[j] for j in range(m)]))
+            if sum(map(len, waiting)) >= DEALT:
+                yield from dealt()
+        if waiting:
+            yield from dealt()
 
     def products(batches):
-        now, x = None, None
+        now, x, total = None, None, np.zeros((len(numbers), m + len(upper[0])))
 
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([np.concatenate([x.sum(axis=0), (x.T @ x)[np.triu_indices(m)]])], pa.list_(pa.float64()))], names=["p", "s"])
+        def add():
+            mixed = np.empty_like(x)
+            for row, p in enumerate(numbers):
+                for j in range(m):
+                    mixed[j, _within(now, n, (seed, int(p), j), size)] = x[j]
+                for a in range(0, x.shape[1], places):
+                    part = mixed[:, a : a + places]
+                    total[row] += np.concatenate([part.sum(axis=1), (part @ part.T)[upper]])
 
         for batch in batches:
-            for p, b, j, to, v in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if (p, b) != now:
+            for c, j, to, v in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if c != now:
                     if now is not None:
-                        yield done()
-                    now, x = (p, b), np.zeros((min(places, n - b * places), m))
-                x[np.frombuffer(to, "<i8") - b * places, j] = np.frombuffer(v)
+                        add()
+                    now, x = c, np.zeros((m, min(size, n - c * size)))
+                x[j, np.frombuffer(to, "<i4")] = np.frombuffer(v)
         if now is not None:
-            yield done()
+            add()
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(numbers, dtype=np.int64)), pa.array(list(total), pa.list_(pa.float64()))], names=["p", "s"])
 
-    sent = kept.mapInArrow(place, "p long, block int, j int, places binary, v binary").repartition("p", "block").sortWithinPartitions("p", "block")
+    sent = kept.mapInArrow(deal, "chunk int, j int, places binary, v binary").repartition("chunk").sortWithinPartitions("chunk")
     found = sent.mapInArrow(products, "p long, s array<double>").groupBy("p").agg(Summarizer.sum(array_to_vector("s")).alias("s")).collect()
     out = np.zeros((len(numbers), m))
     for row in found:
         s = row["s"].toArray() / n
-        upper = s[m:] - np.outer(s[:m], s[:m])[np.triu_indices(m)]
-        out[numbers.index(row["p"])] = _eigenvalues(upper, m)
+        out[numbers.index(row["p"])] = _eigenvalues(s[m:] - np.outer(s[:m], s[:m])[upper], m)
     return out
 
 
