@@ -71,6 +71,23 @@ def fa_em(n: float, mean: np.ndarray, cov: np.ndarray, r: int, rounds: int = 20,
     return Component(mean, lam, psi)
 
 
+def fa_loadings(cov: np.ndarray, r: int, rounds: int = 20) -> np.ndarray:
+    """(N, M, r): the loadings of ``fa_em`` by its textbook rounds, for many covariances at once."""
+    values, vectors = np.linalg.eigh(cov)
+    values, top = np.maximum(values[:, None, ::-1][:, :, :r], 1e-6), vectors[:, :, ::-1][:, :, :r]
+    largest = np.take_along_axis(top, np.abs(top).argmax(axis=1)[:, None, :], axis=1)
+    lam = top * np.where(largest < 0, -1.0, 1.0) * np.sqrt(values)
+    diagonal = np.diagonal(cov, axis1=1, axis2=2)
+    psi, eye, own = np.maximum(diagonal - (lam**2).sum(axis=2), 1e-6), np.eye(r), np.eye(cov.shape[1])
+    for _ in range(rounds):
+        b = lam.transpose(0, 2, 1) @ np.linalg.inv(lam @ lam.transpose(0, 2, 1) + psi[:, :, None] * own)
+        cross = cov @ b.transpose(0, 2, 1)
+        ezz = eye - b @ lam + b @ cross
+        lam = cross @ np.linalg.inv(ezz + 1e-12 * eye)
+        psi = np.maximum(diagonal - (lam * cross).sum(axis=2), 1e-6)
+    return lam
+
+
 def ppca_closed(mean: np.ndarray, cov: np.ndarray, r: int) -> Component:
     """Probabilistic PCA at its maximum: noise is the mean of the eigenvalues left out."""
     values, vectors, rest = top_eigen(cov, r)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import permutations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -79,13 +80,18 @@ def subject_bases(stats: Stats, r: int, method: str = "PCA", align: bool = True)
 
 def align_bases(bases: np.ndarray, reference: int = 0) -> np.ndarray:
     """Columns of each basis ordered and signed like the reference's, by correlation."""
-    out, target = bases.copy(), bases[reference]
-    for i, w in enumerate(bases):
-        corr = L.correlation(target, w)
-        order = L.assign(-np.nan_to_num((corr + 1) / 2))
-        signs = np.where(corr[np.arange(len(order)), order] < 0, -1.0, 1.0)
-        out[i] = w[:, order] * signs
-    return out
+    target, r = bases[reference], bases.shape[2]
+    za, zb = target - target.mean(axis=0), bases - bases.mean(axis=1, keepdims=True)
+    size = np.sqrt((za**2).sum(axis=0))[:, None] * np.sqrt((zb**2).sum(axis=1))[:, None, :]
+    corr = np.where(size > 0, za.T @ zb / np.where(size > 0, size, 1), 0.0)
+    gain = np.nan_to_num((corr + 1) / 2)
+    if r <= 4:  # all orders at once
+        orders = np.array(list(permutations(range(r))))
+        order = orders[gain[:, np.arange(r), orders].sum(axis=2).argmax(axis=1)]
+    else:
+        order = np.stack([L.assign(-g) for g in gain])
+    signs = np.where(np.take_along_axis(corr, order[:, :, None], axis=2)[:, :, 0] < 0, -1.0, 1.0)
+    return np.take_along_axis(bases, order[:, None, :], axis=2) * signs[:, None, :]
 
 
 def majority(labels: np.ndarray, distance: np.ndarray) -> int:

@@ -120,44 +120,52 @@ def singles(table: T.Table, r: int = 2) -> tuple[B.Single, B.Single]:
 
 def compare_all(table: T.Table, k: int, r: int, truth: DataFrame | None = None, seed: int = 0, **options) -> list[dict]:
     """The six methods on one panel: a row each with BIC (over subjects), ARI against ``truth`` (subject_id, z_true), SSE and VAF; None where a method has none."""
+    return compare_cells(table, [(k, r)], truth, seed, **options)[0]
+
+
+def compare_cells(table: T.Table, cells: list[tuple[int, int]], truth: DataFrame | None = None, seed: int = 0, **options) -> list[list[dict]]:
+    """``compare_all`` for each (K, r): the two-step baselines of all cells advance together, and so do all mixtures."""
     one = table.one(T._summed(table, lambda ids, x, z0: x.sum(axis=0)[None], 1)[0])
     total = float(np.trace(one.scatter(one.pooled()[1])[0]))
 
     def ari(labels: DataFrame) -> float | None:
         return None if truth is None else E.ari_frame(labels.join(truth, "subject_id"), "z_true", "z").first()[0]
 
-    rows = [{"Method": name, "BIC": x.bic, "ARI": None, "SSE": x.sse, "VAF": 1 - x.sse / total} for name, x in zip(("SingleFA", "SinglePCA"), (B.single_fa(one, r), B.single_pca(one, r)))]
-    for name, method in (("TwoStep_FA", "FA"), ("TwoStep_PCA", "PCA")):
-        got = Two.two_step(table, r, k, method, seed)
-        rows.append({"Method": name, "BIC": None, "ARI": ari(got.assignments), "SSE": got.sse, "VAF": got.vaf})
-    for name, kind in (("MixtureFA", "mfa"), ("MixturePCA", "mpca")):
-        got = T.fit_best(table, [(k, r)], kind, seed=seed, **options)[0]
-        stats, own = by_cluster(table, [got])[0]
-        sse = float(P.subject_sse(stats, own, kind="pca" if kind == "mpca" else None).sum())
-        rows.append({"Method": name, "BIC": C.bic(kind, got.loglik, k, r, table.width, table.subjects), "ARI": ari(T.assignments(table, [got])), "SSE": sse, "VAF": 1 - sse / total})
-    return rows
+    methods, kinds = (("TwoStep_FA", "FA"), ("TwoStep_PCA", "PCA")), (("MixtureFA", "mfa"), ("MixturePCA", "mpca"))
+    steps = iter(Two.two_steps(table, [(r, k, method) for k, r in cells for _, method in methods], seed))
+    fits = T.fit_wanted(table, [T.wanted(kind, k, r, seed=seed, **options) for k, r in cells for _, kind in kinds])
+    pooled = iter(zip(fits, by_cluster(table, fits)))
+    out = []
+    for k, r in cells:
+        rows = [{"Method": name, "BIC": x.bic, "ARI": None, "SSE": x.sse, "VAF": 1 - x.sse / total} for name, x in zip(("SingleFA", "SinglePCA"), (B.single_fa(one, r), B.single_pca(one, r)))]
+        for name, _ in methods:
+            got = next(steps)
+            rows.append({"Method": name, "BIC": None, "ARI": ari(got.assignments), "SSE": got.sse, "VAF": got.vaf})
+        for name, kind in kinds:
+            got, (stats, own) = next(pooled)
+            sse = float(P.subject_sse(stats, own, kind="pca" if kind == "mpca" else None).sum())
+            rows.append({"Method": name, "BIC": C.bic(kind, got.loglik, k, r, table.width, table.subjects), "ARI": ari(T.assignments(table, [got])), "SSE": sse, "VAF": 1 - sse / total})
+        out.append(rows)
+    return out
 
 
 def modelsel_rows(table: T.Table, truth: dict, mode: str = "modelsel", ks=range(1, 6), rs=range(1, 6), strategies=("grid", "twostage"), methods=("mfa", "mpca"), criterion: str = "ICL", temperature: float = 2.0, seed: int = 0, **options) -> list[dict]:
-    """``sweeps.modelsel_run`` on a given panel with ``truth`` (K, r): each mixture under each strategy, in any of its modes."""
+    """``sweeps.modelsel_run`` on a given panel with ``truth`` (K, r): each mixture under each strategy, in any of its modes; all of them advance together."""
     from strandmix.operators.sweeps import MODES
 
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
     k, r, out = int(truth["K"]), int(truth["r"]), []
     ks, rs = [k] if mode == "oracle_Kr" else list(ks), [r] if mode != "modelsel" else list(rs)
-    for kind in methods:
-        for strategy in strategies:
-            if strategy == "grid":
-                got = T.grid(table, kind, ks, rs, seed=seed, **options)
-            else:
-                got = T.two_stage(table, kind, ks, rs, rs[0] if len(rs) == 1 else 2, criterion, temperature, seed, **options)
-            best = got.best
-            stats, own = by_cluster(table, [best])[0]
-            bic = C.bic(best.kind, best.loglik, got.best_k, got.best_r, table.width, table.rows)
-            right = {"K_correct": got.best_k == k, "r_correct": got.best_r == r, "Kr_correct": (got.best_k, got.best_r) == (k, r)}
-            names = {"method": kind, "selection_strategy": strategy, "mode": mode, "r_mode": "select" if mode == "modelsel" else "oracle", "seed": seed}
-            out.append(names | {"N": table.subjects, "M": table.width, "K_true": k, "r_true": r, "K_hat": got.best_k, "r_hat": got.best_r, "VAF": P.vaf(stats, own), "logLik": best.loglik, "BIC": bic} | right)
+    runs, r_fixed = [(kind, strategy) for kind in methods for strategy in strategies], rs[0] if len(rs) == 1 else 2
+    plans = [T.grid_plan(table, kind, ks, rs, seed=seed, **options) if strategy == "grid" else T.two_stage_plan(table, kind, ks, rs, r_fixed, criterion, temperature, seed, **options) for kind, strategy in runs]
+    found = T.together(table, plans)
+    for (kind, strategy), got, (stats, own) in zip(runs, found, by_cluster(table, [x.best for x in found])):
+        best = got.best
+        bic = C.bic(best.kind, best.loglik, got.best_k, got.best_r, table.width, table.rows)
+        right = {"K_correct": got.best_k == k, "r_correct": got.best_r == r, "Kr_correct": (got.best_k, got.best_r) == (k, r)}
+        names = {"method": kind, "selection_strategy": strategy, "mode": mode, "r_mode": "select" if mode == "modelsel" else "oracle", "seed": seed}
+        out.append(names | {"N": table.subjects, "M": table.width, "K_true": k, "r_true": r, "K_hat": got.best_k, "r_hat": got.best_r, "VAF": P.vaf(stats, own), "logLik": best.loglik, "BIC": bic} | right)
     return out
 
 

@@ -11,7 +11,7 @@ the task from a hash of the subject's number, so that no subject is sent anywher
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
@@ -33,6 +33,8 @@ from strandmix.sources.panel import Panel
 SAMPLE, KMEANS_ROUNDS = 1000, 20
 #: Subjects of a block in a task.
 BLOCK = 4096
+#: Bytes of statistics from which a scan has one more task while there are cores, and from which it has one more in any case.
+SOME_BYTES, MANY_BYTES = 1 << 18, 1 << 23
 
 
 # --- draws --------------------------------------------------------------------------------------------------------------------------
@@ -111,7 +113,10 @@ class Table:
 
 @contextmanager
 def statistics(panel: Panel, given: DataFrame | None = None) -> Iterator[Table]:
-    """A panel's statistics, kept while the block runs. ``given`` (subject_id, z from 1) are labels that fits may start from."""
+    """A panel's statistics, kept while the block runs. ``given`` (subject_id, z from 1) are labels that fits may start from.
+
+    They come from a shuffle, in many more partitions than their bytes are worth a task; scans read several of these in a task.
+    """
     centre = M._centre(panel)
     table = S.moments(panel, centre.tolist()).select("subject_id", F.concat(F.array(F.col("n").cast("double")), "s", "q").alias("x"))
     if given is not None:
@@ -119,11 +124,17 @@ def statistics(panel: Panel, given: DataFrame | None = None) -> Iterator[Table]:
     table = table.persist()
     try:
         subjects, rows = table.agg(F.count("*"), F.sum(F.col("x")[0])).first()
-        yield Table(table, panel.channels, centre, subjects, float(rows or 0))
+        yield Table(table.coalesce(_scan_tasks(subjects, len(panel.channels), table.sparkSession.sparkContext.defaultParallelism)), panel.channels, centre, subjects, float(rows or 0))
     finally:
         table.unpersist()
 
 
+def _scan_tasks(subjects: int, width: int, cores: int) -> int:
+    """Tasks of a scan over so many subjects' statistics."""
+    size = 8 * subjects * (2 + width + width * (width + 1) // 2)
+    return max(1, -(-size // MANY_BYTES), min(-(-size // SOME_BYTES), cores))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
@@ -413,6 +424,11 @@ def kmeans_many(table: Table, specs: list[Spec]) -> list[Labeller]:
     x = np.array([r["x"] for r in sample])
     own = x[:, 1 : m + 1] / np.maximum(x[:, :1], 1) + table.centre - mean
     dims = [min(s.kmeans_rdim or s.r, m) for s in specs]
+    alike = [(s.k, d, s.seed, s.weight) for s, d in zip(specs, dims)]
+    if len(set(alike)) < len(alike):  # kinds of models share their starts
+        found = dict(zip(alike, specs))
+        own = dict(zip(found, kmeans_many(table, list(found.values()))))
+        return [own[x] for x in alike]
     axes = L.top_eigen(cov, max(dims))[1]
     centres, moving = [], []
     for s, d in zip(specs, dims):
@@ -469,13 +485,39 @@ def _starts(kind: str, k: int, r: int, n_init: int, use_kmeans: bool, seed: int,
 
 def fit_best(table: Table, cells: list[tuple[int, int]], kind: str, n_init: int = 1, use_kmeans: bool = True, seed: int = 0, progress=None, **options) -> list[Fit]:
     """For each (K, r) the best of several starts by likelihood, the first of equals; all starts of all cells advance together."""
-    kind = checks.model_type(kind)
-    specs = [(cell, s) for cell in cells for s in _starts(kind, *cell, n_init, use_kmeans, seed, options)]
-    best: dict[tuple[int, int], Fit] = {}
-    for (cell, _), got in zip(specs, fit_many(table, [s for _, s in specs], progress)):
-        if cell not in best or got.loglik > best[cell].loglik:
-            best[cell] = got
-    return [best[c] for c in cells]
+    return fit_wanted(table, [wanted(kind, *cell, n_init, use_kmeans, seed, **options) for cell in cells], progress)
+
+
+def wanted(kind: str, k: int, r: int, n_init: int = 1, use_kmeans: bool = True, seed: int = 0, **options) -> tuple[Spec, ...]:
+    """The starts of a fit of which the best is wanted."""
+    return tuple(_starts(checks.model_type(kind), k, r, n_init, use_kmeans, seed, options))
+
+
+def fit_wanted(table: Table, wants: list[tuple[Spec, ...]], progress=None) -> list[Fit]:
+    """The best of each of several fits' starts, of any kinds; all advance together, and what is wanted twice is fitted once."""
+    specs = list(dict.fromkeys(s for starts in wants for s in starts))
+    found = dict(zip(specs, fit_many(table, specs, progress)))
+    return [max((found[s] for s in starts), key=lambda f: f.loglik) for starts in wants]
+
+
+def together(table: Table, plans: list[Generator], progress=None) -> list:
+    """What several plans return. A plan yields lists of ``wanted`` fits and is sent them; the fits of a step of all plans advance together."""
+    out, asked = [None] * len(plans), {}
+
+    def step(i, fits=None):
+        try:
+            asked[i] = plans[i].send(fits)
+        except StopIteration as end:
+            out[i] = end.value
+
+    for i in range(len(plans)):
+        step(i)
+    while asked:
+        now, asked = asked, {}
+        fits = iter(fit_wanted(table, [w for wants in now.values() for w in wants], progress))
+        for i, wants in now.items():
+            step(i, [next(fits) for _ in wants])
+    return out
 
 
 def fit_panel(panel: Panel, kind: str, n_clusters: int, n_factors: int, **options) -> tuple[Fit, DataFrame]:
@@ -519,10 +561,16 @@ def _row(table: Table, fit: Fit, **more) -> dict:
 
 def grid(table: Table, kind: str, ks=range(1, 6), rs=range(1, 6), **options):
     """``selection.grid`` over statistics on the cluster: all cells and starts advance together, the smallest BIC over all rows wins."""
+    progress = options.pop("progress", None)
+    return together(table, [grid_plan(table, kind, ks, rs, **options)], progress)[0]
+
+
+def grid_plan(table: Table, kind: str, ks=range(1, 6), rs=range(1, 6), **options) -> Generator:
+    """``grid`` as a plan for ``together``."""
     from strandmix.operators.selection import Selection
 
     cells = [(k, r) for r in rs for k in ks if k <= table.subjects and r <= table.width]
-    models = dict(zip(cells, fit_best(table, cells, kind, **options)))
+    models = dict(zip(cells, (yield [wanted(kind, *cell, **options) for cell in cells])))
     rows = [_row(table, x, entropy=x.extra["entropy"]) for x in models.values()]
     summary = sorted((row | {"ICL": row["BIC"] + 2 * row["entropy"]} for row in rows), key=lambda row: (row["BIC"], row["K"], row["r"]))
     best = (summary[0]["K"], summary[0]["r"])
@@ -531,21 +579,30 @@ def grid(table: Table, kind: str, ks=range(1, 6), rs=range(1, 6), **options):
 
 def two_stage(table: Table, kind: str, ks=range(1, 6), rs=range(1, 6), r_fixed: int = 2, criterion: str = "ICL", temperature: float = 1.0, seed: int = 0, **options):
     """``selection.two_stage`` over statistics on the cluster: K at a fixed r by ICL (of short fits from three random starts) or BIC, then r at that K by BIC."""
+    progress = options.pop("progress", None)
+    return together(table, [two_stage_plan(table, kind, ks, rs, r_fixed, criterion, temperature, seed, **options)], progress)[0]
+
+
+def two_stage_plan(table: Table, kind: str, ks=range(1, 6), rs=range(1, 6), r_fixed: int = 2, criterion: str = "ICL", temperature: float = 1.0, seed: int = 0, **options) -> Generator:
+    """``two_stage`` as a plan for ``together``."""
     from strandmix.operators.selection import Selection
 
     if criterion not in ("ICL", "BIC"):
         raise ValueError(f"unknown criterion {criterion!r}")
     ks, rs, r0 = [k for k in ks if k <= table.subjects], [r for r in rs if r <= table.width], min(r_fixed, table.width)
-    first = fit_best(table, [(k, r0) for k in ks], kind, seed=seed, **options)
+    long = [wanted(kind, k, r0, seed=seed, **options) for k in ks]
+    short = [wanted(kind, k, r0, n_init=3, use_kmeans=False, seed=seed + 1, **(options | {"max_iter": 10, "tol": 1e-10})) for k in ks if criterion == "ICL"]
+    found = yield long + short
+    first, short = found[: len(ks)], found[len(ks) :]
     models = {(k, r0): f for k, f in zip(ks, first)}
     summary = [_row(table, f, stage="K") for f in first]
     if criterion == "ICL":
-        short = fit_best(table, [(k, r0) for k in ks], kind, n_init=3, use_kmeans=False, seed=seed + 1, **(options | {"max_iter": 10, "tol": 1e-10}))
         for row, f, e in zip(summary, short, evaluate(table, short, temperature=temperature)):
             row |= {"entropy": e["entropy"], "ICL": C.bic(f.kind, f.loglik, f.n_clusters, r0, table.width, table.rows) + 2 * e["entropy"]}
     best_k = min(summary, key=lambda row: (row[criterion], row["K"]))["K"]
     missing = [r for r in rs if (best_k, r) not in models]
-    models |= dict(zip([(best_k, r) for r in missing], fit_best(table, [(best_k, r) for r in missing], kind, seed=seed, **options) if missing else []))
+    if missing:
+        models |= dict(zip([(best_k, r) for r in missing], (yield [wanted(kind, best_k, r, seed=seed, **options) for r in missing])))
     second = [_row(table, models[best_k, r], stage="r") for r in rs]
     best_r = min(second, key=lambda row: (row["BIC"], row["r"]))["r"]
     return Selection(best_k, best_r, models[best_k, best_r], summary + second, models, {"strategy": "twostage", "criterion": criterion, "temperature": temperature})

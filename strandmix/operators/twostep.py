@@ -43,23 +43,27 @@ def unit_loadings(stats: Stats, r: int, method: str = "PCA") -> np.ndarray:
         top = np.linalg.eigh(corr)[1][:, :, ::-1][:, :, :r]
         largest = np.take_along_axis(top, np.abs(top).argmax(axis=1)[:, None, :], axis=1)
         return top * np.where(largest < 0, -1.0, 1.0)
-    found = np.stack([L.fa_em(n, np.zeros(stats.width), c, r, 30).loadings for n, c in zip(stats.n, corr)]) if len(stats) else np.zeros((0, stats.width, r))
+    found = L.fa_loadings(corr, r, 30)
     return found / np.maximum(np.sqrt((found**2).sum(axis=1, keepdims=True)), 1e-12)
 
 
 @contextmanager
-def bases(table: T.Table, r: int, method: str = "PCA", align: bool = True) -> Iterator[T.Table]:
-    """The table with each subject's loadings, column by column, behind its statistics; kept while the block runs. The subject with the least number is the reference."""
+def bases(table: T.Table, sets: list[tuple[int, str]], align: bool = True) -> Iterator[T.Table]:
+    """The table with each subject's loadings of each (r, method), column by column, behind its statistics; kept while the block runs. The subject with the least number is the reference."""
     m, centre = table.width, table.centre
     first = table.df.orderBy("subject_id").select("subject_id", "x").first()
-    target = unit_loadings(_stats(np.array([first[0]]), np.array([first[1]]), m, centre), r, method)
+    one = _stats(np.array([first[0]]), np.array([first[1]]), m, centre)
+    targets = [unit_loadings(one, r, method) for r, method in sets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x, _ in T._blocks(batches):
-            own = unit_loadings(_stats(ids, x, m, centre), r, method)
-            if align:
-                own = B.align_bases(np.concatenate([target, own]))[1:]
-            wide = np.concatenate([x, own.transpose(0, 2, 1).reshape(len(ids), -1)], axis=1)
+            parts = [x]
+            for (r, method), target in zip(sets, targets):
+                own = unit_loadings(_stats(ids, x, m, centre), r, method)
+                if align:
+                    own = B.align_bases(np.concatenate([target, own]))[1:]
+                parts.append(own.transpose(0, 2, 1).reshape(len(ids), -1))
+            wide = np.concatenate(parts, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(np.arange(0, wide.size + 1, wide.shape[1], dtype=np.int32), pa.array(wide.ravel()))], names=["subject_id", "x"])
 
     kept = table.df.select("subject_id", "x").mapInArrow(run, "subject_id long, x array<double>").persist()
@@ -85,55 +89,86 @@ def two_step(table: T.Table, r: int, k: int, method: str = "PCA", seed: int = 0,
     The first centres come from k-means over at most ``fits.SAMPLE`` subjects, the first by a hash; then all vectors count until no centre
     moves, or for ``fits.KMEANS_ROUNDS`` rounds.
     """
+    return two_steps(table, [(r, k, method)], seed, refine, align)[0]
+
+
+def two_steps(table: T.Table, jobs: list[tuple[int, int, str]], seed: int = 0, refine: bool = False, align: bool = True) -> list[TwoStep]:
+    """``two_step`` for each (r, K, method): loadings of all in one scan, and one scan a round for all of them."""
     m, centre = table.width, table.centre
     size = 1 + m + m * (m + 1) // 2
-    with bases(table, r, method, align) as own:
-        sample = own.df.orderBy(F.xxhash64("subject_id"), "subject_id").limit(T.SAMPLE).select("x").collect()
-        points = np.array([row[0][size:] for row in sample]).reshape(-1, m)
-        labels = L.kmeans(points, k, starts=20, seed=seed)
-        centres = np.stack([points[labels == j].mean(axis=0) if (labels == j).any() else np.zeros(m) for j in range(k)])
-        for _ in range(T.KMEANS_ROUNDS if table.subjects > T.SAMPLE else 0):
-
-            def sums(ids, x, z0, centres=centres):
-                v = x[:, size:].reshape(-1, m)
-                near = np.stack([((v - c) ** 2).sum(axis=1) for c in centres], axis=1).argmin(axis=1)
-                marks = np.eye(len(centres))[near]
-                return np.column_stack([marks.sum(axis=0), marks.T @ v])
-
-            found = T._summed(own, sums, k)
-            new = np.where(found[:, :1] > 0, found[:, 1:] / np.maximum(found[:, :1], 1), centres)
-            moved, centres = not np.allclose(new, centres, rtol=0, atol=1e-9), new
-            if not moved:
+    sets = list(dict.fromkeys((r, method) for r, _, method in jobs))
+    starts = dict(zip(sets, size + m * np.cumsum([0, *(r for r, _ in sets)])))
+    columns = [slice(int(starts[r, method]), int(starts[r, method]) + r * m) for r, _, method in jobs]
+    ends = np.cumsum([0, *(k for _, k, _ in jobs)]).tolist()
+    with bases(table, sets, align) as own:
+        sample = np.array([row[0] for row in own.df.orderBy(F.xxhash64("subject_id"), "subject_id").limit(T.SAMPLE).select("x").collect()])
+        centres = []
+        for (_, k, _), at in zip(jobs, columns):
+            points = sample[:, at].reshape(-1, m)
+            labels = L.kmeans(points, k, starts=20, seed=seed)
+            centres.append(np.stack([points[labels == j].mean(axis=0) if (labels == j).any() else np.zeros(m) for j in range(k)]))
+        live = list(range(len(jobs))) if table.subjects > T.SAMPLE else []
+        for _ in range(T.KMEANS_ROUNDS):
+            if not live:
                 break
 
-        def mean_basis(ids, x, z0):
-            v = x[:, size:].reshape(len(ids), r, m)
-            marks = np.eye(k)[_votes(v, centres)[1]]
-            return np.column_stack([marks.sum(axis=0), marks.T @ x[:, size:]])
-
-        total = T._summed(own, mean_basis, k)
-        means = [(v[1:] / v[0]).reshape(r, m).T if v[0] > 0 else None for v in total]
-        found = tuple(L.top_eigen(b @ b.T, r)[1] if b is not None else None for b in means)
+            def sums(ids, x, z0, now=tuple((columns[i], centres[i]) for i in live)):
+                out = []
+                for at, own_centres in now:
+                    v = x[:, at].reshape(-1, m)
+                    near = np.stack([((v - c) ** 2).sum(axis=1) for c in own_centres], axis=1).argmin(axis=1)
+                    marks = np.eye(len(own_centres))[near]
+                    out.append(np.column_stack([marks.sum(axis=0), marks.T @ v]))
+                return np.concatenate(out)
+
+            found = iter(T._summed(own, sums, sum(jobs[i][1] for i in live)))
+            moved = []
+            for i in live:
+                sums_of = np.stack([next(found) for _ in range(jobs[i][1])])
+                new = np.where(sums_of[:, :1] > 0, sums_of[:, 1:] / np.maximum(sums_of[:, :1], 1), centres[i])
+                if not np.allclose(new, centres[i], rtol=0, atol=1e-9):
+                    moved.append(i)
+                centres[i] = new
+            live = moved
+
+        width = m * max(r for r, _, _ in jobs)
 
-        def labelled(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def mean_basis(ids, x, z0):
+            out = np.zeros((ends[-1], 1 + width))
+            for (r, k, _), at, own_centres, row in zip(jobs, columns, centres, ends):
+                marks = np.eye(k)[_votes(x[:, at].reshape(len(ids), r, m), own_centres)[1]]
+                out[row : row + k, 0] = marks.sum(axis=0)
+                out[row : row + k, 1 : 1 + r * m] = marks.T @ x[:, at]
+            return out
+
+        total, found = T._summed(own, mean_basis, ends[-1]), []
+        for (r, k, _), row in zip(jobs, ends):
+            means = [(v[1 : 1 + r * m] / v[0]).reshape(r, m).T if v[0] > 0 else None for v in total[row : row + k]]
+            found.append(tuple(L.top_eigen(b @ b.T, r)[1] if b is not None else None for b in means))
+        told = list(zip([r for r, _, _ in jobs], columns, centres, found))
+
+        def labelled(ids: np.ndarray, x: np.ndarray, r: int, at: slice, own_centres: np.ndarray, own_bases: tuple) -> tuple[np.ndarray, np.ndarray]:
             """Labels from 0, and the squared errors of their bases."""
-            z = _votes(x[:, size:].reshape(len(ids), r, m), centres)[1]
+            z = _votes(x[:, at].reshape(len(ids), r, m), own_centres)[1]
             stats = _stats(ids, x, m, centre)
             corr, sd = B.standardised(stats)
-            errors = np.full((len(ids), k), np.inf)
-            for j, basis in enumerate(found):
+            errors = np.full((len(ids), len(own_bases)), np.inf)
+            for j, basis in enumerate(own_bases):
                 if basis is not None:
                     a = sd[:, :, None] * (np.eye(m) - basis @ np.linalg.pinv(basis))
-                    errors[:, j] = np.einsum("ijk,ikl,ijl->i", a, corr * np.maximum(stats.n - 1, 0)[:, None, None], a)
+                    errors[:, j] = ((a @ (corr * np.maximum(stats.n - 1, 0)[:, None, None])) * a).sum(axis=(1, 2))
             z = errors.argmin(axis=1) if refine else z
             return z, errors[np.arange(len(ids)), z]
 
-        sse = float(T._summed(own, lambda ids, x, z0: np.array([[labelled(ids, x)[1].sum()]]), 1)[0, 0])
+        sse = T._summed(own, lambda ids, x, z0: np.array([[labelled(ids, x, *one)[1].sum() for one in told]]), 1)[0]
         _, mean, cov = T._pooled(table)
         sst = float(np.trace(cov)) * table.rows
 
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, x, _ in T._blocks(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((labelled(ids, x)[0] + 1).astype(np.int32))], names=["subject_id", "z"])
+        def assigned(one: tuple) -> DataFrame:
+            def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for ids, x, _ in T._blocks(batches):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((labelled(ids, x, *one)[0] + 1).astype(np.int32))], names=["subject_id", "z"])
+
+            return own.df.mapInArrow(assign, "subject_id long, z int")
 
-        return TwoStep(found, sse, 1 - sse / sst if sst else float("nan"), own.df.mapInArrow(assign, "subject_id long, z int"))
+        return [TwoStep(one[3], float(e), 1 - float(e) / sst if sst else float("nan"), assigned(one)) for one, e in zip(told, sse)]

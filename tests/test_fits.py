@@ -264,3 +264,55 @@ def test_six_methods_like_in_memory(spark, table, stats, data):
         assert a["Method"] == b["Method"]
         for key in ("BIC", "SSE", "VAF", "ARI"):
             assert (a[key] is None) == (b[key] is None) and (a[key] is None or a[key] == pytest.approx(b[key], rel=1e-6)), (a["Method"], key)
+
+
+def jobs_of(spark, name, run):
+    """What ``run`` returns, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(name, "x")
+    got = run()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return got, found
+
+
+def test_cells_of_a_comparison_advance_together(spark, table, monkeypatch):
+    """Four cells take about the jobs of one, in rounds over all subjects too, and give the rows that each gives alone."""
+    from strandmix.operators import choices as H
+
+    monkeypatch.setattr(T, "SAMPLE", 12)
+    cells = [(2, 1), (2, 2), (3, 1), (3, 2)]
+    alone = [jobs_of(spark, f"cell {cell}", lambda cell=cell: H.compare_all(table, *cell, max_iter=6)) for cell in cells]
+    got, jobs = jobs_of(spark, "cells", lambda: H.compare_cells(table, cells, max_iter=6))
+    assert jobs < 2 * max(n for _, n in alone) < sum(n for _, n in alone)
+    for rows, (want, _) in zip(got, alone):
+        for a, b in zip(rows, want):
+            assert a["Method"] == b["Method"] and all(a[c] == (b[c] if b[c] is None else pytest.approx(b[c], rel=1e-9)) for c in ("BIC", "SSE", "VAF"))
+
+
+def test_small_statistics_are_read_by_few_tasks(spark, panel):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        with T.statistics(panel) as table:
+            assert table.df.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert T._scan_tasks(60_000, 4, 12) == 12 and T._scan_tasks(10_000_000, 4, 12) > 100
+
+
+def test_loadings_of_many_subjects_at_once(stats):
+    """As one by one: factor analysis by its rounds, and alignment by an assignment of columns."""
+    from strandmix.functions import linalg as L
+    from strandmix.operators import baselines as B
+
+    corr, _ = B.standardised(stats)
+    for r in (1, 2, 3):
+        want = np.stack([L.fa_em(n, np.zeros(5), c, r, 30).loadings for n, c in zip(stats.n, corr)])
+        assert np.allclose(L.fa_loadings(corr, r, 30), want, atol=1e-9)
+        assert L.fa_loadings(corr[:0], r, 30).shape == (0, 5, r)
+    for r in (1, 2, 3, 5):
+        bases = np.random.default_rng(r).normal(size=(40, 5, r))
+        for got, own in zip(B.align_bases(bases), bases):
+            c = L.correlation(bases[0], own)
+            order = L.assign(-(c + 1) / 2)
+            assert np.allclose(got, own[:, order] * np.where(c[np.arange(r), order] < 0, -1, 1))
