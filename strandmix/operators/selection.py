@@ -160,49 +160,69 @@ def bootstrap_draws(spark: SparkSession, stats: Stats, kind: str, ks=range(2, 6)
     return _tasks(spark, stats, jobs, lambda given, job: _draw(given, kind, job[0], r, job[1], ratio, seed, options), "K int, b int, subject_id long, z int").drop("job")
 
 
-#: Subjects of a block whose pairs are counted at once.
-PAIR_BLOCK = 1000
+#: Subjects of a block, which is a row of its own when blocks meet; subjects of two blocks whose pairs are counted at once.
+PAIR_BLOCK, PAIR_SLAB = 8192, 1024
+
+
+def _bits(marks: np.ndarray) -> np.ndarray:
+    """(words, N): rows of marks as bits of 64-bit words."""
+    packed = np.packbits(np.pad(marks, ((0, 0), (0, -marks.shape[1] % 64))), axis=1)
+    return np.ascontiguousarray(packed.view(np.uint64).T)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(N, N'): bits that two sets of rows have in common."""
+    out = np.zeros((x.shape[1], y.shape[1]), dtype=np.intp)
+    for a, b in zip(x, y):
+        out += np.bitwise_count(a[:, None] & b)
+    return out
 
 
 def stability(labels: DataFrame, min_joint: int = 5, block: int = PAIR_BLOCK) -> DataFrame:
     """(K, stability, n_pairs) from labels (K, b, subject_id, z): 1 - 4 mean(p (1 - p)) over pairs of subjects drawn together often enough.
 
-    A subject is one row, its labels by draw. Blocks of subjects meet in tasks and count their pairs by matrix products; what comes out
-    is one row for two blocks. So pairs are never rows, and a subject is sent once for each block of others.
+    A subject is two sets of bits: the draws that it is in, and its labels there. A block of subjects is one row; blocks meet in tasks, which
+    count their pairs by common bits, a slab at a time, and tell how many pairs have so many draws and labels in common. So pairs are never
+    rows, and a subject is sent once for each block of others. Time grows with the square of the subjects, memory doesn't.
     """
-    rows = labels.groupBy("K", "subject_id").agg(F.sort_array(F.collect_list(F.struct("b", "z"))).alias("own"))
-    sizes = {row[0]: row[1] for row in rows.groupBy("K").count().collect()}
-    most = max(sizes.values(), default=1)
-    blocks = -(-most // block)
-    placed = rows.select("K", "subject_id", F.col("own.b").alias("b"), F.col("own.z").alias("z"), F.pmod(F.xxhash64("subject_id"), F.lit(blocks)).cast("int").alias("at"))
-    left = placed.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence(F.col("at"), F.lit(blocks - 1))))
-    again = placed.select(*(F.col(c).alias(f"{c}_") for c in placed.columns)).toDF(*placed.columns)  # columns of its own: the two sides meet
-    right = again.withColumn("j", F.col("at")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("at"))))
-
-    def count(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        draws = np.unique(np.concatenate([*x["b"], *y["b"]])) if len(x) and len(y) else np.zeros(0, int)
-        names = np.unique(np.concatenate([*x["z"], *y["z"]])) if len(draws) else np.zeros(0, int)
-
-        def marks(part):
-            there, chosen = np.zeros((len(part), len(draws))), np.zeros((len(part), len(draws), len(names)))
-            for row, (b, z) in enumerate(zip(part["b"], part["z"])):
-                at = np.searchsorted(draws, b)
-                there[row, at] = 1
-                chosen[row, at, np.searchsorted(names, z)] = 1
-            return there, chosen.reshape(len(part), -1)
-
-        if not len(draws):
-            return pd.DataFrame({"K": [], "total": [], "pairs": []})
-        (p, a), (q, b) = marks(x), marks(y)
-        joint, same = p @ q.T, a @ b.T
-        ids, others = x["subject_id"].to_numpy()[:, None], y["subject_id"].to_numpy()[None, :]
-        enough = (joint >= min_joint) & ((ids < others) if key[1] == key[2] else np.ones(joint.shape, bool))
-        share = same[enough] / joint[enough]
-        return pd.DataFrame({"K": [int(key[0])], "total": [float((share * (1 - share)).sum())], "pairs": [int(enough.sum())]})
-
-    keys = ["K", "i", "j"]
-    counted = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(count, "K int, total double, pairs long")
-    total = counted.groupBy("K").agg(F.sum("total").alias("total"), F.sum("pairs").alias("n_pairs")).where("n_pairs > 0")
+    sizes = labels.groupBy("K").agg(F.approx_count_distinct("subject_id").alias("n"), F.collect_set("b").alias("b"), F.collect_set("z").alias("z")).collect()
+    most = max((row["n"] for row in sizes), default=0)
+    all_b, all_z = (np.array(sorted({x for row in sizes for x in row[c]})) for c in ("b", "z"))
+    draws = len(all_b)
+    # At least so many blocks that their meetings keep all cores busy, unless these would be smaller than a slab.
+    cores = labels.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-most // block), min(-(-most // PAIR_SLAB), int(np.ceil(np.sqrt(4 * cores)))), 1)
+    own = labels.groupBy("K", "subject_id").agg(F.collect_list("b").alias("b"), F.collect_list("z").alias("z"))
+    placed = own.select("K", F.pmod(F.xxhash64("subject_id"), F.lit(blocks)).cast("int").alias("at"), "b", "z")
+
+    def pack(key, x: pd.DataFrame) -> pd.DataFrame:
+        there, chosen = np.zeros((len(x), draws), bool), np.zeros((len(x), draws, len(all_z)), bool)
+        at, b, z = np.repeat(np.arange(len(x)), x["b"].map(len)), np.searchsorted(all_b, np.concatenate(x["b"].to_numpy())), np.searchsorted(all_z, np.concatenate(x["z"].to_numpy()))
+        there[at, b] = chosen[at, b, z] = True
+        return pd.DataFrame({"K": [key[0]], "at": [key[1]], "n": [len(x)], "there": [_bits(there).tobytes()], "chosen": [_bits(chosen.reshape(len(x), -1)).tobytes()]})
+
+    packed = placed.groupBy("K", "at").applyInPandas(pack, "K int, at int, n long, there binary, chosen binary")
+    # Both blocks of a meeting come as rows of its own group; i <= j.
+    row = F.struct("at", "n", "there", "chosen")
+    meetings = packed.select("K", row.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select("K", F.least("own.at", "other").alias("i"), F.greatest("own.at", "other").alias("j"), "own.*")
+
+    def count(key, x: pd.DataFrame) -> pd.DataFrame:
+        same = key[1] == key[2]
+        if not same and len(x) < 2:
+            return pd.DataFrame({"K": [], "joint": [], "same": [], "pairs": []})
+        sides = [[np.frombuffer(data, np.uint64).reshape(-1, n) for data in both] for n, *both in zip(x["n"], x["there"], x["chosen"])]
+        (p, a), (q, b) = sides[0], sides[-1]
+        table, slab = np.zeros((draws + 1) ** 2, dtype=np.int64), PAIR_SLAB
+        for i in range(0, p.shape[1], slab):
+            for j in range(i if same else 0, q.shape[1], slab):
+                code = _common(p[:, i : i + slab], q[:, j : j + slab]) * (draws + 1) + _common(a[:, i : i + slab], b[:, j : j + slab])
+                table += np.bincount(code[np.triu_indices(len(code), 1)] if same and i == j else code.ravel(), minlength=len(table))
+        found = np.flatnonzero(table)
+        return pd.DataFrame({"K": np.full(len(found), key[0], np.int32), "joint": found // (draws + 1), "same": found % (draws + 1), "pairs": table[found]})
+
+    counted = meetings.groupBy("K", "i", "j").applyInPandas(count, "K int, joint long, same long, pairs long").where(F.col("joint") >= min_joint)
+    share = F.col("same") / F.col("joint")
+    total = counted.groupBy("K").agg(F.sum(share * (1 - share) * F.col("pairs")).alias("total"), F.sum("pairs").alias("n_pairs")).where("n_pairs > 0")
     return total.select("K", (1 - 4 * F.col("total") / F.col("n_pairs")).alias("stability"), "n_pairs")
 
 

@@ -282,6 +282,25 @@ def test_two_stages_by_tasks_like_one_after_another(spark, stats):
     assert all(np.isclose(x["VAF"], y["VAF"]) and x["r"] == y["r"] for x, y in zip(one, two))
 
 
+def test_pairs_travel_as_blocks(spark, monkeypatch):
+    """What blocks send to meet each other are their subjects' bits, in one row a block, whatever the labels' numbers; counts are those of all pairs."""
+    monkeypatch.setattr(Q, "PAIR_SLAB", 50)
+    rng = np.random.default_rng(8)
+    z = rng.choice([-7, 3, 1000], (300, 70))
+    there = rng.random((300, 70)) < 0.3
+    rows = spark.createDataFrame([(2, 10 * int(b) - 5, int(i), int(z[i, b])) for i, b in zip(*np.nonzero(there))], "K int, b int, subject_id long, z int")
+    met, real = [], type(rows).groupBy
+    monkeypatch.setattr(type(rows), "groupBy", lambda self, *keys: (met.append(self) if keys == ("K", "i", "j") else None) or real(self, *keys))
+    got = Q.stability(rows, 15, block=100).first()
+    monkeypatch.undo()
+    joint = there.astype(int) @ there.T
+    same = sum(((z == v) & there).astype(int) @ ((z == v) & there).T for v in (-7, 3, 1000))
+    enough = np.triu(joint >= 15, 1)
+    share = same[enough] / joint[enough]
+    assert got.n_pairs == enough.sum() and np.isclose(got.stability, 1 - 4 * np.mean(share * (1 - share)))
+    assert len(met) == 1 and met[0].count() <= 49 and met[0].selectExpr("sum(length(there) + length(chosen))").first()[0] < 100 * 7 * 300
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
 def test_shuffled_places_are_a_permutation(n):
     places = [Q._shuffled_place(np.arange(n), n, (0, p, j)) for p in range(2) for j in range(2)]
