@@ -4,8 +4,8 @@ An example is a vector: tokens, segments, loss-bearing tokens. A sequence has a
 fills one sequence at a time: of the waiting examples that fit, it takes the one whose vector, in shares of the capacities, has the
 largest dot product with what is left. Examples that may be cut fill the rest of a sequence exactly.
 
-Of a piece of a document those tokens bear loss that follow another, different one in the piece. Of a conversation the assistant's
-tokens do, and its turns are segments.
+Of a piece of a document those tokens bear loss that make a pair with the one before for the first time in the piece: what repeats itself
+is only read. Of a conversation the assistant's tokens do, and its turns are segments.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ class Limits:
 
     tokens: int = SEQUENCE
     segments: int = 8
-    loss_tokens: int = SEQUENCE
+    #: Most short texts have more in their tokens, most long ones less, so that both are needed to fill a sequence.
+    loss_tokens: int = SEQUENCE * 7 // 8
 
 
 #: Of whole conversations: half of a sequence may bear loss, and some turns have none.
@@ -50,8 +51,11 @@ DIALOGUE = Limits(SEQUENCE, 16, SEQUENCE // 2)
 
 
 def loss_bearing(ids: np.ndarray) -> int:
-    """Tokens of a piece that follow another, different one."""
-    return int(np.count_nonzero(ids[1:] != ids[:-1]))
+    """Tokens of a piece that make a pair with the one before for the first time; a beginning never has more than the whole."""
+    if len(ids) < 2:
+        return 0
+    pairs = np.sort(ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64))
+    return 1 + int(np.count_nonzero(pairs[1:] != pairs[:-1]))
 
 
 @dataclass

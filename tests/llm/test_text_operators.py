@@ -264,6 +264,28 @@ def test_segments_bind_and_sequences_stay_full(spark, library):
     assert max(per.values()) > packing.Limits().segments
 
 
+def test_loss_decides_placements_of_documents(spark):
+    """On the given documents the query's limit on loss changes placements, and no sequence exceeds it; without it some do."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(400).coalesce(1)
+    encoder = packing.words(P.path("word_bpe_49k.json"))
+    of = {r.doc_id: np.append(encoder.encode([r.text])[0], np.uint32(1)) for r in docs.collect()}
+    placed, loss = {}, {}
+    for limit in (packing.Limits().loss_tokens, 2048):
+        rows = packing.pack_documents(docs, P.path("word_bpe_49k.json"), limits=packing.Limits(loss_tokens=limit)).collect()
+        placed[limit] = {(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows}
+        assert sum(r.length for r in rows) == sum(map(len, of.values()))
+        total = loss.setdefault(limit, {})
+        for r in rows:
+            total[r.sequence_id] = total.get(r.sequence_id, 0) + packing.loss_bearing(of[r.doc_id][r.start : r.start + r.length])
+    tight = packing.Limits().loss_tokens
+    assert placed[tight] != placed[2048]
+    assert max(loss[tight].values()) <= tight < max(loss[2048].values())
+
+
+def test_what_repeats_itself_bears_no_loss():
+    assert [packing.loss_bearing(np.array(x, dtype=np.uint32)) for x in ([], [5], [5, 5], [1, 2, 1, 2, 1, 2], [1, 2, 3, 4])] == [0, 0, 1, 2, 3]
+
+
 def packed(rows, limits):
     packer = packing.Packer(limits, cut=False)
     pieces = [x for key, n, loss, segments in rows for x in packer.add((key, n, loss, segments), 0, range(n), loss, segments)] + list(packer.finish())
