@@ -316,3 +316,13 @@ def test_loadings_of_many_subjects_at_once(stats):
             c = L.correlation(bases[0], own)
             order = L.assign(-(c + 1) / 2)
             assert np.allclose(got, own[:, order] * np.where(c[np.arange(r), order] < 0, -1, 1))
+
+
+def test_plans_advance_together(spark, table):
+    """Both strategies for both kinds take fewer jobs than apart, and choose and score alike."""
+    plans = lambda: [p(table, kind, (1, 2), (1, 2), max_iter=6, method="closed_form") for kind in ("mfa", "mpca") for p in (T.grid_plan, T.two_stage_plan)]
+    got, jobs = jobs_of(spark, "plans", lambda: T.together(table, plans()))
+    apart = [jobs_of(spark, f"plan {i}", lambda p=p: T.together(table, [p])[0]) for i, p in enumerate(plans())]
+    assert jobs < 0.6 * sum(n for _, n in apart)
+    for a, (b, _) in zip(got, apart):
+        assert (a.best_k, a.best_r) == (b.best_k, b.best_r) and a.best.loglik == pytest.approx(b.best.loglik, rel=1e-9)
