@@ -327,7 +327,7 @@ def two_rank(s, d) -> A.Panel:
 
 def _of_two(s, d, **options):
     p = two_rank(s, d)
-    if options["method"] == "pa":  # rows alone, no subject's statistics
+    if options.get("method") == "pa":  # rows alone, no subject's statistics
         return s.createDataFrame([(Q.parallel_analysis(p, range(1, 4))["r"],)], "r int")
     return s.createDataFrame([(int(Q.select_r(p, S.collect(p), "mfa", 1, range(1, 4), **options)["r"]),)], "r int")
 
